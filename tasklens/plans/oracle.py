@@ -25,7 +25,7 @@ def duck_payload_hex(seed, id_expr: str, n_expr: str) -> str:
     """Upper-case hex text of ``functions.rng.payload``."""
     return (f"CASE WHEN ({n_expr}) <= 0 THEN '' ELSE upper(substr(array_to_string("
             f"list_transform(range(0, CAST(ceil(({n_expr}) / 16.0) AS BIGINT)), "
-            f"k -> md5(concat_ws(':', '{seed}', CAST({id_expr} AS VARCHAR), CAST(k AS VARCHAR)))), ''),"
+            f"lambda k: md5(concat_ws(':', '{seed}', CAST({id_expr} AS VARCHAR), CAST(k AS VARCHAR)))), ''),"
             f" 1, 2 * ({n_expr}))) END")
 
 
@@ -151,3 +151,84 @@ SELECT app, event, n FROM (
   UNION ALL SELECT o_orderpriority, 'SparkListenerTaskEnd', count(*)
             FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
 """)
+
+
+# ------------------------------------------------------------------ generators
+
+_NSUP = "(SELECT count(*) FROM supplier)"
+
+oracle("G1_index_partitions", f"""
+SELECT CAST(i AS INTEGER) AS id, CAST(i - 1 AS INTEGER) AS part
+FROM (SELECT unnest(range(1, {_NSUP} + 1)) AS i)
+""")
+
+oracle("G2_zero_partitions", f"""
+SELECT CAST(i AS INTEGER) AS id, CAST(i - 1 AS INTEGER) AS part, 17 AS n_bytes,
+       md5(repeat('00', 17)) AS payload_md5
+FROM (SELECT unnest(range(1, {_NSUP} + 1)) AS i)
+""")
+
+oracle("G3_random_partitions", f"""
+SELECT CAST(i AS INTEGER) AS id, CAST(i - 1 AS INTEGER) AS part, 40 AS n_bytes,
+       {duck_payload_hex(42, 'i', '40')} AS payload_hex
+FROM (SELECT unnest(range(1, {_NSUP} + 1)) AS i)
+""")
+
+oracle("G4_sized_partitions", f"""
+WITH sizes AS (SELECT n_nationkey AS label, n_nationkey + 3 AS size FROM nation WHERE n_regionkey <= 2),
+s AS (SELECT s_suppkey AS id, s_nationkey AS label, coalesce(sizes.size, 1) AS size
+      FROM supplier LEFT JOIN sizes ON s_nationkey = sizes.label)
+SELECT id, label, size, {duck_payload_hex(42, 'id', 'size')} AS payload_hex FROM s
+""")
+
+_G5 = f"""
+SELECT o_orderkey AS id, CAST(floor({duck_u(42, 'key', 'o_orderkey')} * 7) AS INTEGER) AS key,
+       {duck_payload_hex(42, 'o_orderkey', '8')} AS payload_hex
+FROM orders
+"""
+oracle("G5_keyed_records", _G5)
+oracle("G6_union_batches", _G5)
+
+
+def _duck_process(spec, tag: str, ids: list[str]) -> str:
+    import math
+    if not spec:
+        return "1.0"
+    kind = spec[0]
+    if kind == "c" and len(spec) == 2:
+        return f"(1.0 / {float(spec[1])!r})"
+    if kind == "x" and len(spec) == 2:
+        return f"(-ln({duck_u(42, tag, *ids)}) / {float(spec[1])!r})"
+    if kind == "e" and len(spec) == 3:
+        logs = " + ".join(f"ln({duck_u(42, f'{tag}.{j}', *ids)})" for j in range(1, int(spec[1]) + 1))
+        return f"(-({logs}) / {float(spec[2])!r})"
+    if kind == "w" and len(spec) in (2, 3):
+        shape = float(spec[1])
+        scale = float(spec[2]) if len(spec) == 3 else 1.0 / math.gamma(1.0 + 1.0 / shape)
+        return f"({scale!r} * pow(-ln({duck_u(42, tag, *ids)}), {1.0 / shape!r}))"
+    return "1.0"
+
+
+_G7_SPECS = {
+    "const": ("c", 2.0), "expo": ("x", 0.5), "erlang": ("e", 3, 1.5), "weibull": ("w", 2.0),
+    "weibull_scaled": ("w", 1.5, 2.0), "default": (), "unknown": ("z", 1.0),
+}
+oracle("G7_processes", "SELECT o_orderkey AS id, " + ", ".join(
+    f"round({_duck_process(spec, name, ['o_orderkey'])}, 6) AS {name}"
+    for name, spec in _G7_SPECS.items()) + " FROM orders")
+
+oracle("G8_job_tasks", f"""
+SELECT job, CAST(task AS INTEGER) AS task, round({_duck_process(('x', 1.0), 'service', ['job', 'task'])}, 6) AS service
+FROM (SELECT o_orderkey AS job, unnest(range(1, 5)) AS task FROM orders)
+""")
+
+_PTS = f"""
+SELECT o_orderkey AS id, 2.0 * {duck_u(42, 'px', 'o_orderkey')} - 1.0 AS x,
+       2.0 * {duck_u(42, 'py', 'o_orderkey')} - 1.0 AS y FROM orders
+"""
+oracle("G9_square_points", f"SELECT id, round(x, 6) AS x, round(y, 6) AS y FROM ({_PTS})")
+oracle("G9_pi_estimate", f"""
+SELECT count(*) AS n, sum(CASE WHEN x * x + y * y <= 1.0 THEN 1 ELSE 0 END) AS inside,
+       4.0 * sum(CASE WHEN x * x + y * y <= 1.0 THEN 1 ELSE 0 END) / count(*) AS pi_estimate
+FROM ({_PTS})
+""")

@@ -42,4 +42,4 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 
 
 # The query modules register themselves on import.
-from . import q_metrics  # noqa: E402,F401
+from . import q_generators, q_metrics  # noqa: E402,F401
