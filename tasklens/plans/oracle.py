@@ -232,3 +232,88 @@ SELECT count(*) AS n, sum(CASE WHEN x * x + y * y <= 1.0 THEN 1 ELSE 0 END) AS i
        4.0 * sum(CASE WHEN x * x + y * y <= 1.0 THEN 1 ELSE 0 END) / count(*) AS pi_estimate
 FROM ({_PTS})
 """)
+
+
+# ------------------------------------------------------------------ byte workloads
+
+# bytes of every document: position i (0-based), unsigned u, signed s
+_DOC_BYTES = """
+WITH d AS (SELECT doc_id, lang, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents),
+b AS (SELECT doc_id, i, ('0x' || substr(h, 2 * i + 1, 2))::INTEGER AS u
+      FROM d, unnest(range(n)) AS t(i)),
+sb AS (SELECT doc_id, i, CASE WHEN u >= 128 THEN u - 256 ELSE u END AS s FROM b)
+"""
+
+
+def _signed_hex_at(h: str, pos: str) -> str:
+    return (f"(CASE WHEN ('0x' || substr({h}, 2 * ({pos}) + 1, 2))::INTEGER >= 128 "
+            f"THEN ('0x' || substr({h}, 2 * ({pos}) + 1, 2))::INTEGER - 256 "
+            f"ELSE ('0x' || substr({h}, 2 * ({pos}) + 1, 2))::INTEGER END)")
+
+
+oracle("W1_byte_max", _DOC_BYTES + """
+SELECT d.doc_id, CAST(coalesce(max(s), -128) AS INTEGER) AS byte_max
+FROM d LEFT JOIN sb ON d.doc_id = sb.doc_id GROUP BY d.doc_id
+""")
+
+oracle("W2_byte_min", _DOC_BYTES + """
+SELECT d.doc_id, CAST(min(s) AS INTEGER) AS byte_min
+FROM d LEFT JOIN sb ON d.doc_id = sb.doc_id GROUP BY d.doc_id
+""")
+
+_W4_POS = f"CAST(floor({duck_u(42, 'w4', 'doc_id')} * n) AS BIGINT)"
+oracle("W4_random_element", f"""
+WITH d AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents)
+SELECT doc_id, CASE WHEN n > 0 THEN CAST({_signed_hex_at('h', _W4_POS)} AS INTEGER) END AS element FROM d
+""")
+
+_W5_COIN = duck_u(42, 'w5c', 'w.doc_id', 'w.k')
+_W5_POS = f"CAST(floor({duck_u(42, 'w5', 'd.doc_id')} * d.n) AS BIGINT)"
+oracle("W5_log_walk_element", f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents),
+w(doc_id, h, n, k, i, x, s) AS (
+  SELECT doc_id, h, n, 0, n // 2, n, CAST(0 AS BIGINT) FROM d WHERE n > 0
+  UNION ALL
+  SELECT w.doc_id, w.h, w.n, w.k + 1, q.i, w.x // 2, w.s + {_signed_hex_at('w.h', 'q.i')}
+  FROM w, LATERAL (SELECT least(greatest(CASE WHEN {_W5_COIN} < 0.5 THEN w.i + w.x ELSE w.i - w.x END, 0),
+                                w.n - 1) AS i) q
+  WHERE w.x > 0)
+SELECT d.doc_id, last.s AS walk_sum,
+       CASE WHEN d.n > 0 THEN CAST({_signed_hex_at('d.h', _W5_POS)} AS INTEGER) END AS element
+FROM d LEFT JOIN (SELECT doc_id, arg_max(s, k) AS s FROM w GROUP BY doc_id) last ON d.doc_id = last.doc_id
+""")
+
+_W6 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents),
+wr AS (SELECT doc_id, k,
+         CAST(floor({duck_u(42, 'w6p', 'doc_id', 'k')} * n) AS BIGINT) AS pos,
+         CAST(floor({duck_u(42, 'w6v', 'doc_id', 'k')} * 256) AS INTEGER) - 128 AS val
+       FROM d, unnest(range(1, 17)) AS t(k) WHERE n > 0),
+lastw AS (SELECT doc_id, pos, arg_max(val, k) AS val FROM wr GROUP BY doc_id, pos),
+b AS (SELECT d.doc_id, i, substr(h, 2 * i + 1, 2) AS hx FROM d, unnest(range(n)) AS t(i)),
+nb AS (SELECT b.doc_id, b.i,
+         CASE WHEN lastw.val IS NULL THEN b.hx
+              ELSE upper(lpad(to_hex(CAST((lastw.val + 256) % 256 AS INTEGER)), 2, '0')) END AS hx
+       FROM b LEFT JOIN lastw ON b.doc_id = lastw.doc_id AND b.i = lastw.pos),
+sc AS (SELECT d.doc_id, d.n, coalesce(string_agg(hx, '' ORDER BY i), '') AS h
+       FROM d LEFT JOIN nb ON d.doc_id = nb.doc_id GROUP BY d.doc_id, d.n)
+"""
+oracle("W6_scramble_bytes", _W6 + "SELECT doc_id, CAST(n AS INTEGER) AS n_bytes, md5(h) AS payload_md5 FROM sc")
+oracle("W6h_scramble_head", _W6 + f"SELECT doc_id, CASE WHEN n > 0 THEN CAST({_signed_hex_at('h', '0')} AS INTEGER) END AS head FROM sc")
+
+oracle("W8_apply_workload", _DOC_BYTES + """
+SELECT d.doc_id, CAST(count(sb.s) FILTER (WHERE sb.s < 0) AS BIGINT) AS n_high
+FROM d LEFT JOIN sb ON d.doc_id = sb.doc_id GROUP BY d.doc_id
+""")
+
+oracle("W9_apply_workload_by", _DOC_BYTES + f""",
+agg AS (SELECT d.doc_id, d.lang, d.h, d.n, max(s) AS mx, min(s) AS mn
+        FROM d LEFT JOIN sb ON d.doc_id = sb.doc_id GROUP BY d.doc_id, d.lang, d.h, d.n)
+SELECT doc_id, lang, CAST(CASE
+    WHEN lang = 'en' THEN coalesce(mx, -128)
+    WHEN lang = 'de' THEN mn
+    WHEN lang = 'fr' THEN CASE WHEN n > 0 THEN {_signed_hex_at('h', _W4_POS)} END
+    ELSE n END AS BIGINT) AS result
+FROM agg
+""")
