@@ -317,3 +317,61 @@ SELECT doc_id, lang, CAST(CASE
     ELSE n END AS BIGINT) AS result
 FROM agg
 """)
+
+
+# ------------------------------------------------------------------ records
+
+_TIE = ("l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, "
+        "l_tax, l_returnflag, l_linestatus, l_shipdate")
+_HEXREC = ("(CASE WHEN length(hex({x})) % 2 = 1 THEN '0' || hex({x}) ELSE hex({x}) END)")
+
+
+def _signed_low_byte(x: str) -> str:
+    return f"(CASE WHEN ({x}) % 256 >= 128 THEN ({x}) % 256 - 256 ELSE ({x}) % 256 END)"
+
+
+def _signed_key4(x: str) -> str:
+    """Order key of 4-byte big-endian records compared byte-wise signed."""
+    return " + ".join(f"xor(({x} >> {8 * (3 - i)}) & 255, 128) * {256 ** (3 - i)}" for i in range(4))
+
+
+oracle("W3_pair_sign_sum", f"""
+WITH li AS (SELECT l_orderkey, {_signed_low_byte('l_partkey')} AS v,
+              row_number() OVER (PARTITION BY l_orderkey ORDER BY {_TIE}) AS pos FROM lineitem)
+SELECT a.l_orderkey, CAST(coalesce(sum(sign(a.v - b.v)), 0) AS BIGINT) AS pair_sign_sum
+FROM li a LEFT JOIN li b ON a.l_orderkey = b.l_orderkey AND a.pos < b.pos
+GROUP BY a.l_orderkey
+""")
+
+oracle("W7_record_lt", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey < l_suppkey AS lt FROM lineitem
+""")
+
+oracle("W7s_record_lt_signed", f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       ({_signed_key4('l_partkey')}) < ({_signed_key4('(l_suppkey * 131)')}) AS lt FROM lineitem
+""")
+
+oracle("A1_group_records", f"""
+SELECT l_orderkey, CAST(count(*) AS INTEGER) AS n_records,
+       string_agg({_HEXREC.format(x='l_partkey')}, ',' ORDER BY {_TIE}) AS records_hex
+FROM lineitem GROUP BY l_orderkey
+""")
+
+oracle("A2_keyed_max_last_byte", f"""
+SELECT l_orderkey, CAST({_signed_low_byte('max(l_partkey)')} AS BIGINT) AS max_last_byte
+FROM lineitem GROUP BY l_orderkey
+""")
+
+oracle("A2s_keyed_max_last_byte_signed", f"""
+SELECT l_orderkey, CAST({_signed_low_byte(f"arg_max(l_partkey, {_signed_key4('l_partkey')})")} AS BIGINT)
+       AS max_last_byte
+FROM lineitem GROUP BY l_orderkey
+""")
+
+oracle("O1_sort_records", f"""
+SELECT l_orderkey,
+       CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, {_TIE}) AS INTEGER) AS pos,
+       {_HEXREC.format(x='l_partkey')} AS rec_hex, l_linenumber, l_suppkey
+FROM lineitem
+""")

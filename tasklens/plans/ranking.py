@@ -12,15 +12,28 @@ several tasks by the sampled range bounds:
 3. Per-partition row counts are a table of at most ``n`` rows (a proven
    bound), summed into offsets and broadcast back.
 
-The range exchange is shared by both branches (exchange reuse), so the
-input is shuffled once.
+Both branches must see one and the same range partitioning: Spark samples
+range bounds per exchange instance (the seed depends on the RDD id), so two
+computations of the exchange may cut at different keys. The sorted, tagged
+rows are therefore persisted (memory and disk) and both branches read them.
+Lineage is kept: a lost executor's blocks are recomputed from the same
+shuffle dependency, hence the same bounds. ``release()`` unpersists them.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_PERSISTED: list[DataFrame] = []
+
+
+def release() -> None:
+    """Unpersist the sorted inputs kept by ``global_row_number``."""
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist()
+
 _LOCAL_BITS = 33  # monotonically_increasing_id = (partition << 33) + index
 
 
@@ -44,7 +57,9 @@ def global_row_number(df: DataFrame, order: list[str | Column], out: str = "rn",
     tagged = (sorted_df
               .withColumn("_tl_mid", mid)
               .withColumn("_tl_pid", F.shiftright(F.col("_tl_mid"), _LOCAL_BITS))
-              .withColumn("_tl_loc", F.col("_tl_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
+              .withColumn("_tl_loc", F.col("_tl_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    _PERSISTED.append(tagged)
     counts = tagged.groupBy("_tl_pid").agg(F.count(F.lit(1)).alias("_tl_cnt"))
     # at most n rows: one per range partition
     offsets = counts.select(
