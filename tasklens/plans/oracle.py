@@ -375,3 +375,66 @@ SELECT l_orderkey,
        {_HEXREC.format(x='l_partkey')} AS rec_hex, l_linenumber, l_suppkey
 FROM lineitem
 """)
+
+
+# ------------------------------------------------------------------ queueing
+# Lindley's recursion as a recursive CTE over n = position in the queue
+
+_Q_JOBS = """
+e AS (SELECT user_id, event_id, epoch_us(ts) AS arrival,
+             CAST(round(value * 300.0 * 1000000.0) AS BIGINT) AS service,
+             row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+      FROM events)"""
+
+oracle("Q1_arrival_schedule", f"""
+WITH ia AS (SELECT user_id, event_id, ts,
+                   CAST(round(-ln({duck_u(42, 'ia', 'event_id')}) * 60000000.0) AS BIGINT) AS interarrival
+            FROM events)
+SELECT user_id, event_id, interarrival,
+       CAST(coalesce(sum(interarrival) OVER (PARTITION BY user_id ORDER BY ts, event_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS arrival
+FROM ia
+""")
+
+_Q2 = f"""
+WITH RECURSIVE {_Q_JOBS},
+r AS (SELECT user_id, n, event_id, arrival, service, arrival + service AS departure FROM e WHERE n = 1
+      UNION ALL
+      SELECT e.user_id, e.n, e.event_id, e.arrival, e.service,
+             greatest(e.arrival, r.departure) + e.service
+      FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, event_id, arrival, service, departure,
+       departure - service - arrival AS waiting, departure - arrival AS sojourn FROM r
+"""
+oracle("Q2_fifo_departures", _Q2)
+oracle("Q2w_fifo_departures_window", _Q2)
+
+_Q_TASKS = f"""
+t AS (SELECT user_id, event_id, epoch_us(ts) AS arrival, task,
+             CAST(round(value * 1000000.0 * (100.0 + 200.0 * {duck_u(42, 't', 'event_id', 'task')})) AS BIGINT) AS service,
+             row_number() OVER (PARTITION BY user_id, task ORDER BY ts, event_id) AS n
+      FROM events, unnest(range(1, 4)) AS k(task))"""
+
+oracle("Q3_forkjoin_departures", f"""
+WITH RECURSIVE {_Q_TASKS},
+r AS (SELECT user_id, task, n, event_id, arrival, arrival + service AS departure FROM t WHERE n = 1
+      UNION ALL
+      SELECT t.user_id, t.task, t.n, t.event_id, t.arrival, greatest(t.arrival, r.departure) + t.service
+      FROM r JOIN t ON t.user_id = r.user_id AND t.task = r.task AND t.n = r.n + 1)
+SELECT user_id, event_id, max(arrival) AS arrival, max(departure) AS departure,
+       max(departure) - max(arrival) AS sojourn
+FROM r GROUP BY user_id, event_id
+""")
+
+oracle("Q4_barrier_departures", f"""
+WITH RECURSIVE {_Q_TASKS},
+j AS (SELECT user_id, event_id, max(arrival) AS arrival, max(service) AS service,
+             row_number() OVER (PARTITION BY user_id ORDER BY max(arrival), event_id) AS n
+      FROM t GROUP BY user_id, event_id),
+r AS (SELECT user_id, n, event_id, arrival, service, arrival + service AS departure FROM j WHERE n = 1
+      UNION ALL
+      SELECT j.user_id, j.n, j.event_id, j.arrival, j.service, greatest(j.arrival, r.departure) + j.service
+      FROM r JOIN j ON j.user_id = r.user_id AND j.n = r.n + 1)
+SELECT user_id, event_id, arrival, service, departure,
+       departure - service - arrival AS waiting, departure - arrival AS sojourn FROM r
+""")
