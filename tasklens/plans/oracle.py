@@ -438,3 +438,75 @@ r AS (SELECT user_id, n, event_id, arrival, service, arrival + service AS depart
 SELECT user_id, event_id, arrival, service, departure,
        departure - service - arrival AS waiting, departure - arrival AS sojourn FROM r
 """)
+
+
+# ------------------------------------------------------------------ placement
+
+_PL = """
+WITH li AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey,
+              l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
+              l_shipdate) AS seq FROM lineitem),
+bu AS (SELECT l_returnflag AS app, l_linenumber AS rdd_id, CAST(l_orderkey AS INTEGER) AS part_id,
+              CAST(l_suppkey % 8 AS VARCHAR) AS exec_id, 'host-' || CAST(l_suppkey % 4 AS VARCHAR) AS host,
+              l_linestatus = 'F' AS d, l_discount < 0.05 AS m, l_discount < 0.05 AND l_tax < 0.04 AS z,
+              CASE WHEN l_quantity >= 45 THEN 2 ELSE 1 END AS replicas,
+              CASE WHEN l_discount < 0.05 THEN l_partkey * 10 ELSE 0 END AS memsize,
+              CASE WHEN l_linestatus = 'F' THEN l_partkey * 3 ELSE 0 END AS disksize, seq FROM li),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY app, rdd_id, part_id, exec_id
+                                                     ORDER BY seq DESC) AS k FROM bu) WHERE k = 1),
+loc AS (SELECT app, rdd_id, part_id, exec_id, host, memsize, disksize,
+          (CASE WHEN d THEN 'Disk ' ELSE '' END) || (CASE WHEN m THEN 'Memory ' ELSE '' END)
+            || (CASE WHEN z THEN 'Deserialized ' ELSE 'Serialized ' END) || CAST(replicas AS VARCHAR)
+            || 'x Replicated' AS storage_level,
+          CAST(d AS INTEGER) * 8 + CAST(m AS INTEGER) * 4 + CAST(z AS INTEGER) AS storage_flags, replicas
+        FROM last WHERE d OR m)
+"""
+
+oracle("P1_block_locations", _PL + "SELECT * FROM loc WHERE rdd_id <> 7")
+
+_P2 = _PL + """,
+placed AS (
+  SELECT li.l_returnflag AS app, CAST(li.l_linenumber AS BIGINT) AS stage_id, li.seq AS task_id,
+         CAST(li.l_orderkey AS INTEGER) AS part_id, li.l_linenumber AS rdd_id,
+         CAST(li.l_partkey % 8 AS VARCHAR) AS exec_executor, loc.exec_id AS storage_executor,
+         loc.memsize, loc.disksize
+  FROM li LEFT JOIN loc ON loc.app = li.l_returnflag AND loc.rdd_id = li.l_linenumber
+                       AND loc.part_id = CAST(li.l_orderkey AS INTEGER))
+"""
+oracle("P2_placement", _P2 + "SELECT * FROM placed")
+
+oracle("A3_executor_partitions", _PL + """
+SELECT app, exec_id, rdd_id, count(*) AS n_parts,
+       string_agg(CAST(part_id AS VARCHAR), ',' ORDER BY part_id) AS part_ids
+FROM loc WHERE rdd_id <> 7 GROUP BY app, exec_id, rdd_id
+""")
+
+oracle("A4_report_by_executor", _P2 + """
+SELECT app, exec_executor, count(*) AS n_rows, count(DISTINCT task_id) AS n_tasks,
+       sum(CASE WHEN exec_executor = storage_executor THEN 1 ELSE 0 END) AS n_local,
+       sum(memsize) AS mem_bytes, sum(disksize) AS disk_bytes
+FROM placed GROUP BY app, exec_executor
+""")
+
+oracle("P3_partition_profile", f"""
+SELECT CAST(i - 1 AS INTEGER) AS part, CAST(1 AS BIGINT) AS rows, CAST(40 AS BIGINT) AS bytes,
+       CAST(i AS INTEGER) AS min_key, CAST(i AS INTEGER) AS max_key
+FROM (SELECT unnest(range(1, {_NSUP} + 1)) AS i)
+""")
+
+# payload of every part row: PAYLOAD(42, p_partkey, p_size), as bytes
+_PART_BYTES = f"""
+WITH p AS (SELECT p_partkey, p_brand, p_size, {duck_payload_hex(42, 'p_partkey', 'p_size')} AS h FROM part),
+pb AS (SELECT p_partkey, ('0x' || substr(h, 2 * i + 1, 2))::INTEGER AS u FROM p, unnest(range(p_size)) AS t(i)),
+mx AS (SELECT p.p_partkey, p.p_brand,
+              CAST(coalesce(max(CASE WHEN u >= 128 THEN u - 256 ELSE u END), -128) AS BIGINT) AS result
+       FROM p LEFT JOIN pb ON p.p_partkey = pb.p_partkey GROUP BY p.p_partkey, p.p_brand)
+"""
+oracle("E1_plain", _PART_BYTES + "SELECT p_partkey, result FROM mx")
+oracle("E3_barrier", _PART_BYTES + "SELECT p_partkey, result FROM mx")
+oracle("E4_persisted", _PART_BYTES + "SELECT p_partkey, result FROM mx")
+oracle("E2_staged", _PART_BYTES + """
+SELECT p_brand, count(*) AS n, max(result) AS result_max, sum(result) AS result_sum FROM mx GROUP BY p_brand
+""")
+oracle("A6_slice_count", "SELECT count(*) AS slices FROM part")
+oracle("A7_staged_count", "SELECT CAST(CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS BIGINT) AS staged_count FROM part")

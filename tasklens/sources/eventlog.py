@@ -226,11 +226,11 @@ def block_update_events(lines: DataFrame) -> DataFrame:
     """BlockUpdated lines; the line order inside a log is kept as ``seq``.
 
     Block updates carry no time, so "latest" means the last line of the log.
-    ``seq`` is the byte-ordered position of the line in its file: file
-    blocks are split in order and ``monotonically_increasing_id`` is increasing
-    inside a split.
+    ``seq`` is the position of the line in its file (file splits are read in
+    order and ``monotonically_increasing_id`` increases inside a split);
+    lines that already carry a ``seq`` column keep it.
     """
-    seqd = lines.withColumn("seq", F.monotonically_increasing_id())
+    seqd = lines if "seq" in lines.columns else lines.withColumn("seq", F.monotonically_increasing_id())
     e = lines_of(seqd, "SparkListenerBlockUpdated").select(
         "log", "seq", F.from_json("value", BLOCK_UPDATED).alias("e")).where(
         F.col("e.Event") == "SparkListenerBlockUpdated")

@@ -149,3 +149,77 @@ def orders_lineitem_log(orders: DataFrame, lineitem: DataFrame,
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# ------------------------------------------------------------------ placement
+
+def lineitem_placement_log(lineitem: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """Block-placement lines ``(log, value, event, seq)`` from ``lineitem``.
+
+    Per app (``l_returnflag``) and cached RDD (id = ``l_linenumber``): one
+    stage (id = ``l_linenumber``) whose RDD Info lists the cached RDD and an
+    uncached one (id + 100). Per lineitem row, in full-row order (``seq``):
+    a BlockUpdated line for block ``rdd_<l_linenumber>_<l_orderkey>`` on
+    executor ``l_suppkey % 8``, and a TaskEnd of that partition run on
+    executor ``l_partkey % 8``. RDD 7 of every app is unpersisted.
+
+    Fixed values: disk = (l_linestatus = 'F'), memory = (l_discount < 0.05),
+    deserialized = memory and l_tax < 0.04, replication = 2 if
+    l_quantity >= 45 else 1, memory size = l_partkey * 10 when in memory,
+    disk size = l_partkey * 3 when on disk.
+    """
+    c = F.col
+    li = global_row_number(lineitem.select(*LINEITEM_ORDER), LINEITEM_ORDER, "seq", num_partitions)
+    app = c("l_returnflag").alias("log")
+    use_mem = c("l_discount") < 0.05
+    use_disk = c("l_linestatus") == "F"
+    level = F.struct(use_disk.alias("Use Disk"), use_mem.alias("Use Memory"),
+                     F.lit(False).alias("Use Off Heap"),
+                     (use_mem & (c("l_tax") < 0.04)).alias("Deserialized"),
+                     F.when(c("l_quantity") >= 45, 2).otherwise(1).alias("Replication"))
+    block = F.struct(
+        F.lit("SparkListenerBlockUpdated").alias("Event"),
+        F.struct(
+            F.struct((c("l_suppkey") % 8).cast("string").alias("Executor ID"),
+                     F.concat(F.lit("host-"), (c("l_suppkey") % 4).cast("string")).alias("Host"),
+                     F.lit(7077).alias("Port")).alias("Block Manager ID"),
+            F.concat(F.lit("rdd_"), c("l_linenumber").cast("string"), F.lit("_"),
+                     c("l_orderkey").cast("string")).alias("Block ID"),
+            level.alias("Storage Level"),
+            F.when(use_mem, c("l_partkey") * 10).otherwise(F.lit(0).cast("bigint")).alias("Memory Size"),
+            F.when(use_disk, c("l_partkey") * 3).otherwise(F.lit(0).cast("bigint")).alias("Disk Size"),
+        ).alias("Block Updated Info"))
+    blocks = li.select(app, F.to_json(block).alias("value"),
+                       F.lit("SparkListenerBlockUpdated").alias("event"), "seq")
+    task = F.struct(
+        F.lit("SparkListenerTaskEnd").alias("Event"), c("l_linenumber").cast("bigint").alias("Stage ID"),
+        F.lit(0).alias("Stage Attempt ID"),
+        F.struct(c("seq").alias("Task ID"), F.lit(0).alias("Index"), F.lit(0).alias("Attempt"),
+                 c("l_orderkey").cast("int").alias("Partition ID"),
+                 (c("l_partkey") % 8).cast("string").alias("Executor ID"),
+                 F.concat(F.lit("host-"), (c("l_partkey") % 4).cast("string")).alias("Host"),
+                 F.lit("PROCESS_LOCAL").alias("Locality")).alias("Task Info"))
+    tasks = li.select(app, F.to_json(task).alias("value"), F.lit("SparkListenerTaskEnd").alias("event"), "seq")
+    stages_src = lineitem.select("l_returnflag", "l_linenumber").distinct()
+    cached = F.struct(c("l_linenumber").cast("int").alias("RDD ID"), F.lit("cached").alias("Name"),
+                      F.struct(F.lit(True).alias("Use Disk"), F.lit(True).alias("Use Memory"),
+                               F.lit(False).alias("Use Off Heap"), F.lit(False).alias("Deserialized"),
+                               F.lit(1).alias("Replication")).alias("Storage Level"))
+    plain = F.struct((c("l_linenumber") + 100).cast("int").alias("RDD ID"), F.lit("plain").alias("Name"),
+                     F.struct(F.lit(False).alias("Use Disk"), F.lit(False).alias("Use Memory"),
+                              F.lit(False).alias("Use Off Heap"), F.lit(False).alias("Deserialized"),
+                              F.lit(1).alias("Replication")).alias("Storage Level"))
+    stage = F.struct(F.lit("SparkListenerStageSubmitted").alias("Event"),
+                     F.struct(c("l_linenumber").cast("bigint").alias("Stage ID"),
+                              F.lit(0).alias("Stage Attempt ID"),
+                              F.array(cached, plain).alias("RDD Info"),
+                              F.lit(0).cast("bigint").alias("Submission Time")).alias("Stage Info"))
+    stages = stages_src.select(c("l_returnflag").alias("log"), F.to_json(stage).alias("value"),
+                               F.lit("SparkListenerStageSubmitted").alias("event"),
+                               F.lit(None).cast("bigint").alias("seq"))
+    unpersist = (lineitem.select(c("l_returnflag").alias("log")).distinct()
+                 .select("log", F.to_json(F.struct(F.lit("SparkListenerUnpersistRDD").alias("Event"),
+                                                   F.lit(7).alias("RDD ID"))).alias("value"),
+                         F.lit("SparkListenerUnpersistRDD").alias("event"),
+                         F.lit(None).cast("bigint").alias("seq")))
+    return blocks.unionByName(tasks).unionByName(stages).unionByName(unpersist)
