@@ -510,3 +510,28 @@ SELECT p_brand, count(*) AS n, max(result) AS result_max, sum(result) AS result_
 """)
 oracle("A6_slice_count", "SELECT count(*) AS slices FROM part")
 oracle("A7_staged_count", "SELECT CAST(CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS BIGINT) AS staged_count FROM part")
+
+
+# ------------------------------------------------------------------ streaming
+
+ORACLE["S2_stream_event_counts"] = ORACLE["S1_event_counts"]
+
+_LOCAL = ["serviceTime", "jvmGcTime", "executorDeserializeTime", "executorRunTime",
+          "resultSerializationTime", "shuffleFetchWaitTime", "shuffleWriteTime",
+          "executorDeserializeCpuTime", "executorCpuTime"]
+oracle("M6_stream_task_index_stats", """
+WITH t AS (
+  SELECT l_linenumber AS taskIndex,
+    CAST(CAST(floor(l_quantity * 100) AS BIGINT) + l_partkey % 50 AS DOUBLE) AS serviceTime,
+    l_partkey % 13 AS jvmGcTime,
+    l_linenumber * 10 + l_suppkey % 7 AS executorDeserializeTime,
+    CAST(floor(l_quantity * 100) AS BIGINT) AS executorRunTime,
+    l_suppkey % 3 AS resultSerializationTime,
+    CAST(floor(l_discount * 1000) AS BIGINT) AS shuffleFetchWaitTime,
+    CAST(floor(l_tax * 1000000) AS BIGINT) AS shuffleWriteTime,
+    (l_suppkey % 7) * 1000000 + l_partkey AS executorDeserializeCpuTime,
+    CAST(floor(l_extendedprice * 1000) AS BIGINT) AS executorCpuTime
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT taskIndex, count(serviceTime) AS "count", """ + ",\n  ".join(
+    f"round(avg({m}), 6) AS avg_{m}, round(sqrt(var_samp({m})), 3) AS var_{m}" for m in _LOCAL)
+    + "\nFROM t GROUP BY taskIndex")

@@ -42,4 +42,4 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 
 
 # The query modules register themselves on import.
-from . import q_generators, q_metrics, q_placement, q_queueing, q_records, q_workloads  # noqa: E402,F401
+from . import q_generators, q_metrics, q_placement, q_queueing, q_records, q_streaming, q_workloads  # noqa: E402,F401

@@ -99,7 +99,14 @@ def read_event_log(spark: SparkSession, paths: str | list[str],
     reader = spark.read.format("text").option("recursiveFileLookup", "false")
     if rolled:
         reader = reader.option("pathGlobFilter", "events_*")
-    df = reader.load(paths)
+    return with_log_key(reader.load(paths))
+
+
+def with_log_key(df: DataFrame) -> DataFrame:
+    """``(log, value)``: a ``log=<key>`` folder partition when the logs are
+    laid out that way, else the file (the folder for rolled logs)."""
+    if "log" in df.columns:
+        return df.select(F.col("log").cast("string").alias("log"), "value")
     path = F.col("_metadata.file_path")
     key = F.when(path.contains("/eventlog_v2_"),
                  F.regexp_extract(path, r"^(.*)/[^/]*$", 1)).otherwise(path)
