@@ -236,11 +236,13 @@ FROM ({_PTS})
 
 # ------------------------------------------------------------------ byte workloads
 
-# bytes of every document: position i (0-based), unsigned u, signed s
+# bytes of every document: position i (0-based), unsigned u, signed s; the
+# hex text is cut into byte pairs by one regex pass (substr per byte is
+# quadratic on long texts)
 _DOC_BYTES = """
 WITH d AS (SELECT doc_id, lang, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents),
-b AS (SELECT doc_id, i, ('0x' || substr(h, 2 * i + 1, 2))::INTEGER AS u
-      FROM d, unnest(range(n)) AS t(i)),
+b AS (SELECT doc_id, unnest(range(n)) AS i,
+             ('0x' || unnest(regexp_extract_all(h, '[0-9A-F]{2}')))::INTEGER AS u FROM d),
 sb AS (SELECT doc_id, i, CASE WHEN u >= 128 THEN u - 256 ELSE u END AS s FROM b)
 """
 
@@ -291,7 +293,7 @@ wr AS (SELECT doc_id, k,
          CAST(floor({duck_u(42, 'w6v', 'doc_id', 'k')} * 256) AS INTEGER) - 128 AS val
        FROM d, unnest(range(1, 17)) AS t(k) WHERE n > 0),
 lastw AS (SELECT doc_id, pos, arg_max(val, k) AS val FROM wr GROUP BY doc_id, pos),
-b AS (SELECT d.doc_id, i, substr(h, 2 * i + 1, 2) AS hx FROM d, unnest(range(n)) AS t(i)),
+b AS (SELECT doc_id, unnest(range(n)) AS i, unnest(regexp_extract_all(h, '[0-9A-F]{{2}}')) AS hx FROM d),
 nb AS (SELECT b.doc_id, b.i,
          CASE WHEN lastw.val IS NULL THEN b.hx
               ELSE upper(lpad(to_hex(CAST((lastw.val + 256) % 256 AS INTEGER)), 2, '0')) END AS hx
@@ -497,7 +499,7 @@ FROM (SELECT unnest(range(1, {_NSUP} + 1)) AS i)
 # payload of every part row: PAYLOAD(42, p_partkey, p_size), as bytes
 _PART_BYTES = f"""
 WITH p AS (SELECT p_partkey, p_brand, p_size, {duck_payload_hex(42, 'p_partkey', 'p_size')} AS h FROM part),
-pb AS (SELECT p_partkey, ('0x' || substr(h, 2 * i + 1, 2))::INTEGER AS u FROM p, unnest(range(p_size)) AS t(i)),
+pb AS (SELECT p_partkey, ('0x' || unnest(regexp_extract_all(h, '[0-9A-F]{{2}}')))::INTEGER AS u FROM p),
 mx AS (SELECT p.p_partkey, p.p_brand,
               CAST(coalesce(max(CASE WHEN u >= 128 THEN u - 256 ELSE u END), -128) AS BIGINT) AS result
        FROM p LEFT JOIN pb ON p.p_partkey = pb.p_partkey GROUP BY p.p_partkey, p.p_brand)
