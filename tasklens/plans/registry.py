@@ -40,6 +40,3 @@ def rounded(df: DataFrame, digits: int = 6, prefix: str = "") -> DataFrame:
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [table(spark, sf_dir, n) for n in names]
 
-
-# The query modules register themselves on import.
-from . import q_generators, q_metrics, q_placement, q_queueing, q_records, q_streaming, q_workloads  # noqa: E402,F401

@@ -113,7 +113,7 @@ def with_log_key(df: DataFrame) -> DataFrame:
     return df.select(key.alias("log"), "value")
 
 
-EVENT_NAME = r'^\{"Event":"([A-Za-z0-9_.$]+)"'
+EVENT_NAME = r'^\s*\{\s*"Event"\s*:\s*"([^"]+)"'
 
 
 def with_event(lines: DataFrame) -> DataFrame:
@@ -139,11 +139,12 @@ def lines_of(df: DataFrame, event: str) -> DataFrame:
 
     With an ``event`` column (materialized logs, or derived lines whose
     event is a literal per union branch) the filter is exact and prunes
-    partitions / union branches; otherwise a substring test on the line.
+    partitions / union branches; otherwise a substring test for the event
+    name (any JSON spacing), confirmed on the parsed ``Event`` field.
     """
     if "event" in df.columns:
         return df.where(F.col("event") == event)
-    return df.where(F.col("value").contains(f'"Event":"{event}"'))
+    return df.where(F.col("value").contains(event))
 
 
 def _parse(lines: DataFrame, event: str, schema: T.StructType) -> DataFrame:
