@@ -46,8 +46,14 @@ def _segment_sign_sum(seg: np.ndarray, before: np.ndarray) -> int:
     return total
 
 
+_SMALL = 48
+
+
 def pair_sign_sum(a: np.ndarray) -> int:
     """Σ_{i<j} sign(a[i] - a[j]) for signed bytes; O(n · (32 + 256/32))."""
+    if len(a) <= _SMALL:   # direct: all pairs of a short array
+        x = a.astype(np.int16)
+        return int(np.triu(np.sign(x[:, None] - x[None, :]), 1).sum())
     v = a.astype(np.int64) + 128
     total = 0
     before = np.zeros(256, dtype=np.int64)

@@ -36,18 +36,23 @@ _SUMMARY = T.StructType([
 
 
 @F.pandas_udf(_SUMMARY)
-def _block_summary_udf(items: pd.Series) -> pd.DataFrame:
+def _block_summary_udf(values: pd.Series, want_hist: pd.Series) -> pd.DataFrame:
+    """One block per row: its values already in position order."""
     inner, hists, ds = [], [], []
-    for it in items:
-        pos = np.fromiter((r["pos"] for r in it), dtype=np.int64, count=len(it))
-        val = np.fromiter((r["v"] for r in it), dtype=np.int64, count=len(it))
+    for vals, wh in zip(values, want_hist):
+        val = np.asarray(vals, dtype=np.int64)
         if len(val) and (val.min() < -128 or val.max() > 127):
             raise ValueError("pair_sign_sum_rows expects signed byte values")
-        a = val[np.argsort(pos, kind="stable")].astype(np.int8)
-        s, h, d = bytes_np.block_summary(a)
+        a = val.astype(np.int8)
+        if wh:
+            s, h, d = bytes_np.block_summary(a)
+            hists.append(h)
+            ds.append(d)
+        else:
+            s = bytes_np.pair_sign_sum(a)
+            hists.append(None)
+            ds.append(None)
         inner.append(s)
-        hists.append(h.tolist())
-        ds.append(d.tolist())
     return pd.DataFrame({"inner": inner, "hist": hists, "d": ds})
 
 
@@ -62,12 +67,15 @@ def pair_sign_sum_rows(df: DataFrame, group: list[str], value: str | Column,
     ranked = rank_within(base, group, order, out="_tl_pos", method=method)
     blocks = (ranked.withColumn("_tl_blk", F.floor((F.col("_tl_pos") - 1) / F.lit(block_size)))
               .groupBy(*group, "_tl_blk")
-              .agg(F.collect_list(F.struct(F.col("_tl_pos").alias("pos"),
-                                           F.col("_tl_v").alias("v"))).alias("items")))
-    summ = blocks.select(*group, "_tl_blk", _block_summary_udf("items").alias("s"))
+              .agg(F.array_sort(F.collect_list(F.struct(F.col("_tl_pos").alias("pos"),
+                                                        F.col("_tl_v").alias("v")))).alias("items")))
+    # histograms are only needed for groups with more than one block
+    multi_flag = F.max("_tl_blk").over(Window.partitionBy(*group)) > 0
+    blocks = blocks.withColumn("_tl_multi", multi_flag)
+    summ = blocks.select(*group, "_tl_blk", "_tl_multi", _block_summary_udf(
+        F.transform("items", lambda x: x["v"]), F.col("_tl_multi")).alias("s"))
     inner = summ.groupBy(*group).agg(F.sum("s.inner").alias("_tl_inner"))
-    multi = (summ.withColumn("_tl_nb", F.max("_tl_blk").over(Window.partitionBy(*group)))
-             .where(F.col("_tl_nb") > 0))
+    multi = summ.where(F.col("_tl_multi"))
     cells = multi.select(*group, "_tl_blk",
                          F.posexplode(F.arrays_zip(F.col("s.hist").alias("h"),
                                                    F.col("s.d").alias("d"))).alias("u", "hd"))

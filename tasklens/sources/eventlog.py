@@ -150,6 +150,10 @@ def lines_of(df: DataFrame, event: str) -> DataFrame:
 def _parse(lines: DataFrame, event: str, schema: T.StructType) -> DataFrame:
     parsed = lines_of(lines, event).select(
         "log", F.from_json("value", schema).alias("e"))
+    if "event" in lines.columns:
+        # the event column is exact; a second test on the parsed field would
+        # only cost a JSON parse (and Catalyst may push it below aggregates)
+        return parsed.where(F.col("e").isNotNull())
     return parsed.where(F.col("e.Event") == event)
 
 
@@ -240,8 +244,9 @@ def block_update_events(lines: DataFrame) -> DataFrame:
     """
     seqd = lines if "seq" in lines.columns else lines.withColumn("seq", F.monotonically_increasing_id())
     e = lines_of(seqd, "SparkListenerBlockUpdated").select(
-        "log", "seq", F.from_json("value", BLOCK_UPDATED).alias("e")).where(
-        F.col("e.Event") == "SparkListenerBlockUpdated")
+        "log", "seq", F.from_json("value", BLOCK_UPDATED).alias("e"))
+    e = e.where(F.col("e").isNotNull() if "event" in lines.columns
+                else F.col("e.Event") == "SparkListenerBlockUpdated")
     bu = "e.`Block Updated Info`"
     sl = f"{bu}.`Storage Level`"
     return e.select(

@@ -200,7 +200,7 @@ def lineitem_placement_log(lineitem: DataFrame, num_partitions: int | None = Non
                  F.concat(F.lit("host-"), (c("l_partkey") % 4).cast("string")).alias("Host"),
                  F.lit("PROCESS_LOCAL").alias("Locality")).alias("Task Info"))
     tasks = li.select(app, F.to_json(task).alias("value"), F.lit("SparkListenerTaskEnd").alias("event"), "seq")
-    stages_src = lineitem.select("l_returnflag", "l_linenumber").distinct()
+    stages_src = lineitem.groupBy("l_returnflag", "l_linenumber").agg(F.count(F.lit(1)).alias("n_tasks"))
     cached = F.struct(c("l_linenumber").cast("int").alias("RDD ID"), F.lit("cached").alias("Name"),
                       F.struct(F.lit(True).alias("Use Disk"), F.lit(True).alias("Use Memory"),
                                F.lit(False).alias("Use Off Heap"), F.lit(False).alias("Deserialized"),
@@ -212,6 +212,7 @@ def lineitem_placement_log(lineitem: DataFrame, num_partitions: int | None = Non
     stage = F.struct(F.lit("SparkListenerStageSubmitted").alias("Event"),
                      F.struct(c("l_linenumber").cast("bigint").alias("Stage ID"),
                               F.lit(0).alias("Stage Attempt ID"),
+                              c("n_tasks").cast("int").alias("Number of Tasks"),
                               F.array(cached, plain).alias("RDD Info"),
                               F.lit(0).cast("bigint").alias("Submission Time")).alias("Stage Info"))
     stages = stages_src.select(c("l_returnflag").alias("log"), F.to_json(stage).alias("value"),
