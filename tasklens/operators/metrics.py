@@ -73,12 +73,7 @@ def stages(lines: DataFrame) -> DataFrame:
     stage ids that a JobStart lists but that were never submitted (skipped
     stages, NULL attempt and times).
     """
-    sub = ev.stage_events(lines)
-    last = (sub.groupBy("log", "stage_id")
-            .agg(F.max_by(F.struct("attempt", "submission_ms"), "attempt").alias("s"))
-            .select(F.col("log").alias("app"), "stage_id",
-                    F.col("s.attempt").alias("attempt"),
-                    F.col("s.submission_ms").alias("submission_ms")))
+    last = _last_submissions(lines)
     done = (ev.stage_events(lines, completed=True)
             .groupBy("log", "stage_id", "attempt")
             .agg(F.max("completion_ms").alias("completion_ms"))
@@ -106,16 +101,28 @@ def nth_stage(lines: DataFrame, stage_index: int = 1) -> DataFrame:
             .where(F.col("_k") == stage_index).drop("_k"))
 
 
+def _last_submissions(lines: DataFrame) -> DataFrame:
+    """``(app, stage_id, attempt, submission_ms)`` of the last submitted
+    attempt; scalar ``max``/``max_by`` keep it a hash aggregate."""
+    return (ev.stage_events(lines).groupBy("log", "stage_id")
+            .agg(F.max("attempt").alias("attempt"),
+                 F.max_by("submission_ms", "attempt").alias("submission_ms"))
+            .withColumnRenamed("log", "app"))
+
+
 def _stage_facts(lines: DataFrame) -> DataFrame:
     """Per submitted stage: last attempt, submission and the job end.
 
-    A stage shared by several jobs takes the latest end of them.
+    A stage shared by several jobs takes the latest end of them; a stage
+    of jobs that have not ended has a NULL end.
     """
-    ends = (job_stages(lines).join(jobs(lines).select("app", "job_id", "end_ms"),
-                                   ["app", "job_id"])
+    listed = ev.job_start_events(lines).select(
+        F.col("log").alias("app"), "job_id", F.explode("stage_ids").alias("stage_id"))
+    ended = (ev.job_end_events(lines).groupBy("log", "job_id")
+             .agg(F.max("end_ms").alias("end_ms")).withColumnRenamed("log", "app"))
+    ends = (listed.join(ended, ["app", "job_id"])
             .groupBy("app", "stage_id").agg(F.max("end_ms").alias("end_ms")))
-    st = stages(lines).where(F.col("attempt").isNotNull())
-    return st.join(ends, ["app", "stage_id"], "left")
+    return _last_submissions(lines).join(ends, ["app", "stage_id"], "left")
 
 
 def _tasks_with_stage(lines: DataFrame, attempts: str, keep_incomplete: bool,
