@@ -125,9 +125,31 @@ def _stage_facts(lines: DataFrame) -> DataFrame:
     return _last_submissions(lines).join(ends, ["app", "stage_id"], "left")
 
 
+#: Raw TaskEnd fields each task-table column needs.
+_NEEDS = {
+    "taskId": ["task_id"], "stageId": [], "taskIndex": ["task_index"],
+    "executorId": ["executor_id"], "host": ["host"], "local": ["locality"],
+    "sojournTime": [], "waitingTime": ["launch_ms"], "serviceTime": ["launch_ms", "finish_ms"],
+    "shuffleTotalBlocksFetched": ["shuffleRemoteBlocksFetched", "shuffleLocalBlocksFetched"],
+    "shuffleTotalBytesRead": ["shuffleRemoteBytesRead", "shuffleLocalBytesRead"],
+    "deserializationTime": ["executorDeserializeTime"], "runtime": ["executorCpuTime"],
+}
+
+
+def _raw_fields(columns: list[str], successful_only: bool) -> list[str]:
+    raw = ["stage_id", "stage_attempt"] + (["failed", "killed"] if successful_only else [])
+    for c in columns:
+        for f in _NEEDS.get(c, [c]):
+            if f not in raw:
+                raw.append(f)
+    return raw
+
+
 def _tasks_with_stage(lines: DataFrame, attempts: str, keep_incomplete: bool,
-                      successful_only: bool, stage_index: int | None) -> DataFrame:
-    tasks = ev.task_end_events(lines).withColumnRenamed("log", "app")
+                      successful_only: bool, stage_index: int | None,
+                      columns: list[str]) -> DataFrame:
+    tasks = (ev.task_end_events(lines, _raw_fields(columns, successful_only))
+             .withColumnRenamed("log", "app"))
     if successful_only:
         tasks = tasks.where(~F.coalesce(F.col("failed"), F.lit(False))
                             & ~F.coalesce(F.col("killed"), F.lit(False)))
@@ -162,7 +184,9 @@ def flat_tasks(lines: DataFrame, attempts: str = "last", keep_incomplete: bool =
     ``schedulerOverhead`` and ``readTime`` are the constant 0.0 and
     ``runtime`` is the executor CPU time (ns), as in the original table.
     """
-    t = _tasks_with_stage(lines, attempts, keep_incomplete, successful_only, None)
+    cols = ["taskId", "host", "local", "sojournTime", "waitingTime", "serviceTime",
+            "deserializationTime", "runtime"]
+    t = _tasks_with_stage(lines, attempts, keep_incomplete, successful_only, None, cols)
     tm = _times(t)
     return t.select(
         "app", F.col("task_id").alias("taskId"), F.col("stage_id").alias("stageId"),
@@ -177,10 +201,13 @@ def flat_tasks(lines: DataFrame, attempts: str = "last", keep_incomplete: bool =
 
 def flat_tasks_full(lines: DataFrame, stage_index: int | None = 1,
                     attempts: str = "last", keep_incomplete: bool = False,
-                    successful_only: bool = False) -> DataFrame:
+                    successful_only: bool = False, columns: list[str] | None = None) -> DataFrame:
     """The 35-column task table of the ``stage_index``-th stage of
-    every log (``None``: all stages), pooled over all logs read."""
-    t = _tasks_with_stage(lines, attempts, keep_incomplete, successful_only, stage_index)
+    every log (``None``: all stages), pooled over all logs read.
+
+    ``columns`` selects a subset (only their fields are parsed)."""
+    columns = list(columns) if columns else list(FULL_TASK_COLUMNS)
+    t = _tasks_with_stage(lines, attempts, keep_incomplete, successful_only, stage_index, columns)
     tm = _times(t)
     c = F.col
     derived = {
@@ -191,7 +218,7 @@ def flat_tasks_full(lines: DataFrame, stage_index: int | None = 1,
         "shuffleTotalBytesRead": c("shuffleRemoteBytesRead") + c("shuffleLocalBytesRead"),
         **tm,
     }
-    cols = [derived[n].alias(n) if n in derived else c(n) for n in FULL_TASK_COLUMNS]
+    cols = [derived[n].alias(n) if n in derived else c(n) for n in columns]
     return t.select("app", *cols)
 
 
@@ -219,4 +246,5 @@ def index_stats(df: DataFrame, by: str | list[str] = "taskIndex",
 
 def task_index_stats(lines: DataFrame, stage_index: int | None = None) -> DataFrame:
     """A5 over M5: the flagship per-task-index summary (24 columns)."""
-    return index_stats(flat_tasks_full(lines, stage_index=stage_index))
+    cols = ["taskIndex", *INDEX_STAT_METRICS]
+    return index_stats(flat_tasks_full(lines, stage_index=stage_index, columns=cols))

@@ -73,7 +73,7 @@ def placement(lines: DataFrame, live_only: bool = False) -> DataFrame:
     is stored: ``(app, stage_id, task_id, part_id, exec_executor,
     storage_executor, memsize, disksize)``; one row per storage location,
     NULL storage when the partition is not cached (left joins)."""
-    tasks = ev.task_end_events(lines).select(
+    tasks = ev.task_end_events(lines, ["stage_id", "task_id", "partition_id", "executor_id"]).select(
         F.col("log").alias("app"), "stage_id", "task_id",
         F.col("partition_id").alias("part_id"), F.col("executor_id").alias("exec_executor"))
     linked = tasks.join(stage_cached_rdds(lines), ["app", "stage_id"], "left")

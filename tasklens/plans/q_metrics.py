@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..sources.tablelog import orders_lineitem_log
+from ..session import spread
 from .registry import register, rounded, tables
 
 
 def table_log(spark, sf_dir):
     orders, lineitem = tables(spark, sf_dir, "orders", "lineitem")
-    return orders_lineitem_log(orders, lineitem)
+    return orders_lineitem_log(spread(orders), lineitem)
 
 
 @register("A5_task_index_stats")

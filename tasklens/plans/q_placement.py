@@ -11,6 +11,7 @@ from ..operators import modes as E
 from ..operators import placement as P
 from ..operators import workloads as W
 from ..sources import generators as G
+from ..session import spread
 from ..sources.tablelog import lineitem_placement_log
 from .registry import register, tables
 
@@ -61,7 +62,7 @@ def p3h(spark, sf_dir):
 
 def part_payloads(spark, sf_dir):
     (part,) = tables(spark, sf_dir, "part")
-    return part.select("p_partkey", "p_brand",
+    return spread(part).select("p_partkey", "p_brand",
                        rng.payload(SEED, F.col("p_partkey"), F.col("p_size")).alias("payload"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import workloads as W
+from ..session import spread
 from .registry import register, tables
 
 SEED = 42
@@ -16,7 +17,7 @@ N_WRITES = 16
 
 def docs(spark, sf_dir):
     (documents,) = tables(spark, sf_dir, "documents")
-    return documents.select("doc_id", "lang", F.encode("text", "UTF-8").alias("payload"))
+    return spread(documents).select("doc_id", "lang", F.encode("text", "UTF-8").alias("payload"))
 
 
 @register("W1_byte_max")

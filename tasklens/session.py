@@ -58,3 +58,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one driver table (``{sf_dir}/{name}.parquet``)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition when a scan yields fewer partitions than the
+    session's default parallelism (e.g. one file with one big row group), so
+    that heavy per-row work before the first shuffle uses every core.
+
+    A no-op on large inputs, whose scans have at least that many splits.
+    Spark sorts rows before a round-robin repartition, so a retried task
+    gets the same rows.
+    """
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        return df.repartition(n)
+    return df

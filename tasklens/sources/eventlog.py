@@ -45,34 +45,6 @@ JOB_END = _struct(("Event", S), ("Job ID", L), ("Completion Time", L))
 
 STAGE_EVENT = _struct(("Event", S), ("Stage Info", STAGE_INFO))
 
-TASK_INFO = _struct(("Task ID", L), ("Index", I), ("Attempt", I), ("Partition ID", I),
-                    ("Launch Time", L), ("Executor ID", S), ("Host", S),
-                    ("Locality", S), ("Speculative", B), ("Finish Time", L),
-                    ("Failed", B), ("Killed", B))
-
-SHUFFLE_READ = _struct(("Remote Blocks Fetched", L), ("Local Blocks Fetched", L),
-                       ("Fetch Wait Time", L), ("Remote Bytes Read", L),
-                       ("Remote Bytes Read To Disk", L), ("Local Bytes Read", L),
-                       ("Total Records Read", L))
-
-SHUFFLE_WRITE = _struct(("Shuffle Bytes Written", L), ("Shuffle Write Time", L),
-                        ("Shuffle Records Written", L))
-
-TASK_METRICS = _struct(
-    ("Executor Deserialize Time", L), ("Executor Deserialize CPU Time", L),
-    ("Executor Run Time", L), ("Executor CPU Time", L), ("Peak Execution Memory", L),
-    ("Result Size", L), ("JVM GC Time", L), ("Result Serialization Time", L),
-    ("Memory Bytes Spilled", L), ("Disk Bytes Spilled", L),
-    ("Shuffle Read Metrics", SHUFFLE_READ), ("Shuffle Write Metrics", SHUFFLE_WRITE),
-    ("Input Metrics", _struct(("Bytes Read", L), ("Records Read", L))),
-    ("Output Metrics", _struct(("Bytes Written", L), ("Records Written", L))),
-)
-
-TASK_END = _struct(("Event", S), ("Stage ID", L), ("Stage Attempt ID", I),
-                   ("Task Type", S),
-                   ("Task End Reason", _struct(("Reason", S))),
-                   ("Task Info", TASK_INFO), ("Task Metrics", TASK_METRICS))
-
 BLOCK_UPDATED = _struct(("Event", S), ("Block Updated Info", _struct(
     ("Block Manager ID", _struct(("Executor ID", S), ("Host", S), ("Port", I))),
     ("Block ID", S), ("Storage Level", STORAGE_LEVEL),
@@ -184,54 +156,75 @@ def stage_events(lines: DataFrame, completed: bool = False) -> DataFrame:
                     F.col(f"{si}.`RDD Info`").alias("rdd_info"))
 
 
-def task_end_events(lines: DataFrame) -> DataFrame:
-    """One row per TaskEnd line with every field the metric tables use."""
-    e = _parse(lines, "SparkListenerTaskEnd", TASK_END)
-    ti, tm = "e.`Task Info`", "e.`Task Metrics`"
-    sr, sw = f"{tm}.`Shuffle Read Metrics`", f"{tm}.`Shuffle Write Metrics`"
-    c = F.col
-    return e.select(
-        "log",
-        c(f"{ti}.`Task ID`").alias("task_id"),
-        c("e.`Stage ID`").alias("stage_id"),
-        c("e.`Stage Attempt ID`").alias("stage_attempt"),
-        c(f"{ti}.`Index`").alias("task_index"),
-        c(f"{ti}.`Partition ID`").alias("partition_id"),
-        c(f"{ti}.`Attempt`").alias("task_attempt"),
-        c(f"{ti}.`Executor ID`").alias("executor_id"),
-        c(f"{ti}.`Host`").alias("host"),
-        c(f"{ti}.`Locality`").alias("locality"),
-        c(f"{ti}.`Launch Time`").alias("launch_ms"),
-        c(f"{ti}.`Finish Time`").alias("finish_ms"),
-        c(f"{ti}.`Failed`").alias("failed"),
-        c(f"{ti}.`Killed`").alias("killed"),
-        c(f"{ti}.`Speculative`").alias("speculative"),
-        c("e.`Task End Reason`.`Reason`").alias("end_reason"),
-        c(f"{tm}.`Executor Deserialize Time`").alias("executorDeserializeTime"),
-        c(f"{tm}.`Executor Deserialize CPU Time`").alias("executorDeserializeCpuTime"),
-        c(f"{tm}.`Executor Run Time`").alias("executorRunTime"),
-        c(f"{tm}.`Executor CPU Time`").alias("executorCpuTime"),
-        c(f"{tm}.`Result Size`").alias("resultSize"),
-        c(f"{tm}.`JVM GC Time`").alias("jvmGcTime"),
-        c(f"{tm}.`Result Serialization Time`").alias("resultSerializationTime"),
-        c(f"{tm}.`Memory Bytes Spilled`").alias("memoryBytesSpilled"),
-        c(f"{tm}.`Disk Bytes Spilled`").alias("diskBytesSpilled"),
-        c(f"{tm}.`Peak Execution Memory`").alias("peakExecutionMemory"),
-        c(f"{tm}.`Input Metrics`.`Bytes Read`").alias("bytesRead"),
-        c(f"{tm}.`Input Metrics`.`Records Read`").alias("recordsRead"),
-        c(f"{tm}.`Output Metrics`.`Bytes Written`").alias("bytesWritten"),
-        c(f"{tm}.`Output Metrics`.`Records Written`").alias("recordsWritten"),
-        c(f"{sr}.`Remote Blocks Fetched`").alias("shuffleRemoteBlocksFetched"),
-        c(f"{sr}.`Local Blocks Fetched`").alias("shuffleLocalBlocksFetched"),
-        c(f"{sr}.`Fetch Wait Time`").alias("shuffleFetchWaitTime"),
-        c(f"{sr}.`Remote Bytes Read`").alias("shuffleRemoteBytesRead"),
-        c(f"{sr}.`Local Bytes Read`").alias("shuffleLocalBytesRead"),
-        c(f"{sr}.`Remote Bytes Read To Disk`").alias("shuffleRemoteBytesReadToDisk"),
-        c(f"{sr}.`Total Records Read`").alias("shuffleRecordsRead"),
-        c(f"{sw}.`Shuffle Bytes Written`").alias("shuffleBytesWritten"),
-        c(f"{sw}.`Shuffle Write Time`").alias("shuffleWriteTime"),
-        c(f"{sw}.`Shuffle Records Written`").alias("shuffleRecordsWritten"),
-    )
+#: TaskEnd columns: output name -> (JSON path, type).
+TASK_FIELDS: dict[str, tuple[tuple[str, ...], T.DataType]] = {
+    "task_id": (("Task Info", "Task ID"), L),
+    "stage_id": (("Stage ID",), L),
+    "stage_attempt": (("Stage Attempt ID",), I),
+    "task_index": (("Task Info", "Index"), I),
+    "partition_id": (("Task Info", "Partition ID"), I),
+    "task_attempt": (("Task Info", "Attempt"), I),
+    "executor_id": (("Task Info", "Executor ID"), S),
+    "host": (("Task Info", "Host"), S),
+    "locality": (("Task Info", "Locality"), S),
+    "launch_ms": (("Task Info", "Launch Time"), L),
+    "finish_ms": (("Task Info", "Finish Time"), L),
+    "failed": (("Task Info", "Failed"), B),
+    "killed": (("Task Info", "Killed"), B),
+    "speculative": (("Task Info", "Speculative"), B),
+    "end_reason": (("Task End Reason", "Reason"), S),
+}
+_TM = "Task Metrics"
+for _name, _key in [
+        ("executorDeserializeTime", "Executor Deserialize Time"),
+        ("executorDeserializeCpuTime", "Executor Deserialize CPU Time"),
+        ("executorRunTime", "Executor Run Time"), ("executorCpuTime", "Executor CPU Time"),
+        ("resultSize", "Result Size"), ("jvmGcTime", "JVM GC Time"),
+        ("resultSerializationTime", "Result Serialization Time"),
+        ("memoryBytesSpilled", "Memory Bytes Spilled"), ("diskBytesSpilled", "Disk Bytes Spilled"),
+        ("peakExecutionMemory", "Peak Execution Memory")]:
+    TASK_FIELDS[_name] = ((_TM, _key), L)
+for _name, _sub, _key in [
+        ("bytesRead", "Input Metrics", "Bytes Read"), ("recordsRead", "Input Metrics", "Records Read"),
+        ("bytesWritten", "Output Metrics", "Bytes Written"),
+        ("recordsWritten", "Output Metrics", "Records Written"),
+        ("shuffleRemoteBlocksFetched", "Shuffle Read Metrics", "Remote Blocks Fetched"),
+        ("shuffleLocalBlocksFetched", "Shuffle Read Metrics", "Local Blocks Fetched"),
+        ("shuffleFetchWaitTime", "Shuffle Read Metrics", "Fetch Wait Time"),
+        ("shuffleRemoteBytesRead", "Shuffle Read Metrics", "Remote Bytes Read"),
+        ("shuffleLocalBytesRead", "Shuffle Read Metrics", "Local Bytes Read"),
+        ("shuffleRemoteBytesReadToDisk", "Shuffle Read Metrics", "Remote Bytes Read To Disk"),
+        ("shuffleRecordsRead", "Shuffle Read Metrics", "Total Records Read"),
+        ("shuffleBytesWritten", "Shuffle Write Metrics", "Shuffle Bytes Written"),
+        ("shuffleWriteTime", "Shuffle Write Metrics", "Shuffle Write Time"),
+        ("shuffleRecordsWritten", "Shuffle Write Metrics", "Shuffle Records Written")]:
+    TASK_FIELDS[_name] = ((_TM, _sub, _key), L)
+
+
+def schema_for(paths: list[tuple[tuple[str, ...], T.DataType]]) -> T.StructType:
+    """The smallest nested schema holding the given JSON paths."""
+    tree: dict = {}
+    for path, dtype in paths:
+        node = tree
+        for part in path[:-1]:
+            node = node.setdefault(part, {})
+        node[path[-1]] = dtype
+
+    def build(node) -> T.StructType:
+        return T.StructType([T.StructField(k, build(v) if isinstance(v, dict) else v, True)
+                             for k, v in node.items()])
+    return build(tree)
+
+
+def task_end_events(lines: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row per TaskEnd line: ``log`` and the requested ``columns`` of
+    ``TASK_FIELDS`` (default: all). Only those fields are parsed: on large
+    logs the JSON parse is the main cost, and a narrow schema cuts it."""
+    cols = list(columns) if columns else list(TASK_FIELDS)
+    schema = schema_for([(("Event",), S)] + [TASK_FIELDS[c] for c in cols])
+    e = _parse(lines, "SparkListenerTaskEnd", schema)
+    return e.select("log", *[
+        F.col("e." + ".".join(f"`{p}`" for p in TASK_FIELDS[c][0])).alias(c) for c in cols])
 
 
 def block_update_events(lines: DataFrame) -> DataFrame:
