@@ -119,13 +119,21 @@ def lines_of(df: DataFrame, event: str) -> DataFrame:
     return df.where(F.col("value").contains(event))
 
 
+def parsed_once(df: DataFrame, keep: list[str], schema: T.StructType) -> DataFrame:
+    """``keep`` columns plus ``e = from_json(value, schema)``, parsed once.
+
+    The parse runs inside a generator (``inline`` of a one-element array):
+    its output is an attribute, so a later filter on ``e`` is not pushed
+    back below it as a second ``from_json`` (a filter and a projection do
+    not share subexpressions)."""
+    one = F.array(F.struct(F.from_json("value", schema).alias("e")))
+    return df.select(*keep, F.inline(one))
+
+
 def _parse(lines: DataFrame, event: str, schema: T.StructType) -> DataFrame:
-    parsed = lines_of(lines, event).select(
-        "log", F.from_json("value", schema).alias("e"))
+    parsed = parsed_once(lines_of(lines, event), ["log"], schema)
     if "event" in lines.columns:
-        # the event column is exact; a second test on the parsed field would
-        # only cost a JSON parse (and Catalyst may push it below aggregates)
-        return parsed.where(F.col("e").isNotNull())
+        return parsed.where(F.col("e").isNotNull())   # the event column is exact
     return parsed.where(F.col("e.Event") == event)
 
 
@@ -236,8 +244,7 @@ def block_update_events(lines: DataFrame) -> DataFrame:
     lines that already carry a ``seq`` column keep it.
     """
     seqd = lines if "seq" in lines.columns else lines.withColumn("seq", F.monotonically_increasing_id())
-    e = lines_of(seqd, "SparkListenerBlockUpdated").select(
-        "log", "seq", F.from_json("value", BLOCK_UPDATED).alias("e"))
+    e = parsed_once(lines_of(seqd, "SparkListenerBlockUpdated"), ["log", "seq"], BLOCK_UPDATED)
     e = e.where(F.col("e").isNotNull() if "event" in lines.columns
                 else F.col("e.Event") == "SparkListenerBlockUpdated")
     bu = "e.`Block Updated Info`"
