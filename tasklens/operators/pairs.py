@@ -58,7 +58,7 @@ def _block_summary_udf(values: pd.Series, want_hist: pd.Series) -> pd.DataFrame:
 
 def pair_sign_sum_rows(df: DataFrame, group: list[str], value: str | Column,
                        order: list[str | Column], block_size: int = 4096,
-                       method: str = "range") -> DataFrame:
+                       method: str = "auto") -> DataFrame:
     """``(group..., pair_sign_sum BIGINT)`` for every group of ``df``."""
     v = F.col(value) if isinstance(value, str) else value
     base = df.select(*group, *[c for c in order if isinstance(c, str) and c not in group],

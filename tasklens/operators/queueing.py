@@ -7,17 +7,19 @@ with SS_n = s_1 + ... + s_n,
 
 so it is two running window aggregates, no loop. ``method="window"``
 computes them with one window per queue. A queue is one window partition,
-i.e. one task; ``method="blocked"`` (default) splits every queue into
-blocks of ``block_size`` consecutive jobs (positions from the range-based
-``rank_within``), runs the scan inside each block, scans the small table of
-block summaries, and combines:
+i.e. one task; ``method="blocked"`` splits every queue into blocks of
+``block_size`` consecutive jobs (positions from ``rank_within``, range
+partitioned for large queues), runs the scan inside each block, scans the
+small table of block summaries, and combines:
 
     d_n = ls_n + S0 + greatest(lm_n - S0, M0)
 
 (ls, lm: running sum of service and running max inside the block;
 S0: service of all earlier blocks; M0: max over earlier blocks of their
 M - S0). A queue holding a third of all rows is then spread over
-n / block_size window partitions.
+n / block_size window partitions. ``method="auto"`` (default) checks the
+largest queue first and takes the one-window form when it has at most
+``plans.ranking.WINDOW_MAX_ROWS`` jobs, else the blocked form.
 
 Times are integers (e.g. microseconds); arrivals are never summed (epoch
 microseconds would overflow), only services and inter-arrival gaps.
@@ -28,23 +30,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans import ranking
 from ..plans.ranking import rank_within
 
 _UNB = Window.unboundedPreceding
 
 
+def _resolve(df: DataFrame, queue: list[str], method: str) -> str:
+    if method == "auto":
+        small = ranking.largest_group(df, queue) <= ranking.WINDOW_MAX_ROWS
+        return "window" if small else "blocked"
+    if method not in ("window", "blocked"):
+        raise ValueError("method must be 'auto', 'window' or 'blocked'")
+    return method
+
+
 def _positions(df: DataFrame, queue: list[str], order: list[str | Column], block_size: int,
                method: str) -> DataFrame:
-    ranked = rank_within(df, queue, order, out="_tl_pos",
-                         method="window" if method == "window" else "range")
+    ranked = rank_within(df, queue, order, out="_tl_pos", method="auto")
     return ranked.withColumn("_tl_blk", F.floor((F.col("_tl_pos") - 1) / F.lit(int(block_size))))
 
 
 def arrival_schedule(df: DataFrame, queue: list[str], order: list[str | Column],
-                     interarrival: str, out: str = "arrival", method: str = "blocked",
+                     interarrival: str, out: str = "arrival", method: str = "auto",
                      block_size: int = 4096) -> DataFrame:
     """Q1: arrival_1 = 0, arrival_{n+1} = arrival_n + interarrival_n."""
     ia = F.col(interarrival)
+    method = _resolve(df, queue, method)
     if method == "window":
         w = Window.partitionBy(*queue).orderBy(*order).rowsBetween(_UNB, -1)
         return df.withColumn(out, F.coalesce(F.sum(ia).over(w), F.lit(0)))
@@ -61,13 +73,14 @@ def arrival_schedule(df: DataFrame, queue: list[str], order: list[str | Column],
 
 def fifo_departures(df: DataFrame, queue: list[str], order: list[str | Column],
                     arrival: str = "arrival", service: str = "service",
-                    method: str = "blocked", block_size: int = 4096) -> DataFrame:
+                    method: str = "auto", block_size: int = 4096) -> DataFrame:
     """Q2: one server per queue, first come first served.
 
     Adds ``departure``, ``waiting`` (= departure - service - arrival) and
     ``sojourn`` (= departure - arrival).
     """
     a, s = F.col(arrival), F.col(service)
+    method = _resolve(df, queue, method)
     if method == "window":
         w = Window.partitionBy(*queue).orderBy(*order).rowsBetween(_UNB, 0)
         out = (df.withColumn("_tl_ss", F.sum(s).over(w))
@@ -94,7 +107,7 @@ def fifo_departures(df: DataFrame, queue: list[str], order: list[str | Column],
 
 def forkjoin_departures(tasks: DataFrame, queue: list[str], job: str, worker: str,
                         order: list[str | Column], arrival: str = "arrival",
-                        service: str = "service", method: str = "blocked",
+                        service: str = "service", method: str = "auto",
                         block_size: int = 4096) -> DataFrame:
     """Q3: task i of every job runs on worker i (a persisted partition binds
     it to one executor); each worker is a FIFO queue; a job leaves when its
@@ -107,7 +120,7 @@ def forkjoin_departures(tasks: DataFrame, queue: list[str], job: str, worker: st
 
 def barrier_departures(tasks: DataFrame, queue: list[str], job: str, order: list[str | Column],
                        arrival: str = "arrival", service: str = "service",
-                       method: str = "blocked", block_size: int = 4096) -> DataFrame:
+                       method: str = "auto", block_size: int = 4096) -> DataFrame:
     """Q4: barrier mode, all tasks of a job start together; with as many
     tasks as workers this is split-merge: the job's service time is its
     longest task, then one FIFO queue of jobs."""

@@ -95,12 +95,12 @@ def keyed_max_last_byte(df: DataFrame, key: str, rec: str, signed: bool = False)
 
 
 def sort_records(df: DataFrame, key: str, rec: str, tie: list[str] | None = None,
-                 signed: bool = False, method: str = "range") -> DataFrame:
+                 signed: bool = False, method: str = "auto") -> DataFrame:
     """O1: stable sort of each key's records; adds 1-based ``pos``.
 
-    Ties under the record order keep the order of ``tie`` columns. The
-    default method range-partitions on (key, order), so a hot key is split
-    over tasks instead of sorted in one.
+    Ties under the record order keep the order of ``tie`` columns. A key
+    larger than ``plans.ranking.WINDOW_MAX_ROWS`` is range-partitioned on
+    (key, order) and split over tasks instead of sorted in one.
     """
     okey = "_tl_okey"
     with_key = df.withColumn(okey, record_order_key(F.col(rec), signed))

@@ -66,10 +66,12 @@ def q2w(spark, sf_dir):
 @register("Q3_forkjoin_departures")
 def q3(spark, sf_dir):
     t = queue_tasks(spark, sf_dir)
-    return Q.forkjoin_departures(t, ["user_id"], "event_id", "task", ORDER, block_size=BLOCK)
+    return Q.forkjoin_departures(t, ["user_id"], "event_id", "task", ORDER, method="blocked",
+                                 block_size=BLOCK)
 
 
 @register("Q4_barrier_departures")
 def q4(spark, sf_dir):
     t = queue_tasks(spark, sf_dir)
-    return Q.barrier_departures(t, ["user_id"], "event_id", ORDER, block_size=BLOCK)
+    return Q.barrier_departures(t, ["user_id"], "event_id", ORDER, method="blocked",
+                                block_size=BLOCK)

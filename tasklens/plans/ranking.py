@@ -72,16 +72,30 @@ def global_row_number(df: DataFrame, order: list[str | Column], out: str = "rn",
             .drop("_tl_mid", "_tl_pid", "_tl_loc", "_tl_off"))
 
 
+#: Largest group that ``method="auto"`` leaves to a plain window (one task).
+WINDOW_MAX_ROWS = 2_000_000
+
+
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the biggest group (one partial aggregate, one scalar back)."""
+    top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    return int(top or 0)
+
+
 def rank_within(df: DataFrame, keys: list[str], order: list[str | Column],
                 out: str = "pos", num_partitions: int | None = None,
-                method: str = "range") -> DataFrame:
+                method: str = "auto", window_max_rows: int = WINDOW_MAX_ROWS) -> DataFrame:
     """``row_number() OVER (PARTITION BY keys ORDER BY order)`` (1-based).
 
-    ``method="range"`` (default): global row number over ``keys + order``
-    minus the first number of each key; a hot key is spread over range
-    partitions and the per-key minimum is a partial aggregate.
-    ``method="window"``: the plain window, fine when no key is large.
+    ``method="range"``: global row number over ``keys + order`` minus the
+    first number of each key; a hot key is spread over range partitions
+    and the per-key minimum is a partial aggregate.
+    ``method="window"``: the plain window (one hash shuffle; a key is one
+    task). ``method="auto"`` (default): the window when the largest key has
+    at most ``window_max_rows`` rows (checked first), else the range method.
     """
+    if method == "auto":
+        method = "window" if largest_group(df, keys) <= window_max_rows else "range"
     if method == "window":
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(out, F.row_number().over(w))

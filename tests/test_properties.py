@@ -156,3 +156,23 @@ def test_sort_records_keeps_multiset(spark):
     bad = (s.withColumn("prev", F.lag("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("pos")))
            .where(F.col("prev") > F.col("l_partkey")).count())
     assert bad == 0
+
+
+def test_auto_methods_take_the_range_path_for_big_groups(spark, monkeypatch):
+    """With the window limit at 0 every group counts as big: positions come
+    from the range-partitioned ranking and queues from the blocked scan."""
+    from tasklens.plans import ranking
+    from tasklens.plans.q_queueing import queue_jobs
+    j = queue_jobs(spark, SF_SMALL).drop("value")
+    want = dict(Q.fifo_departures(j, ["user_id"], ["arrival", "event_id"], method="window")
+                .select("event_id", "departure").collect())
+    monkeypatch.setattr(ranking, "WINDOW_MAX_ROWS", 0)
+    got = dict(Q.fifo_departures(j, ["user_id"], ["arrival", "event_id"], method="auto", block_size=7)
+               .select("event_id", "departure").collect())
+    assert got == want
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    a = rank_within(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax"],
+                    "pos", method="auto", window_max_rows=0)
+    b = rank_within(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax"],
+                    "pos", method="window")
+    assert sorted(a.collect()) == sorted(b.collect())
