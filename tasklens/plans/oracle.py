@@ -537,3 +537,10 @@ WITH t AS (
 SELECT taskIndex, count(serviceTime) AS "count", """ + ",\n  ".join(
     f"round(avg({m}), 6) AS avg_{m}, round(sqrt(var_samp({m})), 3) AS var_{m}" for m in _LOCAL)
     + "\nFROM t GROUP BY taskIndex")
+
+oracle("G4e_sized_by_slot", f"""
+WITH s AS (SELECT CAST(i AS INTEGER) AS id, CAST(i AS INTEGER) AS part, CAST(i % 3 AS VARCHAR) AS label,
+                  CASE i % 3 WHEN 0 THEN 5 WHEN 1 THEN 9 ELSE 2 END AS size
+           FROM (SELECT unnest(range(0, {_NSUP})) AS i))
+SELECT id, part, label, size, {duck_payload_hex(42, 'id', 'size')} AS payload_hex FROM s
+""")

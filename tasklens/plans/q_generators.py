@@ -68,6 +68,15 @@ def g4(spark, sf_dir):
     return df.select("id", "label", "size", F.hex("payload").alias("payload_hex"))
 
 
+@register("G4e_sized_by_slot")
+def g4e(spark, sf_dir):
+    """G4e/G4t: 0-based partition ids, label = executor slot pmod(id, 3);
+    slots 0 and 1 have sizes, slot 2 takes the default."""
+    n = _n_suppliers(spark, sf_dir)
+    df = G.sized_partitions(spark, n, {"0": 5, "1": 9}, default_size=2, n_slots=3, seed=SEED)
+    return _with_part(df).select("id", "part", "label", "size", F.hex("payload").alias("payload_hex"))
+
+
 @register("G4h_sized_by_host")
 def g4h(spark, sf_dir):
     n = _n_suppliers(spark, sf_dir)

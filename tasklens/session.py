@@ -50,7 +50,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         current = current.get() if current.isDefined() else None
     if not current:
         current = tempfile.mkdtemp(prefix="tasklens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
+        try:
+            spark.conf.set("spark.checkpoint.dir", current)
+        except Exception:  # a core setting some sessions refuse at run time
+            pass
     spark.sparkContext.setCheckpointDir(current)
     return current
 
