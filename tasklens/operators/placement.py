@@ -79,9 +79,15 @@ def placement(lines: DataFrame, live_only: bool = False) -> DataFrame:
     linked = tasks.join(stage_cached_rdds(lines), ["app", "stage_id"], "left")
     loc = block_locations(lines, live_only).select(
         "app", "rdd_id", "part_id", F.col("exec_id").alias("storage_executor"), "memsize", "disksize")
-    return linked.join(loc, ["app", "rdd_id", "part_id"], "left").select(
-        "app", "stage_id", "task_id", "part_id", "rdd_id", "exec_executor", "storage_executor",
-        "memsize", "disksize")
+    cols = ["app", "stage_id", "task_id", "part_id", "rdd_id", "exec_executor", "storage_executor",
+            "memsize", "disksize"]
+    # tasks of stages without a cached RDD have no key; a NULL key would hash
+    # all of them into one shuffle partition, so they get distinct negative
+    # keys that match nothing (RDD ids are >= 0) and spread over partitions
+    salted = F.coalesce(F.col("rdd_id"), -1 - F.pmod(F.col("task_id"), F.lit(1 << 20)).cast("int"))
+    left = linked.withColumn("_tl_rdd", salted)
+    right = loc.withColumnRenamed("rdd_id", "_tl_rdd")
+    return left.join(right, ["app", "_tl_rdd", "part_id"], "left").select(*cols)
 
 
 def executor_partitions(locations: DataFrame, by: str = "exec_id") -> DataFrame:
