@@ -11,6 +11,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -69,10 +70,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     that heavy per-row work before the first shuffle uses every core.
 
     A no-op on large inputs, whose scans have at least that many splits.
-    Spark sorts rows before a round-robin repartition, so a retried task
-    gets the same rows.
+    Rows go by a hash of all their columns: deterministic on a retry, with
+    no sort on the map side (a round-robin repartition sorts first).
     """
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < n:
-        return df.repartition(n)
+        return df.repartition(n, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
     return df
