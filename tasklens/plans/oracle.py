@@ -544,3 +544,19 @@ WITH s AS (SELECT CAST(i AS INTEGER) AS id, CAST(i AS INTEGER) AS part, CAST(i %
            FROM (SELECT unnest(range(0, {_NSUP})) AS i))
 SELECT id, part, label, size, {duck_payload_hex(42, 'id', 'size')} AS payload_hex FROM s
 """)
+
+# tumbling 365-day windows from the epoch; a window is emitted once the
+# global watermark (least of the streams' latest event times, minus one
+# hour) has passed its end
+_W_MS = 365 * 86400 * 1000
+oracle("M6w_stream_windowed_index_stats", _TASKS_CTE + f""",
+tw AS (SELECT t.*, (epoch_ms(o.o_orderdate) + (t.waitingTime + t.serviceTime)::BIGINT) AS finish_ms
+       FROM t JOIN orders o ON o.o_orderkey = t.stageId),
+wm AS (SELECT max(epoch_ms(o_orderdate)) - 3600000 AS wm FROM orders),
+g AS (SELECT (finish_ms // {_W_MS}) * {_W_MS} AS window_start_ms, * FROM tw)
+SELECT window_start_ms, window_start_ms + {_W_MS} AS window_end_ms, taskIndex,
+  count(serviceTime) AS "count",
+  {_stats}
+FROM g GROUP BY window_start_ms, taskIndex
+HAVING window_start_ms + {_W_MS} <= (SELECT wm FROM wm)
+""")

@@ -31,3 +31,19 @@ def m6(spark, sf_dir):
     stats = S.task_local_index_stats(_log_stream(spark, sf_dir))
     out = S.run_to_table(stats, "complete")
     return rounded(rounded(out, 3, prefix="var_"), 6)
+
+
+@register("M6w_stream_windowed_index_stats")
+def m6w(spark, sf_dir):
+    """Full M6 on a stream: tasks joined to stage submissions and job ends
+    (stream-stream joins), per-index statistics per 365-day window of
+    finish time; append mode, one trigger over all files."""
+    folder = S.scratch_path(spark, "logs")
+    S.write_log_files(table_log(spark, sf_dir), folder, files_per_log=2)
+    stream = S.read_event_log_stream(spark, folder)
+    stats = S.windowed_index_stats(stream, "365 days", "1 hour", "1 day")
+    out = S.run_to_table(stats, "append")
+    out = out.select(F.unix_millis("window_start").alias("window_start_ms"),
+                     F.unix_millis("window_end").alias("window_end_ms"),
+                     *[c for c in out.columns if c not in ("window_start", "window_end")])
+    return rounded(rounded(out, 3, prefix="var_"), 6)

@@ -48,3 +48,32 @@ def test_ingest_then_batch_tables(spark):
     a = M.task_index_stats(back)
     b = M.task_index_stats(ev.read_event_log(spark, folder))
     assert _rows(a) == _rows(b)
+
+
+def test_windowed_full_index_stats_equal_batch(spark):
+    """Stream-stream joins + windowed stats equal the batch task table
+    grouped by the same windows, for every window the watermark closed."""
+    from tasklens.operators.metrics import INDEX_STAT_METRICS, flat_tasks_full, index_stats
+    folder = _files(spark)
+    stream = S.read_event_log_stream(spark, folder)
+    got = S.run_to_table(S.windowed_index_stats(stream, "365 days", "1 hour", "1 day"), "append")
+    assert got.count() > 0
+    lines = ev.read_event_log(spark, folder)
+    full = flat_tasks_full(lines, stage_index=None, columns=["taskId", "taskIndex", *INDEX_STAT_METRICS])
+    batch = index_stats(_with_window(full, lines), ["window_start", "taskIndex"], INDEX_STAT_METRICS)
+    keys = [(r.window_start, r.taskIndex) for r in got.collect()]
+    want = {(r.window_start, r.taskIndex): r for r in batch.collect()}
+    for r in got.collect():
+        w = want[(r.window_start, r.taskIndex)]
+        assert r["count"] == w["count"]
+        assert abs(r.avg_sojournTime - w.avg_sojournTime) < 1e-6
+        assert abs(r.avg_waitingTime - w.avg_waitingTime) < 1e-6
+    assert len(keys) == len(set(keys))
+
+
+def _with_window(full, lines):
+    """Batch twin: the task table with its finish-time window."""
+    t = ev.task_end_events(lines, ["task_id", "finish_ms"]).select(
+        F.col("log").alias("app"), F.col("task_id").alias("taskId"),
+        F.window(F.timestamp_millis("finish_ms"), "365 days").start.alias("window_start"))
+    return full.join(t, ["app", "taskId"])
