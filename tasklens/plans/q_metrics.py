@@ -12,7 +12,7 @@ from .registry import register, rounded, tables
 
 def table_log(spark, sf_dir):
     orders, lineitem = tables(spark, sf_dir, "orders", "lineitem")
-    return orders_lineitem_log(spread(orders), lineitem)
+    return orders_lineitem_log(spread(orders, ["o_orderkey"]), lineitem)
 
 
 @register("A5_task_index_stats")

@@ -62,7 +62,7 @@ def p3h(spark, sf_dir):
 
 def part_payloads(spark, sf_dir):
     (part,) = tables(spark, sf_dir, "part")
-    return spread(part).select("p_partkey", "p_brand",
+    return spread(part, ["p_partkey"]).select("p_partkey", "p_brand",
                        rng.payload(SEED, F.col("p_partkey"), F.col("p_size")).alias("payload"))
 
 

@@ -17,7 +17,8 @@ N_WRITES = 16
 
 def docs(spark, sf_dir):
     (documents,) = tables(spark, sf_dir, "documents")
-    return spread(documents).select("doc_id", "lang", F.encode("text", "UTF-8").alias("payload"))
+    return spread(documents, ["doc_id"]).select("doc_id", "lang",
+                                                F.encode("text", "UTF-8").alias("payload"))
 
 
 @register("W1_byte_max")

@@ -64,16 +64,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, by: list[str] | None = None,
+           min_partitions: int | None = None) -> DataFrame:
     """Round-robin repartition when a scan yields fewer partitions than the
     session's default parallelism (e.g. one file with one big row group), so
     that heavy per-row work before the first shuffle uses every core.
 
     A no-op on large inputs, whose scans have at least that many splits.
-    Rows go by a hash of all their columns: deterministic on a retry, with
-    no sort on the map side (a round-robin repartition sorts first).
+    Rows go by a hash of ``by`` (a key; default all columns): deterministic
+    on a retry and no map-side sort (a round-robin repartition sorts first).
+    Hash only what is read anyway, or column pruning stops at the scan.
     """
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
-        return df.repartition(n, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    try:
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access: leave the plan as it is
+        return df
+    if parts < n:
+        cols = by or df.columns
+        return df.repartition(n, F.xxhash64(*[F.col(f"`{c}`") for c in cols]))
     return df
