@@ -310,8 +310,8 @@ FROM d LEFT JOIN sb ON d.doc_id = sb.doc_id GROUP BY d.doc_id
 """)
 
 oracle("W9_apply_workload_by", _DOC_BYTES + f""",
-agg AS (SELECT d.doc_id, d.lang, d.h, d.n, max(s) AS mx, min(s) AS mn
-        FROM d LEFT JOIN sb ON d.doc_id = sb.doc_id GROUP BY d.doc_id, d.lang, d.h, d.n)
+mm AS (SELECT doc_id, max(s) AS mx, min(s) AS mn FROM sb GROUP BY doc_id),
+agg AS (SELECT d.doc_id, d.lang, d.h, d.n, mm.mx, mm.mn FROM d LEFT JOIN mm ON d.doc_id = mm.doc_id)
 SELECT doc_id, lang, CAST(CASE
     WHEN lang = 'en' THEN coalesce(mx, -128)
     WHEN lang = 'de' THEN mn
