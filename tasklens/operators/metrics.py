@@ -110,8 +110,9 @@ def _last_submissions(lines: DataFrame) -> DataFrame:
             .withColumnRenamed("log", "app"))
 
 
-def _stage_facts(lines: DataFrame) -> DataFrame:
-    """Per submitted stage: last attempt, submission and the job end.
+def _stage_facts(lines: DataFrame, per_attempt: bool = False) -> DataFrame:
+    """Per submitted stage: last attempt, submission and the job end
+    (``per_attempt``: one row per submitted attempt with its own submission).
 
     A stage shared by several jobs takes the latest end of them; a stage
     of jobs that have not ended has a NULL end.
@@ -122,7 +123,13 @@ def _stage_facts(lines: DataFrame) -> DataFrame:
              .agg(F.max("end_ms").alias("end_ms")).withColumnRenamed("log", "app"))
     ends = (listed.join(ended, ["app", "job_id"])
             .groupBy("app", "stage_id").agg(F.max("end_ms").alias("end_ms")))
-    return _last_submissions(lines).join(ends, ["app", "stage_id"], "left")
+    if per_attempt:
+        subs = (ev.stage_events(lines).groupBy("log", "stage_id", "attempt")
+                .agg(F.max("submission_ms").alias("submission_ms"))
+                .withColumnRenamed("log", "app"))
+    else:
+        subs = _last_submissions(lines)
+    return subs.join(ends, ["app", "stage_id"], "left")
 
 
 #: Raw TaskEnd fields each task-table column needs.
@@ -153,16 +160,15 @@ def _tasks_with_stage(lines: DataFrame, attempts: str, keep_incomplete: bool,
     if successful_only:
         tasks = tasks.where(~F.coalesce(F.col("failed"), F.lit(False))
                             & ~F.coalesce(F.col("killed"), F.lit(False)))
-    facts = _stage_facts(lines)
+    if attempts not in ("last", "all"):
+        raise ValueError("attempts must be 'last' or 'all'")
+    # 'last': only tasks of the last submitted attempt; 'all': every task,
+    # timed against the submission of its own attempt
+    facts = _stage_facts(lines, per_attempt=attempts == "all")
     if stage_index is not None:
         facts = facts.join(nth_stage(lines, stage_index), ["app", "stage_id"], "left_semi")
-    keys = ["app", "stage_id"]
-    if attempts == "last":
-        facts = facts.withColumnRenamed("attempt", "stage_attempt")
-        keys = keys + ["stage_attempt"]
-    elif attempts != "all":
-        raise ValueError("attempts must be 'last' or 'all'")
-    out = tasks.join(facts, keys)
+    facts = facts.withColumnRenamed("attempt", "stage_attempt")
+    out = tasks.join(facts, ["app", "stage_id", "stage_attempt"])
     if not keep_incomplete:
         out = out.where(F.col("end_ms").isNotNull())
     return out

@@ -149,3 +149,10 @@ def test_materialized_log_reads_the_same(spark, hand_lines, tmp_path):
     a = sorted(M.flat_tasks(hand_lines).collect())
     b = sorted(M.flat_tasks(back).collect())
     assert a == b
+
+
+def test_hand_all_attempts_use_their_own_submission(hand_lines):
+    allt = {r.taskId: r for r in M.flat_tasks(hand_lines, attempts="all").collect()
+            if r.app.endswith("app-a")}
+    assert set(allt) == {10, 11, 12, 13}
+    assert allt[10].waitingTime == 10.0 and allt[11].waitingTime == 10.0   # 1020-1010, 1110-1100
