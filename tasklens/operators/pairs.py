@@ -57,33 +57,36 @@ def _block_summary_udf(values: pd.Series, want_hist: pd.Series) -> pd.DataFrame:
 
 
 def pair_sign_sum_rows(df: DataFrame, group: list[str], value: str | Column,
-                       order: list[str | Column], block_size: int = 4096,
+                       order: list[str], block_size: int = 4096,
                        method: str = "auto") -> DataFrame:
-    """``(group..., pair_sign_sum BIGINT)`` for every group of ``df``."""
+    """``(group..., pair_sign_sum BIGINT)`` for every group of ``df``.
+
+    Rows with a NULL value are left out. The block summaries (an Arrow UDF)
+    are computed once and feed a single table of cells: per block one
+    ``inner`` cell and, for groups of several blocks, its 256 value cells.
+    """
     v = F.col(value) if isinstance(value, str) else value
-    base = df.select(*group, *[c for c in order if isinstance(c, str) and c not in group],
-                     v.cast("int").alias("_tl_v"))
-    order = [c for c in order]
-    ranked = rank_within(base, group, order, out="_tl_pos", method=method)
+    base = (df.select(*group, *[c for c in order if c not in group], v.cast("int").alias("_tl_v"))
+            .where(F.col("_tl_v").isNotNull()))
+    ranked = rank_within(base, group, list(order), out="_tl_pos", method=method)
     blocks = (ranked.withColumn("_tl_blk", F.floor((F.col("_tl_pos") - 1) / F.lit(block_size)))
               .groupBy(*group, "_tl_blk")
               .agg(F.array_sort(F.collect_list(F.struct(F.col("_tl_pos").alias("pos"),
                                                         F.col("_tl_v").alias("v")))).alias("items")))
-    # histograms are only needed for groups with more than one block
-    multi_flag = F.max("_tl_blk").over(Window.partitionBy(*group)) > 0
-    blocks = blocks.withColumn("_tl_multi", multi_flag)
+    # value histograms are only needed for groups with more than one block
+    blocks = blocks.withColumn("_tl_multi", F.max("_tl_blk").over(Window.partitionBy(*group)) > 0)
     summ = blocks.select(*group, "_tl_blk", "_tl_multi", _block_summary_udf(
         F.transform("items", lambda x: x["v"]), F.col("_tl_multi")).alias("s"))
-    inner = summ.groupBy(*group).agg(F.sum("s.inner").alias("_tl_inner"))
-    multi = summ.where(F.col("_tl_multi"))
-    cells = multi.select(*group, "_tl_blk",
-                         F.posexplode(F.arrays_zip(F.col("s.hist").alias("h"),
-                                                   F.col("s.d").alias("d"))).alias("u", "hd"))
-    w = (Window.partitionBy(*group, "u").orderBy("_tl_blk")
+    inner_cell = F.array(F.struct(F.lit(-1).alias("u"), F.col("s.inner").alias("h"),
+                                  F.lit(0).cast("bigint").alias("d")))
+    value_cells = F.transform(F.arrays_zip(F.col("s.hist").alias("h"), F.col("s.d").alias("d")),
+                              lambda x, i: F.struct(i.alias("u"), x["h"].alias("h"), x["d"].alias("d")))
+    cells = summ.select(*group, "_tl_blk", F.explode(
+        F.when(F.col("_tl_multi"), F.concat(inner_cell, value_cells)).otherwise(inner_cell)).alias("c"))
+    # pairs across blocks: sum over u of h_b[u] * (sum of D_b'[u] over later blocks b')
+    w = (Window.partitionBy(*group, "c.u").orderBy("_tl_blk")
          .rowsBetween(1, Window.unboundedFollowing))
-    cross = (cells.select(*group, F.col("hd.h").alias("h"),
-                          F.coalesce(F.sum("hd.d").over(w), F.lit(0)).alias("later_d"))
-             .groupBy(*group).agg(F.sum(F.col("h") * F.col("later_d")).alias("_tl_cross")))
-    return (inner.join(cross, group, "left")
-            .select(*group, (F.col("_tl_inner") + F.coalesce(F.col("_tl_cross"), F.lit(0)))
-                    .alias("pair_sign_sum")))
+    later = F.coalesce(F.sum("c.d").over(w), F.lit(0))
+    part = F.when(F.col("c.u") < 0, F.col("c.h")).otherwise(F.col("c.h") * later)
+    return (cells.select(*group, part.alias("_tl_part"))
+            .groupBy(*group).agg(F.sum("_tl_part").alias("pair_sign_sum")))
