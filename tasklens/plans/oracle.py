@@ -560,3 +560,16 @@ SELECT window_start_ms, window_start_ms + {_W_MS} AS window_end_ms, taskIndex,
 FROM g GROUP BY window_start_ms, taskIndex
 HAVING window_start_ms + {_W_MS} <= (SELECT wm FROM wm)
 """)
+
+oracle("P2h_hybrid_placement", _P2 + f""",
+ph AS (SELECT *, {duck_payload_hex(42, 'task_id', '8')} AS h FROM placed),
+pb AS (SELECT task_id, ('0x' || unnest(regexp_extract_all(h, '[0-9A-F]{{2}}')))::INTEGER AS u
+       FROM (SELECT DISTINCT task_id, h FROM ph)),
+mm AS (SELECT task_id, max(CASE WHEN u >= 128 THEN u - 256 ELSE u END) AS mx,
+              min(CASE WHEN u >= 128 THEN u - 256 ELSE u END) AS mn FROM pb GROUP BY task_id)
+SELECT ph.app, ph.task_id, ph.part_id, ph.exec_executor, ph.storage_executor, CAST(CASE ph.exec_executor
+    WHEN '0' THEN mm.mx WHEN '1' THEN mm.mn
+    WHEN '2' THEN {_signed_hex_at('ph.h', f"CAST(floor({duck_u(42, 'w4', 'ph.task_id')} * 8) AS BIGINT)")}
+    ELSE 8 END AS BIGINT) AS result
+FROM ph JOIN mm ON ph.task_id = mm.task_id
+""")

@@ -98,3 +98,20 @@ def a6(spark, sf_dir):
 def a7(spark, sf_dir):
     (part,) = tables(spark, sf_dir, "part")
     return E.staged_count(part, "p_partkey")
+
+
+@register("P2h_hybrid_placement")
+def p2h(spark, sf_dir):
+    """P2h: the hybrid runner. Every task of the placement log runs a
+    workload chosen by the executor that ran it (W9) over an 8-byte
+    payload of its own, next to where its partition is stored (P2)."""
+    placed = P.placement(placement_lines(spark, sf_dir))
+    payloads = placed.withColumn("payload", rng.payload(SEED, F.col("task_id"), 8))
+    by_executor = {
+        "0": lambda c: W.byte_max(c).cast("bigint"),
+        "1": lambda c: W.byte_min(c).cast("bigint"),
+        "2": lambda c: W.random_element(c, SEED, F.col("task_id")).cast("bigint"),
+    }
+    out = W.apply_workload_by(payloads, "exec_executor", by_executor,
+                              lambda c: F.length(c).cast("bigint"))
+    return out.select("app", "task_id", "part_id", "exec_executor", "storage_executor", "result")
