@@ -95,7 +95,9 @@ def nth_stage(lines: DataFrame, stage_index: int = 1) -> DataFrame:
     """
     if stage_index < 1:
         raise ValueError("stage_index is 1-based")
-    known = stages(lines).select("app", "stage_id")
+    listed = job_stages(lines).select("app", "stage_id")
+    submitted = ev.stage_events(lines).select(F.col("log").alias("app"), "stage_id")
+    known = listed.unionByName(submitted).distinct()
     w = Window.partitionBy("app").orderBy("stage_id")
     return (known.withColumn("_k", F.row_number().over(w))
             .where(F.col("_k") == stage_index).drop("_k"))
