@@ -573,3 +573,5 @@ SELECT ph.app, ph.task_id, ph.part_id, ph.exec_executor, ph.storage_executor, CA
     ELSE 8 END AS BIGINT) AS result
 FROM ph JOIN mm ON ph.task_id = mm.task_id
 """)
+
+ORACLE["A5m_task_index_stats_materialized"] = ORACLE["A5_task_index_stats"]

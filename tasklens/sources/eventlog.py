@@ -276,6 +276,12 @@ def app_start_events(lines: DataFrame) -> DataFrame:
                     F.col("e.Timestamp").alias("start_ms"))
 
 
+def app_ids(lines: DataFrame) -> DataFrame:
+    """``(log, app_id, app_name)`` from each log's ApplicationStart line; join
+    it to any table's ``app`` (= log key) to report Spark application ids."""
+    return app_start_events(lines).select("log", "app_id", "app_name").distinct()
+
+
 def epoch_ms(ts: Column) -> Column:
     """TIMESTAMP_NTZ -> epoch milliseconds (BIGINT)."""
     return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)

@@ -156,3 +156,10 @@ def test_hand_all_attempts_use_their_own_submission(hand_lines):
             if r.app.endswith("app-a")}
     assert set(allt) == {10, 11, 12, 13}
     assert allt[10].waitingTime == 10.0 and allt[11].waitingTime == 10.0   # 1020-1010, 1110-1100
+
+
+def test_live_log_app_ids(live_lines):
+    ids = ev.app_ids(live_lines).collect()
+    assert len(ids) == 1 and ids[0].app_id.startswith("local-") and ids[0].app_name == "live-probe"
+    joined = M.jobs(live_lines).join(ev.app_ids(live_lines).withColumnRenamed("log", "app"), "app")
+    assert joined.select("app_id").distinct().count() == 1

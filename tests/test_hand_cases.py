@@ -69,3 +69,13 @@ def test_staged_and_slice_count(spark):
 def test_weibull_default_scale():
     assert G.process_mean(("w", 1.0)) == 1.0
     assert math.isclose(G.process_mean(("w", 2.0)), 1.0)
+
+
+def test_sized_partitions_defaults(spark):
+    """An empty size map means the default size everywhere (no error), ids
+    are 0-based partition indices, one row per partition."""
+    df = G.sized_partitions(spark, 4, {}, default_size=3)
+    rows = df.select("id", F.length("payload").alias("n"), F.spark_partition_id().alias("p")).collect()
+    assert sorted((r.id, r.n, r.p) for r in rows) == [(i, 3, i) for i in range(4)]
+    df = G.sized_partitions(spark, 6, {"0": 5}, default_size=1, n_slots=2)
+    assert sorted((r.id, r.size) for r in df.collect()) == [(0, 5), (1, 1), (2, 5), (3, 1), (4, 5), (5, 1)]
