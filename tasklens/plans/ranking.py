@@ -45,11 +45,16 @@ def _num_parts(df: DataFrame, num_partitions: int | None) -> int:
 
 
 def global_row_number(df: DataFrame, order: list[str | Column], out: str = "rn",
-                      num_partitions: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None, materialize: str = "persist") -> DataFrame:
     """``row_number() OVER (ORDER BY order...)`` (1-based), distributed.
 
     ``order`` should be a total order (a full tie-break); rows equal on all
     of it get consecutive numbers in an arbitrary order.
+
+    ``materialize``: ``"persist"`` keeps the sorted, tagged rows in the
+    executors (memory and disk; lineage kept, release with ``release()``
+    once results are no longer used); ``"checkpoint"`` writes them once to
+    the session's checkpoint folder (eager, reliable, no recomputation).
     """
     n = _num_parts(df, num_partitions)
     sorted_df = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -57,9 +62,16 @@ def global_row_number(df: DataFrame, order: list[str | Column], out: str = "rn",
     tagged = (sorted_df
               .withColumn("_tl_mid", mid)
               .withColumn("_tl_pid", F.shiftright(F.col("_tl_mid"), _LOCAL_BITS))
-              .withColumn("_tl_loc", F.col("_tl_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
-              .persist(StorageLevel.MEMORY_AND_DISK))
-    _PERSISTED.append(tagged)
+              .withColumn("_tl_loc", F.col("_tl_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
+    if materialize == "checkpoint":
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        tagged = tagged.checkpoint(eager=True)
+    elif materialize == "persist":
+        tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
+        _PERSISTED.append(tagged)
+    else:
+        raise ValueError("materialize must be 'persist' or 'checkpoint'")
     counts = tagged.groupBy("_tl_pid").agg(F.count(F.lit(1)).alias("_tl_cnt"))
     # at most n rows: one per range partition
     offsets = counts.select(

@@ -176,3 +176,11 @@ def test_auto_methods_take_the_range_path_for_big_groups(spark, monkeypatch):
     b = rank_within(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax"],
                     "pos", method="window")
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_global_row_number_checkpointed(spark):
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_shipdate"]
+    a = global_row_number(li, order, "rn", materialize="checkpoint").select("rn", *order)
+    b = global_row_number(li, order, "rn").select("rn", *order)
+    assert sorted(a.collect()) == sorted(b.collect())
