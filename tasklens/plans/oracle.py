@@ -575,3 +575,30 @@ FROM ph JOIN mm ON ph.task_id = mm.task_id
 """)
 
 ORACLE["A5m_task_index_stats_materialized"] = ORACLE["A5_task_index_stats"]
+
+# W3 over whole documents. Independent of the block-histogram kernel: the
+# number of earlier bytes greater than byte j is summed over the 8 bit
+# levels (an earlier byte is greater when it agrees on the higher bits and
+# has a 1 where byte j has a 0), each level one running window count; then
+# sign sum = sum over j of (2 * greater_before - before + equal_before).
+oracle("W3_doc_pair_sign_sum", """
+WITH d AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents),
+b AS (SELECT doc_id, unnest(range(n)) AS i,
+             ('0x' || unnest(regexp_extract_all(h, '[0-9A-F]{2}')))::INTEGER AS u FROM d),
+s AS (SELECT doc_id, i, (CASE WHEN u >= 128 THEN u - 256 ELSE u END) + 128 AS v FROM b),
+g AS (SELECT s.doc_id, s.i, (s.v >> lv.bit) & 1 AS bt,
+             coalesce(sum((s.v >> lv.bit) & 1) OVER (
+               PARTITION BY s.doc_id, lv.bit, s.v >> (lv.bit + 1) ORDER BY s.i
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ones_before
+      FROM s, (SELECT unnest(range(8)) AS bit) lv),
+gj AS (SELECT doc_id, i, sum(CASE WHEN bt = 0 THEN ones_before ELSE 0 END) AS greater_before
+       FROM g GROUP BY doc_id, i),
+e AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, v ORDER BY i
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS equal_before
+      FROM s)
+SELECT d.doc_id, CAST(coalesce(sum(2 * gj.greater_before - gj.i + e.equal_before), 0) AS BIGINT)
+       AS pair_sign_sum
+FROM d LEFT JOIN gj ON d.doc_id = gj.doc_id
+       LEFT JOIN e ON gj.doc_id = e.doc_id AND gj.i = e.i
+GROUP BY d.doc_id
+""")
