@@ -17,3 +17,23 @@ Families (one module each):
 """
 
 __version__ = "0.1.0"
+
+from .operators.metrics import (  # noqa: E402,F401
+    flat_tasks,
+    flat_tasks_full,
+    index_stats,
+    jobs,
+    job_stages,
+    nth_stage,
+    stages,
+    task_index_stats,
+)
+from .operators.placement import block_locations, placement  # noqa: E402,F401
+from .operators.queueing import (  # noqa: E402,F401
+    arrival_schedule,
+    barrier_departures,
+    fifo_departures,
+    forkjoin_departures,
+)
+from .sources.eventlog import materialize_event_log, read_event_log  # noqa: E402,F401
+from .streaming.eventlog_stream import read_event_log_stream  # noqa: E402,F401
