@@ -50,6 +50,21 @@ def payload(seed, id_col, n) -> Column:
     return F.when(n <= 0, F.lit(bytearray())).otherwise(F.substring(full, 1, n))
 
 
+def payload_slice(seed, id_col, start, n) -> Column:
+    """Bytes ``[start, start + n)`` of ``PAYLOAD(seed, id, .)``; ``start``
+    must be a multiple of 16 (an md5 block boundary)."""
+    n = n if isinstance(n, Column) else F.lit(int(n))
+    start = start if isinstance(start, Column) else F.lit(int(start))
+    first = (start / F.lit(16)).cast("bigint")
+    blocks = F.greatest(F.ceil(n / F.lit(16)).cast("bigint"), F.lit(1))
+    hexes = F.transform(
+        F.sequence(first, first + blocks - 1),
+        lambda k: F.md5(F.concat_ws(":", _s(seed), _s(id_col), k.cast("string"))),
+    )
+    full = F.unhex(F.array_join(hexes, ""))
+    return F.when(n <= 0, F.lit(bytearray())).otherwise(F.substring(full, 1, n))
+
+
 def zeros(n) -> Column:
     """``n`` zero bytes; BINARY."""
     n = n if isinstance(n, Column) else F.lit(int(n))

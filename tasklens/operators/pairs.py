@@ -77,6 +77,16 @@ def pair_sign_sum_rows(df: DataFrame, group: list[str], value: str | Column,
     blocks = blocks.withColumn("_tl_multi", F.max("_tl_blk").over(Window.partitionBy(*group)) > 0)
     summ = blocks.select(*group, "_tl_blk", "_tl_multi", _block_summary_udf(
         F.transform("items", lambda x: x["v"]), F.col("_tl_multi")).alias("s"))
+    return _combine_blocks(summ, group)
+
+
+def _combine_blocks(summ: DataFrame, group: list[str]) -> DataFrame:
+    """``(group..., _tl_blk, _tl_multi, s)`` block summaries -> sign sums.
+
+    One table of cells: per block its ``inner`` sum, and for groups of
+    several blocks its 256 value cells (h, D). Pairs across blocks are
+    sum over u of h_b[u] * (sum of D_b'[u] over later blocks b'), a suffix
+    window per (group, u) over blocks."""
     inner_cell = F.array(F.struct(F.lit(-1).alias("u"), F.col("s.inner").alias("h"),
                                   F.lit(0).cast("bigint").alias("d")))
     value_cells = F.transform(F.arrays_zip(F.col("s.hist").alias("h"), F.col("s.d").alias("d")),
@@ -90,3 +100,34 @@ def pair_sign_sum_rows(df: DataFrame, group: list[str], value: str | Column,
     part = F.when(F.col("c.u") < 0, F.col("c.h")).otherwise(F.col("c.h") * later)
     return (cells.select(*group, part.alias("_tl_part"))
             .groupBy(*group).agg(F.sum("_tl_part").alias("pair_sign_sum")))
+
+
+@F.pandas_udf(_SUMMARY)
+def _chunk_summary_udf(payloads: pd.Series, want_hist: pd.Series) -> pd.DataFrame:
+    """One chunk (BINARY) per row: its inner sign sum, histogram and D."""
+    inner, hists, ds = [], [], []
+    for b, wh in zip(payloads, want_hist):
+        a = bytes_np.as_int8(b if b is not None else b"")
+        if wh:
+            s, h, d = bytes_np.block_summary(a)
+            hists.append(h)
+            ds.append(d)
+        else:
+            s = bytes_np.pair_sign_sum(a)
+            hists.append(None)
+            ds.append(None)
+        inner.append(s)
+    return pd.DataFrame({"inner": inner, "hist": hists, "d": ds})
+
+
+def pair_sign_sum_chunked(df: DataFrame, keys: list[str], chunk: str = "chunk",
+                          payload: str = "payload") -> DataFrame:
+    """W3 for payloads stored as ordered chunk rows ``(keys..., chunk,
+    payload)``: each chunk is a block; the result equals W3 over the
+    concatenated payload, with no row ever holding more than one chunk."""
+    blocks = df.select(*keys, F.col(chunk).alias("_tl_blk"), F.col(payload).alias("_tl_p"))
+    blocks = blocks.withColumn("_tl_multi", F.max("_tl_blk").over(Window.partitionBy(*keys))
+                               > F.min("_tl_blk").over(Window.partitionBy(*keys)))
+    summ = blocks.select(*keys, "_tl_blk", "_tl_multi",
+                         _chunk_summary_udf("_tl_p", "_tl_multi").alias("s"))
+    return _combine_blocks(summ, keys)

@@ -170,3 +170,29 @@ def apply_workload_by(df: DataFrame, label: str | Column,
         expr = F.when(cond, fn(F.col(col))) if expr is None else expr.when(cond, fn(F.col(col)))
     d = default(F.col(col))
     return df.withColumn(out, d if expr is None else expr.otherwise(d))
+
+
+# ------------------------------------------------------------------ chunked payloads
+
+
+def chunk_payloads(df: DataFrame, keys: list[str], payload: str = "payload",
+                   max_record_bytes: int = 1 << 26) -> DataFrame:
+    """Cut a BINARY column into ordered chunk rows ``(keys..., chunk,
+    payload)`` of at most ``max_record_bytes`` each (an empty payload keeps
+    one empty chunk)."""
+    m = F.lit(int(max_record_bytes))
+    n = F.length(payload)
+    parts = F.greatest(F.ceil(n / m).cast("bigint"), F.lit(1))
+    rows = df.select(*keys, payload, F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("chunk"))
+    return rows.select(*keys, "chunk", F.substring(payload, (F.col("chunk") * m + 1).cast("int"),
+                                                   m).alias(payload))
+
+
+def byte_max_chunked(df: DataFrame, keys: list[str], payload: str = "payload") -> DataFrame:
+    """W1 over chunk rows: the largest signed byte of the whole payload."""
+    return df.groupBy(*keys).agg(F.max(byte_max(F.col(payload))).alias("byte_max"))
+
+
+def byte_min_chunked(df: DataFrame, keys: list[str], payload: str = "payload") -> DataFrame:
+    """W2 over chunk rows: the smallest signed byte (NULL when all empty)."""
+    return df.groupBy(*keys).agg(F.min(byte_min(F.col(payload))).alias("byte_min"))

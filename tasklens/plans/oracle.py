@@ -602,3 +602,20 @@ FROM d LEFT JOIN gj ON d.doc_id = gj.doc_id
        LEFT JOIN e ON gj.doc_id = e.doc_id AND gj.i = e.i
 GROUP BY d.doc_id
 """)
+
+# chunked forms: the same values as the one-row forms
+ORACLE["W1c_byte_max_chunked"] = ORACLE["W1_byte_max"]
+ORACLE["W3c_doc_pair_sign_sum_chunked"] = ORACLE["W3_doc_pair_sign_sum"]
+
+oracle("G2c_zero_partitions_chunked", f"""
+SELECT CAST(i AS INTEGER) AS id, c AS chunk, CAST(least(32, 100 - 32 * c) AS INTEGER) AS n_bytes,
+       md5(repeat('00', CAST(least(32, 100 - 32 * c) AS INTEGER))) AS payload_md5
+FROM (SELECT unnest(range(1, {_NSUP} + 1)) AS i), (SELECT unnest(range(0, 4)) AS c)
+""")
+
+oracle("G3c_random_partitions_chunked", f"""
+SELECT CAST(i AS INTEGER) AS id, c AS chunk,
+       substr({duck_payload_hex(42, 'i', '100')}, 64 * c + 1, 2 * CAST(least(32, 100 - 32 * c) AS INTEGER))
+         AS payload_hex
+FROM (SELECT unnest(range(1, {_NSUP} + 1)) AS i), (SELECT unnest(range(0, 4)) AS c)
+""")

@@ -125,3 +125,21 @@ def g9(spark, sf_dir):
 def g9pi(spark, sf_dir):
     (orders,) = tables(spark, sf_dir, "orders")
     return G.pi_estimate(G.square_points_for(orders, "o_orderkey", SEED))
+
+
+@register("G2c_zero_partitions_chunked")
+def g2c(spark, sf_dir):
+    """G2 with payloads larger than one row may hold: 100 zero bytes per
+    partition id in chunk rows of at most 32 bytes."""
+    ids = G.index_partitions(spark, _n_suppliers(spark, sf_dir))
+    df = G.chunked_payloads_for(ids, "id", 100, 32, zero=True)
+    return df.select("id", "chunk", F.length("payload").alias("n_bytes"),
+                     F.md5(F.hex("payload")).alias("payload_md5"))
+
+
+@register("G3c_random_partitions_chunked")
+def g3c(spark, sf_dir):
+    """G3 in chunk rows: chunk k holds bytes [32k, 32k+32) of PAYLOAD(id, 100)."""
+    ids = G.index_partitions(spark, _n_suppliers(spark, sf_dir))
+    df = G.chunked_payloads_for(ids, "id", 100, 32, seed=SEED)
+    return df.select("id", "chunk", F.hex("payload").alias("payload_hex"))

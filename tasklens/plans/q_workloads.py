@@ -84,3 +84,21 @@ def w9(spark, sf_dir):
     }
     out = W.apply_workload_by(d, "lang", by_lang, lambda c: F.length(c).cast("bigint"))
     return out.select("doc_id", "lang", "result")
+
+
+def doc_chunks(spark, sf_dir, max_record_bytes: int = 4096):
+    return W.chunk_payloads(docs(spark, sf_dir), ["doc_id"], max_record_bytes=max_record_bytes)
+
+
+@register("W1c_byte_max_chunked")
+def w1c(spark, sf_dir):
+    """W1 over every document cut into 4 KiB chunk rows."""
+    return W.byte_max_chunked(doc_chunks(spark, sf_dir), ["doc_id"]).select(
+        "doc_id", F.col("byte_max").cast("int").alias("byte_max"))
+
+
+@register("W3c_doc_pair_sign_sum_chunked")
+def w3c(spark, sf_dir):
+    """W3 over every document cut into 4 KiB chunk rows (chunks as blocks)."""
+    from ..operators.pairs import pair_sign_sum_chunked
+    return pair_sign_sum_chunked(doc_chunks(spark, sf_dir), ["doc_id"])

@@ -47,6 +47,26 @@ def random_partitions(spark: SparkSession, num_partitions: int, partition_size:
                                F.lit(partition_size), seed)
 
 
+def chunked_payloads_for(df: DataFrame, id_col: str, size: Column | int, max_record_bytes: int,
+                         seed: int = 42, zero: bool = False) -> DataFrame:
+    """Payloads too large for one row: ``(id, chunk, payload)`` rows of at most
+    ``max_record_bytes`` (a multiple of 16) each, chunk ``k`` holding bytes
+    ``[k * max_record_bytes, ...)`` of the same payload as the one-row form
+    (zeros, or ``PAYLOAD(seed, id, size)``). A 1 GiB partition becomes, e.g.,
+    16 rows of 64 MiB, well under the 2 GiB limit of one value."""
+    if max_record_bytes <= 0 or max_record_bytes % 16:
+        raise ValueError("max_record_bytes must be a positive multiple of 16")
+    size = size if isinstance(size, Column) else F.lit(int(size))
+    m = F.lit(int(max_record_bytes))
+    n_chunks = F.greatest(F.ceil(size / m).cast("bigint"), F.lit(1))
+    rows = df.select(F.col(id_col).alias("id"), size.alias("_tl_size"),
+                     F.explode(F.sequence(F.lit(0).cast("bigint"), n_chunks - 1)).alias("chunk"))
+    start = F.col("chunk") * m
+    length = F.least(m, F.col("_tl_size") - start).cast("int")
+    body = rng.zeros(length) if zero else rng.payload_slice(seed, F.col("id"), start, length)
+    return rows.select("id", "chunk", body.alias("payload"))
+
+
 def random_payloads_for(df: DataFrame, id_col: str, size: Column | int, seed: int = 42,
                         out: str = "payload") -> DataFrame:
     """Add ``size`` random bytes keyed by (seed, id) to every row."""
