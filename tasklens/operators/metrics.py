@@ -230,6 +230,14 @@ def flat_tasks_full(lines: DataFrame, stage_index: int | None = 1,
     return t.select("app", *cols)
 
 
+def pool_task_metrics(lines: DataFrame, stage_index: int = 1, **kw) -> DataFrame:
+    """The ``stage_index``-th stage's tasks of every run read, pooled.
+
+    Many runs are read in one scan (a glob over their logs); the stage index
+    is resolved per log (``app``); nothing is collected on the driver."""
+    return flat_tasks_full(lines, stage_index=stage_index, **kw)
+
+
 # ------------------------------------------------------------------ A5
 
 def index_stats(df: DataFrame, by: str | list[str] = "taskIndex",

@@ -53,7 +53,7 @@ def m5(spark, sf_dir):
 @register("U2_pool_stage2")
 def u2(spark, sf_dir):
     """O2 + U2: the tasks of the 2nd stage of every app, pooled."""
-    return rounded(M.flat_tasks_full(table_log(spark, sf_dir), stage_index=2))
+    return rounded(M.pool_task_metrics(table_log(spark, sf_dir), stage_index=2))
 
 
 @register("O2_nth_stage")
