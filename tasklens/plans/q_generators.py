@@ -36,11 +36,13 @@ def _with_part(df):
 
 @register("G1_index_partitions")
 def g1(spark, sf_dir):
+    """G1: ids 1..n with n = number of suppliers, one per partition, with the partition id."""
     return _with_part(G.index_partitions(spark, _n_suppliers(spark, sf_dir)))
 
 
 @register("G2_zero_partitions")
 def g2(spark, sf_dir):
+    """One 17-byte zero payload per partition (n = suppliers); length and md5 of its hex."""
     df = G.zero_partitions(spark, _n_suppliers(spark, sf_dir), 17)
     return _with_part(df).select("id", "part", F.length("payload").alias("n_bytes"),
                                  F.md5(F.hex("payload")).alias("payload_md5"))
@@ -48,6 +50,7 @@ def g2(spark, sf_dir):
 
 @register("G3_random_partitions")
 def g3(spark, sf_dir):
+    """One 40-byte seeded random payload per partition (n = suppliers), as hex."""
     df = G.random_partitions(spark, _n_suppliers(spark, sf_dir), 40, SEED)
     return _with_part(df).select("id", "part", F.length("payload").alias("n_bytes"),
                                  F.hex("payload").alias("payload_hex"))
@@ -61,6 +64,7 @@ def _nation_sizes(nation):
 
 @register("G4_sized_partitions")
 def g4(spark, sf_dir):
+    """Payload size looked up by supplier nation in a sizes table from nation (regions 0-2), default 1."""
     supplier, nation = tables(spark, sf_dir, "supplier", "nation")
     df = G.sized_payloads_for(supplier.select(F.col("s_suppkey").alias("id"),
                                               F.col("s_nationkey").alias("label")),
@@ -79,6 +83,7 @@ def g4e(spark, sf_dir):
 
 @register("G4h_sized_by_host")
 def g4h(spark, sf_dir):
+    """G4h: payload size by the host that builds each partition (a size for this host, default 1)."""
     n = _n_suppliers(spark, sf_dir)
     df = G.sized_partitions_by_host(spark, n, {socket.gethostname(): 8}, default_size=1, seed=SEED)
     return df.select("id", "size", F.length("payload").alias("n_bytes"))
@@ -86,6 +91,7 @@ def g4h(spark, sf_dir):
 
 @register("G5_keyed_records")
 def g5(spark, sf_dir):
+    """One keyed record per order key: key uniform in [0, 7), 8 random bytes."""
     (orders,) = tables(spark, sf_dir, "orders")
     df = G.keyed_records_for(orders, "o_orderkey", num_keys=7, record_size=8, seed=SEED)
     return df.select("id", "key", F.hex("payload").alias("payload_hex"))
@@ -93,6 +99,7 @@ def g5(spark, sf_dir):
 
 @register("G6_union_batches")
 def g6(spark, sf_dir):
+    """The keyed records built in three pieces (by order status) and bag-unioned."""
     (orders,) = tables(spark, sf_dir, "orders")
     pieces = [G.keyed_records_for(orders.where(F.col("o_orderstatus") == s), "o_orderkey",
                                   num_keys=7, record_size=8, seed=SEED)
@@ -102,6 +109,7 @@ def g6(spark, sf_dir):
 
 @register("G7_processes")
 def g7(spark, sf_dir):
+    """One sample per order key of every random process spec (c, x, e, w, w with scale, default, unknown)."""
     (orders,) = tables(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     cols = [G.process_column(spec, SEED, name, k).alias(name)
@@ -111,18 +119,21 @@ def g7(spark, sf_dir):
 
 @register("G8_job_tasks")
 def g8(spark, sf_dir):
+    """Per order (job) 4 tasks with exponential service times keyed by (job, task)."""
     (orders,) = tables(spark, sf_dir, "orders")
     return rounded(G.job_tasks_for(orders, "o_orderkey", 4, ("x", 1.0), SEED))
 
 
 @register("G9_square_points")
 def g9(spark, sf_dir):
+    """One random point of the 2x2 square per order key."""
     (orders,) = tables(spark, sf_dir, "orders")
     return rounded(G.square_points_for(orders, "o_orderkey", SEED))
 
 
 @register("G9_pi_estimate")
 def g9pi(spark, sf_dir):
+    """4 x share of the order-keyed points inside the unit circle."""
     (orders,) = tables(spark, sf_dir, "orders")
     return G.pi_estimate(G.square_points_for(orders, "o_orderkey", SEED))
 

@@ -17,6 +17,7 @@ def table_log(spark, sf_dir):
 
 @register("A5_task_index_stats")
 def a5(spark, sf_dir):
+    """A5 (flagship): per task index, count, mean and std-dev of 11 task metrics, from the orders/lineitem event log."""
     # var_* are square roots of variances summed in different orders by two
     # engines: compare them at 3 decimals
     df = M.task_index_stats(table_log(spark, sf_dir), stage_index=None)
@@ -25,6 +26,7 @@ def a5(spark, sf_dir):
 
 @register("M1_jobs")
 def m1(spark, sf_dir):
+    """M1: jobs (submission, stage ids, end) from the orders/lineitem event log."""
     return M.jobs(table_log(spark, sf_dir)).select(
         "app", "job_id", "submission_ms", "num_stages",
         F.array_join("stage_ids", ",").alias("stage_ids"), "end_ms")
@@ -32,21 +34,25 @@ def m1(spark, sf_dir):
 
 @register("M2_stages")
 def m2(spark, sf_dir):
+    """M2: stages with the last submitted attempt and completion time."""
     return M.stages(table_log(spark, sf_dir))
 
 
 @register("M3_job_stages")
 def m3(spark, sf_dir):
+    """M3: job id -> stage ids."""
     return M.job_stages(table_log(spark, sf_dir))
 
 
 @register("M4_flat_tasks")
 def m4(spark, sf_dir):
+    """M4: the short task table (sojourn, waiting, service, ...) of all stages."""
     return rounded(M.flat_tasks(table_log(spark, sf_dir)))
 
 
 @register("M5_flat_tasks_full")
 def m5(spark, sf_dir):
+    """M5: the 35-column task table of all stages."""
     return rounded(M.flat_tasks_full(table_log(spark, sf_dir), stage_index=None))
 
 
@@ -58,6 +64,7 @@ def u2(spark, sf_dir):
 
 @register("O2_nth_stage")
 def o2(spark, sf_dir):
+    """O2: the 3rd smallest known stage id of every app."""
     return M.nth_stage(table_log(spark, sf_dir), 3)
 
 

@@ -25,16 +25,19 @@ def placement_lines(spark, sf_dir):
 
 @register("P1_block_locations")
 def p1(spark, sf_dir):
+    """Last known location of every cached block (live RDDs only) from block-update lines."""
     return P.block_locations(placement_lines(spark, sf_dir), live_only=True)
 
 
 @register("P2_placement")
 def p2(spark, sf_dir):
+    """Per task, executing executor vs storage executor of its partition."""
     return P.placement(placement_lines(spark, sf_dir))
 
 
 @register("A3_executor_partitions")
 def a3(spark, sf_dir):
+    """A3: per executor and RDD, the sorted partition ids it stores."""
     loc = P.block_locations(placement_lines(spark, sf_dir), live_only=True)
     return P.executor_partitions(loc).select(
         "app", "exec_id", "rdd_id", "n_parts",
@@ -43,11 +46,13 @@ def a3(spark, sf_dir):
 
 @register("A4_report_by_executor")
 def a4(spark, sf_dir):
+    """A4: placement rows per executing executor: tasks, local tasks, bytes."""
     return P.report_by_executor(P.placement(placement_lines(spark, sf_dir)))
 
 
 @register("P3_partition_profile")
 def p3(spark, sf_dir):
+    """Rows, bytes and key range per partition of the G3 table (n = suppliers)."""
     (supplier,) = tables(spark, sf_dir, "supplier")
     df = G.random_partitions(spark, supplier.count(), 40, SEED)
     return P.partition_profile(df, key="id", payload="payload")
@@ -55,6 +60,7 @@ def p3(spark, sf_dir):
 
 @register("P3h_partition_profile_hosts")
 def p3h(spark, sf_dir):
+    """Partition profile of keyed records hash-partitioned by key, with the host of each partition."""
     (orders,) = tables(spark, sf_dir, "orders")
     df = G.keyed_records_for(orders, "o_orderkey", 7, 16, SEED).repartition(8, "key")
     return P.partition_profile(df, key="key", payload="payload", with_host=True)
@@ -68,34 +74,40 @@ def part_payloads(spark, sf_dir):
 
 @register("E1_plain")
 def e1(spark, sf_dir):
+    """Byte max of each part's payload as a narrow projection."""
     out = E.run_plain(part_payloads(spark, sf_dir), lambda c: W.byte_max(c).cast("bigint"))
     return out.select("p_partkey", "result")
 
 
 @register("E2_staged")
 def e2(spark, sf_dir):
+    """Payloads shuffled by brand, workload, then aggregated per brand."""
     return E.run_staged(part_payloads(spark, sf_dir), "p_brand", lambda c: W.byte_max(c))
 
 
 @register("E3_barrier")
 def e3(spark, sf_dir):
+    """Byte max of each part's payload in barrier mode (all tasks start together)."""
     return E.run_barrier(part_payloads(spark, sf_dir), "p_partkey", num_partitions=4).select(
         F.col("id").alias("p_partkey"), "result")
 
 
 @register("E4_persisted")
 def e4(spark, sf_dir):
+    """Byte max over a persisted (memory and disk) copy of the part payloads."""
     cached = E.Persisted(part_payloads(spark, sf_dir), StorageLevel.MEMORY_AND_DISK)
     return cached.run(lambda c: W.byte_max(c).cast("bigint")).select("p_partkey", "result")
 
 
 @register("A6_slice_count")
 def a6(spark, sf_dir):
+    """Number of slices (part payloads) the workload ran on."""
     return E.slice_count(E.run_plain(part_payloads(spark, sf_dir), lambda c: W.byte_max(c)))
 
 
 @register("A7_staged_count")
 def a7(spark, sf_dir):
+    """The two-shuffle staged count over part keys (1 for any non-empty input)."""
     (part,) = tables(spark, sf_dir, "part")
     return E.staged_count(part, "p_partkey")
 

@@ -40,6 +40,7 @@ def queue_tasks(spark, sf_dir, tasks: int = 3):
 
 @register("Q1_arrival_schedule")
 def q1(spark, sf_dir):
+    """Q1: per user queue, arrival = running sum of earlier exponential inter-arrival gaps."""
     (events,) = tables(spark, sf_dir, "events")
     ia = F.round(-F.ln(rng.uniform(SEED, "ia", F.col("event_id"))) * F.lit(60000000.0)).cast("bigint")
     df = events.select("user_id", "event_id", "ts", ia.alias("interarrival"))
@@ -55,16 +56,19 @@ def _q2(spark, sf_dir, method):
 
 @register("Q2_fifo_departures")
 def q2(spark, sf_dir):
+    """Q2: FIFO departure, waiting and sojourn times per user queue (blocked max-plus scan, 16-job blocks)."""
     return _q2(spark, sf_dir, "blocked")
 
 
 @register("Q2w_fifo_departures_window")
 def q2w(spark, sf_dir):
+    """Q2: the same with one window per queue."""
     return _q2(spark, sf_dir, "window")
 
 
 @register("Q3_forkjoin_departures")
 def q3(spark, sf_dir):
+    """Q3: fork-join: 3 tasks per job, task i on worker i, job leaves with its last task."""
     t = queue_tasks(spark, sf_dir)
     return Q.forkjoin_departures(t, ["user_id"], "event_id", "task", ORDER, method="blocked",
                                  block_size=BLOCK)
@@ -72,6 +76,7 @@ def q3(spark, sf_dir):
 
 @register("Q4_barrier_departures")
 def q4(spark, sf_dir):
+    """Q4: barrier mode: a job's service is its longest task, one FIFO queue of jobs."""
     t = queue_tasks(spark, sf_dir)
     return Q.barrier_departures(t, ["user_id"], "event_id", ORDER, method="blocked",
                                 block_size=BLOCK)

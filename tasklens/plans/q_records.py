@@ -31,6 +31,7 @@ def w3(spark, sf_dir):
 
 @register("W7_record_lt")
 def w7(spark, sf_dir):
+    """l_partkey record < l_suppkey record as unsigned big-endian integers."""
     li = lineitem(spark, sf_dir)
     lt = R.record_lt(R.be_record(F.col("l_partkey")), R.be_record(F.col("l_suppkey")))
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", lt.alias("lt"))
@@ -38,6 +39,7 @@ def w7(spark, sf_dir):
 
 @register("W7s_record_lt_signed")
 def w7s(spark, sf_dir):
+    """W7 signed: the same on 4-byte records compared byte-wise signed."""
     li = lineitem(spark, sf_dir)
     a = R.be_record(F.col("l_partkey"), 4)
     b = R.be_record(F.col("l_suppkey") * 131, 4)
@@ -47,6 +49,7 @@ def w7s(spark, sf_dir):
 
 @register("A1_group_records")
 def a1(spark, sf_dir):
+    """A1: every order's records (big-endian l_partkey) in one array, in row order."""
     li = lineitem(spark, sf_dir).withColumn("rec", R.be_record(F.col("l_partkey")))
     g = R.group_records(li, "l_orderkey", "rec", order=TIE)
     return g.select("l_orderkey", F.size("records").alias("n_records"),
@@ -55,18 +58,21 @@ def a1(spark, sf_dir):
 
 @register("A2_keyed_max_last_byte")
 def a2(spark, sf_dir):
+    """A2: per order, the last byte (signed) of its largest record."""
     li = lineitem(spark, sf_dir).withColumn("rec", R.be_record(F.col("l_partkey")))
     return R.keyed_max_last_byte(li, "l_orderkey", "rec")
 
 
 @register("A2s_keyed_max_last_byte_signed")
 def a2s(spark, sf_dir):
+    """A2 signed: the same under the byte-wise signed order of 4-byte records."""
     li = lineitem(spark, sf_dir).withColumn("rec", R.be_record(F.col("l_partkey"), 4))
     return R.keyed_max_last_byte(li, "l_orderkey", "rec", signed=True)
 
 
 @register("O1_sort_records")
 def o1(spark, sf_dir):
+    """O1: stable sort of every order's records; position within the order."""
     li = lineitem(spark, sf_dir).withColumn("rec", R.be_record(F.col("l_partkey")))
     s = R.sort_records(li, "l_orderkey", "rec", tie=TIE)
     return s.select("l_orderkey", "pos", F.hex("rec").alias("rec_hex"), "l_linenumber", "l_suppkey")

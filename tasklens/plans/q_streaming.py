@@ -19,6 +19,7 @@ def _log_stream(spark, sf_dir):
 
 @register("S2_stream_event_counts")
 def s2(spark, sf_dir):
+    """The event log written as files and read as a stream; events per app and type."""
     lines = _log_stream(spark, sf_dir)
     ev = F.get_json_object("value", "$.Event")
     counts = lines.groupBy(F.col("log").alias("app"), ev.alias("event")).agg(
@@ -28,6 +29,7 @@ def s2(spark, sf_dir):
 
 @register("M6_stream_task_index_stats")
 def m6(spark, sf_dir):
+    """M6: per task index statistics of task-local metrics, kept by a streaming aggregation."""
     stats = S.task_local_index_stats(_log_stream(spark, sf_dir))
     out = S.run_to_table(stats, "complete")
     return rounded(rounded(out, 3, prefix="var_"), 6)

@@ -23,28 +23,33 @@ def docs(spark, sf_dir):
 
 @register("W1_byte_max")
 def w1(spark, sf_dir):
+    """Largest signed byte of every document (whole UTF-8 text)."""
     return docs(spark, sf_dir).select("doc_id", W.byte_max(F.col("payload")).alias("byte_max"))
 
 
 @register("W2_byte_min")
 def w2(spark, sf_dir):
+    """Smallest signed byte of every document."""
     return docs(spark, sf_dir).select("doc_id", W.byte_min(F.col("payload")).alias("byte_min"))
 
 
 @register("W3_doc_pair_sign_sum")
 def w3d(spark, sf_dir):
+    """Sum over byte pairs i<j of sign(a_i - a_j) for every whole document."""
     return docs(spark, sf_dir).select(
         "doc_id", W.pair_sign_sum(F.col("payload")).alias("pair_sign_sum"))
 
 
 @register("W4_random_element")
 def w4(spark, sf_dir):
+    """One seeded random byte of every document."""
     return docs(spark, sf_dir).select(
         "doc_id", W.random_element(F.col("payload"), SEED, F.col("doc_id")).alias("element"))
 
 
 @register("W5_log_walk_element")
 def w5(spark, sf_dir):
+    """The halving random walk's byte sum and a random byte of every document."""
     walk = W.log_walk(F.col("payload"), SEED, F.col("doc_id"))
     return docs(spark, sf_dir).select("doc_id", walk["walk_sum"].alias("walk_sum"),
                                       walk["element"].alias("element"))
@@ -52,6 +57,7 @@ def w5(spark, sf_dir):
 
 @register("W6_scramble_bytes")
 def w6(spark, sf_dir):
+    """Every document after 16 seeded random byte writes (length, md5 of hex)."""
     s = W.scramble_bytes(F.col("payload"), SEED, F.col("doc_id"), N_WRITES)
     return docs(spark, sf_dir).select("doc_id", F.length(s).alias("n_bytes"),
                                       F.md5(F.hex(s)).alias("payload_md5"))
@@ -59,6 +65,7 @@ def w6(spark, sf_dir):
 
 @register("W6h_scramble_head")
 def w6h(spark, sf_dir):
+    """W6h: the first byte of every scrambled document."""
     return docs(spark, sf_dir).select(
         "doc_id", W.scramble_head(F.col("payload"), SEED, F.col("doc_id"), N_WRITES).alias("head"))
 
@@ -76,6 +83,7 @@ def w8(spark, sf_dir):
 
 @register("W9_apply_workload_by")
 def w9(spark, sf_dir):
+    """The workload chosen by document language (en: max, de: min, fr: random byte, else length)."""
     d = docs(spark, sf_dir)
     by_lang = {
         "en": lambda c: W.byte_max(c).cast("bigint"),
