@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 from ..sources import eventlog as ev
 
+# Column names and order of the task tables and of the
+# per-index statistics, as the original defines them.
+
 #: Columns of the full task table, in order (after ``app``).
 FULL_TASK_COLUMNS = [
     "taskId", "stageId", "taskIndex", "executorId", "host", "local",

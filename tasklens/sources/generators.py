@@ -176,7 +176,7 @@ def union_batches(pieces: list[DataFrame]) -> DataFrame:
 def process_column(spec, seed, tag: str, *ids: Column, strict: bool = False) -> Column:
     """One sample of a random process as a Column.
 
-    Specs (as in the command line of the original tool):
+    Specs (fixed values: the letters and arities of the original tool):
       ``()``                   constant 1.0
       ``("c", rate)``          constant 1/rate
       ``("x", rate)``          exponential, -ln(U)/rate
