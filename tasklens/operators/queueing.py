@@ -18,8 +18,8 @@ small table of block summaries, and combines:
 S0: service of all earlier blocks; M0: max over earlier blocks of their
 M - S0). A queue holding a third of all rows is then spread over
 n / block_size window partitions. ``method="auto"`` (default) checks the
-largest queue first and takes the one-window form when it has at most
-``plans.ranking.WINDOW_MAX_ROWS`` jobs, else the blocked form.
+largest queue first and takes the one-window form when it fits one task
+(``plans.ranking.window_is_safe``), else the blocked form.
 
 Times are integers (e.g. microseconds); arrivals are never summed (epoch
 microseconds would overflow), only services and inter-arrival gaps.
@@ -38,8 +38,7 @@ _UNB = Window.unboundedPreceding
 
 def _resolve(df: DataFrame, queue: list[str], method: str) -> str:
     if method == "auto":
-        small = ranking.largest_group(df, queue) <= ranking.WINDOW_MAX_ROWS
-        return "window" if small else "blocked"
+        return "window" if ranking.window_is_safe(df, queue) else "blocked"
     if method not in ("window", "blocked"):
         raise ValueError("method must be 'auto', 'window' or 'blocked'")
     return method

@@ -99,8 +99,9 @@ def sort_records(df: DataFrame, key: str, rec: str, tie: list[str] | None = None
     """O1: stable sort of each key's records; adds 1-based ``pos``.
 
     Ties under the record order keep the order of ``tie`` columns. A key
-    larger than ``plans.ranking.WINDOW_MAX_ROWS`` is range-partitioned on
-    (key, order) and split over tasks instead of sorted in one.
+    too large for one task (``plans.ranking.window_is_safe``) is
+    range-partitioned on (key, order) and split over tasks instead of
+    sorted in one.
     """
     okey = "_tl_okey"
     with_key = df.withColumn(okey, record_order_key(F.col(rec), signed))

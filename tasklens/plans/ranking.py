@@ -90,24 +90,40 @@ WINDOW_MAX_ROWS = 2_000_000
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
     """Rows of the biggest group (one partial aggregate, one scalar back)."""
-    top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return int(top or 0)
+    return group_sizes(df, keys)[0]
+
+
+def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """(rows of the biggest group, all rows), from one aggregate."""
+    top, total = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+    return int(top or 0), int(total or 0)
+
+
+def window_is_safe(df: DataFrame, keys: list[str], window_max_rows: int | None = None) -> bool:
+    """True when the largest group fits one task comfortably: at most
+    ``max(window_max_rows, 2 * rows / spark.sql.shuffle.partitions)`` rows,
+    i.e. never more than twice an average shuffle partition beyond the
+    absolute floor. ``window_max_rows=0`` never allows the window."""
+    floor = WINDOW_MAX_ROWS if window_max_rows is None else window_max_rows
+    top, total = group_sizes(df, keys)
+    parts = _num_parts(df, None)
+    return top <= max(floor, 2 * total // parts) if floor > 0 else False
 
 
 def rank_within(df: DataFrame, keys: list[str], order: list[str | Column],
                 out: str = "pos", num_partitions: int | None = None,
-                method: str = "auto", window_max_rows: int = WINDOW_MAX_ROWS) -> DataFrame:
+                method: str = "auto", window_max_rows: int | None = None) -> DataFrame:
     """``row_number() OVER (PARTITION BY keys ORDER BY order)`` (1-based).
 
     ``method="range"``: global row number over ``keys + order`` minus the
     first number of each key; a hot key is spread over range partitions
     and the per-key minimum is a partial aggregate.
     ``method="window"``: the plain window (one hash shuffle; a key is one
-    task). ``method="auto"`` (default): the window when the largest key has
-    at most ``window_max_rows`` rows (checked first), else the range method.
+    task). ``method="auto"`` (default): the window when ``window_is_safe``
+    (the largest key checked first), else the range method.
     """
     if method == "auto":
-        method = "window" if largest_group(df, keys) <= window_max_rows else "range"
+        method = "window" if window_is_safe(df, keys, window_max_rows) else "range"
     if method == "window":
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(out, F.row_number().over(w))
