@@ -13,6 +13,9 @@ parent folder for rolled ``eventlog_v2_*`` logs.
 
 from __future__ import annotations
 
+import io
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,7 +67,9 @@ def read_event_log(spark: SparkSession, paths: str | list[str],
     ``paths`` may be files, folders or globs; Spark decompresses ``.zstd``,
     ``.lz4``, ``.snappy`` and ``.gz`` files by extension. For rolled logs
     (``eventlog_v2_*`` folders) only ``events_*`` files are read and the
-    folder is the log key.
+    folder is the log key. A compressed file still being written
+    (``*.zstd.inprogress``) decodes to no event lines here; read it with
+    ``read_zstd_event_log`` (or ``current_app_log`` for the own session).
     """
     if isinstance(paths, str):
         paths = [paths]
@@ -74,6 +79,85 @@ def read_event_log(spark: SparkSession, paths: str | list[str],
     return with_log_key(reader.load(paths))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _zstd_lines(contents: pd.Series) -> pd.Series:
+    """zstd file bytes -> text lines, across frames; a file still being
+    written (unfinished last frame) yields its complete prefix."""
+    import zstandard
+
+    out = []
+    for data in contents:
+        buf = bytearray()
+        reader = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(bytes(data)),
+                                                            read_across_frames=True)
+        try:
+            while True:
+                chunk = reader.read(1 << 20)
+                if not chunk:
+                    break
+                buf += chunk
+        except zstandard.ZstdError:
+            pass
+        out.append(bytes(buf).decode("utf-8", errors="replace").split("\n"))
+    return pd.Series(out)
+
+
+def read_zstd_event_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``(log, value, seq)`` lines of zstd-compressed logs, including files
+    still being written (which the text reader, choosing the codec by file
+    name, cannot decode). One file per row: rolled files are bounded by
+    ``spark.eventLog.rolling.maxFileSize``. ``seq`` orders lines by rolled
+    file number, then position."""
+    files = spark.read.format("binaryFile").load(paths if isinstance(paths, list) else [paths])
+    path = F.col("path")
+    log = F.when(path.contains("/eventlog_v2_"),
+                 F.regexp_extract(path, r"^(.*)/[^/]*$", 1)).otherwise(path)
+    number = F.nullif(F.regexp_extract(path, r"/events_(\d+)_[^/]*$", 1), F.lit(""))
+    part = F.coalesce(number.cast("bigint"), F.lit(0).cast("bigint"))
+    lines = files.select(log.alias("log"), part.alias("_tl_file"),
+                         F.posexplode(_zstd_lines("content")).alias("_tl_pos", "value"))
+    return (lines.where(F.length("value") > 0)
+            .select("log", "value", (F.shiftleft("_tl_file", 32) + F.col("_tl_pos")).alias("seq")))
+
+
+def current_app_log(spark: SparkSession) -> DataFrame:
+    """The lines of this application's own event log, read while it runs.
+
+    Needs ``spark.eventLog.enabled=true`` (and, for block placement,
+    ``spark.eventLog.logBlockUpdates.enabled=true``) when the session is
+    built. This replaces an in-process listener: the job, stage, task and
+    placement tables of the session's own jobs come from the same parsers.
+    Spark flushes the log at stage and job ends.
+    """
+    conf = spark.sparkContext.getConf()
+    if conf.get("spark.eventLog.enabled", "false").lower() != "true":
+        raise ValueError("spark.eventLog.enabled is not set for this session")
+    base = conf.get("spark.eventLog.dir", "/tmp/spark-events").rstrip("/")
+    app = spark.sparkContext.applicationId
+    jvm = spark.sparkContext._jvm
+    hconf = spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(hconf)
+    names = [st.getPath().getName() for st in fs.listStatus(path)]
+    rolled = [n for n in names if n == f"eventlog_v2_{app}"]
+    if rolled:
+        folder = f"{base}/{rolled[0]}"
+        inner = [st.getPath().getName() for st in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder))]
+        events = [n for n in inner if n.startswith("events_")]
+        if any(".zstd" in n for n in events):
+            return read_zstd_event_log(spark, [f"{folder}/{n}" for n in events])
+        return read_event_log(spark, folder, rolled=True)
+    plain = [n for n in names if n == app or n.startswith(app + ".")]
+    if not plain:
+        raise FileNotFoundError(f"no event log of {app} under {base}")
+    if any(".zstd" in n for n in plain):
+        return read_zstd_event_log(spark, [f"{base}/{n}" for n in plain])
+    if any(n.split(".")[-1] in ("lz4", "snappy", "lzf") or ".lz4." in n or ".snappy." in n for n in plain):
+        raise ValueError("an in-progress log compressed with lz4/snappy cannot be read; "
+                         "use zstd (the default), rolling logs, or spark.eventLog.compress=false")
+    return read_event_log(spark, [f"{base}/{n}" for n in plain])
+
+
 def with_log_key(df: DataFrame) -> DataFrame:
     """``(log, value)``: a ``log=<key>`` folder partition when the logs are
     laid out that way, else the file (the folder for rolled logs)."""

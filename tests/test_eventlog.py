@@ -163,3 +163,15 @@ def test_live_log_app_ids(live_lines):
     assert len(ids) == 1 and ids[0].app_id.startswith("local-") and ids[0].app_name == "live-probe"
     joined = M.jobs(live_lines).join(ev.app_ids(live_lines).withColumnRenamed("log", "app"), "app")
     assert joined.select("app_id").distinct().count() == 1
+
+
+@pytest.mark.parametrize("rolling", [False, True])
+def test_current_app_log(tmp_path, rolling):
+    """A session reads its own (in-progress) log: the persisted table's six
+    partitions are on disk, and the workload's tasks are placed on them."""
+    app = os.path.join(os.path.dirname(os.path.abspath(__file__)), "apps", "own_log_app.py")
+    res = subprocess.run([sys.executable, app, str(tmp_path), "1" if rolling else "0"],
+                         check=True, capture_output=True, text=True, timeout=600)
+    out = json.loads([ln for ln in res.stdout.splitlines() if ln.startswith("RESULT ")][-1][7:])
+    assert out["jobs"] >= 2 and out["tasks"] >= 12
+    assert out["blocks"] == 6 and out["placed"] >= 6
