@@ -619,3 +619,6 @@ SELECT CAST(i AS INTEGER) AS id, c AS chunk,
          AS payload_hex
 FROM (SELECT unnest(range(1, {_NSUP} + 1)) AS i), (SELECT unnest(range(0, 4)) AS c)
 """)
+
+oracle("M5k_flat_tasks_keep_incomplete",
+       _TASKS_CTE.replace("FROM tt WHERE end_ms IS NOT NULL)", "FROM tt)") + "SELECT * FROM t")

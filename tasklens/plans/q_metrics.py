@@ -88,3 +88,10 @@ def a5m(spark, sf_dir):
     lines = spark.read.parquet(path)
     df = M.task_index_stats(lines, stage_index=None)
     return rounded(rounded(df, 3, prefix="var_"), 6)
+
+
+@register("M5k_flat_tasks_keep_incomplete")
+def m5k(spark, sf_dir):
+    """M5 with keep_incomplete=True: every task, also of jobs that never
+    ended (their sojournTime is NULL)."""
+    return rounded(M.flat_tasks_full(table_log(spark, sf_dir), stage_index=None, keep_incomplete=True))
