@@ -60,19 +60,54 @@ APP_START = _struct(("Event", S), ("App Name", S), ("App ID", S), ("Timestamp",
 
 # ---------------------------------------------------------------- reading
 
+def _list_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Files under the given files, folders or globs (one level deep)."""
+    jvm = spark.sparkContext._jvm
+    hconf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        fs = hp.getFileSystem(hconf)
+        for st in fs.globStatus(hp) or []:
+            if st.isDirectory():
+                out += [c.getPath().toString() for c in fs.listStatus(st.getPath()) if c.isFile()]
+            else:
+                out.append(st.getPath().toString())
+    return out
+
+
 def read_event_log(spark: SparkSession, paths: str | list[str],
-                   rolled: bool | None = None) -> DataFrame:
+                   rolled: bool | None = None, include_in_progress: bool = False) -> DataFrame:
     """Raw lines ``(log STRING, value STRING)`` of one or many event logs.
 
     ``paths`` may be files, folders or globs; Spark decompresses ``.zstd``,
     ``.lz4``, ``.snappy`` and ``.gz`` files by extension. For rolled logs
     (``eventlog_v2_*`` folders) only ``events_*`` files are read and the
     folder is the log key. A compressed file still being written
-    (``*.zstd.inprogress``) decodes to no event lines here; read it with
-    ``read_zstd_event_log`` (or ``current_app_log`` for the own session).
+    (``*.zstd.inprogress``) decodes to no event lines with the text reader;
+    ``include_in_progress=True`` lists the files and reads those with
+    ``read_zstd_event_log`` (the result then carries a ``seq`` column).
     """
     if isinstance(paths, str):
         paths = [paths]
+    if include_in_progress:
+        files = [f for f in _list_files(spark, paths)
+                 if not f.rsplit("/", 1)[-1].startswith((".", "_"))
+                 and (not rolled or "/events_" in f)]
+        live = [f for f in files if ".zstd" in f.rsplit("/", 1)[-1] and f.endswith(".inprogress")]
+        rest = [f for f in files if f not in live]
+        parts = []
+        if rest:
+            parts.append(read_event_log(spark, rest, rolled=False).withColumn(
+                "seq", F.monotonically_increasing_id()))
+        if live:
+            parts.append(read_zstd_event_log(spark, live))
+        if not parts:
+            raise FileNotFoundError(f"no event-log files under {paths}")
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
     reader = spark.read.format("text").option("recursiveFileLookup", "false")
     if rolled:
         reader = reader.option("pathGlobFilter", "events_*")

@@ -175,3 +175,24 @@ def test_current_app_log(tmp_path, rolling):
     out = json.loads([ln for ln in res.stdout.splitlines() if ln.startswith("RESULT ")][-1][7:])
     assert out["jobs"] >= 2 and out["tasks"] >= 12
     assert out["blocks"] == 6 and out["placed"] >= 6
+
+
+def test_read_folder_with_running_app(spark, tmp_path):
+    """A folder holding a finished plain log and a zstd log still being
+    written: with include_in_progress both apps' jobs are read."""
+    import zstandard
+    finished = tmp_path / "app-done"
+    finished.write_text("\n".join([
+        json.dumps({"Event": "SparkListenerJobStart", "Job ID": 0, "Submission Time": 1, "Stage IDs": [0]}),
+        json.dumps({"Event": "SparkListenerJobEnd", "Job ID": 0, "Completion Time": 5})]) + "\n")
+    running = "\n".join([
+        json.dumps({"Event": "SparkListenerJobStart", "Job ID": 7, "Submission Time": 10, "Stage IDs": [3]}),
+        json.dumps({"Event": "SparkListenerJobStart", "Job ID": 8, "Submission Time": 11, "Stage IDs": [4]}),
+        '{"Event":"SparkListenerJobEnd","Job I']).encode()
+    c = zstandard.ZstdCompressor()
+    blob = c.compress(running[:40]) + c.compress(running[40:])       # two frames
+    (tmp_path / "app-live.zstd.inprogress").write_bytes(blob)
+    lines = ev.read_event_log(spark, str(tmp_path), include_in_progress=True)
+    got = sorted((r.app.rsplit("/", 1)[1], r.job_id, r.end_ms) for r in M.jobs(lines).collect())
+    assert got == [("app-done", 0, 5), ("app-live.zstd.inprogress", 7, None),
+                   ("app-live.zstd.inprogress", 8, None)]
