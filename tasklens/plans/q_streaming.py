@@ -11,6 +11,13 @@ from .q_metrics import table_log
 from .registry import register, rounded
 
 
+def _state_parts(spark) -> int:
+    """State-store partitions: one per core of the session. The state here
+    is small (aggregates per task index, join state of the table-derived
+    log); on a cluster size it to the join state behind the watermark."""
+    return spark.sparkContext.defaultParallelism
+
+
 def _log_stream(spark, sf_dir):
     folder = S.scratch_path(spark, "logs")
     S.write_log_files(table_log(spark, sf_dir), folder, files_per_log=2)
@@ -24,14 +31,14 @@ def s2(spark, sf_dir):
     ev = F.get_json_object("value", "$.Event")
     counts = lines.groupBy(F.col("log").alias("app"), ev.alias("event")).agg(
         F.count(F.lit(1)).alias("n"))
-    return S.run_to_table(counts, "complete")
+    return S.run_to_table(counts, "complete", state_partitions=_state_parts(spark))
 
 
 @register("M6_stream_task_index_stats")
 def m6(spark, sf_dir):
     """M6: per task index statistics of task-local metrics, kept by a streaming aggregation."""
     stats = S.task_local_index_stats(_log_stream(spark, sf_dir))
-    out = S.run_to_table(stats, "complete")
+    out = S.run_to_table(stats, "complete", state_partitions=_state_parts(spark))
     return rounded(rounded(out, 3, prefix="var_"), 6)
 
 
@@ -44,7 +51,7 @@ def m6w(spark, sf_dir):
     S.write_log_files(table_log(spark, sf_dir), folder, files_per_log=2)
     stream = S.read_event_log_stream(spark, folder)
     stats = S.windowed_index_stats(stream, "365 days", "1 hour", "1 day")
-    out = S.run_to_table(stats, "append")
+    out = S.run_to_table(stats, "append", state_partitions=_state_parts(spark))
     out = out.select(F.unix_millis("window_start").alias("window_start_ms"),
                      F.unix_millis("window_end").alias("window_end_ms"),
                      *[c for c in out.columns if c not in ("window_start", "window_end")])
