@@ -61,7 +61,7 @@ def block_locations(lines: DataFrame, live_only: bool = True) -> DataFrame:
 def stage_cached_rdds(lines: DataFrame) -> DataFrame:
     """``(app, stage_id, rdd_id)``: the persisted RDDs a stage reads
     (RDD Info entries with a disk or memory storage level)."""
-    st = ev.stage_events(lines).select(
+    st = ev.stage_events(lines, rdd_info=True).select(
         F.col("log").alias("app"), "stage_id", F.explode("rdd_info").alias("r"))
     lvl = F.col("r.`Storage Level`")
     return (st.where(F.coalesce(lvl["Use Disk"], F.lit(False)) | F.coalesce(lvl["Use Memory"], F.lit(False)))

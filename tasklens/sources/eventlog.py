@@ -271,16 +271,23 @@ def job_end_events(lines: DataFrame) -> DataFrame:
                     F.col("e.`Completion Time`").alias("end_ms"))
 
 
-def stage_events(lines: DataFrame, completed: bool = False) -> DataFrame:
+_STAGE_TIMES = _struct(("Event", S), ("Stage Info", _struct(
+    ("Stage ID", L), ("Stage Attempt ID", I), ("Submission Time", L), ("Completion Time", L))))
+
+
+def stage_events(lines: DataFrame, completed: bool = False, rdd_info: bool = False) -> DataFrame:
+    """StageSubmitted (or StageCompleted) facts; the nested ``RDD Info``
+    list is parsed only when ``rdd_info=True`` (placement needs it)."""
     name = "SparkListenerStageCompleted" if completed else "SparkListenerStageSubmitted"
-    e = _parse(lines, name, STAGE_EVENT)
+    e = _parse(lines, name, STAGE_EVENT if rdd_info else _STAGE_TIMES)
     si = "e.`Stage Info`"
-    return e.select("log",
-                    F.col(f"{si}.`Stage ID`").alias("stage_id"),
-                    F.col(f"{si}.`Stage Attempt ID`").alias("attempt"),
-                    F.col(f"{si}.`Submission Time`").alias("submission_ms"),
-                    F.col(f"{si}.`Completion Time`").alias("completion_ms"),
-                    F.col(f"{si}.`RDD Info`").alias("rdd_info"))
+    cols = [F.col(f"{si}.`Stage ID`").alias("stage_id"),
+            F.col(f"{si}.`Stage Attempt ID`").alias("attempt"),
+            F.col(f"{si}.`Submission Time`").alias("submission_ms"),
+            F.col(f"{si}.`Completion Time`").alias("completion_ms")]
+    if rdd_info:
+        cols.append(F.col(f"{si}.`RDD Info`").alias("rdd_info"))
+    return e.select("log", *cols)
 
 
 #: TaskEnd columns: output name -> (JSON path, type).
