@@ -20,3 +20,14 @@ def test_partition_report(tmp_path):
 def test_arrival_experiment():
     out = _run("examples/arrival_experiment.py", "50", "4", "0.5", "1.0")
     assert "fork-join" in out and "barrier" in out
+
+
+def test_cli_index_stats(tmp_path):
+    """The command line over a live log of our own job."""
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    _run(os.path.join("tests", "apps", "live_app.py"), str(logs))
+    out = _run("-m", "tasklens", "index-stats", f"{logs}/eventlog_v2_*", "--rolled")
+    assert "taskIndex" in out and "avg_serviceTime" in out
+    _run("-m", "tasklens", "tasks", f"{logs}/eventlog_v2_*", "--rolled", "--out", str(tmp_path / "t"))
+    assert any(p.suffix == ".parquet" for p in (tmp_path / "t").iterdir())
