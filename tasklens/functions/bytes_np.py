@@ -82,3 +82,28 @@ def pair_sign_sum_bruteforce(a) -> int:
     for i in range(len(a) - 1):
         total += int(np.sign(a[i] - a[i + 1:]).sum())
     return total
+
+
+def uniform(seed, tag, *ids) -> float:
+    """Python twin of ``functions.rng.uniform`` (same md5 formula)."""
+    import hashlib
+    key = ":".join(str(x) for x in (seed, tag, *ids)).encode()
+    return (int(hashlib.md5(key).hexdigest()[:13], 16) + 0.5) / float(2 ** 52)
+
+
+def scramble(a: np.ndarray, seed, rid, n_writes: int) -> np.ndarray:
+    """W6 on one array: write k (1..n_writes) puts floor(U(seed,'w6p',id,k)*n)
+    <- floor(U(seed,'w6v',id,k)*256) - 128; the last write to a position
+    wins. O(n + n_writes)."""
+    out = a.copy()
+    n = len(out)
+    if n == 0 or n_writes <= 0:
+        return out
+    ks = range(1, n_writes + 1)
+    pos = np.fromiter((int(uniform(seed, "w6p", rid, k) * n) for k in ks), dtype=np.int64, count=n_writes)
+    val = np.fromiter((int(uniform(seed, "w6v", rid, k) * 256) - 128 for k in ks), dtype=np.int64,
+                      count=n_writes)
+    # keep the last write of every position, then assign once
+    last = n_writes - 1 - np.unique(pos[::-1], return_index=True)[1]
+    out[pos[last]] = val[last].astype(np.int8)
+    return out

@@ -108,13 +108,34 @@ def log_walk(payload: Column, seed, *ids: Column) -> Column:
 # ------------------------------------------------------------------ W6
 
 
-def scramble_bytes(payload: Column, seed, id_col: Column, n_writes: int) -> Column:
+def _scramble_udf(seed, n_writes: int):
+    @F.pandas_udf(T.BinaryType())
+    def _udf(payloads: pd.Series, ids: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else
+                          bytes_np.scramble(bytes_np.as_int8(b), seed, rid, n_writes).tobytes()
+                          for b, rid in zip(payloads, ids)])
+    return _udf
+
+
+#: Above this many writes ``scramble_bytes`` uses the Arrow path.
+SCRAMBLE_NATIVE_MAX_WRITES = 64
+
+
+def scramble_bytes(payload: Column, seed, id_col: Column, n_writes: int,
+                   method: str = "auto") -> Column:
     """Overwrite ``n_writes`` random positions with random bytes.
 
     Write k (1..n_writes) goes to ``floor(U(seed,'w6p',id,k)·n)`` with the
     value ``floor(U(seed,'w6v',id,k)·256) - 128``; a later write to the same
     position wins. Count-based instead of clock-based.
+
+    ``method="native"`` applies the writes one by one as JVM expressions
+    (each write copies the payload: O(writes x n)); ``"arrow"`` draws the
+    same writes in an Arrow UDF and assigns them at once (O(n + writes));
+    ``"auto"`` takes native up to ``SCRAMBLE_NATIVE_MAX_WRITES`` writes.
     """
+    if method == "arrow" or (method == "auto" and n_writes > SCRAMBLE_NATIVE_MAX_WRITES):
+        return _scramble_udf(seed, int(n_writes))(payload, id_col.cast("string"))
     n = F.length(payload)
     ks = F.sequence(F.lit(1), F.lit(int(n_writes)))
 

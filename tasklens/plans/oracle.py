@@ -286,6 +286,10 @@ SELECT d.doc_id, last.s AS walk_sum,
 FROM d LEFT JOIN (SELECT doc_id, arg_max(s, k) AS s FROM w GROUP BY doc_id) last ON d.doc_id = last.doc_id
 """)
 
+def _w6_sql(n_writes: int) -> str:
+    return _W6.replace("unnest(range(1, 17))", f"unnest(range(1, {n_writes + 1}))")
+
+
 _W6 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents),
 wr AS (SELECT doc_id, k,
@@ -622,3 +626,6 @@ FROM (SELECT unnest(range(1, {_NSUP} + 1)) AS i), (SELECT unnest(range(0, 4)) AS
 
 oracle("M5k_flat_tasks_keep_incomplete",
        _TASKS_CTE.replace("FROM tt WHERE end_ms IS NOT NULL)", "FROM tt)") + "SELECT * FROM t")
+
+oracle("W6m_scramble_many_writes",
+       _w6_sql(1000) + "SELECT doc_id, CAST(n AS INTEGER) AS n_bytes, md5(h) AS payload_md5 FROM sc")

@@ -110,3 +110,11 @@ def w3c(spark, sf_dir):
     """W3 over every document cut into 4 KiB chunk rows (chunks as blocks)."""
     from ..operators.pairs import pair_sign_sum_chunked
     return pair_sign_sum_chunked(doc_chunks(spark, sf_dir), ["doc_id"])
+
+
+@register("W6m_scramble_many_writes")
+def w6m(spark, sf_dir):
+    """W6 with 1000 writes per document (the O(n + writes) Arrow path)."""
+    s = W.scramble_bytes(F.col("payload"), SEED, F.col("doc_id"), 1000)
+    return docs(spark, sf_dir).select("doc_id", F.length(s).alias("n_bytes"),
+                                      F.md5(F.hex(s)).alias("payload_md5"))

@@ -203,3 +203,15 @@ def test_chunked_workloads_equal_whole(spark):
     s = dict(PP.pair_sign_sum_chunked(chunks, ["doc_id"]).collect())
     for k, r in whole.items():
         assert (mx[k], mn[k], s[k]) == (r.mx, r.mn, r.s), k
+
+
+def test_scramble_paths_agree(spark):
+    """The JVM path and the Arrow path of W6 give the same bytes."""
+    from tasklens.operators import workloads as W
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select(
+        "doc_id", F.encode("text", "UTF-8").alias("payload"))
+    for n_writes in (1, 16, 40):
+        a = W.scramble_bytes(F.col("payload"), 42, F.col("doc_id"), n_writes, method="native")
+        b = W.scramble_bytes(F.col("payload"), 42, F.col("doc_id"), n_writes, method="arrow")
+        diff = docs.where(F.md5(a) != F.md5(b)).count()
+        assert diff == 0, n_writes
