@@ -215,3 +215,21 @@ def test_scramble_paths_agree(spark):
         b = W.scramble_bytes(F.col("payload"), 42, F.col("doc_id"), n_writes, method="arrow")
         diff = docs.where(F.md5(a) != F.md5(b)).count()
         assert diff == 0, n_writes
+
+
+def test_ranking_edge_cases(spark):
+    """Ties on the whole order still give 1..n per key; more range
+    partitions than rows; an empty input."""
+    rows = [(k, v) for k in range(3) for v in (1, 1, 1, 2, 2)] + [(9, 5)]
+    df = spark.createDataFrame(rows, "k int, v int")
+    r = rank_within(df, ["k"], ["v"], "pos", method="range", num_partitions=4)
+    got = {}
+    for row in r.collect():
+        got.setdefault(row.k, []).append((row.v, row.pos))
+    for k, pairs in got.items():
+        assert sorted(p for _, p in pairs) == list(range(1, len(pairs) + 1))
+        assert [v for v, _ in sorted(pairs, key=lambda x: x[1])] == sorted(v for v, _ in pairs)
+    g = global_row_number(df, ["k", "v"], "rn", num_partitions=50)
+    assert sorted(x.rn for x in g.collect()) == list(range(1, len(rows) + 1))
+    empty = global_row_number(df.where("k < 0"), ["k", "v"], "rn")
+    assert empty.count() == 0
