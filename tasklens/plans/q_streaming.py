@@ -27,10 +27,9 @@ def _log_stream(spark, sf_dir):
 @register("S2_stream_event_counts")
 def s2(spark, sf_dir):
     """The event log written as files and read as a stream; events per app and type."""
-    lines = _log_stream(spark, sf_dir)
-    ev = F.get_json_object("value", "$.Event")
-    counts = lines.groupBy(F.col("log").alias("app"), ev.alias("event")).agg(
-        F.count(F.lit(1)).alias("n"))
+    from ..sources.eventlog import with_event
+    lines = with_event(_log_stream(spark, sf_dir))    # event name from the line head
+    counts = lines.groupBy(F.col("log").alias("app"), "event").agg(F.count(F.lit(1)).alias("n"))
     return S.run_to_table(counts, "complete", state_partitions=_state_parts(spark))
 
 
