@@ -88,7 +88,9 @@ def e2(spark, sf_dir):
 @register("E3_barrier")
 def e3(spark, sf_dir):
     """Byte max of each part's payload in barrier mode (all tasks start together)."""
-    return E.run_barrier(part_payloads(spark, sf_dir), "p_partkey", num_partitions=4).select(
+    # barrier mode needs a free slot per partition: never more than the session has
+    parts = min(4, spark.sparkContext.defaultParallelism)
+    return E.run_barrier(part_payloads(spark, sf_dir), "p_partkey", num_partitions=parts).select(
         F.col("id").alias("p_partkey"), "result")
 
 
