@@ -19,6 +19,23 @@ TABLES = (
 ).split()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let the session's Python workers import ``tasklens``.
+
+    Prepends the folder holding the package to the ``PYTHONPATH`` that
+    PySpark hands to every Python worker it starts (UDFs are pickled by
+    reference to their module). Covers workers on the driver's machine
+    whatever their working directory; on a cluster ship the package with
+    ``--py-files`` / ``addPyFile`` or install it on the executors.
+    """
+    import tasklens
+    root = os.path.dirname(os.path.dirname(os.path.abspath(tasklens.__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app_name: str = "tasklens") -> SparkSession:
     """Local session with AQE on and the UI off (tests, bench)."""
@@ -36,6 +53,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
