@@ -31,3 +31,11 @@ def test_cli_index_stats(tmp_path):
     assert "taskIndex" in out and "avg_serviceTime" in out
     _run("-m", "tasklens", "tasks", f"{logs}/eventlog_v2_*", "--rolled", "--out", str(tmp_path / "t"))
     assert any(p.suffix == ".parquet" for p in (tmp_path / "t").iterdir())
+
+
+def test_queries_from_another_working_directory(tmp_path):
+    """Python workers import the package even when the driver runs elsewhere."""
+    app = os.path.join(ROOT, "tests", "apps", "other_cwd_app.py")
+    res = subprocess.run([sys.executable, app, ROOT], check=True, capture_output=True, text=True,
+                         timeout=600, cwd=str(tmp_path))
+    assert "RESULT 200 200" in res.stdout
