@@ -56,7 +56,7 @@ def test_weibull_shape1_equals_exponential(spark):
     assert all(abs(r.w - r.x) < 1e-12 for r in df.collect())
 
 
-def test_unknown_process_warns():
+def test_unknown_process_warns(spark):
     with pytest.warns(UserWarning):
         G.process_column(("q", 1), 1, "t")
     with pytest.raises(ValueError):
