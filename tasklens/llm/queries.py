@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tasklens.llm import license_scan, url_filters
+from tasklens.llm import license_scan, simhash_dedup, url_filters
 from tasklens.session import table
 
 #: Host, path and verdict of the registered URL rules (fixed by the query).
@@ -17,6 +17,13 @@ URL_RULES = [
 ]
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+    return found.select("doc_id", simhash_dedup.hex_digits("fp").alias("fingerprint"),
+                        "component_id")
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's URL by rules and redirect equivalence."""
     return url_filters.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
@@ -28,6 +35,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_simhash_dedup": op2_simhash_dedup,
     "op4_url_filters": op4_url_filters,
     "op10_license_scans": op10_license_scans,
 }
