@@ -92,6 +92,14 @@ def finer(mask: int, radius: int) -> list[int]:
     return [x | mask for x in covering([b for b in range(BITS) if not m >> b & 1], radius)]
 
 
+def refined(frames: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+    """Rows (mask, fp) dealt out to the finer masks of their mask."""
+    for f in frames:
+        for mask, fps in f.groupby("mask")["fp"]:
+            masks = np.array(finer(int(mask), radius), np.int64)
+            yield pd.DataFrame({"mask": np.repeat(masks, len(fps)), "fp": np.tile(fps, len(masks))})
+
+
 def bucket_links(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, radius: int):
     """Spanning forest of the links within sorted buckets: (fp, root) arrays."""
     last = np.r_[(mask[1:] != mask[:-1]) | (key[1:] != key[:-1]), True]
@@ -169,8 +177,8 @@ def solve_buckets(rows: DataFrame, radius: int, bucket: int) -> DataFrame:
 def near_links(fps: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
     """(a, b): links whose components are those of all pairs of the distinct
     fingerprints ``fp`` within ``radius``."""
-    masks = covering(list(range(BITS)), radius)
-    rows = fps.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
+    masks = F.array(*[F.lit(m).cast("long") for m in covering(list(range(BITS)), radius)])
+    rows = fps.select("fp", F.explode(masks).alias("mask"))
     links = None
     while True:
         found = checkpointed(solve_buckets(
@@ -178,14 +186,11 @@ def near_links(fps: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
             radius, bucket))
         new = found.filter("mask IS NULL").select("a", "b")
         links = new if links is None else links.unionAll(new)
-        over = found.filter("mask IS NOT NULL").select("mask", F.col("a").alias("fp"))
-        left = [r.mask for r in over.select("mask").distinct().collect()]  # at most one per table
-        if not left:
+        over = found.filter("mask IS NOT NULL")
+        if over.isEmpty():
             return links
-        next_masks = F.create_map(*[x for m in sorted(left) for x in (
-            F.lit(m).cast("long"),
-            F.array(*[F.lit(n).cast("long") for n in sorted(set(finer(m, radius)))]))])
-        rows = over.select("fp", F.explode(next_masks[F.col("mask")]).alias("mask"))
+        rows = over.select("mask", F.col("a").alias("fp")).mapInPandas(
+            lambda frames: refined(frames, radius), "mask long, fp long")
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 4, radius: int = 4,
