@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tasklens.llm import license_scan, simhash_dedup, url_filters
+from tasklens.llm import language_id, license_scan, simhash_dedup, url_filters
 from tasklens.session import table
 
 #: Host, path and verdict of the registered URL rules (fixed by the query).
@@ -24,6 +25,21 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
+def id_fold(n: int) -> Column:
+    """crc32 of the doc_id as text, modulo ``n``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; remainder 2 of 4 is held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(id_fold(4) != 2))
+    out = docs.withColumn("held_out", F.coalesce(id_fold(4) == 2, F.lit(False)))
+    found = out.select("doc_id", "held_out", language_id.language(F.col("text"), model).alias("f"))
+    return found.select("doc_id", "held_out", F.col("f.lang").alias("lang_pred"),
+                        F.col("f.score").alias("score"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's URL by rules and redirect equivalence."""
     return url_filters.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
@@ -36,6 +52,7 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_language_id": op3_language_id,
     "op4_url_filters": op4_url_filters,
     "op10_license_scans": op10_license_scans,
 }
