@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasklens.llm import language_id, license_scan, simhash_dedup, url_filters
+from tasklens.llm import decontaminate, language_id, license_scan, simhash_dedup, url_filters
 from tasklens.session import table
 
 #: Host, path and verdict of the registered URL rules (fixed by the query).
@@ -45,6 +45,17 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in an occurrence of a test phrase."""
+    found = decontaminate.scan(table(spark, sf_dir, "documents"),
+                               table(spark, sf_dir, "benchmark"), ["doc_id"], window=10)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"))
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and pasted notices of every document."""
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
@@ -54,6 +65,7 @@ QUERIES = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_language_id": op3_language_id,
     "op4_url_filters": op4_url_filters,
+    "op8_decontamination": op8_decontamination,
     "op10_license_scans": op10_license_scans,
 }
 
