@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasklens.llm import decontaminate, language_id, license_scan, simhash_dedup, url_filters
+from tasklens.llm import decontaminate, language_id, license_scan, simhash_dedup, toxicity, url_filters
 from tasklens.session import table
 
 #: Host, path and verdict of the registered URL rules (fixed by the query).
@@ -56,6 +56,17 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         (n_hit > 0).alias("contaminated"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; remainder 0 of 5 is held out."""
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity.fit(docs, docs.filter(id_fold(5) != 0), table(spark, sf_dir, "labels"))
+    held = docs.withColumn("held_out", F.coalesce(id_fold(5) == 0, F.lit(False)))
+    found = held.select("doc_id", "held_out", toxicity.toxicity(F.col("text"), index).alias("f"))
+    score = F.least(F.greatest(F.col("f.score"), F.lit(0.0)), F.lit(1.0))
+    return found.select("doc_id", "held_out", score.alias("score"),
+                        (score >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and pasted notices of every document."""
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
@@ -66,6 +77,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_url_filters": op4_url_filters,
     "op8_decontamination": op8_decontamination,
+    "op9_toxicity": op9_toxicity,
     "op10_license_scans": op10_license_scans,
 }
 
