@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -86,3 +87,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     if labels is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write a table to the session's shared checkpoint folder and read it
+    back: like a checkpoint, compressed and by column."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
