@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasklens.llm import decontaminate, language_id, license_scan, simhash_dedup, suffix_dedup, toxicity, url_filters, voronoi_knn
+from tasklens.llm import decontaminate, language_id, license_scan, packing, simhash_dedup, suffix_dedup, toxicity, url_filters, voronoi_knn
 from tasklens.session import table
 
 #: Host, path and verdict of the registered URL rules (fixed by the query).
@@ -51,6 +51,17 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def tokenizer_file() -> str:
+    """Path of the byte-level BPE file of the public tokenizers."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), window=1024)
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that lie in an earlier 100-byte string."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"], length=100)
@@ -88,6 +99,7 @@ QUERIES = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_language_id": op3_language_id,
     "op4_url_filters": op4_url_filters,
+    "op6_packing": op6_packing,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
