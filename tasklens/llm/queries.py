@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasklens.llm import decontaminate, language_id, license_scan, packing, simhash_dedup, suffix_dedup, toxicity, url_filters, voronoi_knn
+from tasklens.llm import chat_format, decontaminate, language_id, license_scan, packing, simhash_dedup, suffix_dedup, toxicity, url_filters, voronoi_knn
 from tasklens.session import table
 
 #: Host, path and verdict of the registered URL rules (fixed by the query).
@@ -51,6 +51,12 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repaired and rendered turns of all conversations."""
+    found = chat_format.format_chats(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "turn", "sub", "action", "role", "segment")
+
+
 def tokenizer_file() -> str:
     """Path of the byte-level BPE file of the public tokenizers."""
     import public_tokenizers
@@ -99,6 +105,7 @@ QUERIES = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_language_id": op3_language_id,
     "op4_url_filters": op4_url_filters,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_packing": op6_packing,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_decontamination": op8_decontamination,
