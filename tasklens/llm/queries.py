@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tasklens.llm import chat_format, decontaminate, language_id, license_scan, packing, simhash_dedup, suffix_dedup, toxicity, url_filters, voronoi_knn
+from tasklens.llm.oracle import ORACLE  # noqa: F401  (the queries' SQL twins)
 from tasklens.session import table
 
 #: Host, path and verdict of the registered URL rules (fixed by the query).
@@ -112,20 +113,3 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_license_scans": op10_license_scans,
 }
-
-ORACLE: dict[str, str] = {
-    "op1_top_k_search": """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-  FROM embeddings
-  WHERE embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (
-  SELECT q.vec_id AS query_id, d.vec_id,
-         CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0),
-r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
-""",
-}
