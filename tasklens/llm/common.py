@@ -96,3 +96,14 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """The columns renamed c0, c1, ..., so that no name of theirs clashes with
+    what an operator adds."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def renamed(df: DataFrame, names: list[str]) -> DataFrame:
+    """The first columns of ``by_place`` under their own names again."""
+    return df.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

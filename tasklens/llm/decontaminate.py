@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tasklens.llm.common import WORD_BYTES, checkpointed, utf8
+from tasklens.llm.common import WORD_BYTES, checkpointed, renamed, utf8
 from tasklens.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -183,6 +183,12 @@ def scan(documents: DataFrame, benchmark: DataFrame, keep: list[str], window: in
     ``clean`` removes the spans from the column ``text`` as well (it must be
     in ``keep``).
     """
+    out = _scan(documents, benchmark, keep, window, clean, block_bytes)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "n_words", "spans", "items")
+
+
+def _scan(documents, benchmark, keep, window, clean, block_bytes=BLOCK_BYTES) -> DataFrame:
+    """scan with the kept columns by place."""
     out = documents.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)],
                            F.col("text").alias("t"), F.lit(0).cast("long").alias("n_words"),
                            F.array().cast(SPANS).alias("spans"),
@@ -218,7 +224,7 @@ def scan(documents: DataFrame, benchmark: DataFrame, keep: list[str], window: in
         out = out.mapInArrow(run, T.StructType(fields))
         if not last:
             out = checkpointed(out)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "n_words", "spans", "items")
+    return out
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -236,8 +242,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     """The documents with every occurrence of a test phrase cut out of their
     text (documents without one stay as they are; ``n_chars`` follows)."""
     cols = documents.columns
-    out = scan(documents, benchmark, cols, window, clean=True)
+    out = _scan(documents, benchmark, cols, window, clean=True)
     if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long"))
-                             .otherwise(F.col("n_chars")))
-    return out.select(*cols)
+        n, text = (f"c{cols.index(c)}" for c in ("n_chars", "text"))
+        out = out.withColumn(n, F.when(F.size("spans") > 0, F.length(text).cast("long")).otherwise(F.col(n)))
+    return renamed(out, cols)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tasklens.llm.common import utf8
+from tasklens.llm.common import by_place, renamed, utf8
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -236,5 +236,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
 
 def keep_languages(documents: DataFrame, model: Model) -> DataFrame:
     """The documents in which a language was found, with all their columns."""
-    found = documents.withColumn("_found", language(F.col("text"), model))
-    return found.filter(F.col("_found.lang") != UNKNOWN).select(*documents.columns)
+    cols = documents.columns
+    found = by_place(documents).withColumn(
+        "found", language(F.col(f"c{cols.index('text')}"), model))
+    return renamed(found.filter(F.col("found.lang") != UNKNOWN), cols)

@@ -32,7 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tasklens.llm.common import arrow_texts, checkpointed, connected_components, utf8
+from tasklens.llm.common import (arrow_texts, by_place, checkpointed, connected_components, renamed,
+                                  utf8)
 
 BITS = 64
 SEED = 42
@@ -210,15 +211,16 @@ def near_duplicates(documents: DataFrame, shingle: int = 4, radius: int = 4,
 def keep_one(documents: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """The documents without near-duplicates: of each class the row with the
     smallest doc_id stays (one of them if that row is repeated)."""
+    cols = documents.columns
+    doc_id, text = (f"c{cols.index(c)}" for c in ("doc_id", "text"))
     found = checkpointed(near_duplicates(documents, shingle, radius))
     kept = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy("doc_id").agg(F.count("*").alias("_rows"))
-            .withColumnRenamed("doc_id", "_kept"))
-    out = documents.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")))
-    if kept.filter("_rows > 1").isEmpty():
-        return out.select(*documents.columns)
-    again = out.filter("_rows > 1").dropDuplicates(["doc_id", "text"])
-    return out.filter("_rows = 1").unionAll(again).select(*documents.columns)
+            .groupBy(F.col("doc_id").alias("kept")).agg(F.count("*").alias("n")))
+    out = by_place(documents).join(kept, F.col(doc_id).eqNullSafe(F.col("kept")))
+    if not kept.filter("n > 1").isEmpty():
+        again = out.filter("n > 1").dropDuplicates([doc_id, text])
+        out = out.filter("n = 1").unionAll(again)
+    return renamed(out, cols)
 
 
 def hex_digits(fp: str):
