@@ -235,7 +235,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             part, own = q[at:at + step], qid[at:at + step]
             s = inner(part, x)
             ok = own[:, None] != ids
-            floor = np.maximum(plan.bounds(own, part), -(2.0 ** 63))[:, None]
+            floor = np.clip(plan.bounds(own, part), -(2.0 ** 63), 2.0 ** 63)[:, None]
             ok &= s >= floor
             for i in range(len(part)):
                 c = np.flatnonzero(ok[i])
