@@ -8,8 +8,8 @@ Every byte that lies in a ``length``-byte window which also starts earlier
    other: they are a *piece* of the text. Pieces are known by their anchor's
    hash and a hash of their bytes; equal pieces are one piece with a first
    owner, and the later owners' windows are repeats.
-2. Pieces whose anchor's hash stands elsewhere too are cut out of the texts and
-   dealt out by that hash, so that equal windows meet in one task.
+2. Pieces that share their anchor's hash with other pieces are cut out of the
+   texts, once each, and dealt out by that hash: equal windows meet in one task.
 3. A task takes whole groups of pieces up to ``SHARD`` bytes, sorts their
    suffixes by two-stage sorting and compares neighbours' common prefixes: runs
    of suffixes that share ``length`` bytes are equal windows. All but the
@@ -152,98 +152,140 @@ def find_pieces(docs: DataFrame, length: int, gram: int) -> DataFrame:
         run, "h long, g long, k long, lo long, hi long, repeat boolean")
 
 
-def solve_shard(text: bytes, sizes: np.ndarray, k: np.ndarray, lo: np.ndarray, length: int):
+def solve_shard(x: np.ndarray, sizes: np.ndarray, k: np.ndarray, lo: np.ndarray, length: int):
     """Repeated windows among pieces: (k, lo, hi) intervals. The pieces stand
-    one after the other in ``text`` and are ordered by (k, lo)."""
-    x = np.frombuffer(text, np.uint8)
+    one after the other in ``x``."""
     ends = np.cumsum(sizes)
     piece = np.repeat(np.arange(len(sizes)), sizes)
     sa = suffix_array(x, length)
     sa = sa[sa + length <= ends[piece[sa]]]             # suffixes that hold a window
+    none = np.zeros((3, 0), np.int64)
     if len(sa) < 2:
-        return np.zeros((3, 0), np.int64)
+        return none
     same = equal_prefixes(x, sa[:-1], sa[1:], length)
-    run = np.cumsum(np.append(True, ~same))
+    like = np.append(False, same) | np.append(same, False)
+    run = np.cumsum(np.append(True, ~same))[like]
+    sa = sa[like]
+    if not len(sa):
+        return none
     start = lo[piece] + np.arange(len(x)) - (ends - sizes)[piece]
     # the earliest window of a run is the smallest (k, start)
     order = np.lexsort((start[sa], k[piece[sa]], run))
-    again = np.ones(len(sa), bool)
-    again[np.flatnonzero(np.append(True, np.diff(run[order]) > 0))] = False
+    again = np.append(False, np.diff(run[order]) == 0)
     repeat = np.zeros(len(x), bool)
     repeat[sa[order[again]]] = True
     mark = np.flatnonzero(repeat)
-    if not len(mark):
-        return np.zeros((3, 0), np.int64)
     new = np.append(True, (np.diff(mark) > 1) | (np.diff(piece[mark]) > 0))
     first, last = mark[new], mark[np.append(new[1:], True)]
     return np.stack([k[piece[first]], start[first], start[last]])
 
 
-def _intervals(found: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"h": pd.array([None] * found.shape[1], "Int64"), "k": found[0], "lo": found[1],
-                         "hi": found[2], "piece": None})
+class Pieces:
+    """Rows of pieces as arrays; their bytes stand one after the other."""
+
+    def __init__(self, h, k, lo, sizes, text):
+        self.h, self.k, self.lo, self.sizes, self.text = h, k, lo, sizes, text
+
+    @classmethod
+    def of(cls, b: pa.RecordBatch) -> Pieces:
+        p = b.column(3)
+        offsets = np.frombuffer(p.buffers()[1], np.int32)[p.offset:p.offset + len(p) + 1]
+        data = p.buffers()[2]
+        text = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data else np.zeros(0, np.uint8)
+        return cls(*(b.column(i).to_numpy() for i in range(3)), np.diff(offsets).astype(np.int64), text)
+
+    @classmethod
+    def joined(cls, parts: list[Pieces]) -> Pieces:
+        return cls(*(np.concatenate([getattr(p, a) for p in parts]) for a in ("h", "k", "lo", "sizes", "text")))
+
+    def cut(self, at: int) -> tuple[Pieces, Pieces]:
+        """The rows before and from ``at``."""
+        b = int(self.sizes[:at].sum())
+        return (Pieces(self.h[:at], self.k[:at], self.lo[:at], self.sizes[:at], self.text[:b]),
+                Pieces(self.h[at:], self.k[at:], self.lo[at:], self.sizes[at:], self.text[b:]))
+
+    def where(self, keep: np.ndarray) -> Pieces:
+        return Pieces(self.h[keep], self.k[keep], self.lo[keep], self.sizes[keep],
+                      self.text[np.repeat(keep, self.sizes)])
+
+    def contents(self) -> list[bytes]:
+        raw, ends = self.text.tobytes(), np.cumsum(self.sizes).tolist()
+        return [raw[e - n:e] for e, n in zip(ends, self.sizes.tolist(), strict=True)]
+
+    def rows(self, found: np.ndarray | None = None) -> pa.RecordBatch:
+        """Intervals of repeated windows, or the pieces themselves."""
+        if found is not None:
+            cols = [pa.nulls(found.shape[1], pa.int64()), *map(pa.array, found),
+                    pa.nulls(found.shape[1], pa.binary())]
+        else:
+            cols = [pa.array(self.h), pa.array(self.k), pa.array(self.lo), pa.array(self.lo),
+                    pa.array(self.contents(), pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["h", "k", "lo", "hi", "piece"])
 
 
 def solve_groups(rows: DataFrame, length: int, last: bool, shard: int, group: int) -> DataFrame:
     """(h, k, lo, hi, piece): intervals of repeated windows (null h), and the
-    pieces of groups of over ``group`` bytes as they came."""
-
-    def solve(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["k", "lo"])
-        owners = f.drop_duplicates("piece")             # equal pieces are sorted once
-        later = f[~f.index.isin(owners.index)]
-        text = b"".join(owners["piece"])
-        sizes = owners["piece"].str.len().to_numpy(np.int64)
-        found = solve_shard(text, sizes, owners["k"].to_numpy(), owners["lo"].to_numpy(), length)
-        whole = later["piece"].str.len().to_numpy(np.int64) - length
-        more = np.stack([later["k"].to_numpy(), later["lo"].to_numpy(),
-                         later["lo"].to_numpy() + whole]) if len(later) else found[:, :0]
-        return _intervals(np.concatenate([found, more], axis=1))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, over, seen = [], None, {}       # complete groups and the open one; a large group; its windows
-        open_h, open_rows, open_size, held_size = None, [], 0, 0
-
-        def stream(f):
-            """Rows of a large group: passed on, or compared as they come."""
+    pieces of groups of over ``group`` bytes as they came. With ``last`` a piece
+    is one window, and large groups are compared as they stream by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Pieces] = []
+        size, over, seen = 0, None, {}     # bytes held; the large group that goes on; its windows
+
+        def large(p: Pieces) -> pa.RecordBatch:
+            """Rows of large groups, in the order of (h, k, lo)."""
             if not last:
-                return pd.DataFrame({"h": f["h"], "k": f["k"], "lo": f["lo"], "hi": f["lo"], "piece": f["piece"]})
-            again = [p in seen or seen.setdefault(p, False) for p in f["piece"]]
-            for p in f["piece"]:
-                seen[p] = True
-            f = f[np.array(again, bool)]
-            return _intervals(np.stack([f["k"], f["lo"], f["lo"]]) if len(f) else np.zeros((3, 0), np.int64))
-
-        for frame in frames:
-            cut = np.flatnonzero(np.append(True, np.diff(frame["h"].to_numpy()) != 0)).tolist()
-            for a, b in zip(cut, [*cut[1:], len(frame)], strict=True):
-                f = frame.iloc[a:b]
-                h = f["h"].iat[0]
-                if h != open_h:
-                    if open_rows and over != open_h:
-                        if sum(map(len, open_rows)) > 1:
-                            held += open_rows
-                            held_size += open_size
-                        if held_size >= shard:
-                            yield solve(pd.concat(held))
-                            held, held_size = [], 0
-                    open_h, open_rows, open_size, seen = h, [], 0, {}
-                if over == h:
-                    yield stream(f)
+                return p.rows()
+            again = []
+            for h, c in zip(p.h.tolist(), p.contents(), strict=True):
+                if h not in seen:
+                    seen.clear()
+                known = seen.setdefault(h, set())
+                again.append(c in known)
+                known.add(c)
+            again = np.array(again, bool)
+            return p.rows(np.stack([p.k[again], p.lo[again], p.lo[again]]))
+
+        def solve(p: Pieces):
+            new = np.append(True, p.h[1:] != p.h[:-1])
+            first = np.flatnonzero(new)
+            count = np.diff(np.append(first, len(p.h)))
+            big = np.repeat(np.add.reduceat(p.sizes, first) > group, count)
+            if big.any():
+                yield large(p.where(big))
+            p = p.where(~big & np.repeat(count > 1, count))
+            if len(p.h):
+                yield p.rows(solve_shard(p.text, p.sizes, p.k, p.lo, length))
+
+        for b in batches:
+            p = Pieces.of(b)
+            if over is not None:
+                n = int(np.argmax(np.append(p.h != over, True)))
+                head, p = p.cut(n)
+                if n:
+                    yield large(head)
+                if not len(p.h):
                     continue
-                open_rows.append(f)
-                open_size += int(f["piece"].str.len().sum())
-                if open_size > group:
-                    over = h
-                    yield stream(pd.concat(open_rows))
-                    open_rows = []
-        if open_rows and over != open_h:
-            held += open_rows
+                over = None
+            held.append(p)
+            size += len(p.text)
+            if size < shard:
+                continue
+            p = Pieces.joined(held)
+            done, rest = p.cut(int(np.argmax(p.h == p.h[-1])))      # sorted: the open group is last
+            if len(done.h):
+                yield from solve(done)
+            if len(rest.text) > group:
+                over = rest.h[0]
+                yield large(rest)
+                held, size = [], 0
+            else:
+                held, size = [rest], len(rest.text)
         if held:
-            yield solve(pd.concat(held, ignore_index=True))
+            yield from solve(Pieces.joined(held))
 
     dealt = rows.repartition("h").sortWithinPartitions("h", "k", "lo")
-    return dealt.select("h", "k", "lo", "piece").mapInPandas(
+    return dealt.select("h", "k", "lo", "piece").mapInArrow(
         run, "h long, k long, lo long, hi long, piece binary")
 
 
@@ -275,10 +317,10 @@ def repeated_windows(docs: DataFrame, length: int, gram: int, shard: int, group:
     by_h = Window.partitionBy("h")
     owner = F.row_number().over(by_h.partitionBy("h", "g").orderBy("k", "lo"))
     ranked = (found.repartition("h").withColumn("owner", F.when(F.col("repeat"), 2).otherwise(owner))
-              .withColumn("n", F.count("*").over(by_h)))
-    # pieces without a like anchor are done; of equal ones the first goes on
-    kept = written(ranked.filter("repeat OR n > 1").select(
-        "h", "k", "lo", "hi", (F.col("repeat") | (F.col("owner") > 1)).alias("repeat")))
+              .withColumns({"least": F.min("g").over(by_h), "most": F.max("g").over(by_h)}))
+    # later owners of a piece repeat it; the first goes on if other pieces share its anchor
+    kept = written(ranked.filter("owner > 1 OR least <> most").select(
+        "h", "k", "lo", "hi", (F.col("owner") > 1).alias("repeat")))
     out = kept.filter("repeat").select("k", "lo", "hi")
     rows = (kept.filter("NOT repeat").join(docs, "k")
             .select("h", "k", "lo",
@@ -299,60 +341,76 @@ def repeated_windows(docs: DataFrame, length: int, gram: int, shard: int, group:
         rows = finer_pieces(large.select("h", "k", "lo", "piece"), length, finer)
 
 
-def keyed(documents: DataFrame) -> DataFrame:
-    """The documents with a unique long ``_k`` in the order of doc_id.
+def keyed(documents: DataFrame, doc_id: str = "id") -> DataFrame:
+    """The documents with a unique long ``k`` in the order of their ids.
 
     Unique ids are their own keys; otherwise (repeated or null ids, or ids
     that are no integers) the rows are numbered in order and written down.
     """
-    whole = documents.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
-    if whole:
-        n = documents.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-        if n.filter("n > 1 OR doc_id IS NULL").isEmpty():
-            return documents.withColumn("_k", F.col("doc_id").cast("long"))
-    place = F.monotonically_increasing_id()
-    ordered = (documents.withColumn("_place", place)
-               .repartitionByRange(F.col("doc_id").asc_nulls_last(), "_place")
-               .sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "_place").drop("_place"))
-    return written(ordered.withColumn("_k", F.monotonically_increasing_id()))
-
-
-def remove_repeats(documents: DataFrame, keep: list[str], clean: bool = False, length: int = LENGTH,
-                   gram: int = GRAM, shard: int = SHARD, group: int = GROUP) -> DataFrame:
-    """Columns ``keep`` of every document with n_bytes, n_removed, n_spans
-    (maximal removed runs) and kept_sha256 of the remaining bytes.
-
-    ``clean`` also replaces the column ``text`` (it must be in ``keep``) by the
-    remaining text; what a cut leaves of a character is dropped from it.
-    """
-    docs = keyed(documents).filter("_k IS NOT NULL").select(
-        F.col("_k").alias("k"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"),
-        *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep) if c != "text"])
+    order = F.col(doc_id).asc_nulls_last()
+    if documents.schema[doc_id].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
+        n = documents.select(doc_id).groupBy(doc_id).agg(F.count("*").alias("n"))
+        if n.filter(F.col(doc_id).isNull() | (F.col("n") > 1)).isEmpty():
+            return documents.withColumn("k", F.col(doc_id).cast("long"))
+    ordered = (documents.withColumn("place", F.monotonically_increasing_id())
+               .repartitionByRange(order, "place").sortWithinPartitions(order, "place").drop("place"))
+    return written(ordered.withColumn("k", F.monotonically_increasing_id()))
+
+
+def _cut(documents, keep, clean, length, gram=GRAM, shard=SHARD, group=GROUP) -> DataFrame:
+    """The kept columns by place (without the text, if ``clean``) and the
+    struct ``got`` of the figures and the remaining text."""
+    docs = keyed(documents.select(
+        F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"),
+        *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep) if c != "text"]))
+    # the same rows feed both joins, so their shuffle is done once
+    docs = docs.filter("k IS NOT NULL").drop("id")
     spans = repeated_windows(docs.select("k", "data"), length, gram, shard, group)
     # at most one interval for each window of a document
     spans = spans.groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    both = docs.join(spans, "k", "left")
     out = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * clean
 
     @F.pandas_udf(out)
     def apply(data: pd.Series, spans: pd.Series) -> pd.DataFrame:
         rows = []
         for d, s in zip(data, spans, strict=True):
-            d, kept, at, runs, removed = bytes(d), [], 0, 0, 0
-            for lo, hi in joined(s, length):
+            d, kept, at, removed = bytes(d), [], 0, 0
+            runs = joined(s, length)
+            for lo, hi in runs:
                 kept.append(d[at:lo])
-                at, runs, removed = hi, runs + 1, removed + hi - lo
+                at, removed = hi, removed + hi - lo
             rest = b"".join([*kept, d[at:]])
-            rows.append((len(d), removed, runs, hashlib.sha256(rest).hexdigest(),
-                         rest.decode("utf-8", "ignore"))[:4 + clean])
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "text"][:4 + clean])
+            row = (len(d), removed, len(runs), hashlib.sha256(rest).hexdigest())
+            rows.append((*row, rest.decode("utf-8", "ignore")) if clean else row)
+        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256",
+                                           *["text"] * clean])
+
+    return docs.join(spans, "k", "left").withColumn("got", apply("data", "spans"))
+
+
+def remove_repeats(documents: DataFrame, keep: list[str], length: int = LENGTH, **limits) -> DataFrame:
+    """Columns ``keep`` of every document with n_bytes, n_removed, n_spans
+    (maximal removed runs) and kept_sha256 of the remaining bytes."""
+    got = _cut(documents, keep, False, length, **limits)
+    return got.select(*[(F.col("data").cast("string") if c == "text" else F.col(f"c{i}")).alias(c)
+                        for i, c in enumerate(keep)],
+                      *[F.col(f"got.{c}") for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
+
 
-    got = both.select(*[f"c{i}" for i, c in enumerate(keep) if c != "text"], "data",
-                      apply("data", "spans").alias("got"))
-    cols = [F.col(f"c{i}").alias(c) if c != "text" else
-            (F.col("got.text") if clean else F.col("data").cast("string")).alias("text")
-            for i, c in enumerate(keep)]
-    return got.select(*cols, *[F.col(f"got.{c}") for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
+def deduplicate(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The documents with the remaining text (``n_chars`` follows). What a cut
+    leaves of a character is dropped, and a null text becomes empty."""
+    cols, text = documents.columns, F.col("got.text")
+    got = _cut(documents, cols, True, length)
+
+    def column(i, c):
+        if c == "text":
+            return text
+        if c == "n_chars":
+            return F.when(F.col("got.n_removed") > 0, F.length(text).cast("long")).otherwise(F.col(f"c{i}"))
+        return F.col(f"c{i}")
+
+    return got.select(*[column(i, c).alias(c) for i, c in enumerate(cols)])
 
 
 def joined(spans, length: int) -> list[tuple[int, int]]:
@@ -366,13 +424,3 @@ def joined(spans, length: int) -> list[tuple[int, int]]:
         else:
             out.append((lo, hi))
     return out
-
-
-def deduplicate(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The documents without repeated substrings (``n_chars`` follows)."""
-    cols = documents.columns
-    out = remove_repeats(documents, cols, clean=True, length=length)
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long"))
-                             .otherwise(F.col("n_chars")))
-    return out.select(*cols)
