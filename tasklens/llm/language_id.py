@@ -77,7 +77,8 @@ def training_windows(documents: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -
             yield pa.RecordBatch.from_arrays(
                 [pa.array(labels, pa.string()), pa.array(out, pa.binary())], names=["lang", "window"])
 
-    sampled = known.join(ids, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    # at most ``docs_per_lang`` ids of each language, so the texts need no shuffle
+    sampled = known.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text")
     pieces = sampled.mapInArrow(cut, "lang string, window binary")
     # equal windows (copies of a text) count once; the same bound holds where ids repeat
     pieces = pieces.groupBy("lang", "window").agg(F.count("*").alias("n"))
