@@ -33,6 +33,7 @@ from tasklens.sources import generators as G  # noqa: E402
 # n partitions of `size` zero bytes, cached on disk and materialised
 data = G.zero_partitions(spark, n_parts, size).withColumn("slot", F.pmod("id", F.lit(3)).cast("string"))
 with E.Persisted(data, StorageLevel.DISK_ONLY) as cached:
+    cached.fill()
     by_slot = {"0": lambda c: W.scramble_head(c, 42, F.col("id"), 64).cast("bigint"),
                "1": lambda c: W.byte_max(c).cast("bigint"),
                "2": lambda c: W.random_element(c, 42, F.col("id")).cast("bigint")}

@@ -13,6 +13,33 @@ _BLOCK = 32          # within-block pairs are compared directly
 _SEGMENT = 1 << 18   # bounded working memory per step
 
 
+def byte_buffer(a) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, signed bytes) of an Arrow binary or string array, as views."""
+    import pyarrow as pa
+    wide = pa.types.is_large_binary(a.type) or pa.types.is_large_string(a.type)
+    if not len(a):
+        return np.zeros(1, np.int64), np.zeros(0, np.int8)
+    off = np.frombuffer(a.buffers()[1], np.int64 if wide else np.int32)[a.offset:a.offset + len(a) + 1]
+    data = a.buffers()[2]
+    return off, np.frombuffer(data, np.int8) if data is not None else np.zeros(0, np.int8)
+
+
+def reduce_bytes(a, ufunc, empty: int | None):
+    """One signed byte per value of an Arrow binary array: ``ufunc`` reduced
+    over its bytes in a single call for the whole batch; ``empty`` for values
+    without bytes, null for nulls."""
+    import pyarrow as pa
+    off, data = byte_buffer(a)
+    size = np.diff(off)
+    has = size > 0
+    out = np.full(len(a), 0 if empty is None else empty, np.int32)
+    if has.any():
+        # values without bytes take no room: the others follow each other
+        out[has] = ufunc.reduceat(data[off[0]:off[-1]], (off[:-1] - off[0])[has])
+    null = np.asarray(a.is_null())
+    return pa.array(out, mask=null | ~has if empty is None else null)
+
+
 def as_int8(b) -> np.ndarray:
     return np.frombuffer(bytes(b), dtype=np.int8)
 
@@ -75,35 +102,9 @@ def block_summary(a: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     return pair_sign_sum(a), hist, below - above
 
 
-def pair_sign_sum_bruteforce(a) -> int:
-    """O(n²) reference, for tests."""
-    a = np.asarray(a, dtype=np.int64)
-    total = 0
-    for i in range(len(a) - 1):
-        total += int(np.sign(a[i] - a[i + 1:]).sum())
-    return total
-
-
-def uniform(seed, tag, *ids) -> float:
-    """Python twin of ``functions.rng.uniform`` (same md5 formula)."""
-    import hashlib
-    key = ":".join(str(x) for x in (seed, tag, *ids)).encode()
-    return (int(hashlib.md5(key).hexdigest()[:13], 16) + 0.5) / float(2 ** 52)
-
-
-def scramble(a: np.ndarray, seed, rid, n_writes: int) -> np.ndarray:
-    """W6 on one array: write k (1..n_writes) puts floor(U(seed,'w6p',id,k)*n)
-    <- floor(U(seed,'w6v',id,k)*256) - 128; the last write to a position
-    wins. O(n + n_writes)."""
-    out = a.copy()
-    n = len(out)
-    if n == 0 or n_writes <= 0:
-        return out
-    ks = range(1, n_writes + 1)
-    pos = np.fromiter((int(uniform(seed, "w6p", rid, k) * n) for k in ks), dtype=np.int64, count=n_writes)
-    val = np.fromiter((int(uniform(seed, "w6v", rid, k) * 256) - 128 for k in ks), dtype=np.int64,
-                      count=n_writes)
-    # keep the last write of every position, then assign once
-    last = n_writes - 1 - np.unique(pos[::-1], return_index=True)[1]
-    out[pos[last]] = val[last].astype(np.int8)
-    return out
+def scramble(b: bytes, pos: np.ndarray, val: np.ndarray) -> bytes:
+    """W6 on one payload: byte ``pos[k]`` becomes ``val[k]`` for every k in
+    order (a later write to a position wins); O(n + writes)."""
+    out = np.frombuffer(b, np.int8).copy()
+    out[pos] = val.astype(np.int8)
+    return out.tobytes()

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import bytes_np
+
 
 def run_plain(df: DataFrame, workload: Callable[[Column], Column], col: str = "payload",
               out: str = "result") -> DataFrame:
@@ -45,13 +47,10 @@ def run_staged(df: DataFrame, key: str, workload: Callable[[Column], Column],
                                    F.sum("_tl_r").alias("result_sum"))
 
 
-def _signed_max(b: bytes) -> int:
-    return int(np.frombuffer(b, dtype=np.int8).max()) if len(b) else -128
-
-
-def run_barrier(df: DataFrame, id_col: str, fn: Callable[[bytes], int] = _signed_max,
+def run_barrier(df: DataFrame, id_col: str, fn: Callable[[bytes], int] | None = None,
                 col: str = "payload", num_partitions: int | None = None) -> DataFrame:
-    """``(id, result)`` computed in barrier mode.
+    """``(id, result)`` computed in barrier mode; ``fn`` maps a payload to
+    a number (default: W1, a whole batch at once).
 
     All tasks are gang-scheduled; Spark fails the stage when there are
     fewer free slots than partitions, so the input is cut into at most
@@ -63,9 +62,11 @@ def run_barrier(df: DataFrame, id_col: str, fn: Callable[[bytes], int] = _signed
 
     def _run(batches):
         for b in batches:
-            ids = b.column(0)
-            vals = [None if p is None else fn(p) for p in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(vals, pa.int64())], ["id", "result"])
+            if fn is None:
+                vals = bytes_np.reduce_bytes(b.column(1), np.maximum, -128).cast(pa.int64())
+            else:
+                vals = pa.array([None if p is None else fn(p) for p in b.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), vals], ["id", "result"])
 
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("result", T.LongType())])
     return src.mapInArrow(_run, schema, barrier=True)
@@ -74,13 +75,17 @@ def run_barrier(df: DataFrame, id_col: str, fn: Callable[[bytes], int] = _signed
 class Persisted:
     """A cached input for workloads bound to its blocks.
 
-    ``with Persisted(df) as cached: ...`` caches, materialises (so block
-    placement exists before any workload runs) and unpersists at the end.
+    ``with Persisted(df) as cached: ...`` marks the input as cached (the first
+    workload fills the blocks) and unpersists it at the end; ``fill()`` makes
+    the blocks exist before any workload runs.
     """
 
     def __init__(self, df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_ONLY):
         self.df = df.persist(level)
-        self.rows = self.df.count()
+
+    def fill(self) -> int:
+        """Compute all blocks; the number of rows."""
+        return self.df.count()
 
     def run(self, workload: Callable[[Column], Column], col: str = "payload",
             out: str = "result") -> DataFrame:

@@ -4,8 +4,8 @@
 quadratic self-join if done naively, and one hot group would put n² pairs
 in one task. Here the work is linear and split:
 
-1. position within the group: ``plans.ranking.rank_within`` (range
-   partitioned, so a hot group spans many tasks);
+1. position within the group: ``plans.ranking.rank_within`` (a frequent
+   group is cut into ranges, so it spans many tasks);
 2. blocks of ``block_size`` consecutive positions; each block is one row
    (``collect_list`` bounded by ``block_size``) and an Arrow UDF returns its
    inner sign sum, its 256-bin value histogram h and
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import bytes_np
-from ..plans.ranking import rank_within
+from ..plans.ranking import rank_within, same_keys
 
 _SUMMARY = T.StructType([
     T.StructField("inner", T.LongType()),
@@ -57,8 +57,7 @@ def _block_summary_udf(values: pd.Series, want_hist: pd.Series) -> pd.DataFrame:
 
 
 def pair_sign_sum_rows(df: DataFrame, group: list[str], value: str | Column,
-                       order: list[str], block_size: int = 4096,
-                       method: str = "auto") -> DataFrame:
+                       order: list[str], block_size: int = 4096) -> DataFrame:
     """``(group..., pair_sign_sum BIGINT)`` for every group of ``df``.
 
     Rows with a NULL value are left out. The block summaries (an Arrow UDF)
@@ -68,13 +67,14 @@ def pair_sign_sum_rows(df: DataFrame, group: list[str], value: str | Column,
     v = F.col(value) if isinstance(value, str) else value
     base = (df.select(*group, *[c for c in order if c not in group], v.cast("int").alias("_tl_v"))
             .where(F.col("_tl_v").isNotNull()))
-    ranked = rank_within(base, group, list(order), out="_tl_pos", method=method)
+    ranked = rank_within(base, group, list(order), out="_tl_pos")
     blocks = (ranked.withColumn("_tl_blk", F.floor((F.col("_tl_pos") - 1) / F.lit(block_size)))
               .groupBy(*group, "_tl_blk")
               .agg(F.array_sort(F.collect_list(F.struct(F.col("_tl_pos").alias("pos"),
                                                         F.col("_tl_v").alias("v")))).alias("items")))
     # value histograms are only needed for groups with more than one block
-    blocks = blocks.withColumn("_tl_multi", F.max("_tl_blk").over(Window.partitionBy(*group)) > 0)
+    sizes = base.groupBy(*group).agg((F.count(F.lit(1)) > block_size).alias("_tl_multi"))
+    blocks = same_keys(blocks, sizes, group, "inner")
     summ = blocks.select(*group, "_tl_blk", "_tl_multi", _block_summary_udf(
         F.transform("items", lambda x: x["v"]), F.col("_tl_multi")).alias("s"))
     return _combine_blocks(summ, group)
@@ -126,8 +126,8 @@ def pair_sign_sum_chunked(df: DataFrame, keys: list[str], chunk: str = "chunk",
     payload)``: each chunk is a block; the result equals W3 over the
     concatenated payload, with no row ever holding more than one chunk."""
     blocks = df.select(*keys, F.col(chunk).alias("_tl_blk"), F.col(payload).alias("_tl_p"))
-    blocks = blocks.withColumn("_tl_multi", F.max("_tl_blk").over(Window.partitionBy(*keys))
-                               > F.min("_tl_blk").over(Window.partitionBy(*keys)))
+    several = blocks.groupBy(*keys).agg((F.max("_tl_blk") > F.min("_tl_blk")).alias("_tl_multi"))
+    blocks = same_keys(blocks, several, keys, "inner")
     summ = blocks.select(*keys, "_tl_blk", "_tl_multi",
                          _chunk_summary_udf("_tl_p", "_tl_multi").alias("s"))
     return _combine_blocks(summ, keys)

@@ -90,9 +90,12 @@ def placement(lines: DataFrame, live_only: bool = False) -> DataFrame:
     return left.join(right, ["app", "_tl_rdd", "part_id"], "left").select(*cols)
 
 
-def executor_partitions(locations: DataFrame, by: str = "exec_id") -> DataFrame:
-    """A3: per (app, executor, rdd) the sorted partition ids it holds."""
-    return (locations.groupBy("app", by, "rdd_id")
+def executor_partitions(locations: DataFrame, by: str = "exec_id", page_size: int = 4096) -> DataFrame:
+    """A3: per (app, executor, rdd) the sorted partition ids it holds, in
+    pages of ``page_size`` ids (``page`` = part_id div page_size), so that no
+    row grows with the number of partitions."""
+    paged = locations.withColumn("page", F.floor(F.col("part_id") / F.lit(int(page_size))).cast("bigint"))
+    return (paged.groupBy("app", by, "rdd_id", "page")
             .agg(F.count(F.lit(1)).alias("n_parts"),
                  F.sort_array(F.collect_list("part_id")).alias("part_ids")))
 
@@ -118,10 +121,11 @@ def _host_rows(batches):
 
 
 def partition_profile(df: DataFrame, key: str | None = None, payload: str | None = None,
-                      with_host: bool = False) -> DataFrame:
+                      with_host: bool = False, part: Column | None = None) -> DataFrame:
     """Per partition of ``df``: rows, payload bytes, min/max key (and
-    the host that computed it). A skew report; one partial aggregate."""
-    base = df.withColumn("part", F.spark_partition_id())
+    the host that computed it). A skew report; one partial aggregate.
+    ``part``: a partition column of the table instead of Spark's own."""
+    base = df.withColumn("part", F.spark_partition_id() if part is None else part)
     aggs = [F.count(F.lit(1)).alias("rows")]
     if payload:
         aggs.append(F.sum(F.length(payload)).alias("bytes"))

@@ -5,21 +5,19 @@ with SS_n = s_1 + ... + s_n,
 
     d_n = SS_n + max_{k<=n} (a_k - SS_k + s_k),
 
-so it is two running window aggregates, no loop. ``method="window"``
-computes them with one window per queue. A queue is one window partition,
-i.e. one task; ``method="blocked"`` splits every queue into blocks of
-``block_size`` consecutive jobs (positions from ``rank_within``, range
-partitioned for large queues), runs the scan inside each block, scans the
-small table of block summaries, and combines:
+so it is two running window aggregates, no loop. Every queue is cut into
+blocks of consecutive jobs by ``block``, a value that never falls along the
+order (default: the first order column in units of ``BLOCK_SPAN``, an hour of
+microseconds). The scan runs inside each block, then over the small table of
+block summaries, and both are combined:
 
     d_n = ls_n + S0 + greatest(lm_n - S0, M0)
 
 (ls, lm: running sum of service and running max inside the block;
 S0: service of all earlier blocks; M0: max over earlier blocks of their
-M - S0). A queue holding a third of all rows is then spread over
-n / block_size window partitions. ``method="auto"`` (default) checks the
-largest queue first and takes the one-window form when it fits one task
-(``plans.ranking.window_is_safe``), else the blocked form.
+M - S0). A queue holding a third of all rows is then as many window
+partitions as it has blocks; no ranking is needed. ``method="window"`` is
+the plain form with one window, i.e. one task, for each queue.
 
 Times are integers (e.g. microseconds); arrivals are never summed (epoch
 microseconds would overflow), only services and inter-arrival gaps.
@@ -30,64 +28,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans import ranking
-from ..plans.ranking import rank_within
+from ..plans.ranking import same_keys
 
 _UNB = Window.unboundedPreceding
+#: Units of the first order column in a block: an hour, if these are microseconds.
+BLOCK_SPAN = 3_600_000_000
 
 
-def _resolve(df: DataFrame, queue: list[str], method: str) -> str:
-    if method == "auto":
-        return "window" if ranking.window_is_safe(df, queue) else "blocked"
-    if method not in ("window", "blocked"):
-        raise ValueError("method must be 'auto', 'window' or 'blocked'")
-    return method
+def _blocks(df: DataFrame, order: list[str | Column], block: Column | None) -> DataFrame:
+    if block is None:
+        first = F.col(order[0]) if isinstance(order[0], str) else order[0]
+        block = F.floor(first / F.lit(BLOCK_SPAN))
+    return df.withColumn("_tl_blk", block)
 
 
-def _positions(df: DataFrame, queue: list[str], order: list[str | Column], block_size: int,
-               method: str) -> DataFrame:
-    ranked = rank_within(df, queue, order, out="_tl_pos", method="auto")
-    return ranked.withColumn("_tl_blk", F.floor((F.col("_tl_pos") - 1) / F.lit(int(block_size))))
+def _check(method: str) -> str:
+    if method not in ("window", "blocked"):
+        raise ValueError("method must be 'window' or 'blocked'")
+    return method
 
 
 def arrival_schedule(df: DataFrame, queue: list[str], order: list[str | Column],
-                     interarrival: str, out: str = "arrival", method: str = "auto",
-                     block_size: int = 4096) -> DataFrame:
+                     interarrival: str, out: str = "arrival", method: str = "blocked",
+                     block: Column | None = None) -> DataFrame:
     """Q1: arrival_1 = 0, arrival_{n+1} = arrival_n + interarrival_n."""
     ia = F.col(interarrival)
-    method = _resolve(df, queue, method)
-    if method == "window":
+    if _check(method) == "window":
         w = Window.partitionBy(*queue).orderBy(*order).rowsBetween(_UNB, -1)
         return df.withColumn(out, F.coalesce(F.sum(ia).over(w), F.lit(0)))
-    p = _positions(df, queue, order, block_size, method)
-    wl = Window.partitionBy(*queue, "_tl_blk").orderBy("_tl_pos").rowsBetween(_UNB, 0)
+    p = _blocks(df, order, block)
+    wl = Window.partitionBy(*queue, "_tl_blk").orderBy(*order).rowsBetween(_UNB, 0)
     local = p.withColumn("_tl_ls", F.sum(ia).over(wl))
     blocks = local.groupBy(*queue, "_tl_blk").agg(F.sum(ia).alias("_tl_S"))
     wb = Window.partitionBy(*queue).orderBy("_tl_blk").rowsBetween(_UNB, -1)
     blocks = blocks.select(*queue, "_tl_blk", F.coalesce(F.sum("_tl_S").over(wb), F.lit(0)).alias("_tl_S0"))
-    return (local.join(blocks, [*queue, "_tl_blk"])
+    return (same_keys(local, blocks, [*queue, "_tl_blk"], "inner")
             .withColumn(out, F.col("_tl_S0") + F.col("_tl_ls") - ia)
-            .drop("_tl_pos", "_tl_blk", "_tl_ls", "_tl_S0"))
+            .drop("_tl_blk", "_tl_ls", "_tl_S0"))
 
 
 def fifo_departures(df: DataFrame, queue: list[str], order: list[str | Column],
                     arrival: str = "arrival", service: str = "service",
-                    method: str = "auto", block_size: int = 4096) -> DataFrame:
+                    method: str = "blocked", block: Column | None = None) -> DataFrame:
     """Q2: one server per queue, first come first served.
 
     Adds ``departure``, ``waiting`` (= departure - service - arrival) and
     ``sojourn`` (= departure - arrival).
     """
     a, s = F.col(arrival), F.col(service)
-    method = _resolve(df, queue, method)
-    if method == "window":
+    if _check(method) == "window":
         w = Window.partitionBy(*queue).orderBy(*order).rowsBetween(_UNB, 0)
         out = (df.withColumn("_tl_ss", F.sum(s).over(w))
                .withColumn("departure", F.col("_tl_ss") + F.max(a - F.col("_tl_ss") + s).over(w))
                .drop("_tl_ss"))
     else:
-        p = _positions(df, queue, order, block_size, method)
-        wl = Window.partitionBy(*queue, "_tl_blk").orderBy("_tl_pos").rowsBetween(_UNB, 0)
+        p = _blocks(df, order, block)
+        wl = Window.partitionBy(*queue, "_tl_blk").orderBy(*order).rowsBetween(_UNB, 0)
         local = (p.withColumn("_tl_ls", F.sum(s).over(wl))
                  .withColumn("_tl_lm", F.max(a - F.col("_tl_ls") + s).over(wl)))
         blocks = local.groupBy(*queue, "_tl_blk").agg(F.sum(s).alias("_tl_S"),
@@ -96,22 +92,22 @@ def fifo_departures(df: DataFrame, queue: list[str], order: list[str | Column],
         blocks = (blocks.withColumn("_tl_S0", F.coalesce(F.sum("_tl_S").over(wb), F.lit(0)))
                   .withColumn("_tl_M0", F.max(F.col("_tl_M") - F.col("_tl_S0")).over(wb))
                   .select(*queue, "_tl_blk", "_tl_S0", "_tl_M0"))
-        out = (local.join(blocks, [*queue, "_tl_blk"])
+        out = (same_keys(local, blocks, [*queue, "_tl_blk"], "inner")
                .withColumn("departure", F.col("_tl_ls") + F.col("_tl_S0")
                            + F.greatest(F.col("_tl_lm") - F.col("_tl_S0"), F.col("_tl_M0")))
-               .drop("_tl_pos", "_tl_blk", "_tl_ls", "_tl_lm", "_tl_S0", "_tl_M0"))
+               .drop("_tl_blk", "_tl_ls", "_tl_lm", "_tl_S0", "_tl_M0"))
     return (out.withColumn("waiting", F.col("departure") - s - a)
             .withColumn("sojourn", F.col("departure") - a))
 
 
 def forkjoin_departures(tasks: DataFrame, queue: list[str], job: str, worker: str,
                         order: list[str | Column], arrival: str = "arrival",
-                        service: str = "service", method: str = "auto",
-                        block_size: int = 4096) -> DataFrame:
+                        service: str = "service", method: str = "blocked",
+                        block: Column | None = None) -> DataFrame:
     """Q3: task i of every job runs on worker i (a persisted partition binds
     it to one executor); each worker is a FIFO queue; a job leaves when its
     last task does. ``(queue..., job, arrival, departure, sojourn)``."""
-    per_task = fifo_departures(tasks, [*queue, worker], order, arrival, service, method, block_size)
+    per_task = fifo_departures(tasks, [*queue, worker], order, arrival, service, method, block)
     return (per_task.groupBy(*queue, job)
             .agg(F.max(arrival).alias("arrival"), F.max("departure").alias("departure"))
             .withColumn("sojourn", F.col("departure") - F.col("arrival")))
@@ -119,10 +115,10 @@ def forkjoin_departures(tasks: DataFrame, queue: list[str], job: str, worker: st
 
 def barrier_departures(tasks: DataFrame, queue: list[str], job: str, order: list[str | Column],
                        arrival: str = "arrival", service: str = "service",
-                       method: str = "auto", block_size: int = 4096) -> DataFrame:
+                       method: str = "blocked", block: Column | None = None) -> DataFrame:
     """Q4: barrier mode, all tasks of a job start together; with as many
     tasks as workers this is split-merge: the job's service time is its
     longest task, then one FIFO queue of jobs."""
     jobs = tasks.groupBy(*queue, job).agg(F.max(arrival).alias(arrival),
                                           F.max(service).alias(service))
-    return fifo_departures(jobs, queue, order, arrival, service, method, block_size)
+    return fifo_departures(jobs, queue, order, arrival, service, method, block)

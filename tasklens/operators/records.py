@@ -55,19 +55,20 @@ def record_lt(a: Column, b: Column, signed: bool = False) -> Column:
 
 
 def group_records(df: DataFrame, key: str, rec: str, order: list[str] | None = None,
-                  salts: int | None = None) -> DataFrame:
+                  page: Column | None = None) -> DataFrame:
     """A1: ``(key, records ARRAY<BINARY>)``, all records of a key in a row.
 
     This is the grouped form the original works on; one group must fit in
     one row. ``order`` fixes the element order (else arrival order).
-    ``salts=k`` spreads each key over k rows ``(key, salt, records)`` by a
-    hash of the record, for keys too large for one row.
+    ``page`` bounds the rows: with it the result is ``(key, page, records)``,
+    one row for each value of ``page`` in a key. Take a value that never
+    falls along ``order`` and holds boundedly many records, and the arrays of
+    a key's pages, one after the other, are the key's records.
     """
     keys = [key]
-    if salts:
-        df = df.withColumn("salt", F.pmod(F.xxhash64(F.col(rec), *[F.col(c) for c in (order or [])]),
-                                          F.lit(int(salts))))
-        keys = [key, "salt"]
+    if page is not None:
+        df = df.withColumn("page", page)
+        keys = [key, "page"]
     if order:
         items = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order],
                                                      F.col(rec).alias("_tl_rec"))))
@@ -77,12 +78,28 @@ def group_records(df: DataFrame, key: str, rec: str, order: list[str] | None = N
     return df.groupBy(*keys).agg(recs.alias("records"))
 
 
-def keyed_max_last_byte(df: DataFrame, key: str, rec: str, signed: bool = False) -> DataFrame:
+def keyed_max_last_byte(df: DataFrame, key: str, rec: str, signed: bool = False,
+                        width: int | None = None) -> DataFrame:
     """A2: per key, the largest record; its last byte as a signed BIGINT.
 
     A partial aggregate of an order key (no record arrays are built);
-    0 when the largest record is empty.
+    0 when the largest record is empty. ``width``: no record is longer than
+    so many bytes (7 at most; signed: all have just so many), so the order key
+    is a BIGINT and the aggregate a hash aggregate; other lengths raise.
     """
+    if width is not None:
+        if not 1 <= width <= 7:
+            raise ValueError("width must be 1..7")
+        n = F.length(rec)
+        bad = (n != width) if signed else (n > width)
+        num = F.coalesce(F.conv(F.hex(rec), 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
+        flip = F.lit(int("80" * width, 16)).cast("bigint")
+        order = F.when(bad, F.raise_error(F.lit("record length beyond width")).cast("bigint")).otherwise(
+            num.bitwiseXOR(flip) if signed else num)
+        top = F.max(order)
+        low = (top.bitwiseXOR(flip) if signed else top).bitwiseAND(F.lit(255).cast("bigint"))
+        return df.groupBy(key).agg(F.coalesce(rng.signed_byte(low), F.lit(0)).cast("bigint")
+                                   .alias("max_last_byte"))
     if signed:
         top = F.max(rng.bytes_array(F.col(rec)))
         last = F.element_at(top, -1)
@@ -95,15 +112,26 @@ def keyed_max_last_byte(df: DataFrame, key: str, rec: str, signed: bool = False)
 
 
 def sort_records(df: DataFrame, key: str, rec: str, tie: list[str] | None = None,
-                 signed: bool = False, method: str = "auto") -> DataFrame:
-    """O1: stable sort of each key's records; adds 1-based ``pos``.
+                 signed: bool = False, split_rows: int | None = None) -> DataFrame:
+    """O1: stable sort of each key's records; adds 1-based ``pos`` (BIGINT).
 
-    Ties under the record order keep the order of ``tie`` columns. A key
-    too large for one task (``plans.ranking.window_is_safe``) is
-    range-partitioned on (key, order) and split over tasks instead of
-    sorted in one.
+    Ties under the record order keep the order of ``tie`` columns. Frequent
+    keys are cut into ranges of the records (``plans.ranking.rank_within``).
     """
     okey = "_tl_okey"
     with_key = df.withColumn(okey, record_order_key(F.col(rec), signed))
-    out = rank_within(with_key, [key], [okey, *(tie or [])], out="pos", method=method)
+    more = {"split_rows": split_rows} if split_rows is not None else {}
+    out = rank_within(with_key, [key], [okey, *(tie or [])], out="pos",
+                      split=_split_value(F.col(rec), signed), **more)
     return out.drop(okey)
+
+
+def _split_value(rec: Column, signed: bool) -> Column:
+    """A number that never falls along the record order: length and leading
+    bytes (unsigned), or the leading bytes shifted to 0..255 (signed)."""
+    if signed:
+        b = [F.coalesce(rng.byte_at(rec, F.lit(i)) + 129, F.lit(0)) for i in range(5)]
+        return sum((x * F.lit(float(257 ** (4 - i))) for i, x in enumerate(b)), F.lit(0.0))
+    h = _stripped_hex(rec)
+    lead = F.conv(F.rpad(F.substring(h, 1, 10), 10, "0"), 16, 10).cast("double")
+    return F.length(h).cast("double") * F.lit(float(1 << 41)) + lead

@@ -2,7 +2,7 @@
 
 Each workload maps one record (one payload) to one value; every record is
 processed whole. Position-independent reductions over large payloads run
-as Arrow-batched pandas UDFs with NumPy kernels (``functions.bytes_np``);
+as Arrow-batched UDFs with NumPy kernels (``functions.bytes_np``);
 random-position workloads are plain Column expressions (JVM side) because
 they touch O(log n) or O(writes) bytes.
 
@@ -16,6 +16,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,17 +26,14 @@ from ..functions import bytes_np, rng
 # ------------------------------------------------------------------ UDF kernels
 
 
-@F.pandas_udf(T.IntegerType())
-def _byte_max_udf(s: pd.Series) -> pd.Series:
-    out = [None if b is None else (int(bytes_np.as_int8(b).max()) if len(b) else -128)
-           for b in s]
-    return pd.Series(out, dtype="Int32")
+@F.arrow_udf(T.IntegerType())
+def _byte_max_udf(a: pa.Array) -> pa.Array:
+    return bytes_np.reduce_bytes(a, np.maximum, -128)
 
 
-@F.pandas_udf(T.IntegerType())
-def _byte_min_udf(s: pd.Series) -> pd.Series:
-    out = [None if b is None or len(b) == 0 else int(bytes_np.as_int8(b).min()) for b in s]
-    return pd.Series(out, dtype="Int32")
+@F.arrow_udf(T.IntegerType())
+def _byte_min_udf(a: pa.Array) -> pa.Array:
+    return bytes_np.reduce_bytes(a, np.minimum, None)
 
 
 @F.pandas_udf(T.LongType())
@@ -108,49 +106,47 @@ def log_walk(payload: Column, seed, *ids: Column) -> Column:
 # ------------------------------------------------------------------ W6
 
 
-def _scramble_udf(seed, n_writes: int):
-    @F.pandas_udf(T.BinaryType())
-    def _udf(payloads: pd.Series, ids: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else
-                          bytes_np.scramble(bytes_np.as_int8(b), seed, rid, n_writes).tobytes()
-                          for b, rid in zip(payloads, ids)])
-    return _udf
+@F.arrow_udf(T.BinaryType())
+def _scramble_udf(payload: pa.Array, pos: pa.Array, val: pa.Array) -> pa.Array:
+    out = []
+    for b, p, v in zip(payload, pos, val):
+        if not b.is_valid or not len(b.as_buffer()):
+            out.append(b.as_py())
+        else:
+            out.append(bytes_np.scramble(b.as_buffer(), p.values.to_numpy(), v.values.to_numpy()))
+    return pa.array(out, pa.binary())
 
 
-#: Above this many writes ``scramble_bytes`` uses the Arrow path.
-SCRAMBLE_NATIVE_MAX_WRITES = 64
+def _writes(payload: Column, seed, id_col: Column, n_writes: int) -> tuple[Column, Column]:
+    """Positions and values of the writes, drawn in the JVM."""
+    ks, n = F.sequence(F.lit(1), F.lit(int(n_writes))), F.length(payload)
+    return (F.transform(ks, lambda k: F.floor(rng.uniform(seed, "w6p", id_col, k) * n).cast("bigint")),
+            F.transform(ks, lambda k: (F.floor(rng.uniform(seed, "w6v", id_col, k) * 256) - 128).cast("int")))
 
 
-def scramble_bytes(payload: Column, seed, id_col: Column, n_writes: int,
-                   method: str = "auto") -> Column:
+def scramble_bytes(payload: Column, seed, id_col: Column, n_writes: int) -> Column:
     """Overwrite ``n_writes`` random positions with random bytes.
 
     Write k (1..n_writes) goes to ``floor(U(seed,'w6p',id,k)·n)`` with the
     value ``floor(U(seed,'w6v',id,k)·256) - 128``; a later write to the same
-    position wins. Count-based instead of clock-based.
-
-    ``method="native"`` applies the writes one by one as JVM expressions
-    (each write copies the payload: O(writes x n)); ``"arrow"`` draws the
-    same writes in an Arrow UDF and assigns them at once (O(n + writes));
-    ``"auto"`` takes native up to ``SCRAMBLE_NATIVE_MAX_WRITES`` writes.
+    position wins. Count-based instead of clock-based. The writes are drawn
+    as Column expressions and assigned at once: O(n + writes).
     """
-    if method == "arrow" or (method == "auto" and n_writes > SCRAMBLE_NATIVE_MAX_WRITES):
-        return _scramble_udf(seed, int(n_writes))(payload, id_col.cast("string"))
-    n = F.length(payload)
-    ks = F.sequence(F.lit(1), F.lit(int(n_writes)))
-
-    def write(acc, k):
-        pos = F.floor(rng.uniform(seed, "w6p", id_col, k) * n).cast("int")
-        val = F.floor(rng.uniform(seed, "w6v", id_col, k) * 256).cast("int") - 128
-        return F.concat(F.substring(acc, 1, pos), rng.byte_from_signed(val),
-                        F.substring(acc, pos + 2, n))
-
-    return F.when(n > 0, F.aggregate(ks, payload, write)).otherwise(payload)
+    if n_writes < 1:
+        return payload
+    return _scramble_udf(payload, *_writes(payload, seed, id_col, n_writes))
 
 
 def scramble_head(payload: Column, seed, id_col: Column, n_writes: int) -> Column:
-    """W6h: the first signed byte after ``scramble_bytes``."""
-    return rng.byte_at(scramble_bytes(payload, seed, id_col, n_writes), F.lit(0))
+    """W6h: the first signed byte after ``scramble_bytes``: the last value
+    written to position 0, or the byte that stands there."""
+    head = rng.byte_at(payload, F.lit(0))
+    if n_writes < 1:
+        return head
+    pos, val = _writes(payload, seed, id_col, n_writes)
+    hits = F.filter(F.arrays_zip(pos.alias("p"), val.alias("v")), lambda w: w["p"] == 0)
+    last = F.try_element_at(hits, F.lit(-1))["v"]
+    return F.when(F.length(payload) > 0, F.coalesce(last, head))
 
 
 # ------------------------------------------------------------------ W8, W9
@@ -183,13 +179,19 @@ def apply_workload_by(df: DataFrame, label: str | Column,
                       default: Callable[[Column], Column], col: str = "payload",
                       out: str = "result") -> DataFrame:
     """Choose the workload by a label (executor slot, host, language...);
-    labels not listed take ``default``. One CASE expression."""
+    labels not listed take ``default``.
+
+    Python workloads are computed ahead of a CASE, for every row; so each
+    workload is given NULL in the rows of other labels, and must map NULL to
+    NULL (or to anything: the CASE does not take it)."""
     lab = F.col(label) if isinstance(label, str) else label
-    expr = None
+    expr, listed = None, F.lit(False)
     for key, fn in workloads.items():
-        cond = lab == F.lit(key)
-        expr = F.when(cond, fn(F.col(col))) if expr is None else expr.when(cond, fn(F.col(col)))
-    d = default(F.col(col))
+        cond = F.coalesce(lab == F.lit(key), F.lit(False))
+        mine = fn(F.when(cond, F.col(col)))
+        expr = F.when(cond, mine) if expr is None else expr.when(cond, mine)
+        listed = listed | cond
+    d = default(F.when(~listed, F.col(col)))
     return df.withColumn(out, d if expr is None else expr.otherwise(d))
 
 

@@ -31,7 +31,12 @@ def duck_payload_hex(seed, id_expr: str, n_expr: str) -> str:
 
 # ------------------------------------------------------------------ metrics
 
-_TASKS_CTE = """
+#: Id of a lineitem row, as ``sources.tablelog.row_id``.
+_ROW_ID = ("('0x' || substr(md5(concat_ws(':', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), "
+           "CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), "
+           "CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR))), 1, 13))::BIGINT")
+
+_TASKS_CTE = f"""
 WITH o AS (
   SELECT o_orderpriority AS app, o_orderkey, o_orderstatus,
          epoch_ms(o_orderdate) AS sub_ms,
@@ -39,11 +44,7 @@ WITH o AS (
               THEN epoch_ms(o_orderdate) + 20000 + CAST(floor(o_totalprice) AS BIGINT) % 1000
          END AS end_ms
   FROM orders),
-li AS (
-  SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey,
-           l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
-           l_shipdate) AS task_id
-  FROM lineitem),
+li AS (SELECT *, {_ROW_ID} AS task_id FROM lineitem),
 tt AS (
   SELECT o.app, o.end_ms, o.sub_ms, li.*,
          o.sub_ms + li.l_linenumber * 1000 + li.l_suppkey % 100 AS launch_ms
@@ -155,23 +156,18 @@ SELECT app, event, n FROM (
 
 # ------------------------------------------------------------------ generators
 
-_NSUP = "(SELECT count(*) FROM supplier)"
-
-oracle("G1_index_partitions", f"""
-SELECT CAST(i AS INTEGER) AS id, CAST(i - 1 AS INTEGER) AS part
-FROM (SELECT unnest(range(1, {_NSUP} + 1)) AS i)
+oracle("G1_index_partitions", """
+SELECT s_suppkey AS id, CAST(((s_suppkey - 1) % 16 + 16) % 16 AS INTEGER) AS part FROM supplier
 """)
 
-oracle("G2_zero_partitions", f"""
-SELECT CAST(i AS INTEGER) AS id, CAST(i - 1 AS INTEGER) AS part, 17 AS n_bytes,
-       md5(repeat('00', 17)) AS payload_md5
-FROM (SELECT unnest(range(1, {_NSUP} + 1)) AS i)
+oracle("G2_zero_partitions", """
+SELECT s_suppkey AS id, CAST(((s_suppkey - 1) % 16 + 16) % 16 AS INTEGER) AS part, 17 AS n_bytes,
+       md5(repeat('00', 17)) AS payload_md5 FROM supplier
 """)
 
 oracle("G3_random_partitions", f"""
-SELECT CAST(i AS INTEGER) AS id, CAST(i - 1 AS INTEGER) AS part, 40 AS n_bytes,
-       {duck_payload_hex(42, 'i', '40')} AS payload_hex
-FROM (SELECT unnest(range(1, {_NSUP} + 1)) AS i)
+SELECT s_suppkey AS id, CAST(((s_suppkey - 1) % 16 + 16) % 16 AS INTEGER) AS part, 40 AS n_bytes,
+       {duck_payload_hex(42, 's_suppkey', '40')} AS payload_hex FROM supplier
 """)
 
 oracle("G4_sized_partitions", f"""
@@ -349,6 +345,16 @@ FROM li a LEFT JOIN li b ON a.l_orderkey = b.l_orderkey AND a.pos < b.pos
 GROUP BY a.l_orderkey
 """)
 
+# a list of the values of each supplier: the sum over pairs of positions
+_SUP_ORDER = "l_orderkey, " + _TIE.replace("l_suppkey, ", "")
+oracle("W3b_pair_sign_sum_supplier", f"""
+WITH li AS (SELECT l_suppkey, {_signed_low_byte('l_partkey')} AS v,
+              row_number() OVER (PARTITION BY l_suppkey ORDER BY {_SUP_ORDER}) AS pos FROM lineitem)
+SELECT a.l_suppkey, CAST(coalesce(sum(sign(a.v - b.v)), 0) AS BIGINT) AS pair_sign_sum
+FROM li a LEFT JOIN li b ON a.l_suppkey = b.l_suppkey AND a.pos < b.pos
+GROUP BY a.l_suppkey
+""")
+
 oracle("W7_record_lt", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey < l_suppkey AS lt FROM lineitem
 """)
@@ -359,9 +365,9 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
 """)
 
 oracle("A1_group_records", f"""
-SELECT l_orderkey, CAST(count(*) AS INTEGER) AS n_records,
+SELECT l_orderkey, CAST(l_linenumber // 4 AS BIGINT) AS page, CAST(count(*) AS INTEGER) AS n_records,
        string_agg({_HEXREC.format(x='l_partkey')}, ',' ORDER BY {_TIE}) AS records_hex
-FROM lineitem GROUP BY l_orderkey
+FROM lineitem GROUP BY l_orderkey, l_linenumber // 4
 """)
 
 oracle("A2_keyed_max_last_byte", f"""
@@ -377,7 +383,7 @@ FROM lineitem GROUP BY l_orderkey
 
 oracle("O1_sort_records", f"""
 SELECT l_orderkey,
-       CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, {_TIE}) AS INTEGER) AS pos,
+       CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, {_TIE}) AS BIGINT) AS pos,
        {_HEXREC.format(x='l_partkey')} AS rec_hex, l_linenumber, l_suppkey
 FROM lineitem
 """)
@@ -448,11 +454,9 @@ SELECT user_id, event_id, arrival, service, departure,
 
 # ------------------------------------------------------------------ placement
 
-_PL = """
-WITH li AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey,
-              l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
-              l_shipdate) AS seq FROM lineitem),
-bu AS (SELECT l_returnflag AS app, l_linenumber AS rdd_id, CAST(l_orderkey AS INTEGER) AS part_id,
+_PL = f"""
+WITH li AS (SELECT *, {_ROW_ID} AS seq FROM lineitem),
+bu AS (SELECT l_returnflag AS app, l_linenumber AS rdd_id, CAST(l_orderkey % 2147483647 AS INTEGER) AS part_id,
               CAST(l_suppkey % 8 AS VARCHAR) AS exec_id, 'host-' || CAST(l_suppkey % 4 AS VARCHAR) AS host,
               l_linestatus = 'F' AS d, l_discount < 0.05 AS m, l_discount < 0.05 AND l_tax < 0.04 AS z,
               CASE WHEN l_quantity >= 45 THEN 2 ELSE 1 END AS replicas,
@@ -473,18 +477,18 @@ oracle("P1_block_locations", _PL + "SELECT * FROM loc WHERE rdd_id <> 7")
 _P2 = _PL + """,
 placed AS (
   SELECT li.l_returnflag AS app, CAST(li.l_linenumber AS BIGINT) AS stage_id, li.seq AS task_id,
-         CAST(li.l_orderkey AS INTEGER) AS part_id, li.l_linenumber AS rdd_id,
+         CAST(li.l_orderkey % 2147483647 AS INTEGER) AS part_id, li.l_linenumber AS rdd_id,
          CAST(li.l_partkey % 8 AS VARCHAR) AS exec_executor, loc.exec_id AS storage_executor,
          loc.memsize, loc.disksize
   FROM li LEFT JOIN loc ON loc.app = li.l_returnflag AND loc.rdd_id = li.l_linenumber
-                       AND loc.part_id = CAST(li.l_orderkey AS INTEGER))
+                       AND loc.part_id = CAST(li.l_orderkey % 2147483647 AS INTEGER))
 """
 oracle("P2_placement", _P2 + "SELECT * FROM placed")
 
 oracle("A3_executor_partitions", _PL + """
-SELECT app, exec_id, rdd_id, count(*) AS n_parts,
+SELECT app, exec_id, rdd_id, CAST(part_id // 4096 AS BIGINT) AS page, count(*) AS n_parts,
        string_agg(CAST(part_id AS VARCHAR), ',' ORDER BY part_id) AS part_ids
-FROM loc WHERE rdd_id <> 7 GROUP BY app, exec_id, rdd_id
+FROM loc WHERE rdd_id <> 7 GROUP BY app, exec_id, rdd_id, part_id // 4096
 """)
 
 oracle("A4_report_by_executor", _P2 + """
@@ -494,10 +498,17 @@ SELECT app, exec_executor, count(*) AS n_rows, count(DISTINCT task_id) AS n_task
 FROM placed GROUP BY app, exec_executor
 """)
 
-oracle("P3_partition_profile", f"""
-SELECT CAST(i - 1 AS INTEGER) AS part, CAST(1 AS BIGINT) AS rows, CAST(40 AS BIGINT) AS bytes,
-       CAST(i AS INTEGER) AS min_key, CAST(i AS INTEGER) AS max_key
-FROM (SELECT unnest(range(1, {_NSUP} + 1)) AS i)
+oracle("P3_partition_profile", """
+SELECT CAST(((s_suppkey - 1) % 16 + 16) % 16 AS INTEGER) AS part, count(*) AS rows, CAST(40 * count(*) AS BIGINT) AS bytes,
+       min(s_suppkey) AS min_key, max(s_suppkey) AS max_key
+FROM supplier GROUP BY 1
+""")
+
+oracle("P3h_partition_profile_hosts", f"""
+SELECT count(*) AS rows, CAST(16 * count(*) AS BIGINT) AS bytes,
+       min(CAST(floor({duck_u(42, 'key', 'o_orderkey')} * 7) AS INTEGER)) AS min_key,
+       max(CAST(floor({duck_u(42, 'key', 'o_orderkey')} * 7) AS INTEGER)) AS max_key, true AS hosts_known
+FROM orders
 """)
 
 # payload of every part row: PAYLOAD(42, p_partkey, p_size), as bytes
@@ -542,27 +553,31 @@ SELECT taskIndex, count(serviceTime) AS "count", """ + ",\n  ".join(
     f"round(avg({m}), 6) AS avg_{m}, round(sqrt(var_samp({m})), 3) AS var_{m}" for m in _LOCAL)
     + "\nFROM t GROUP BY taskIndex")
 
-oracle("G4e_sized_by_slot", f"""
-WITH s AS (SELECT CAST(i AS INTEGER) AS id, CAST(i AS INTEGER) AS part, CAST(i % 3 AS VARCHAR) AS label,
-                  CASE i % 3 WHEN 0 THEN 5 WHEN 1 THEN 9 ELSE 2 END AS size
-           FROM (SELECT unnest(range(0, {_NSUP})) AS i))
-SELECT id, part, label, size, {duck_payload_hex(42, 'id', 'size')} AS payload_hex FROM s
+def _by_slot(slots: int) -> str:
+    slot = f"((s_suppkey - 1) % {slots} + {slots}) % {slots}"
+    size = f"CASE {slot} WHEN 0 THEN 5 WHEN 1 THEN 9 ELSE 2 END"
+    return f"""
+SELECT s_suppkey AS id, CAST({slot} AS VARCHAR) AS label, {size} AS size,
+       {duck_payload_hex(42, 's_suppkey', size)} AS payload_hex FROM supplier
+"""
+
+
+oracle("G4e_sized_by_slot", _by_slot(3))
+oracle("G4t_sized_by_thread", _by_slot(5))
+oracle("G4h_sized_by_host", f"""
+SELECT s_suppkey AS id, 8 AS size, {duck_payload_hex(42, 's_suppkey', '8')} AS payload_hex FROM supplier
 """)
 
-# tumbling 365-day windows from the epoch; a window is emitted once the
-# global watermark (least of the streams' latest event times, minus one
-# hour) has passed its end
+# tumbling 365-day windows from the epoch
 _W_MS = 365 * 86400 * 1000
 oracle("M6w_stream_windowed_index_stats", _TASKS_CTE + f""",
 tw AS (SELECT t.*, (epoch_ms(o.o_orderdate) + (t.waitingTime + t.serviceTime)::BIGINT) AS finish_ms
        FROM t JOIN orders o ON o.o_orderkey = t.stageId),
-wm AS (SELECT max(epoch_ms(o_orderdate)) - 3600000 AS wm FROM orders),
 g AS (SELECT (finish_ms // {_W_MS}) * {_W_MS} AS window_start_ms, * FROM tw)
 SELECT window_start_ms, window_start_ms + {_W_MS} AS window_end_ms, taskIndex,
   count(serviceTime) AS "count",
   {_stats}
 FROM g GROUP BY window_start_ms, taskIndex
-HAVING window_start_ms + {_W_MS} <= (SELECT wm FROM wm)
 """)
 
 oracle("P2h_hybrid_placement", _P2 + f""",
@@ -611,17 +626,18 @@ GROUP BY d.doc_id
 ORACLE["W1c_byte_max_chunked"] = ORACLE["W1_byte_max"]
 ORACLE["W3c_doc_pair_sign_sum_chunked"] = ORACLE["W3_doc_pair_sign_sum"]
 
+_CHUNKS = "FROM (SELECT s_suppkey, unnest(range(0, 4)) AS c FROM supplier)"
 oracle("G2c_zero_partitions_chunked", f"""
-SELECT CAST(i AS INTEGER) AS id, c AS chunk, CAST(least(32, 100 - 32 * c) AS INTEGER) AS n_bytes,
+SELECT s_suppkey AS id, c AS chunk, CAST(least(32, 100 - 32 * c) AS INTEGER) AS n_bytes,
        md5(repeat('00', CAST(least(32, 100 - 32 * c) AS INTEGER))) AS payload_md5
-FROM (SELECT unnest(range(1, {_NSUP} + 1)) AS i), (SELECT unnest(range(0, 4)) AS c)
+{_CHUNKS}
 """)
 
 oracle("G3c_random_partitions_chunked", f"""
-SELECT CAST(i AS INTEGER) AS id, c AS chunk,
-       substr({duck_payload_hex(42, 'i', '100')}, 64 * c + 1, 2 * CAST(least(32, 100 - 32 * c) AS INTEGER))
+SELECT s_suppkey AS id, c AS chunk,
+       substr({duck_payload_hex(42, 's_suppkey', '100')}, 64 * c + 1, 2 * CAST(least(32, 100 - 32 * c) AS INTEGER))
          AS payload_hex
-FROM (SELECT unnest(range(1, {_NSUP} + 1)) AS i), (SELECT unnest(range(0, 4)) AS c)
+{_CHUNKS}
 """)
 
 oracle("M5k_flat_tasks_keep_incomplete",
@@ -629,3 +645,10 @@ oracle("M5k_flat_tasks_keep_incomplete",
 
 oracle("W6m_scramble_many_writes",
        _w6_sql(1000) + "SELECT doc_id, CAST(n AS INTEGER) AS n_bytes, md5(h) AS payload_md5 FROM sc")
+
+# the same tables read back from log files
+ORACLE["S1f_event_counts_files"] = ORACLE["S1_event_counts"]
+ORACLE["M1f_jobs_files"] = ORACLE["M1_jobs"]
+ORACLE["M5f_flat_tasks_files"] = ORACLE["M5_flat_tasks_full"]
+ORACLE["P1r_block_locations_rolled"] = ORACLE["P1_block_locations"]
+ORACLE["A4r_report_by_executor_rolled"] = ORACLE["A4_report_by_executor"]

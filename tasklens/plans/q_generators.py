@@ -1,15 +1,14 @@
 """Registered queries of the generator family.
 
-Sizes and ids come from the tables: partition counts from ``supplier``,
-ids from ``orders`` keys, size tables from ``nation``.
+Ids are the keys of ``supplier`` and ``orders`` rows, size tables come from
+``nation``; the number of partitions is a parameter.
 """
 
 from __future__ import annotations
 
-import socket
-
 from pyspark.sql import functions as F
 
+from ..functions import rng
 from ..sources import generators as G
 from .registry import register, rounded, tables
 
@@ -25,35 +24,33 @@ PROCESS_SPECS = {
 }
 
 
-def _n_suppliers(spark, sf_dir) -> int:
-    (supplier,) = tables(spark, sf_dir, "supplier")
-    return supplier.count()
+#: Partitions of the G1-G3 tables.
+PARTS = 16
 
 
-def _with_part(df):
-    return df.withColumn("part", F.spark_partition_id())
+def _suppliers(spark, sf_dir):
+    (supplier,) = tables(spark, sf_dir, "supplier")
+    return G.partitions_for(supplier, "s_suppkey", PARTS)
 
 
 @register("G1_index_partitions")
 def g1(spark, sf_dir):
-    """G1: ids 1..n with n = number of suppliers, one per partition, with the partition id."""
-    return _with_part(G.index_partitions(spark, _n_suppliers(spark, sf_dir)))
+    """G1: the supplier keys dealt to 16 partitions, with the partition."""
+    return _suppliers(spark, sf_dir)
 
 
 @register("G2_zero_partitions")
 def g2(spark, sf_dir):
-    """One 17-byte zero payload per partition (n = suppliers); length and md5 of its hex."""
-    df = G.zero_partitions(spark, _n_suppliers(spark, sf_dir), 17)
-    return _with_part(df).select("id", "part", F.length("payload").alias("n_bytes"),
-                                 F.md5(F.hex("payload")).alias("payload_md5"))
+    """One 17-byte zero payload per supplier; length and md5 of its hex."""
+    return _suppliers(spark, sf_dir).withColumn("payload", rng.zeros(17)).select(
+        "id", "part", F.length("payload").alias("n_bytes"), F.md5(F.hex("payload")).alias("payload_md5"))
 
 
 @register("G3_random_partitions")
 def g3(spark, sf_dir):
-    """One 40-byte seeded random payload per partition (n = suppliers), as hex."""
-    df = G.random_partitions(spark, _n_suppliers(spark, sf_dir), 40, SEED)
-    return _with_part(df).select("id", "part", F.length("payload").alias("n_bytes"),
-                                 F.hex("payload").alias("payload_hex"))
+    """One 40-byte seeded random payload per supplier, as hex."""
+    return G.random_payloads_for(_suppliers(spark, sf_dir), "id", 40, SEED).select(
+        "id", "part", F.length("payload").alias("n_bytes"), F.hex("payload").alias("payload_hex"))
 
 
 def _nation_sizes(nation):
@@ -72,21 +69,32 @@ def g4(spark, sf_dir):
     return df.select("id", "label", "size", F.hex("payload").alias("payload_hex"))
 
 
+def _by_slot(spark, sf_dir, slots):
+    (supplier,) = tables(spark, sf_dir, "supplier")
+    df = G.sized_by_slot(supplier, "s_suppkey", {"0": 5, "1": 9}, slots, default_size=2, seed=SEED)
+    return df.select("id", "label", "size", F.hex("payload").alias("payload_hex"))
+
+
 @register("G4e_sized_by_slot")
 def g4e(spark, sf_dir):
-    """G4e/G4t: 0-based partition ids, label = executor slot pmod(id, 3);
-    slots 0 and 1 have sizes, slot 2 takes the default."""
-    n = _n_suppliers(spark, sf_dir)
-    df = G.sized_partitions(spark, n, {"0": 5, "1": 9}, default_size=2, n_slots=3, seed=SEED)
-    return _with_part(df).select("id", "part", "label", "size", F.hex("payload").alias("payload_hex"))
+    """G4e: payload size by the executor slot (of 3) that a supplier key is
+    dealt to; slots 0 and 1 have sizes, slot 2 takes the default."""
+    return _by_slot(spark, sf_dir, 3)
+
+
+@register("G4t_sized_by_thread")
+def g4t(spark, sf_dir):
+    """G4t: the same by thread (of 5)."""
+    return _by_slot(spark, sf_dir, 5)
 
 
 @register("G4h_sized_by_host")
 def g4h(spark, sf_dir):
-    """G4h: payload size by the host that builds each partition (a size for this host, default 1)."""
-    n = _n_suppliers(spark, sf_dir)
-    df = G.sized_partitions_by_host(spark, n, {socket.gethostname(): 8}, default_size=1, seed=SEED)
-    return df.select("id", "size", F.length("payload").alias("n_bytes"))
+    """G4h: payload size by the host that builds each supplier's row; only an
+    unknown host has a size of its own, so that the result names no host."""
+    (supplier,) = tables(spark, sf_dir, "supplier")
+    df = G.sized_by_host(supplier, "s_suppkey", {"no such host": 3}, default_size=8, seed=SEED)
+    return df.select("id", "size", F.hex("payload").alias("payload_hex"))
 
 
 @register("G5_keyed_records")
@@ -99,11 +107,11 @@ def g5(spark, sf_dir):
 
 @register("G6_union_batches")
 def g6(spark, sf_dir):
-    """The keyed records built in three pieces (by order status) and bag-unioned."""
+    """The keyed records built in three pieces (of the order keys) and bag-unioned."""
     (orders,) = tables(spark, sf_dir, "orders")
-    pieces = [G.keyed_records_for(orders.where(F.col("o_orderstatus") == s), "o_orderkey",
-                                  num_keys=7, record_size=8, seed=SEED)
-              for s in ("F", "O", "P")]
+    pieces = [G.keyed_records_for(orders.where(F.coalesce(F.pmod("o_orderkey", F.lit(3)), F.lit(0)) == i),
+                                  "o_orderkey", num_keys=7, record_size=8, seed=SEED)
+              for i in range(3)]
     return G.union_batches(pieces).select("id", "key", F.hex("payload").alias("payload_hex"))
 
 
@@ -141,9 +149,8 @@ def g9pi(spark, sf_dir):
 @register("G2c_zero_partitions_chunked")
 def g2c(spark, sf_dir):
     """G2 with payloads larger than one row may hold: 100 zero bytes per
-    partition id in chunk rows of at most 32 bytes."""
-    ids = G.index_partitions(spark, _n_suppliers(spark, sf_dir))
-    df = G.chunked_payloads_for(ids, "id", 100, 32, zero=True)
+    supplier in chunk rows of at most 32 bytes."""
+    df = G.chunked_payloads_for(_suppliers(spark, sf_dir), "id", 100, 32, zero=True)
     return df.select("id", "chunk", F.length("payload").alias("n_bytes"),
                      F.md5(F.hex("payload")).alias("payload_md5"))
 
@@ -151,6 +158,5 @@ def g2c(spark, sf_dir):
 @register("G3c_random_partitions_chunked")
 def g3c(spark, sf_dir):
     """G3 in chunk rows: chunk k holds bytes [32k, 32k+32) of PAYLOAD(id, 100)."""
-    ids = G.index_partitions(spark, _n_suppliers(spark, sf_dir))
-    df = G.chunked_payloads_for(ids, "id", 100, 32, seed=SEED)
+    df = G.chunked_payloads_for(_suppliers(spark, sf_dir), "id", 100, 32, seed=SEED)
     return df.select("id", "chunk", F.hex("payload").alias("payload_hex"))

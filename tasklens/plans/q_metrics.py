@@ -77,6 +77,47 @@ def s1(spark, sf_dir):
         F.count(F.lit(1)).alias("n"))
 
 
+def log_files(spark, sf_dir):
+    """The table's log written as text files (several to a log, with a
+    cut-off line in each log) and read back with the batch reader."""
+    from ..sources.eventlog import read_event_log
+    from ..streaming.eventlog_stream import scratch_path, write_log_files
+    folder = scratch_path(spark, "files")
+    lines = table_log(spark, sf_dir).select("log", "value")
+    cut = lines.select("log").distinct().select(
+        "log", F.lit('{"Event":"SparkListenerJobStart","Job ID":1,"Submission T').alias("value"))
+    write_log_files(lines.unionByName(cut), folder, files_per_log=5)
+    return read_event_log(spark, folder)
+
+
+@register("S1f_event_counts_files")
+def s1f(spark, sf_dir):
+    """S1 over log files: whole events per app and type; the cut-off lines count for nothing."""
+    from ..sources import eventlog as ev
+    names = ev.with_event(log_files(spark, sf_dir))
+    whole = F.get_json_object("value", "$.Event")
+    return (names.where(whole.isNotNull()).groupBy(F.col("log").alias("app"), "event")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("M1f_jobs_files")
+def m1f(spark, sf_dir):
+    """M1 over log files split into Parquet by event (a cut-off JobStart line is no job)."""
+    from ..sources import eventlog as ev
+    from ..streaming.eventlog_stream import scratch_path
+    path = scratch_path(spark, "events")
+    ev.materialize_event_log(log_files(spark, sf_dir), path)
+    return M.jobs(spark.read.parquet(path)).select(
+        "app", "job_id", "submission_ms", "num_stages",
+        F.array_join("stage_ids", ",").alias("stage_ids"), "end_ms")
+
+
+@register("M5f_flat_tasks_files")
+def m5f(spark, sf_dir):
+    """M5 over log files."""
+    return rounded(M.flat_tasks_full(log_files(spark, sf_dir), stage_index=None))
+
+
 @register("A5m_task_index_stats_materialized")
 def a5m(spark, sf_dir):
     """A5 over the log split once into Parquet partitioned by event (the

@@ -29,6 +29,43 @@ def p1(spark, sf_dir):
     return P.block_locations(placement_lines(spark, sf_dir), live_only=True)
 
 
+def rolled_log(spark, sf_dir, files: int = 12):
+    """The placement log written the way Spark rolls a log, one folder per
+    application with ``files`` numbered files of growing size, and read back."""
+    from ..sources.eventlog import read_event_log
+    from ..streaming.eventlog_stream import scratch_path
+    lines = placement_lines(spark, sf_dir)
+    # the lines are in the order of seq, a 52-bit number; later files hold more
+    share = F.sqrt(F.coalesce(F.col("seq"), F.lit(0)) / F.lit(float(1 << 52)))
+    number = F.least(F.floor((1 - share) * files), F.lit(files - 1))
+    lines = lines.select("log", (files - number).cast("int").alias("n"), "seq", "value")
+    folder, top = scratch_path(spark, "parts"), scratch_path(spark, "rolled")
+    (lines.repartition("log", "n").sortWithinPartitions("log", "n", "seq").select("log", "n", "value")
+     .write.partitionBy("log", "n").text(folder))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(conf)
+    for st in fs.globStatus(path(f"{folder}/log=*/n=*/part-*")):     # ``files`` for each application
+        part = st.getPath()
+        log, n = (part.getParent().getParent().getName()[4:], part.getParent().getName()[2:])
+        fs.mkdirs(path(f"{top}/eventlog_v2_{log}"))
+        fs.rename(part, path(f"{top}/eventlog_v2_{log}/events_{n}_{log}"))
+    rolled = read_event_log(spark, f"{top}/eventlog_v2_*", rolled=True)
+    return rolled.withColumn("log", F.regexp_extract("log", r"eventlog_v2_([^/]*)$", 1))
+
+
+@register("P1r_block_locations_rolled")
+def p1r(spark, sf_dir):
+    """P1 over rolled log files of unequal size: the last update is the last line of the last file."""
+    return P.block_locations(rolled_log(spark, sf_dir), live_only=True)
+
+
+@register("A4r_report_by_executor_rolled")
+def a4r(spark, sf_dir):
+    """A4 over the rolled log files."""
+    return P.report_by_executor(P.placement(rolled_log(spark, sf_dir)))
+
+
 @register("P2_placement")
 def p2(spark, sf_dir):
     """Per task, executing executor vs storage executor of its partition."""
@@ -37,10 +74,10 @@ def p2(spark, sf_dir):
 
 @register("A3_executor_partitions")
 def a3(spark, sf_dir):
-    """A3: per executor and RDD, the sorted partition ids it stores."""
+    """A3: per executor and RDD, the sorted partition ids it stores, in pages of 4096 ids."""
     loc = P.block_locations(placement_lines(spark, sf_dir), live_only=True)
     return P.executor_partitions(loc).select(
-        "app", "exec_id", "rdd_id", "n_parts",
+        "app", "exec_id", "rdd_id", "page", "n_parts",
         F.array_join(F.transform("part_ids", lambda x: x.cast("string")), ",").alias("part_ids"))
 
 
@@ -52,18 +89,22 @@ def a4(spark, sf_dir):
 
 @register("P3_partition_profile")
 def p3(spark, sf_dir):
-    """Rows, bytes and key range per partition of the G3 table (n = suppliers)."""
+    """Rows, bytes and key range per partition of the G3 table over supplier rows."""
     (supplier,) = tables(spark, sf_dir, "supplier")
-    df = G.random_partitions(spark, supplier.count(), 40, SEED)
-    return P.partition_profile(df, key="id", payload="payload")
+    df = G.random_payloads_for(G.partitions_for(supplier, "s_suppkey", 16), "id", 40, SEED)
+    return P.partition_profile(df, key="id", payload="payload", part=F.col("part"))
 
 
 @register("P3h_partition_profile_hosts")
 def p3h(spark, sf_dir):
-    """Partition profile of keyed records hash-partitioned by key, with the host of each partition."""
+    """Profile of keyed records hash-partitioned by key, with the host of
+    each partition, summed up so that the result names no host."""
     (orders,) = tables(spark, sf_dir, "orders")
     df = G.keyed_records_for(orders, "o_orderkey", 7, 16, SEED).repartition(8, "key")
-    return P.partition_profile(df, key="key", payload="payload", with_host=True)
+    prof = P.partition_profile(df, key="key", payload="payload", with_host=True)
+    return prof.agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"),
+                    F.min("min_key").alias("min_key"), F.max("max_key").alias("max_key"),
+                    F.bool_and(F.length("host") > 0).alias("hosts_known"))
 
 
 def part_payloads(spark, sf_dir):
@@ -88,17 +129,20 @@ def e2(spark, sf_dir):
 @register("E3_barrier")
 def e3(spark, sf_dir):
     """Byte max of each part's payload in barrier mode (all tasks start together)."""
-    # barrier mode needs a free slot per partition: never more than the session has
-    parts = min(4, spark.sparkContext.defaultParallelism)
-    return E.run_barrier(part_payloads(spark, sf_dir), "p_partkey", num_partitions=parts).select(
+    # barrier mode needs a free slot per partition: as many as the session has
+    return E.run_barrier(part_payloads(spark, sf_dir), "p_partkey").select(
         F.col("id").alias("p_partkey"), "result")
 
 
 @register("E4_persisted")
 def e4(spark, sf_dir):
     """Byte max over a persisted (memory and disk) copy of the part payloads."""
-    cached = E.Persisted(part_payloads(spark, sf_dir), StorageLevel.MEMORY_AND_DISK)
-    return cached.run(lambda c: W.byte_max(c).cast("bigint")).select("p_partkey", "result")
+    from ..streaming.eventlog_stream import scratch_path
+    path = scratch_path(spark, "persisted")
+    with E.Persisted(part_payloads(spark, sf_dir), StorageLevel.MEMORY_AND_DISK) as cached:
+        out = cached.run(lambda c: W.byte_max(c).cast("bigint")).select("p_partkey", "result")
+        out.write.parquet(path)     # the result outlives the cached blocks
+        return spark.read.schema(out.schema).parquet(path)
 
 
 @register("A6_slice_count")

@@ -5,8 +5,7 @@ order, arrival = epoch microseconds of ``ts``, service =
 round(value * 300 * 1e6) microseconds (the factor makes about 39% of
 jobs wait). Fork-join / barrier jobs have 3 tasks with service
 round(value * 1e6 * (100 + 200 * U(42, 't', event_id, task))).
-Registered with small blocks (16 jobs) so that the cross-block scan is
-part of the check.
+Blocks are the default hours of the arrival times.
 """
 
 from __future__ import annotations
@@ -19,7 +18,6 @@ from ..sources.eventlog import epoch_us
 from .registry import register, tables
 
 SEED = 42
-BLOCK = 16
 ORDER = ["arrival", "event_id"]
 
 
@@ -45,18 +43,18 @@ def q1(spark, sf_dir):
     ia = F.round(-F.ln(rng.uniform(SEED, "ia", F.col("event_id"))) * F.lit(60000000.0)).cast("bigint")
     df = events.select("user_id", "event_id", "ts", ia.alias("interarrival"))
     out = Q.arrival_schedule(df, ["user_id"], ["ts", "event_id"], "interarrival",
-                             method="blocked", block_size=BLOCK)
+                             block=F.floor(epoch_us(F.col("ts")) / F.lit(Q.BLOCK_SPAN)))
     return out.select("user_id", "event_id", "interarrival", "arrival")
 
 
 def _q2(spark, sf_dir, method):
     j = queue_jobs(spark, sf_dir).drop("value")
-    return Q.fifo_departures(j, ["user_id"], ORDER, method=method, block_size=BLOCK)
+    return Q.fifo_departures(j, ["user_id"], ORDER, method=method)
 
 
 @register("Q2_fifo_departures")
 def q2(spark, sf_dir):
-    """Q2: FIFO departure, waiting and sojourn times per user queue (blocked max-plus scan, 16-job blocks)."""
+    """Q2: FIFO departure, waiting and sojourn times per user queue (max-plus scan in hourly blocks)."""
     return _q2(spark, sf_dir, "blocked")
 
 
@@ -70,13 +68,11 @@ def q2w(spark, sf_dir):
 def q3(spark, sf_dir):
     """Q3: fork-join: 3 tasks per job, task i on worker i, job leaves with its last task."""
     t = queue_tasks(spark, sf_dir)
-    return Q.forkjoin_departures(t, ["user_id"], "event_id", "task", ORDER, method="blocked",
-                                 block_size=BLOCK)
+    return Q.forkjoin_departures(t, ["user_id"], "event_id", "task", ORDER)
 
 
 @register("Q4_barrier_departures")
 def q4(spark, sf_dir):
     """Q4: barrier mode: a job's service is its longest task, one FIFO queue of jobs."""
     t = queue_tasks(spark, sf_dir)
-    return Q.barrier_departures(t, ["user_id"], "event_id", ORDER, method="blocked",
-                                block_size=BLOCK)
+    return Q.barrier_departures(t, ["user_id"], "event_id", ORDER)

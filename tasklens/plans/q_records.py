@@ -22,11 +22,20 @@ def lineitem(spark, sf_dir):
 
 @register("W3_pair_sign_sum")
 def w3(spark, sf_dir):
-    """Pair sign sums of each order's signed low bytes of l_partkey,
-    in blocks of 8 positions so that cross-block sums are exercised."""
+    """Pair sign sums of each order's signed low bytes of l_partkey."""
     li = lineitem(spark, sf_dir)
     v = rng.signed_byte(F.pmod(F.col("l_partkey"), F.lit(256)))
-    return P.pair_sign_sum_rows(li, ["l_orderkey"], v, TIE, block_size=8)
+    return P.pair_sign_sum_rows(li, ["l_orderkey"], v, TIE)
+
+
+@register("W3b_pair_sign_sum_supplier")
+def w3b(spark, sf_dir):
+    """J4/W3 over suppliers (few large groups), in blocks of 64 positions, so
+    that sums across blocks are part of the check."""
+    li = lineitem(spark, sf_dir)
+    v = rng.signed_byte(F.pmod(F.col("l_partkey"), F.lit(256)))
+    order = ["l_orderkey", *[c for c in TIE if c != "l_suppkey"]]
+    return P.pair_sign_sum_rows(li, ["l_suppkey"], v, order, block_size=64)
 
 
 @register("W7_record_lt")
@@ -49,10 +58,12 @@ def w7s(spark, sf_dir):
 
 @register("A1_group_records")
 def a1(spark, sf_dir):
-    """A1: every order's records (big-endian l_partkey) in one array, in row order."""
+    """A1: every order's records (big-endian l_partkey) in row order, in pages
+    of four line numbers."""
     li = lineitem(spark, sf_dir).withColumn("rec", R.be_record(F.col("l_partkey")))
-    g = R.group_records(li, "l_orderkey", "rec", order=TIE)
-    return g.select("l_orderkey", F.size("records").alias("n_records"),
+    g = R.group_records(li, "l_orderkey", "rec", order=TIE,
+                        page=F.floor(F.col("l_linenumber") / 4).cast("bigint"))
+    return g.select("l_orderkey", "page", F.size("records").alias("n_records"),
                     F.array_join(F.transform("records", lambda r: F.hex(r)), ",").alias("records_hex"))
 
 
@@ -60,14 +71,14 @@ def a1(spark, sf_dir):
 def a2(spark, sf_dir):
     """A2: per order, the last byte (signed) of its largest record."""
     li = lineitem(spark, sf_dir).withColumn("rec", R.be_record(F.col("l_partkey")))
-    return R.keyed_max_last_byte(li, "l_orderkey", "rec")
+    return R.keyed_max_last_byte(li, "l_orderkey", "rec", width=7)
 
 
 @register("A2s_keyed_max_last_byte_signed")
 def a2s(spark, sf_dir):
     """A2 signed: the same under the byte-wise signed order of 4-byte records."""
     li = lineitem(spark, sf_dir).withColumn("rec", R.be_record(F.col("l_partkey"), 4))
-    return R.keyed_max_last_byte(li, "l_orderkey", "rec", signed=True)
+    return R.keyed_max_last_byte(li, "l_orderkey", "rec", signed=True, width=4)
 
 
 @register("O1_sort_records")

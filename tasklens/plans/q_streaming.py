@@ -45,11 +45,13 @@ def m6(spark, sf_dir):
 def m6w(spark, sf_dir):
     """Full M6 on a stream: tasks joined to stage submissions and job ends
     (stream-stream joins), per-index statistics per 365-day window of
-    finish time; append mode, one trigger over all files."""
+    finish time; append mode, one trigger over all files, all windows closed
+    (the longest job of this log takes 21 seconds)."""
     folder = S.scratch_path(spark, "logs")
     S.write_log_files(table_log(spark, sf_dir), folder, files_per_log=2)
+    S.write_flush_file(spark, folder)
     stream = S.read_event_log_stream(spark, folder)
-    stats = S.windowed_index_stats(stream, "365 days", "1 hour", "1 day")
+    stats = S.windowed_index_stats(stream, bound="1 day", window="365 days")
     out = S.run_to_table(stats, "append", state_partitions=_state_parts(spark))
     out = out.select(F.unix_millis("window_start").alias("window_start_ms"),
                      F.unix_millis("window_end").alias("window_end_ms"),

@@ -1,38 +1,19 @@
 """Row numbers without a single-task window.
 
 ``Window.orderBy(...)`` with no partition puts every row in one task, and
-``Window.partitionBy(key)`` puts a hot key in one task. Both helpers here
-range-partition on the full ordering instead, so a hot key is split over
-several tasks by the sampled range bounds:
-
-1. ``repartitionByRange(n, order...)`` + ``sortWithinPartitions``: one
-   shuffle; partition i holds keys below partition i+1.
-2. ``monotonically_increasing_id`` then gives (partition, local index) in
-   sorted order, evaluated right after the sort in the same stage.
-3. Per-partition row counts are a table of at most ``n`` rows (a proven
-   bound), summed into offsets and broadcast back.
-
-Both branches must see one and the same range partitioning: Spark samples
-range bounds per exchange instance (the seed depends on the RDD id), so two
-computations of the exchange may cut at different keys. The sorted, tagged
-rows are therefore persisted (memory and disk) and both branches read them.
-Lineage is kept: a lost executor's blocks are recomputed from the same
-shuffle dependency, hence the same bounds. ``release()`` unpersists them.
+``Window.partitionBy(key)`` puts a hot key in one task. ``rank_within`` cuts
+the rows of frequent keys into ranges of the ordering, ranks inside each
+range and adds the sizes of the ranges before it; ``global_row_number``
+range-partitions all rows and adds the sizes of the partitions before.
+Each has one plan for every size of data.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PERSISTED: list[DataFrame] = []
-
-
-def release() -> None:
-    """Unpersist the sorted inputs kept by ``global_row_number``."""
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist()
+from ..session import ensure_checkpoint_dir
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = (partition << 33) + index
 
@@ -45,33 +26,23 @@ def _num_parts(df: DataFrame, num_partitions: int | None) -> int:
 
 
 def global_row_number(df: DataFrame, order: list[str | Column], out: str = "rn",
-                      num_partitions: int | None = None, materialize: str = "persist") -> DataFrame:
-    """``row_number() OVER (ORDER BY order...)`` (1-based), distributed.
+                      num_partitions: int | None = None) -> DataFrame:
+    """``row_number() OVER (ORDER BY order...)`` (1-based, BIGINT), distributed.
 
     ``order`` should be a total order (a full tie-break); rows equal on all
-    of it get consecutive numbers in an arbitrary order.
-
-    ``materialize``: ``"persist"`` keeps the sorted, tagged rows in the
-    executors (memory and disk; lineage kept, release with ``release()``
-    once results are no longer used); ``"checkpoint"`` writes them once to
-    the session's checkpoint folder (eager, reliable, no recomputation).
+    of it get consecutive numbers in an arbitrary order. The sorted rows are
+    written once to the session's checkpoint folder, so that the counts of
+    the range partitions and the rows themselves come from one sampling of
+    the range bounds, also after an executor is lost.
     """
     n = _num_parts(df, num_partitions)
     sorted_df = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    mid = F.monotonically_increasing_id()
     tagged = (sorted_df
-              .withColumn("_tl_mid", mid)
+              .withColumn("_tl_mid", F.monotonically_increasing_id())
               .withColumn("_tl_pid", F.shiftright(F.col("_tl_mid"), _LOCAL_BITS))
               .withColumn("_tl_loc", F.col("_tl_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
-    if materialize == "checkpoint":
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(df.sparkSession)
-        tagged = tagged.checkpoint(eager=True)
-    elif materialize == "persist":
-        tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
-        _PERSISTED.append(tagged)
-    else:
-        raise ValueError("materialize must be 'persist' or 'checkpoint'")
+    ensure_checkpoint_dir(df.sparkSession)
+    tagged = tagged.checkpoint(eager=True)
     counts = tagged.groupBy("_tl_pid").agg(F.count(F.lit(1)).alias("_tl_cnt"))
     # at most n rows: one per range partition
     offsets = counts.select(
@@ -84,51 +55,49 @@ def global_row_number(df: DataFrame, order: list[str | Column], out: str = "rn",
             .drop("_tl_mid", "_tl_pid", "_tl_loc", "_tl_off"))
 
 
-#: Largest group that ``method="auto"`` leaves to a plain window (one task).
-WINDOW_MAX_ROWS = 2_000_000
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the biggest group (one partial aggregate, one scalar back)."""
-    return group_sizes(df, keys)[0]
-
-
-def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
-    """(rows of the biggest group, all rows), from one aggregate."""
-    top, total = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
-    return int(top or 0), int(total or 0)
+#: Rows of a key from which on its ranks are computed range by range.
+SPLIT_ROWS = 100_000
+#: Ranges of such a key.
+SPLITS = 64
 
 
-def window_is_safe(df: DataFrame, keys: list[str], window_max_rows: int | None = None) -> bool:
-    """True when the largest group fits one task comfortably: at most
-    ``max(window_max_rows, 2 * rows / spark.sql.shuffle.partitions)`` rows,
-    i.e. never more than twice an average shuffle partition beyond the
-    absolute floor. ``window_max_rows=0`` never allows the window."""
-    floor = WINDOW_MAX_ROWS if window_max_rows is None else window_max_rows
-    top, total = group_sizes(df, keys)
-    parts = _num_parts(df, None)
-    return top <= max(floor, 2 * total // parts) if floor > 0 else False
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL; the right keys are dropped."""
+    names = {k: f"_tl_r_{k}" for k in keys}
+    right = right.withColumnsRenamed(names)
+    cond = [F.col(f"`{k}`").eqNullSafe(F.col(f"`{r}`")) for k, r in names.items()]
+    return left.join(right, cond, how).drop(*names.values())
 
 
 def rank_within(df: DataFrame, keys: list[str], order: list[str | Column],
-                out: str = "pos", num_partitions: int | None = None,
-                method: str = "auto", window_max_rows: int | None = None) -> DataFrame:
-    """``row_number() OVER (PARTITION BY keys ORDER BY order)`` (1-based).
-
-    ``method="range"``: global row number over ``keys + order`` minus the
-    first number of each key; a hot key is spread over range partitions
-    and the per-key minimum is a partial aggregate.
-    ``method="window"``: the plain window (one hash shuffle; a key is one
-    task). ``method="auto"`` (default): the window when ``window_is_safe``
-    (the largest key checked first), else the range method.
+                out: str = "pos", split: str | Column | None = None,
+                split_rows: int = SPLIT_ROWS, splits: int = SPLITS) -> DataFrame:
+    """``row_number() OVER (PARTITION BY keys ORDER BY order)`` (1-based, BIGINT).
+
+    ``split`` is a number that never falls along ``order`` (default: the
+    first order column). The rows of keys with more than ``split_rows`` rows
+    are cut at approximate quantiles of it into at most ``splits`` + 1
+    ranges; a range is one window partition, and the sizes of the ranges
+    before it (at most ``splits`` rows of a key) are added. Rows with equal
+    ``split`` stay in one range.
     """
-    if method == "auto":
-        method = "window" if window_is_safe(df, keys, window_max_rows) else "range"
-    if method == "window":
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(w))
-    numbered = global_row_number(df, [*keys, *order], "_tl_grn", num_partitions)
-    first = numbered.groupBy(*keys).agg(F.min("_tl_grn").alias("_tl_first"))
-    return (numbered.join(first, keys)
-            .withColumn(out, F.col("_tl_grn") - F.col("_tl_first") + 1)
-            .drop("_tl_grn", "_tl_first"))
+    first = order[0] if split is None else split
+    value = (F.col(first) if isinstance(first, str) else first).cast("double")
+    rows = df.withColumn("_tl_at", value)
+    hot = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tl_n"))
+           .where(F.col("_tl_n") > int(split_rows)).drop("_tl_n"))
+    shares = F.array(*[F.lit(i / splits) for i in range(1, splits)])
+    cuts = (same_keys(rows.select(*keys, "_tl_at"), hot, keys, "inner").groupBy(*keys)
+            .agg(F.array_distinct(F.percentile_approx("_tl_at", shares, 1000)).alias("_tl_cuts")))
+    part = F.coalesce(F.size(F.filter("_tl_cuts", lambda c: c < F.col("_tl_at"))), F.lit(0))
+    cut = same_keys(rows, cuts, keys).withColumn(
+        "_tl_part", F.when(F.col("_tl_cuts").isNull(), 0).otherwise(part))
+    sizes = (cut.where(F.col("_tl_cuts").isNotNull()).groupBy(*keys, "_tl_part")
+             .agg(F.count(F.lit(1)).alias("_tl_n")))
+    before = Window.partitionBy(*keys).orderBy("_tl_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_tl_part", F.sum("_tl_n").over(before).alias("_tl_off"))
+    local = cut.drop("_tl_cuts").withColumn(
+        out, F.row_number().over(Window.partitionBy(*keys, "_tl_part").orderBy(*order)).cast("bigint"))
+    return (same_keys(local, offsets, [*keys, "_tl_part"])
+            .withColumn(out, F.col(out) + F.coalesce(F.col("_tl_off"), F.lit(0)))
+            .drop("_tl_at", "_tl_part", "_tl_off"))

@@ -8,6 +8,7 @@ settings that are already present.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,18 +20,28 @@ TABLES = (
 ).split()
 
 
+_SHIPPED: set[str] = set()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let the session's Python workers import ``tasklens``.
 
-    Prepends the folder holding the package to the ``PYTHONPATH`` that
-    PySpark hands to every Python worker it starts (UDFs are pickled by
-    reference to their module). Covers workers on the driver's machine
-    whatever their working directory; on a cluster ship the package with
-    ``--py-files`` / ``addPyFile`` or install it on the executors.
+    On a local master the folder holding the package is put on the
+    ``PYTHONPATH`` that PySpark hands to every Python worker it starts (UDFs
+    are pickled by reference to their module), whatever their working
+    directory. On a cluster the package is zipped once per session and handed
+    to the executors with ``addPyFile``.
     """
     import tasklens
     root = os.path.dirname(os.path.dirname(os.path.abspath(tasklens.__file__)))
-    env = spark.sparkContext.environment
+    sc = spark.sparkContext
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        if sc.applicationId not in _SHIPPED:
+            folder = tempfile.mkdtemp(prefix="tasklens-zip-")
+            sc.addPyFile(shutil.make_archive(os.path.join(folder, "tasklens"), "zip", root, "tasklens"))
+            _SHIPPED.add(sc.applicationId)
+        return
+    env = sc.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
@@ -61,12 +72,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's ``spark.checkpoint.dir``.
 
     On a cluster this names a shared folder and is read as is. Only when it
-    is unset (local tests) a fresh folder under the system temp dir is set.
+    is unset on a local master (tests) a fresh folder under the system temp
+    dir is set; on a cluster that would be each machine's own disk, so an unset
+    folder is an error there.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="tasklens-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", current)

@@ -78,7 +78,8 @@ def _list_files(spark: SparkSession, paths: list[str]) -> list[str]:
 
 def read_event_log(spark: SparkSession, paths: str | list[str],
                    rolled: bool | None = None, include_in_progress: bool = False) -> DataFrame:
-    """Raw lines ``(log STRING, value STRING)`` of one or many event logs.
+    """Raw lines ``(log STRING, value STRING, seq DECIMAL(38,0))`` of one or
+    many event logs.
 
     ``paths`` may be files, folders or globs; Spark decompresses ``.zstd``,
     ``.lz4``, ``.snappy`` and ``.gz`` files by extension. For rolled logs
@@ -86,7 +87,7 @@ def read_event_log(spark: SparkSession, paths: str | list[str],
     folder is the log key. A compressed file still being written
     (``*.zstd.inprogress``) decodes to no event lines with the text reader;
     ``include_in_progress=True`` lists the files and reads those with
-    ``read_zstd_event_log`` (the result then carries a ``seq`` column).
+    ``read_zstd_event_log``. ``seq`` orders the lines of a log.
     """
     if isinstance(paths, str):
         paths = [paths]
@@ -98,8 +99,7 @@ def read_event_log(spark: SparkSession, paths: str | list[str],
         rest = [f for f in files if f not in live]
         parts = []
         if rest:
-            parts.append(read_event_log(spark, rest, rolled=False).withColumn(
-                "seq", F.monotonically_increasing_id()))
+            parts.append(read_event_log(spark, rest, rolled=False))
         if live:
             parts.append(read_zstd_event_log(spark, live))
         if not parts:
@@ -111,17 +111,41 @@ def read_event_log(spark: SparkSession, paths: str | list[str],
     reader = spark.read.format("text").option("recursiveFileLookup", "false")
     if rolled:
         reader = reader.option("pathGlobFilter", "events_*")
-    return with_log_key(reader.load(paths))
+    df = reader.load(paths)
+    return with_log_key(df.withColumn("seq", line_order()), "seq")
+
+
+_SEQ = "decimal(38,0)"
+
+
+def _line_seq(file_number: Column, start: Column, line: Column) -> Column:
+    """One number that orders (rolled file number, offset of the split in the
+    file, line in the split): 10, 15 and 12 digits."""
+    def digits(c, scale):
+        return c.cast("decimal(20,0)") * F.lit(10 ** scale).cast(f"decimal({scale + 1},0)")
+    return (digits(file_number, 17) * F.lit(10 ** 10).cast("decimal(11,0)")
+            + digits(start, 12) + line.cast("decimal(20,0)")).cast(_SEQ)
+
+
+def line_order() -> Column:
+    """Order of the lines of a log, on a text scan: Spark deals files out by
+    size, so neither the scan's order nor a bare row id is the log's."""
+    number = F.nullif(F.regexp_extract("_metadata.file_name", r"^events_(\d+)_", 1), F.lit(""))
+    # ids grow within a task, and a task reads a split from start to end
+    line = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return _line_seq(F.coalesce(number.cast("bigint"), F.lit(0).cast("bigint")),
+                     F.col("_metadata.file_block_start"), line)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _zstd_lines(contents: pd.Series) -> pd.Series:
+def _zstd_lines(contents: pd.Series, paths: pd.Series) -> pd.Series:
     """zstd file bytes -> text lines, across frames; a file still being
-    written (unfinished last frame) yields its complete prefix."""
+    written (``.inprogress``: unfinished last frame) yields its complete
+    prefix, in a closed file a broken frame is an error."""
     import zstandard
 
     out = []
-    for data in contents:
+    for data, path in zip(contents, paths):
         buf = bytearray()
         reader = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(bytes(data)),
                                                             read_across_frames=True)
@@ -132,7 +156,8 @@ def _zstd_lines(contents: pd.Series) -> pd.Series:
                     break
                 buf += chunk
         except zstandard.ZstdError:
-            pass
+            if not path.endswith(".inprogress"):
+                raise
         out.append(bytes(buf).decode("utf-8", errors="replace").split("\n"))
     return pd.Series(out)
 
@@ -150,9 +175,9 @@ def read_zstd_event_log(spark: SparkSession, paths: str | list[str]) -> DataFram
     number = F.nullif(F.regexp_extract(path, r"/events_(\d+)_[^/]*$", 1), F.lit(""))
     part = F.coalesce(number.cast("bigint"), F.lit(0).cast("bigint"))
     lines = files.select(log.alias("log"), part.alias("_tl_file"),
-                         F.posexplode(_zstd_lines("content")).alias("_tl_pos", "value"))
+                         F.posexplode(_zstd_lines("content", "path")).alias("_tl_pos", "value"))
     return (lines.where(F.length("value") > 0)
-            .select("log", "value", (F.shiftleft("_tl_file", 32) + F.col("_tl_pos")).alias("seq")))
+            .select("log", "value", _line_seq(F.col("_tl_file"), F.lit(0), F.col("_tl_pos")).alias("seq")))
 
 
 def current_app_log(spark: SparkSession) -> DataFrame:
@@ -193,15 +218,15 @@ def current_app_log(spark: SparkSession) -> DataFrame:
     return read_event_log(spark, [f"{base}/{n}" for n in plain])
 
 
-def with_log_key(df: DataFrame) -> DataFrame:
-    """``(log, value)``: a ``log=<key>`` folder partition when the logs are
-    laid out that way, else the file (the folder for rolled logs)."""
+def with_log_key(df: DataFrame, *more: str) -> DataFrame:
+    """``(log, value, more...)``: a ``log=<key>`` folder partition when the logs
+    are laid out that way, else the file (the folder for rolled logs)."""
     if "log" in df.columns:
-        return df.select(F.col("log").cast("string").alias("log"), "value")
+        return df.select(F.col("log").cast("string").alias("log"), "value", *more)
     path = F.col("_metadata.file_path")
     key = F.when(path.contains("/eventlog_v2_"),
                  F.regexp_extract(path, r"^(.*)/[^/]*$", 1)).otherwise(path)
-    return df.select(key.alias("log"), "value")
+    return df.select(key.alias("log"), "value", *more)
 
 
 EVENT_NAME = r'^\s*\{\s*"Event"\s*:\s*"([^"]+)"'
@@ -219,8 +244,8 @@ def materialize_event_log(lines: DataFrame, path: str, mode: str = "overwrite")
 
     The raw text is scanned once; later tables read only their own event
     partition (partition pruning) instead of re-scanning every line.
-    Read back with ``spark.read.parquet(path)``: the result has
-    ``(log, value, event)`` and is accepted by every operator here.
+    Read back with ``spark.read.parquet(path)``: the result has the columns
+    of ``lines`` and ``event`` and is accepted by every operator here.
     """
     with_event(lines).write.mode(mode).partitionBy("event").parquet(path)
 
@@ -250,9 +275,8 @@ def parsed_once(df: DataFrame, keep: list[str], schema: T.StructType) -> DataFra
 
 
 def _parse(lines: DataFrame, event: str, schema: T.StructType) -> DataFrame:
+    # also with an event column: the name of a cut-off line is read, its JSON is not
     parsed = parsed_once(lines_of(lines, event), ["log"], schema)
-    if "event" in lines.columns:
-        return parsed.where(F.col("e").isNotNull())   # the event column is exact
     return parsed.where(F.col("e.Event") == event)
 
 
@@ -365,14 +389,12 @@ def block_update_events(lines: DataFrame) -> DataFrame:
     """BlockUpdated lines; the line order inside a log is kept as ``seq``.
 
     Block updates carry no time, so "latest" means the last line of the log.
-    ``seq`` is the position of the line in its file (file splits are read in
-    order and ``monotonically_increasing_id`` increases inside a split);
-    lines that already carry a ``seq`` column keep it.
+    The lines must carry it as ``seq``, as the readers' do.
     """
-    seqd = lines if "seq" in lines.columns else lines.withColumn("seq", F.monotonically_increasing_id())
-    e = parsed_once(lines_of(seqd, "SparkListenerBlockUpdated"), ["log", "seq"], BLOCK_UPDATED)
-    e = e.where(F.col("e").isNotNull() if "event" in lines.columns
-                else F.col("e.Event") == "SparkListenerBlockUpdated")
+    if "seq" not in lines.columns:
+        raise ValueError("block updates need the order of the lines: a column seq")
+    e = parsed_once(lines_of(lines, "SparkListenerBlockUpdated"), ["log", "seq"], BLOCK_UPDATED)
+    e = e.where(F.col("e.Event") == "SparkListenerBlockUpdated")
     bu = "e.`Block Updated Info`"
     sl = f"{bu}.`Storage Level`"
     return e.select(

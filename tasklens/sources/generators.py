@@ -47,6 +47,14 @@ def random_partitions(spark: SparkSession, num_partitions: int, partition_size:
                                F.lit(partition_size), seed)
 
 
+def partitions_for(df: DataFrame, id_col: str, num_partitions: int) -> DataFrame:
+    """G1 on given ids: ``(id, part)``, the rows dealt to ``num_partitions``
+    partitions by ``part`` = (id - 1) mod num_partitions."""
+    part = F.pmod(F.col(id_col) - 1, F.lit(int(num_partitions))).cast("int")
+    return (df.select(F.col(id_col).alias("id"), part.alias("part"))
+            .repartition(int(num_partitions), "part"))
+
+
 def chunked_payloads_for(df: DataFrame, id_col: str, size: Column | int, max_record_bytes: int,
                          seed: int = 42, zero: bool = False) -> DataFrame:
     """Payloads too large for one row: ``(id, chunk, payload)`` rows of at most
@@ -77,16 +85,23 @@ def random_payloads_for(df: DataFrame, id_col: str, size: Column | int, seed: in
 # ------------------------------------------------------------------ G4
 
 
+#: Largest dict of sizes that is broadcast.
+MAX_DICT = 10_000
+
+
 def sized_payloads_for(df: DataFrame, id_col: str, label_col: str, sizes: DataFrame | dict,
                        default_size: int = 1, seed: int = 42) -> DataFrame:
     """Payload size looked up by a label, ``default_size`` when the
     label is not listed (an empty table means the default everywhere).
 
-    ``sizes`` is ``(label, size)``; a dict is turned into a broadcast table
-    (its size is its length). A table is left-joined and AQE decides on a
-    broadcast from its runtime size.
+    ``sizes`` is ``(label, size)``. A dict of at most ``MAX_DICT`` labels is
+    turned into a broadcast table, which keeps the partitions of ``df``; more
+    labels raise (give them as a table). A table is left-joined and AQE decides
+    on a broadcast from its runtime size.
     """
     if isinstance(sizes, dict):
+        if len(sizes) > MAX_DICT:
+            raise ValueError(f"more than {MAX_DICT} labels: give the sizes as a table")
         spark = df.sparkSession
         schema = T.StructType([T.StructField("_tl_label", T.StringType()),
                                T.StructField("_tl_size", T.IntegerType())])
@@ -110,9 +125,16 @@ def sized_partitions(spark: SparkSession, num_partitions: int, sizes: dict,
     partition index; the label is the slot ``pmod(id, n_slots)`` (a stand-in
     for the executor that builds it; P2 reports the real one afterwards)."""
     n_slots = n_slots or max(len(sizes), 1)
-    base = spark.range(0, num_partitions, 1, num_partitions).select(
-        F.col("id").cast("int").alias("id"),
-        F.pmod(F.col("id"), F.lit(n_slots)).cast("string").alias("label"))
+    base = spark.range(0, num_partitions, 1, num_partitions).select(F.col("id").cast("int").alias("id"))
+    return sized_by_slot(base, "id", sizes, n_slots, default_size, seed, first=0)
+
+
+def sized_by_slot(df: DataFrame, id_col: str, sizes: dict, n_slots: int, default_size: int = 1,
+                  seed: int = 42, first: int = 1) -> DataFrame:
+    """G4e / G4t on given ids: the label is the slot (executor or thread)
+    ``pmod(id - first, n_slots)`` that the id is dealt to."""
+    base = df.select(F.col(id_col).alias("id"),
+                     F.pmod(F.col(id_col) - first, F.lit(n_slots)).cast("string").alias("label"))
     return sized_payloads_for(base, "id", "label", sizes, default_size, seed)
 
 
@@ -134,7 +156,15 @@ def sized_partitions_by_host(spark: SparkSession, num_partitions: int, sizes: di
     machine may change it, so persist the result before reuse.
     """
     base = spark.range(0, num_partitions, 1, num_partitions).select(F.col("id").cast("int").alias("id"))
-    hosted = base.mapInArrow(_host_of_partition, "id int, label string")
+    return sized_by_host(base, "id", sizes, default_size, seed)
+
+
+def sized_by_host(df: DataFrame, id_col: str, sizes: dict, default_size: int = 1,
+                  seed: int = 42) -> DataFrame:
+    """G4h on given ids: the label is the machine that builds the row."""
+    base = df.select(F.col(id_col).alias("id"))
+    kind = base.schema["id"].dataType.simpleString()
+    hosted = base.mapInArrow(_host_of_partition, f"id {kind}, label string")
     return sized_payloads_for(hosted, "id", "label", sizes, default_size, seed)
 
 

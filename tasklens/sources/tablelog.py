@@ -11,8 +11,8 @@ made with ``to_json``:
 * one task per ``lineitem`` row of the order (index = ``l_linenumber``), with
   launch / finish times and metrics as integer functions of the row.
 
-Task ids come from a distributed row number over the full lineitem row,
-because (l_orderkey, l_linenumber) repeats.
+Task ids are a hash of the row's order key, line number, part, supplier and price
+(``row_id``): no sort is needed to number the tasks.
 
 Fixed values (the SQL oracle repeats them):
   job end       = submission + 20000 + floor(o_totalprice) % 1000
@@ -28,9 +28,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ranking import global_row_number
 from .eventlog import epoch_ms
 
+#: Columns that tell the rows of lineitem apart, with the price in cents.
+ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+#: Spark's partition ids are ints; order keys are folded into their range.
+MAX_PART = (1 << 31) - 1
+
 LINEITEM_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
                   "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
                   "l_linestatus", "l_shipdate"]
@@ -40,6 +44,13 @@ def _fl(c: Column) -> Column:
     return F.floor(c).cast("bigint")
 
 
+def row_id() -> Column:
+    """52-bit id of a lineitem row: the first 13 hex digits of the md5 of its key."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    text = F.concat_ws(":", *[F.col(c).cast("string") for c in ROW_KEY], cents.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+
+
 def task_metric_columns() -> dict[str, Column]:
     """Task metrics as functions of one lineitem row (fixed mapping)."""
     c = F.col
@@ -131,8 +142,7 @@ def _task_lines(t: DataFrame) -> DataFrame:
                     F.lit("SparkListenerTaskEnd").alias("event"))
 
 
-def orders_lineitem_log(orders: DataFrame, lineitem: DataFrame,
-                        num_partitions: int | None = None) -> DataFrame:
+def orders_lineitem_log(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Event-log lines ``(log, value, event)`` for every order and lineitem row.
 
     ``event`` is a literal per union branch, so a table that needs one event
@@ -140,8 +150,7 @@ def orders_lineitem_log(orders: DataFrame, lineitem: DataFrame,
     o = orders.select(F.col("o_orderpriority").alias("log"), "o_orderkey",
                       "o_orderstatus", "o_totalprice",
                       epoch_ms(F.col("o_orderdate")).alias("sub_ms"))
-    li = global_row_number(lineitem.select(*LINEITEM_ORDER), LINEITEM_ORDER,
-                           "task_id", num_partitions)
+    li = lineitem.select(*LINEITEM_ORDER).withColumn("task_id", row_id())
     t = li.join(o.select("o_orderkey", "log", "sub_ms"),
                 F.col("l_orderkey") == F.col("o_orderkey"))
     parts = _job_lines(o) + [_task_lines(t)]
@@ -153,12 +162,12 @@ def orders_lineitem_log(orders: DataFrame, lineitem: DataFrame,
 
 # ------------------------------------------------------------------ placement
 
-def lineitem_placement_log(lineitem: DataFrame, num_partitions: int | None = None) -> DataFrame:
+def lineitem_placement_log(lineitem: DataFrame) -> DataFrame:
     """Block-placement lines ``(log, value, event, seq)`` from ``lineitem``.
 
     Per app (``l_returnflag``) and cached RDD (id = ``l_linenumber``): one
     stage (id = ``l_linenumber``) whose RDD Info lists the cached RDD and an
-    uncached one (id + 100). Per lineitem row, in full-row order (``seq``):
+    uncached one (id + 100). Per lineitem row, in the order of ``row_id`` (``seq``):
     a BlockUpdated line for block ``rdd_<l_linenumber>_<l_orderkey>`` on
     executor ``l_suppkey % 8``, and a TaskEnd of that partition run on
     executor ``l_partkey % 8``. RDD 7 of every app is unpersisted.
@@ -169,7 +178,8 @@ def lineitem_placement_log(lineitem: DataFrame, num_partitions: int | None = Non
     disk size = l_partkey * 3 when on disk.
     """
     c = F.col
-    li = global_row_number(lineitem.select(*LINEITEM_ORDER), LINEITEM_ORDER, "seq", num_partitions)
+    li = lineitem.select(*LINEITEM_ORDER).withColumn("seq", row_id())
+    part = F.pmod(c("l_orderkey"), F.lit(MAX_PART))
     app = c("l_returnflag").alias("log")
     use_mem = c("l_discount") < 0.05
     use_disk = c("l_linestatus") == "F"
@@ -184,7 +194,7 @@ def lineitem_placement_log(lineitem: DataFrame, num_partitions: int | None = Non
                      F.concat(F.lit("host-"), (c("l_suppkey") % 4).cast("string")).alias("Host"),
                      F.lit(7077).alias("Port")).alias("Block Manager ID"),
             F.concat(F.lit("rdd_"), c("l_linenumber").cast("string"), F.lit("_"),
-                     c("l_orderkey").cast("string")).alias("Block ID"),
+                     part.cast("string")).alias("Block ID"),
             level.alias("Storage Level"),
             F.when(use_mem, c("l_partkey") * 10).otherwise(F.lit(0).cast("bigint")).alias("Memory Size"),
             F.when(use_disk, c("l_partkey") * 3).otherwise(F.lit(0).cast("bigint")).alias("Disk Size"),
@@ -195,7 +205,7 @@ def lineitem_placement_log(lineitem: DataFrame, num_partitions: int | None = Non
         F.lit("SparkListenerTaskEnd").alias("Event"), c("l_linenumber").cast("bigint").alias("Stage ID"),
         F.lit(0).alias("Stage Attempt ID"),
         F.struct(c("seq").alias("Task ID"), F.lit(0).alias("Index"), F.lit(0).alias("Attempt"),
-                 c("l_orderkey").cast("int").alias("Partition ID"),
+                 part.cast("int").alias("Partition ID"),
                  (c("l_partkey") % 8).cast("string").alias("Executor ID"),
                  F.concat(F.lit("host-"), (c("l_partkey") % 4).cast("string")).alias("Host"),
                  F.lit("PROCESS_LOCAL").alias("Locality")).alias("Task Info"))

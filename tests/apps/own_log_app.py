@@ -31,6 +31,7 @@ from tasklens.sources import generators as G  # noqa: E402
 
 payloads = G.zero_partitions(spark, 6, 1000)
 with E.Persisted(payloads, StorageLevel.DISK_ONLY) as cached:
+    cached.fill()
     cached.run(lambda c: W.byte_max(c)).write.format("noop").mode("overwrite").save()
     lines = ev.current_app_log(spark)
     res = {

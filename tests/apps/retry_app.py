@@ -57,7 +57,7 @@ ev = spark.read.parquet(f"{sf_dir}/events.parquet").repartition(4, "event_id")
 jobs = ev.where(flaky("event_id")).select(
     "user_id", "event_id", epoch_us(F.col("ts")).alias("arrival"),
     F.round(F.col("value") * 300.0 * 1000000.0).cast("bigint").alias("service"))
-fifo = Q.fifo_departures(jobs, ["user_id"], ["arrival", "event_id"], method="blocked", block_size=5)
+fifo = Q.fifo_departures(jobs, ["user_id"], ["arrival", "event_id"], block=F.floor(F.col("arrival") / F.lit(600_000_000)))
 out["fifo"] = sorted((r.event_id, r.departure) for r in fifo.where(flaky("event_id")).collect())
 
 docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(4, "doc_id")

@@ -1,6 +1,7 @@
 import os
 import sys
 
+import numpy as np
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -10,6 +11,12 @@ SF_SMALL = "/root/testdata/sf0.001"
 SF_MID = "/root/testdata/sf0.01"
 
 
+def pair_sign_sum_bruteforce(a) -> int:
+    """W3 pair by pair."""
+    a = np.asarray(a, dtype=np.int64)
+    return sum(int(np.sign(a[i] - a[i + 1:]).sum()) for i in range(len(a) - 1))
+
+
 @pytest.fixture(scope="session")
 def spark():
     from tasklens.session import ensure_checkpoint_dir, local_session

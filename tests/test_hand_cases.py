@@ -55,7 +55,8 @@ def test_fifo_departures(spark):
     df = spark.createDataFrame([(1, 1, 0, 5), (1, 2, 1, 1), (1, 3, 10, 2)],
                                "q int, j int, arrival bigint, service bigint")
     for method, bs in (("window", 4096), ("blocked", 1), ("blocked", 2), ("blocked", 4096)):
-        r = Q.fifo_departures(df, ["q"], ["arrival", "j"], method=method, block_size=bs).orderBy("j").collect()
+        r = Q.fifo_departures(df, ["q"], ["arrival", "j"], method=method,
+                              block=F.floor(F.col("arrival") / bs)).orderBy("j").collect()
         assert [x.departure for x in r] == [5, 6, 12], (method, bs)
         assert [x.waiting for x in r] == [0, 4, 0]
 

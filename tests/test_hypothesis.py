@@ -1,9 +1,11 @@
 """Randomised properties (hypothesis) of the kernels and scans."""
 
 import numpy as np
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from conftest import pair_sign_sum_bruteforce
 from tasklens.functions import bytes_np
 from tasklens.operators import queueing as Q
 
@@ -14,7 +16,7 @@ byte_lists = st.lists(st.integers(-128, 127), max_size=300)
 @settings(max_examples=200, deadline=None)
 def test_pair_sign_sum_matches_bruteforce(vals):
     a = np.array(vals, dtype=np.int8)
-    assert bytes_np.pair_sign_sum(a) == bytes_np.pair_sign_sum_bruteforce(a)
+    assert bytes_np.pair_sign_sum(a) == pair_sign_sum_bruteforce(a)
 
 
 @given(byte_lists)
@@ -53,6 +55,6 @@ def test_fifo_blocked_matches_loop(spark, jobs, block):
     jobs = sorted(jobs)
     rows = [(1, i, a, s) for i, (a, s) in enumerate(jobs)]
     df = spark.createDataFrame(rows, "q int, j int, arrival bigint, service bigint")
-    got = Q.fifo_departures(df, ["q"], ["arrival", "j"], method="blocked", block_size=block)
+    got = Q.fifo_departures(df, ["q"], ["arrival", "j"], block=F.floor(F.col("arrival") / block))
     got = [r.departure for r in got.orderBy("j").collect()]
     assert got == _loop(jobs)

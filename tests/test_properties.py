@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF_MID, SF_SMALL
+from conftest import SF_MID, SF_SMALL, pair_sign_sum_bruteforce
 from tasklens.functions import bytes_np
 from tasklens.operators import pairs as P
 from tasklens.operators import queueing as Q
@@ -67,7 +67,7 @@ def test_pair_sign_sum_kernel_bruteforce():
     rng = np.random.default_rng(0)
     for n in [0, 1, 2, 31, 32, 33, 65, 1000, 3000]:
         a = rng.integers(-128, 128, n).astype(np.int8)
-        assert bytes_np.pair_sign_sum(a) == bytes_np.pair_sign_sum_bruteforce(a)
+        assert bytes_np.pair_sign_sum(a) == pair_sign_sum_bruteforce(a)
         assert bytes_np.pair_sign_sum(a[::-1]) == -bytes_np.pair_sign_sum(a)
 
 
@@ -78,7 +78,7 @@ def test_doc_pair_sign_sum_whole_texts_bruteforce(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()
     for d in docs:
         a = np.frombuffer(d.text.encode("utf-8"), dtype=np.int8)
-        assert got[d.doc_id] == bytes_np.pair_sign_sum_bruteforce(a), d.doc_id
+        assert got[d.doc_id] == pair_sign_sum_bruteforce(a), d.doc_id
 
 
 def test_pair_sign_sum_rows_hot_group(spark):
@@ -90,7 +90,7 @@ def test_pair_sign_sum_rows_hot_group(spark):
     expect = {}
     for g in {r[0] for r in rows}:
         vals = [r[2] for r in sorted(rows, key=lambda r: r[1]) if r[0] == g]
-        expect[g] = bytes_np.pair_sign_sum_bruteforce(vals)
+        expect[g] = pair_sign_sum_bruteforce(vals)
     for bs in (7, 64, 4096):
         got = dict(P.pair_sign_sum_rows(df, ["g"], "v", ["pos"], block_size=bs).collect())
         assert got == expect, bs
@@ -101,10 +101,13 @@ def test_rank_within_matches_window_with_hot_key(spark):
     hot = li.withColumn("k", F.when(F.col("l_orderkey") % 3 == 0, F.lit(-1)).otherwise(F.col("l_orderkey")))
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
              "l_tax", "l_returnflag", "l_linestatus", "l_shipdate", "l_orderkey"]
-    a = rank_within(hot, ["k"], order, "pos", method="range")
     b = hot.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
     cols = ["k", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "pos"]
-    assert sorted(a.select(*cols).collect()) == sorted(b.select(*cols).collect())
+    want = sorted(b.select(*cols).collect())
+    for rows in (100_000, 200, 0):      # no key, the hot key, every key cut into ranges
+        a = rank_within(hot, ["k"], order, "pos", split_rows=rows)
+        assert sorted(a.select(*cols).collect()) == want
+        assert a.schema["pos"].dataType.simpleString() == "bigint"
 
 
 def test_global_row_number_unique(spark):
@@ -135,17 +138,17 @@ def test_fifo_blocked_equals_window_and_loop(spark):
     loop = _python_fifo(rows)
     wait_share = np.mean([loop[r[1]] - r[3] - r[2] > 0 for r in rows])
     assert 0.3 < wait_share < 0.5
-    for method, bs in (("window", 0), ("blocked", 5), ("blocked", 64)):
+    for method, hours in (("window", 1), ("blocked", 1), ("blocked", 24), ("blocked", 24 * 365)):
         got = Q.fifo_departures(j, ["user_id"], ["arrival", "event_id"], method=method,
-                                block_size=bs or 4096).select("event_id", "departure").collect()
-        assert dict(got) == loop, (method, bs)
+                                block=F.floor(F.col("arrival") / F.lit(hours * Q.BLOCK_SPAN)))
+        assert dict(got.select("event_id", "departure").collect()) == loop, (method, hours)
 
 
 def test_arrival_schedule_blocked_equals_window(spark):
     df = spark.range(0, 3000).select(F.pmod(F.col("id"), F.lit(4)).alias("q"), "id",
                                      (F.pmod(F.col("id") * 7919, F.lit(1000)) + 1).alias("ia"))
     a = Q.arrival_schedule(df, ["q"], ["id"], "ia", method="window").select("id", "arrival")
-    b = Q.arrival_schedule(df, ["q"], ["id"], "ia", method="blocked", block_size=37).select("id", "arrival")
+    b = Q.arrival_schedule(df, ["q"], ["id"], "ia", block=F.floor(F.col("id") / 37)).select("id", "arrival")
     assert sorted(a.collect()) == sorted(b.collect())
 
 
@@ -158,31 +161,38 @@ def test_sort_records_keeps_multiset(spark):
     assert bad == 0
 
 
-def test_auto_methods_take_the_range_path_for_big_groups(spark, monkeypatch):
-    """With the window limit at 0 every group counts as big: positions come
-    from the range-partitioned ranking and queues from the blocked scan."""
-    from tasklens.plans import ranking
-    from tasklens.plans.q_queueing import queue_jobs
-    j = queue_jobs(spark, SF_SMALL).drop("value")
-    want = dict(Q.fifo_departures(j, ["user_id"], ["arrival", "event_id"], method="window")
-                .select("event_id", "departure").collect())
-    monkeypatch.setattr(ranking, "WINDOW_MAX_ROWS", 0)
-    got = dict(Q.fifo_departures(j, ["user_id"], ["arrival", "event_id"], method="auto", block_size=7)
-               .select("event_id", "departure").collect())
-    assert got == want
-    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
-    a = rank_within(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax"],
-                    "pos", method="auto", window_max_rows=0)
-    b = rank_within(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax"],
-                    "pos", method="window")
-    assert sorted(a.collect()) == sorted(b.collect())
+def test_null_keys_and_hot_queues(spark):
+    """NULL is a key like any other; queues cut into blocks keep every job."""
+    rows = [(None if i % 3 == 0 else i % 2, i, i * 7 % 50) for i in range(600)]
+    df = spark.createDataFrame(rows, "q int, arrival bigint, service bigint")
+    a = rank_within(df, ["q"], ["service", "arrival"], "pos", split_rows=50)
+    b = df.withColumn("pos", F.row_number().over(Window.partitionBy("q").orderBy("service", "arrival")))
+    assert sorted(a.collect(), key=str) == sorted(b.collect(), key=str)
+    w = Q.fifo_departures(df, ["q"], ["arrival"], method="window")
+    k = Q.fifo_departures(df, ["q"], ["arrival"], block=F.floor(F.col("arrival") / 20))
+    assert sorted(w.collect(), key=str) == sorted(k.select(*w.columns).collect(), key=str)
+
+
+def test_workload_of_another_label_does_not_run(spark):
+    from tasklens.operators import workloads as W
+
+    @F.pandas_udf("bigint")
+    def fails(s):
+        if s.notna().any():
+            raise ValueError("ran")
+        return s.astype("Int64")
+
+    df = spark.createDataFrame([("a", bytearray(b"xy")), (None, bytearray(b"z"))], "lab string, payload binary")
+    out = W.apply_workload_by(df, "lab", {"b": fails, "a": lambda c: W.byte_max(c).cast("bigint")},
+                              lambda c: F.length(c).cast("bigint"))
+    assert sorted(r.result for r in out.collect()) == [1, 121]
 
 
 def test_global_row_number_checkpointed(spark):
     li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_shipdate"]
-    a = global_row_number(li, order, "rn", materialize="checkpoint").select("rn", *order)
-    b = global_row_number(li, order, "rn").select("rn", *order)
+    a = global_row_number(li, order, "rn").select("rn", *order)
+    b = li.select(F.row_number().over(Window.orderBy(*order)).alias("rn"), *order)
     assert sorted(a.collect()) == sorted(b.collect())
 
 
@@ -206,15 +216,21 @@ def test_chunked_workloads_equal_whole(spark):
 
 
 def test_scramble_paths_agree(spark):
-    """The JVM path and the Arrow path of W6 give the same bytes."""
+    """W6 and W6h against the writes done one by one."""
     from tasklens.operators import workloads as W
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select(
         "doc_id", F.encode("text", "UTF-8").alias("payload"))
+    docs = docs.unionAll(spark.createDataFrame([(-1, bytearray()), (-2, None), (-3, bytearray(b"x"))], docs.schema))
     for n_writes in (1, 16, 40):
-        a = W.scramble_bytes(F.col("payload"), 42, F.col("doc_id"), n_writes, method="native")
-        b = W.scramble_bytes(F.col("payload"), 42, F.col("doc_id"), n_writes, method="arrow")
-        diff = docs.where(F.md5(a) != F.md5(b)).count()
-        assert diff == 0, n_writes
+        args = (F.col("payload"), 42, F.col("doc_id"), n_writes)
+        pos, val = W._writes(*args)
+        for r in docs.select("payload", W.scramble_bytes(*args).alias("s"), W.scramble_head(*args).alias("h"),
+                             pos.alias("p"), val.alias("v")).collect():
+            b = None if r.payload is None else bytearray(r.payload)
+            for p, v in zip(r.p or [], r.v) if b else ():
+                b[p] = v % 256
+            assert r.s == b
+            assert r.h == (None if not b else b[0] - 256 * (b[0] > 127))
 
 
 def test_ranking_edge_cases(spark):
@@ -222,7 +238,7 @@ def test_ranking_edge_cases(spark):
     partitions than rows; an empty input."""
     rows = [(k, v) for k in range(3) for v in (1, 1, 1, 2, 2)] + [(9, 5)]
     df = spark.createDataFrame(rows, "k int, v int")
-    r = rank_within(df, ["k"], ["v"], "pos", method="range", num_partitions=4)
+    r = rank_within(df, ["k"], ["v"], "pos", split_rows=2, splits=4)
     got = {}
     for row in r.collect():
         got.setdefault(row.k, []).append((row.v, row.pos))

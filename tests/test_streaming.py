@@ -56,7 +56,7 @@ def test_windowed_full_index_stats_equal_batch(spark):
     from tasklens.operators.metrics import INDEX_STAT_METRICS, flat_tasks_full, index_stats
     folder = _files(spark)
     stream = S.read_event_log_stream(spark, folder)
-    got = S.run_to_table(S.windowed_index_stats(stream, "365 days", "1 hour", "1 day"), "append")
+    got = S.run_to_table(S.windowed_index_stats(stream, bound="1 day", window="365 days"), "append")
     assert got.count() > 0
     lines = ev.read_event_log(spark, folder)
     full = flat_tasks_full(lines, stage_index=None, columns=["taskId", "taskIndex", *INDEX_STAT_METRICS])
