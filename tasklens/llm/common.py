@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tasklens.session import ensure_checkpoint_dir
@@ -107,3 +107,22 @@ def by_place(df: DataFrame) -> DataFrame:
 def renamed(df: DataFrame, names: list[str]) -> DataFrame:
     """The first columns of ``by_place`` under their own names again."""
     return df.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+
+
+def hashed_sample(rows: DataFrame, label: str, n: int) -> DataFrame:
+    """(doc_id, label): at most ``n`` ids of each label, by a hash of doc_id.
+
+    The labels are the classes of a model, so their counts fit the driver. All
+    but about twice the wanted rows of a class are left out by their hash
+    before any are ranked, so what meets in one task is bounded as well.
+    """
+    size = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count("*")).collect()}
+    if not size:
+        return rows.select("doc_id", label).limit(0)
+    space = 1 << 30
+    least = F.create_map(*[F.lit(x) for y, m in size.items()
+                           for x in (y, int(min(1.0, (2 * n + 100) / m) * space))])
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(space))
+    near = rows.select("doc_id", label, hashed.alias("hash")).filter(F.col("hash") < least[F.col(label)])
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("hash", "doc_id"))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= n).select("doc_id", label)

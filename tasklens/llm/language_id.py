@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tasklens.llm.common import by_place, renamed, utf8
+from tasklens.llm.common import by_place, hashed_sample, renamed, utf8
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -60,9 +60,7 @@ def has_letter(text: str) -> bool:
 def training_windows(documents: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> DataFrame:
     """(lang, window) of a sample of labelled texts, evenly spread over each."""
     known = documents.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (known.select("doc_id", "lang").withColumn("r", F.row_number().over(first))
-           .filter(F.col("r") <= docs_per_lang).select("doc_id", "lang").distinct())
+    ids = hashed_sample(known.select("doc_id", "lang").distinct(), "lang", docs_per_lang)
 
     def cut(batches):
         for b in batches:
@@ -80,8 +78,9 @@ def training_windows(documents: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -
     # at most ``docs_per_lang`` ids of each language, so the texts need no shuffle
     sampled = known.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text")
     pieces = sampled.mapInArrow(cut, "lang string, window binary")
-    # equal windows (copies of a text) count once; the same bound holds where ids repeat
-    pieces = pieces.groupBy("lang", "window").agg(F.count("*").alias("n"))
+    # equal windows (copies of a text) count once
+    pieces = pieces.distinct()
+    # the bound holds where ids repeat as well
     cap = Window.partitionBy("lang").orderBy(F.xxhash64("window"), "window")
     return (pieces.withColumn("r", F.row_number().over(cap))
             .filter(F.col("r") <= docs_per_lang * WINDOWS_PER_DOC).select("lang", "window"))

@@ -31,9 +31,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from tasklens.llm.common import WORD_BYTES, utf8
+from tasklens.llm.common import WORD_BYTES, hashed_sample, utf8
 
 EXAMPLES = 4000
 VOCABULARY = 512
@@ -50,16 +49,7 @@ def labelled(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES)
     y = (labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL")
          .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
     known = y.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
-    # all but about twice the wanted rows are left out by hash before any are ranked
-    size = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = {y: min(1.0, (2 * examples + 100) / n) for y, n in size.items()}
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    near = F.lit(False)
-    for y, s in share.items():
-        near = near | ((F.col("toxic") == y) & (hashed < int(s * (1 << 30))))
-    first = Window.partitionBy("toxic").orderBy(hashed, "doc_id")
-    chosen = (known.filter(near).withColumn("r", F.row_number().over(first))
-              .filter(F.col("r") <= examples).select("doc_id", "toxic"))
+    chosen = hashed_sample(known, "toxic", examples)
     # at most ``examples`` rows of each class, so the texts need no shuffle
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     # rows that repeat a doc_id count once
