@@ -39,16 +39,19 @@ _ROW_ID = ("('0x' || substr(md5(concat_ws(':', CAST(l_orderkey AS VARCHAR), CAST
 _TASKS_CTE = f"""
 WITH o AS (
   SELECT o_orderpriority AS app, o_orderkey, o_orderstatus,
-         epoch_ms(o_orderdate) AS sub_ms,
-         CASE WHEN o_orderstatus <> 'P'
+         epoch_ms(o_orderdate) AS start_ms,
+         epoch_ms(o_orderdate) + CASE WHEN o_orderkey % 10 = 3 THEN 500 ELSE 0 END AS sub_ms,
+         CASE WHEN o_orderkey % 10 = 7 THEN epoch_ms(o_orderdate) + 60000
+              WHEN o_orderstatus <> 'P'
               THEN epoch_ms(o_orderdate) + 20000 + CAST(floor(o_totalprice) AS BIGINT) % 1000
          END AS end_ms
   FROM orders),
 li AS (SELECT *, {_ROW_ID} AS task_id FROM lineitem),
 tt AS (
   SELECT o.app, o.end_ms, o.sub_ms, li.*,
-         o.sub_ms + li.l_linenumber * 1000 + li.l_suppkey % 100 AS launch_ms
-  FROM li JOIN o ON li.l_orderkey = o.o_orderkey),
+         o.start_ms + li.l_linenumber * 1000 + li.l_suppkey % 100 AS launch_ms
+  FROM li JOIN o ON li.l_orderkey = o.o_orderkey
+  WHERE NOT (li.l_orderkey % 10 = 3 AND li.l_linenumber % 3 = 0)),
 t AS (
   SELECT app, task_id AS taskId, l_orderkey AS stageId, l_linenumber AS taskIndex,
     CAST(l_suppkey % 8 AS VARCHAR) AS executorId,
@@ -117,40 +120,57 @@ k AS (SELECT app, o_orderkey AS stage_id,
 SELECT t.* FROM t JOIN k ON t.app = k.app AND t.stageId = k.stage_id WHERE k.k = 2
 """)
 
-oracle("O2_nth_stage", """
+_LISTED = """
+WITH listed AS (
+  SELECT o_orderpriority AS app, o_orderkey AS job_id, o_orderkey AS stage_id FROM orders
+  UNION ALL SELECT o_orderpriority, o_orderkey, o_orderkey + 1099511627776 FROM orders WHERE o_orderkey % 10 = 5
+  UNION ALL SELECT o_orderpriority, o_orderkey + 2199023255552, o_orderkey FROM orders WHERE o_orderkey % 10 = 7)
+"""
+
+oracle("O2_nth_stage", _LISTED + """
 SELECT app, stage_id FROM (
-  SELECT o_orderpriority AS app, o_orderkey AS stage_id,
-         row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS k
-  FROM orders) WHERE k = 3
+  SELECT app, stage_id, row_number() OVER (PARTITION BY app ORDER BY stage_id) AS k
+  FROM (SELECT DISTINCT app, stage_id FROM listed)) WHERE k = 3
 """)
 
 oracle("M1_jobs", """
 SELECT o_orderpriority AS app, o_orderkey AS job_id, epoch_ms(o_orderdate) AS submission_ms,
-  1 AS num_stages, CAST(o_orderkey AS VARCHAR) AS stage_ids,
+  CASE WHEN o_orderkey % 10 = 5 THEN 2 ELSE 1 END AS num_stages,
+  CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderkey % 10 = 5
+       THEN ',' || CAST(o_orderkey + 1099511627776 AS VARCHAR) ELSE '' END AS stage_ids,
   CASE WHEN o_orderstatus <> 'P'
        THEN epoch_ms(o_orderdate) + 20000 + CAST(floor(o_totalprice) AS BIGINT) % 1000 END AS end_ms
 FROM orders
+UNION ALL
+SELECT o_orderpriority, o_orderkey + 2199023255552, epoch_ms(o_orderdate) + 25000, 1,
+  CAST(o_orderkey AS VARCHAR), epoch_ms(o_orderdate) + 60000
+FROM orders WHERE o_orderkey % 10 = 7
 """)
 
 oracle("M2_stages", """
-SELECT o_orderpriority AS app, o_orderkey AS stage_id, 0 AS attempt,
-  epoch_ms(o_orderdate) AS submission_ms, epoch_ms(o_orderdate) + 19000 AS completion_ms
+SELECT o_orderpriority AS app, o_orderkey AS stage_id, CASE WHEN o_orderkey % 10 = 3 THEN 1 ELSE 0 END AS attempt,
+  epoch_ms(o_orderdate) + CASE WHEN o_orderkey % 10 = 3 THEN 500 ELSE 0 END AS submission_ms,
+  epoch_ms(o_orderdate) + 19000 AS completion_ms
 FROM orders
+UNION ALL
+SELECT o_orderpriority, o_orderkey + 1099511627776, NULL, NULL, NULL FROM orders WHERE o_orderkey % 10 = 5
 """)
 
-oracle("M3_job_stages", """
-SELECT o_orderpriority AS app, o_orderkey AS job_id, o_orderkey AS stage_id FROM orders
-""")
+oracle("M3_job_stages", _LISTED + "SELECT app, job_id, stage_id FROM listed")
 
 oracle("S1_event_counts", """
-SELECT app, event, n FROM (
-  SELECT o_orderpriority AS app, 'SparkListenerJobStart' AS event, count(*) AS n FROM orders GROUP BY 1
-  UNION ALL SELECT o_orderpriority, 'SparkListenerStageSubmitted', count(*) FROM orders GROUP BY 1
+SELECT app, event, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT o_orderpriority AS app, 'SparkListenerJobStart' AS event,
+         count(*) + count(*) FILTER (WHERE o_orderkey % 10 = 7) AS n FROM orders GROUP BY 1
+  UNION ALL SELECT o_orderpriority, 'SparkListenerStageSubmitted',
+         count(*) + count(*) FILTER (WHERE o_orderkey % 10 = 3) FROM orders GROUP BY 1
   UNION ALL SELECT o_orderpriority, 'SparkListenerStageCompleted', count(*) FROM orders GROUP BY 1
-  UNION ALL SELECT o_orderpriority, 'SparkListenerJobEnd', count(*) FROM orders
-            WHERE o_orderstatus <> 'P' GROUP BY 1
+  UNION ALL SELECT o_orderpriority, 'SparkListenerJobEnd',
+         count(*) FILTER (WHERE o_orderstatus <> 'P') + count(*) FILTER (WHERE o_orderkey % 10 = 7)
+         FROM orders GROUP BY 1
   UNION ALL SELECT o_orderpriority, 'SparkListenerTaskEnd', count(*)
             FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
+GROUP BY app, event HAVING sum(n) > 0
 """)
 
 
@@ -570,9 +590,21 @@ SELECT s_suppkey AS id, 8 AS size, {duck_payload_hex(42, 's_suppkey', '8')} AS p
 
 # tumbling 365-day windows from the epoch
 _W_MS = 365 * 86400 * 1000
-oracle("M6w_stream_windowed_index_stats", _TASKS_CTE + f""",
-tw AS (SELECT t.*, (epoch_ms(o.o_orderdate) + (t.waitingTime + t.serviceTime)::BIGINT) AS finish_ms
-       FROM t JOIN orders o ON o.o_orderkey = t.stageId),
+_ALL_TASKS = (_TASKS_CTE
+              .replace("  WHERE NOT (li.l_orderkey % 10 = 3 AND li.l_linenumber % 3 = 0)),", "),")
+              .replace("SELECT o.app, o.end_ms, o.sub_ms, li.*,", """SELECT o.app, j.end_ms,
+         o.start_ms + CASE WHEN li.l_orderkey % 10 = 3 AND li.l_linenumber % 3 <> 0 THEN 500 ELSE 0 END AS sub_ms,
+         li.*,""")
+              .replace("FROM li JOIN o ON li.l_orderkey = o.o_orderkey\n),",
+                       "FROM li JOIN o ON li.l_orderkey = o.o_orderkey JOIN j ON j.o_orderkey = o.o_orderkey),")
+              .replace("li AS (", """j AS (
+  SELECT o_orderkey, epoch_ms(o_orderdate) + 20000 + CAST(floor(o_totalprice) AS BIGINT) % 1000 AS end_ms
+  FROM orders WHERE o_orderstatus <> 'P'),
+li AS (""", 1).replace("  FROM tt WHERE end_ms IS NOT NULL)", "    , launch_ms\n  FROM tt WHERE end_ms IS NOT NULL)"))
+# every task, timed against its own attempt and the end of the job it ran in (a
+# job that starts after a task has finished is no partner in the stream)
+oracle("M6w_stream_windowed_index_stats", _ALL_TASKS + f""",
+tw AS (SELECT *, launch_ms + CAST(serviceTime AS BIGINT) AS finish_ms FROM t),
 g AS (SELECT (finish_ms // {_W_MS}) * {_W_MS} AS window_start_ms, * FROM tw)
 SELECT window_start_ms, window_start_ms + {_W_MS} AS window_end_ms, taskIndex,
   count(serviceTime) AS "count",

@@ -8,6 +8,13 @@ made with ``to_json``:
 * one application per ``o_orderpriority`` (the log key),
 * one job and one stage per order (id = ``o_orderkey``), submitted at the
   order date; orders with status ``'P'`` never log a JobEnd (a running job),
+* the stage of every order key ending in 3 is retried: a second attempt is
+  submitted 500 ms later, and its tasks with a line number divisible by three
+  belong to the first attempt and fail,
+* the job of every order key ending in 5 lists a second stage (id + 2^40) that
+  is skipped, i.e. never submitted,
+* the stage of every order key ending in 7 is shared by a second job
+  (id + 2^41) that ends 60 s after the order date,
 * one task per ``lineitem`` row of the order (index = ``l_linenumber``), with
   launch / finish times and metrics as integer functions of the row.
 
@@ -68,24 +75,49 @@ def task_metric_columns() -> dict[str, Column]:
     }
 
 
+#: Ids of skipped stages and of second jobs lie above the order keys.
+SKIPPED, SHARING = 1 << 40, 1 << 41
+RETRY_MS, SHARED_START_MS, SHARED_END_MS = 500, 25_000, 60_000
+
+
+def _ends_in(key: str, digit: int) -> Column:
+    return F.col(key) % 10 == digit
+
+
 def _job_lines(o: DataFrame) -> list[DataFrame]:
-    sub = F.col("sub_ms")
+    sub, key = F.col("sub_ms"), F.col("o_orderkey")
     start = F.struct(F.lit("SparkListenerJobStart").alias("Event"),
-                     F.col("o_orderkey").alias("Job ID"),
+                     key.alias("Job ID"),
                      sub.alias("Submission Time"),
-                     F.array(F.col("o_orderkey")).alias("Stage IDs"))
+                     F.when(_ends_in("o_orderkey", 5), F.array(key, key + SKIPPED))
+                     .otherwise(F.array(key)).alias("Stage IDs"))
+    start2 = F.struct(F.lit("SparkListenerJobStart").alias("Event"),
+                      (key + SHARING).alias("Job ID"),
+                      (sub + SHARED_START_MS).alias("Submission Time"),
+                      F.array(key).alias("Stage IDs"))
+    end2 = F.struct(F.lit("SparkListenerJobEnd").alias("Event"),
+                    (key + SHARING).alias("Job ID"),
+                    (sub + SHARED_END_MS).alias("Completion Time"),
+                    F.struct(F.lit("JobSucceeded").alias("Result")).alias("Job Result"))
     end = F.struct(F.lit("SparkListenerJobEnd").alias("Event"),
                    F.col("o_orderkey").alias("Job ID"),
                    (sub + 20000 + _fl(F.col("o_totalprice")) % 1000).alias("Completion Time"),
                    F.struct(F.lit("JobSucceeded").alias("Result")).alias("Job Result"))
-    stage_info = [F.col("o_orderkey").alias("Stage ID"), F.lit(0).alias("Stage Attempt ID"),
-                  F.lit("fixture").alias("Stage Name"), F.lit(1).alias("Number of Tasks"),
-                  F.array().cast("array<struct<`RDD ID`:int>>").alias("RDD Info"),
-                  sub.alias("Submission Time")]
+    retried = _ends_in("o_orderkey", 3)
+
+    def stage(attempt, submission):
+        return [key.alias("Stage ID"), attempt.alias("Stage Attempt ID"),
+                F.lit("fixture").alias("Stage Name"), F.lit(1).alias("Number of Tasks"),
+                F.array().cast("array<struct<`RDD ID`:int>>").alias("RDD Info"),
+                submission.alias("Submission Time")]
+
     submitted = F.struct(F.lit("SparkListenerStageSubmitted").alias("Event"),
-                         F.struct(*stage_info).alias("Stage Info"))
+                         F.struct(*stage(F.lit(0), sub)).alias("Stage Info"))
+    again = F.struct(F.lit("SparkListenerStageSubmitted").alias("Event"),
+                     F.struct(*stage(F.lit(1), sub + RETRY_MS)).alias("Stage Info"))
     completed = F.struct(F.lit("SparkListenerStageCompleted").alias("Event"),
-                         F.struct(*stage_info, (sub + 19000).alias("Completion Time")).alias("Stage Info"))
+                         F.struct(*stage(retried.cast("int"), F.when(retried, sub + RETRY_MS).otherwise(sub)),
+                                  (sub + 19000).alias("Completion Time")).alias("Stage Info"))
     return [
         o.select("log", F.to_json(start).alias("value"),
                  F.lit("SparkListenerJobStart").alias("event")),
@@ -95,6 +127,12 @@ def _job_lines(o: DataFrame) -> list[DataFrame]:
                  F.lit("SparkListenerStageCompleted").alias("event")),
         o.where(F.col("o_orderstatus") != "P").select(
             "log", F.to_json(end).alias("value"), F.lit("SparkListenerJobEnd").alias("event")),
+        o.where(_ends_in("o_orderkey", 7)).select(
+            "log", F.to_json(start2).alias("value"), F.lit("SparkListenerJobStart").alias("event")),
+        o.where(_ends_in("o_orderkey", 7)).select(
+            "log", F.to_json(end2).alias("value"), F.lit("SparkListenerJobEnd").alias("event")),
+        o.where(retried).select("log", F.to_json(again).alias("value"),
+                                F.lit("SparkListenerStageSubmitted").alias("event")),
     ]
 
 
@@ -102,6 +140,9 @@ def _task_lines(t: DataFrame) -> DataFrame:
     c = F.col
     launch = c("sub_ms") + c("l_linenumber") * 1000 + c("l_suppkey") % 100
     finish = launch + _fl(c("l_quantity") * 100) + c("l_partkey") % 50
+    retried = _ends_in("l_orderkey", 3)
+    stale = retried & (c("l_linenumber") % 3 == 0)
+    attempt = F.when(retried & ~stale, 1).otherwise(0)
     locality = (F.when(c("l_returnflag") == "N", "PROCESS_LOCAL")
                 .when(c("l_returnflag") == "R", "NODE_LOCAL").otherwise("ANY"))
     info = F.struct(
@@ -111,7 +152,7 @@ def _task_lines(t: DataFrame) -> DataFrame:
         (c("l_suppkey") % 8).cast("string").alias("Executor ID"),
         F.concat(F.lit("host-"), (c("l_suppkey") % 4).cast("string")).alias("Host"),
         locality.alias("Locality"), F.lit(False).alias("Speculative"),
-        finish.alias("Finish Time"), F.lit(False).alias("Failed"),
+        finish.alias("Finish Time"), stale.alias("Failed"),
         F.lit(False).alias("Killed"))
     shuffle_read = F.struct(
         c("l_linenumber").cast("bigint").alias("Remote Blocks Fetched"),
@@ -135,8 +176,8 @@ def _task_lines(t: DataFrame) -> DataFrame:
                  F.lit(1).cast("bigint").alias("Records Written")).alias("Output Metrics"))
     event = F.struct(
         F.lit("SparkListenerTaskEnd").alias("Event"), c("l_orderkey").alias("Stage ID"),
-        F.lit(0).alias("Stage Attempt ID"), F.lit("ResultTask").alias("Task Type"),
-        F.struct(F.lit("Success").alias("Reason")).alias("Task End Reason"),
+        attempt.alias("Stage Attempt ID"), F.lit("ResultTask").alias("Task Type"),
+        F.struct(F.when(stale, "FetchFailed").otherwise("Success").alias("Reason")).alias("Task End Reason"),
         info.alias("Task Info"), metrics.alias("Task Metrics"))
     return t.select("log", F.to_json(event).alias("value"),
                     F.lit("SparkListenerTaskEnd").alias("event"))

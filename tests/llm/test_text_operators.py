@@ -60,7 +60,7 @@ def repeating():
     return docs + [(1, None), (2, ""), (4, "x" * 250), (5, "x" * 99), (7, "ü" * 70 + "é" * 60)]
 
 
-@pytest.mark.parametrize("limits", [{}, {"group": 3000, "shard": 5000}, {"gram": 12, "group": 400, "shard": 400}])
+@pytest.mark.parametrize("limits", [{}, {"group": 20, "shard": 5000}, {"gram": 12, "group": 3, "shard": 400}])
 def test_substring_dedup_matches_brute_force(spark, repeating, limits):
     df = spark.createDataFrame(repeating, "doc_id long, text string").repartition(4)
     got = sorted(tuple(x) for x in S.remove_repeats(df, ["doc_id"], **limits).collect())
