@@ -116,3 +116,11 @@ def test_document_frequencies_cover_the_corpus(spark, toxic):
     df, n = X.document_frequencies(docs, [b"the", b"idiot"])
     assert n == docs.count()
     assert df[1] == docs.filter(F.lower("text").contains("idiot")).count()
+
+
+def test_hashed_sample_is_bounded(spark):
+    from tasklens.llm.common import hashed_sample
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 20, "b").otherwise("a").alias("y"))
+    n = dict(hashed_sample(rows, "y", 50).groupBy("y").count().collect())
+    assert n == {"a": 50, "b": 20}
+    assert hashed_sample(rows.limit(0), "y", 50).collect() == []
