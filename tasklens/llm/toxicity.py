@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 A bounded sample of labelled documents gives the examples and the vocabulary
-(the words whose presence differs most between the classes, by chi-square).
+(the words whose presence differs most between the classes, by chi-square and
+lift).
 Document frequencies of these words are counted over all documents. The
 examples' unit vectors lie in an inverted index whose postings are cut into
 blocks of examples; a block keeps the largest weight of every word. A text
@@ -12,7 +13,7 @@ training rows without any known word is mixed in, so scores are shares of
 toxic documents among like ones.
 
 The sample is at most ``EXAMPLES`` documents of each class (the smallest hashes
-of doc_id), the vocabulary at most ``VOCABULARY`` words; both are parameters.
+of doc_id), of near copies one, the vocabulary at most ``VOCABULARY`` words; both are parameters.
 
 Edge cases: null and empty texts and texts without a known word get the prior;
 without any training row the score is 0; a document with several labels is
@@ -29,6 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +39,15 @@ from tasklens.llm.common import WORD_BYTES, hashed_sample, utf8
 EXAMPLES = 4000
 VOCABULARY = 512
 #: Least chi-square of a word of the vocabulary (one degree of freedom).
-CHI_SQUARE = 30.0
+CHI_SQUARE = 25.0
+#: Least ratio of its shares in the two classes, either way round: with many
+#: examples, chance differences of ordinary words are significant as well.
+LIFT = 4.0
 NEIGHBOURS = 15
 BLOCK = 64
-#: Cosine sum of a vote at which it weighs as much as the prior.
+#: Sum of the neighbours' cosines at which their vote weighs as much as the prior.
 PRIOR = 0.5
+MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
 def labelled(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
@@ -56,6 +62,35 @@ def labelled(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES)
     return rows.groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
 
 
+def signature(text) -> list[int]:
+    """Minimum hashes of the text's 5-word shingles, by a few multipliers."""
+    w = utf8(text).translate(WORD_BYTES).split()
+    h = np.array([xxhash.xxh3_64_intdigest(b" ".join(w[i:i + 5])) for i in range(max(len(w) - 4, 1))], np.uint64)
+    return [int((h * m).min().view(np.int64)) for m in MULTIPLIERS]
+
+
+def without_copies(rows: DataFrame) -> DataFrame:
+    """The sampled rows without those that share a minimum hash with one of a
+    smaller doc_id: else the ordinary words of a text with many copies would
+    tell its class."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([signature(t) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))],
+                names=["doc_id", "sig"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    got = rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sig array<long>").collect()
+    seen, kept = set(), []                      # of at most the sample's size
+    for r in sorted(got, key=lambda r: r.doc_id):
+        if seen.isdisjoint(r.sig):
+            kept.append((r.doc_id,))
+        seen.update(r.sig)
+    ids = rows.sparkSession.createDataFrame(kept, f"doc_id {kind}")
+    return rows.join(F.broadcast(ids), "doc_id", "left_semi")
+
+
 def count_terms(rows: DataFrame) -> DataFrame:
     """(toxic, term, n): documents of each class that hold a word; the null
     term counts the documents."""
@@ -90,7 +125,10 @@ def telling_terms(counts: DataFrame, size: int = VOCABULARY, least: float = CHI_
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     c, d, n = pos - a, neg - b, pos + neg
     chi = n * (a * d - b * c) ** 2 / (pos * neg * (a + b) * F.greatest(c + d, F.lit(1.0)))
-    top = (by.withColumn("chi", chi).filter(F.col("chi") >= least)
+    # half a document more on each side, for words that one class lacks
+    in_pos, in_neg = (a + 0.5) / (pos + 1), (b + 0.5) / (neg + 1)
+    telling = F.greatest(in_pos / in_neg, in_neg / in_pos) >= LIFT
+    top = (by.withColumn("chi", chi).filter((F.col("chi") >= least) & telling)
            .orderBy(F.desc("chi"), "term").limit(size).collect())              # at most ``size`` rows
     return [bytes(r.term) for r in top], (neg, pos)
 
@@ -175,9 +213,11 @@ class Index:
             if not len(rows) or not self.ids:
                 continue
             sim, who = self.neighbours(q[rows], k)
-            vote = np.where(who >= 0, sim, 0) * self.weight[who]
-            toxic = (vote * self.toxic[who]).sum(axis=1)
-            score[at + rows] = (toxic + PRIOR * self.prior) / (vote.sum(axis=1) + PRIOR)
+            near = np.where(who >= 0, sim, 0)
+            vote = near * self.weight[who]
+            share = (vote * self.toxic[who]).sum(axis=1) / np.maximum(vote.sum(axis=1), 1e-300)
+            likeness = near.sum(axis=1)
+            score[at + rows] = (likeness * share + PRIOR * self.prior) / (likeness + PRIOR)
             for i, s, w in zip(at + rows, sim[:, :detail], who[:, :detail], strict=True):
                 evidence[i] = [(self.ids[e], float(c), int(self.toxic[e]))
                                for c, e in zip(s, w, strict=True) if e >= 0]
@@ -189,8 +229,9 @@ def fit(documents: DataFrame, train: DataFrame, labels: DataFrame, examples: int
     """Index of the labelled rows of ``train``; corpus counts over all
     ``documents``. At most ``2 * examples`` vectors of ``size`` weights reach
     the driver."""
-    rows = labelled(train, labels, examples).cache()
+    sample = labelled(train, labels, examples).cache()
     try:
+        rows = without_copies(sample)
         terms, (neg, pos) = telling_terms(count_terms(rows), size)
         df, n = document_frequencies(documents, terms)
         at = {t: i for i, t in enumerate(terms)}
@@ -210,7 +251,7 @@ def fit(documents: DataFrame, train: DataFrame, labels: DataFrame, examples: int
         got = rows.select("doc_id", "toxic", "text").mapInArrow(
             run, f"doc_id {kind}, toxic int, at array<int>, w array<double>").collect()
     finally:
-        rows.unpersist()
+        sample.unpersist()
     # the true share of each class among the labelled rows of ``train``
     share = {r.toxic: r.n for r in labels.filter("toxic IS NOT NULL")
              .join(train.select("doc_id").distinct(), "doc_id", "left_semi")
