@@ -14,9 +14,10 @@ Every byte that lies in a ``length``-byte window which also starts earlier
    suffixes by two-stage sorting and compares neighbours' common prefixes: runs
    of suffixes that share ``length`` bytes are equal windows. All but the
    earliest of a run are repeats.
-4. A group of over ``GROUP`` bytes is not gathered: its pieces are anchored
-   anew by more bytes, up to whole windows, whose repeats are found while they
-   stream by. So a passage in a third of all documents is no large task.
+4. A group of over ``GROUP`` pieces is not gathered in one task: its pieces
+   are anchored anew by more bytes, up to whole windows, of which the earliest
+   place is a minimum that is partly computed before the shuffle. So a passage
+   in a third of all documents is no large task.
 
 Edge cases: null and empty texts have no bytes; texts shorter than ``length``
 lose nothing; repeated rows and repeated doc_ids are told apart by their place
@@ -43,7 +44,8 @@ from tasklens.llm.suffix_array import equal_prefixes, suffix_array
 LENGTH = 100
 GRAM = 24
 SHARD = 2 << 20
-GROUP = 1 << 20
+#: Pieces of one anchor that are sorted in one task: at most about 3 MB.
+GROUP = 1 << 14
 #: Bytes of text that are hashed at a time (positions fit 24 bits).
 CHUNK = 4 << 20
 
@@ -208,85 +210,36 @@ class Pieces:
         return Pieces(self.h[keep], self.k[keep], self.lo[keep], self.sizes[keep],
                       self.text[np.repeat(keep, self.sizes)])
 
-    def contents(self) -> list[bytes]:
-        raw, ends = self.text.tobytes(), np.cumsum(self.sizes).tolist()
-        return [raw[e - n:e] for e, n in zip(ends, self.sizes.tolist(), strict=True)]
-
-    def rows(self, found: np.ndarray | None = None) -> pa.RecordBatch:
-        """Intervals of repeated windows, or the pieces themselves."""
-        if found is not None:
-            cols = [pa.nulls(found.shape[1], pa.int64()), *map(pa.array, found),
-                    pa.nulls(found.shape[1], pa.binary())]
-        else:
-            cols = [pa.array(self.h), pa.array(self.k), pa.array(self.lo), pa.array(self.lo),
-                    pa.array(self.contents(), pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, names=["h", "k", "lo", "hi", "piece"])
 
+def solve_groups(rows: DataFrame, length: int, shard: int) -> DataFrame:
+    """(k, lo, hi): intervals of repeated windows among pieces (h, k, lo, piece)
+    whose groups of equal h are of bounded size."""
 
-def solve_groups(rows: DataFrame, length: int, last: bool, shard: int, group: int) -> DataFrame:
-    """(h, k, lo, hi, piece): intervals of repeated windows (null h), and the
-    pieces of groups of over ``group`` bytes as they came. With ``last`` a piece
-    is one window, and large groups are compared as they stream by."""
+    def solve(p: Pieces):
+        new = np.append(True, p.h[1:] != p.h[:-1])
+        count = np.diff(np.append(np.flatnonzero(new), len(p.h)))
+        p = p.where(np.repeat(count > 1, count))
+        if len(p.h):
+            found = solve_shard(p.text, p.sizes, p.k, p.lo, length)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, found)], names=["k", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Pieces] = []
-        size, over, seen = 0, None, {}     # bytes held; the large group that goes on; its windows
-
-        def large(p: Pieces) -> pa.RecordBatch:
-            """Rows of large groups, in the order of (h, k, lo)."""
-            if not last:
-                return p.rows()
-            again = []
-            for h, c in zip(p.h.tolist(), p.contents(), strict=True):
-                if h not in seen:
-                    seen.clear()
-                known = seen.setdefault(h, set())
-                again.append(c in known)
-                known.add(c)
-            again = np.array(again, bool)
-            return p.rows(np.stack([p.k[again], p.lo[again], p.lo[again]]))
-
-        def solve(p: Pieces):
-            new = np.append(True, p.h[1:] != p.h[:-1])
-            first = np.flatnonzero(new)
-            count = np.diff(np.append(first, len(p.h)))
-            big = np.repeat(np.add.reduceat(p.sizes, first) > group, count)
-            if big.any():
-                yield large(p.where(big))
-            p = p.where(~big & np.repeat(count > 1, count))
-            if len(p.h):
-                yield p.rows(solve_shard(p.text, p.sizes, p.k, p.lo, length))
-
+        size = 0
         for b in batches:
-            p = Pieces.of(b)
-            if over is not None:
-                n = int(np.argmax(np.append(p.h != over, True)))
-                head, p = p.cut(n)
-                if n:
-                    yield large(head)
-                if not len(p.h):
-                    continue
-                over = None
-            held.append(p)
-            size += len(p.text)
-            if size < shard:
-                continue
-            p = Pieces.joined(held)
-            done, rest = p.cut(int(np.argmax(p.h == p.h[-1])))      # sorted: the open group is last
-            if len(done.h):
-                yield from solve(done)
-            if len(rest.text) > group:
-                over = rest.h[0]
-                yield large(rest)
-                held, size = [], 0
-            else:
+            held.append(Pieces.of(b))
+            size += len(held[-1].text)
+            if size >= shard:
+                p = Pieces.joined(held)
+                done, rest = p.cut(int(np.argmax(p.h == p.h[-1])))  # sorted: the open group is last
+                if len(done.h):
+                    yield from solve(done)
                 held, size = [rest], len(rest.text)
         if held:
             yield from solve(Pieces.joined(held))
 
-    dealt = rows.repartition("h").sortWithinPartitions("h", "k", "lo")
-    return dealt.select("h", "k", "lo", "piece").mapInArrow(
-        run, "h long, k long, lo long, hi long, piece binary")
+    dealt = rows.repartition("h").sortWithinPartitions("h")
+    return dealt.select("h", "k", "lo", "piece").mapInArrow(run, "k long, lo long, hi long")
 
 
 def finer_pieces(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -317,28 +270,34 @@ def repeated_windows(docs: DataFrame, length: int, gram: int, shard: int, group:
     by_h = Window.partitionBy("h")
     owner = F.row_number().over(by_h.partitionBy("h", "g").orderBy("k", "lo"))
     ranked = (found.repartition("h").withColumn("owner", F.when(F.col("repeat"), 2).otherwise(owner))
-              .withColumns({"least": F.min("g").over(by_h), "most": F.max("g").over(by_h)}))
+              .withColumn("n", F.sum(F.when(F.col("owner") == 1, 1).otherwise(0)).over(by_h)))
     # later owners of a piece repeat it; the first goes on if other pieces share its anchor
-    kept = written(ranked.filter("owner > 1 OR least <> most").select(
-        "h", "k", "lo", "hi", (F.col("owner") > 1).alias("repeat")))
+    kept = written(ranked.filter("owner > 1 OR n > 1").select(
+        "h", "k", "lo", "hi", "n", (F.col("owner") > 1).alias("repeat")))
     out = kept.filter("repeat").select("k", "lo", "hi")
-    rows = (kept.filter("NOT repeat").join(docs, "k")
-            .select("h", "k", "lo",
-                    F.substr("data", (F.col("lo") + 1).cast("int"),
-                             (F.col("hi") - F.col("lo") + length).cast("int")).alias("piece")))
-    finer = gram
+    first = kept.filter("NOT repeat")
+
+    # the texts are shuffled once here, whatever the sizes of the groups
+    cut = F.substr("data", (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo") + length).cast("int"))
+    first = written(first.join(docs, "k").select("h", "k", "lo", "n", cut.alias("piece")))
+    out = out.unionAll(solve_groups(first.filter(F.col("n") <= group), length, shard))
+    large = first.filter(F.col("n") > group)
+    if large.isEmpty():
+        return out
     while True:
-        last = finer == length
-        solved = solve_groups(rows, length, last, shard, group)
-        if last:
-            return out.unionAll(solved.select("k", "lo", "hi"))
-        solved = written(solved)
-        out = out.unionAll(solved.filter("h IS NULL").select("k", "lo", "hi"))
-        large = solved.filter("h IS NOT NULL")
-        if large.isEmpty():
+        gram = length if length - gram < 16 else gram + (length - gram) // 2
+        rows = written(finer_pieces(large, length, gram))
+        if gram == length:
+            # a piece is one window: all but its earliest place are repeats
+            earliest = rows.groupBy("piece").agg(F.min(F.struct("k", "lo")).alias("first"))
+            again = rows.join(earliest, "piece").filter(F.struct("k", "lo") != F.col("first"))
+            return out.unionAll(again.select("k", "lo", F.col("lo").alias("hi")))
+        hot = rows.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > group).select("h")
+        hot = written(hot)
+        out = out.unionAll(solve_groups(rows.join(hot, "h", "left_anti"), length, shard))
+        if hot.isEmpty():
             return out
-        finer = length if length - finer < 16 else finer + (length - finer) // 2
-        rows = finer_pieces(large.select("h", "k", "lo", "piece"), length, finer)
+        large = rows.join(hot, "h", "left_semi")
 
 
 def keyed(documents: DataFrame, doc_id: str = "id") -> DataFrame:
@@ -363,7 +322,6 @@ def _cut(documents, keep, clean, length, gram=GRAM, shard=SHARD, group=GROUP) ->
     docs = keyed(documents.select(
         F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"),
         *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep) if c != "text"]))
-    # the same rows feed both joins, so their shuffle is done once
     docs = docs.filter("k IS NOT NULL").drop("id")
     spans = repeated_windows(docs.select("k", "data"), length, gram, shard, group)
     # at most one interval for each window of a document
