@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
-from ..sources.tablelog import orders_lineitem_log
+from ..sources.tablelog import ROW_KEY, orders_lineitem_log
 from ..session import spread
 from .registry import register, rounded, tables
 
 
 def table_log(spark, sf_dir):
     orders, lineitem = tables(spark, sf_dir, "orders", "lineitem")
-    return orders_lineitem_log(spread(orders, ["o_orderkey"]), lineitem)
+    return orders_lineitem_log(spread(orders, ["o_orderkey"]), spread(lineitem, ROW_KEY))
 
 
 @register("A5_task_index_stats")

@@ -12,7 +12,7 @@ from ..operators import placement as P
 from ..operators import workloads as W
 from ..sources import generators as G
 from ..session import spread
-from ..sources.tablelog import lineitem_placement_log
+from ..sources.tablelog import ROW_KEY, lineitem_placement_log
 from .registry import register, tables
 
 SEED = 42
@@ -20,7 +20,7 @@ SEED = 42
 
 def placement_lines(spark, sf_dir):
     (li,) = tables(spark, sf_dir, "lineitem")
-    return lineitem_placement_log(li)
+    return lineitem_placement_log(spread(li, ROW_KEY))
 
 
 @register("P1_block_locations")
