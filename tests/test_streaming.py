@@ -51,15 +51,21 @@ def test_ingest_then_batch_tables(spark):
 
 
 def test_windowed_full_index_stats_equal_batch(spark):
-    """Stream-stream joins + windowed stats equal the batch task table
-    grouped by the same windows, for every window the watermark closed."""
+    """Stream-stream joins + windowed stats equal the batch task table of all
+    attempts grouped by the same windows, for every window the watermark
+    closed. Without the jobs that share a stage of another one: the batch takes
+    the latest job end, the stream the jobs that a task ran in."""
     from tasklens.operators.metrics import INDEX_STAT_METRICS, flat_tasks_full, index_stats
-    folder = _files(spark)
+    from tasklens.sources.tablelog import SHARING
+    job = F.get_json_object("value", "$['Job ID']").cast("bigint")
+    folder = S.write_log_files(table_log(spark, SF_SMALL).where(F.coalesce(job < SHARING, F.lit(True))),
+                               S.scratch_path(spark, "unshared"), files_per_log=3)
     stream = S.read_event_log_stream(spark, folder)
     got = S.run_to_table(S.windowed_index_stats(stream, bound="1 day", window="365 days"), "append")
     assert got.count() > 0
     lines = ev.read_event_log(spark, folder)
-    full = flat_tasks_full(lines, stage_index=None, columns=["taskId", "taskIndex", *INDEX_STAT_METRICS])
+    full = flat_tasks_full(lines, stage_index=None, attempts="all",
+                           columns=["taskId", "taskIndex", *INDEX_STAT_METRICS])
     batch = index_stats(_with_window(full, lines), ["window_start", "taskIndex"], INDEX_STAT_METRICS)
     keys = [(r.window_start, r.taskIndex) for r in got.collect()]
     want = {(r.window_start, r.taskIndex): r for r in batch.collect()}
