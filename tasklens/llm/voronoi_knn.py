@@ -3,7 +3,7 @@
 Data are grouped into the Voronoi cells of a few pivots, queries into the cells
 of fewer. A vector x of cell j at distance d from its pivot p has an inner
 product with q of at most q.p + |q| d. A lower bound of each query's k-th score
-comes from the cells' summaries (sizes and radii) and from a bounded probe set,
+comes from the cells' summaries (distinct ids and radii) and from a bounded probe set,
 so a query group needs from cell j only the vectors with
 
     d >= min over its queries of (bound - q.p) / |q|
@@ -24,7 +24,6 @@ beyond a long are cut off at its limits. Further columns are not read.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,7 +109,7 @@ class Plan:
         norm = np.sqrt((q.astype(float) ** 2).sum(axis=1))
         low = q @ self.pivots.T - norm[:, None] * self.radius
         order = np.argsort(-low, axis=1)
-        have = np.cumsum(self.count[order], axis=1) >= self.k + 1   # one may be the query itself
+        have = np.cumsum(self.count[order], axis=1) >= self.k + 1   # one id may be the query's own
         at = have.argmax(axis=1)
         rows = np.arange(len(q))
         best = np.where(have.any(axis=1), low[rows, order[rows, at]], -np.inf)
@@ -154,14 +153,15 @@ def top_k(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def assign(batches):
         for b in batches:
-            cell, d = plan.cells(matrix(b.column(0), dim))
-            got = pd.DataFrame({"cell": cell, "d": d}).groupby("cell")["d"].agg(["size", "max"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(got.index.to_numpy(np.int64)), pa.array(got["size"].to_numpy(np.int64)),
-                 pa.array(got["max"].to_numpy(float))], names=["cell", "n", "r"])
-
-    summary = (data.select("v").mapInArrow(assign, "cell long, n long, r double")
-               .groupBy("cell").agg(F.sum("n").alias("n"), F.max("r").alias("r")).collect())
+            cell, d = plan.cells(matrix(b.column(1), dim))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cell.astype(np.int64)), pa.array(d)],
+                                             names=["id", "cell", "d"])
+
+    # an id counts once, by its row that is nearest to a pivot
+    kind = data.schema["id"].dataType.simpleString()
+    summary = (data.select("id", "v").mapInArrow(assign, f"id {kind}, cell long, d double")
+               .groupBy("id").agg(F.min_by("cell", "d").alias("cell"), F.min("d").alias("d"))
+               .groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("r")).collect())
     for s in summary:                                                          # one row for each pivot
         plan.count[s.cell], plan.radius[s.cell] = s.n, s.r
 

@@ -66,6 +66,17 @@ def test_search_matches_brute_force(spark, monkeypatch, k):
     assert got == brute(rows, k, 64, 10)
 
 
+def test_repeated_ids_do_not_raise_the_bound(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, r.normal(size=4).tolist()) for i in range(200)]
+    rows += [(7, [30.0, 0.0, 0.0, 0.0])] * 40 + [(20, [0.0, 30.0, 0.0, 0.0])] * 40        # 20 is a query
+    rows += [(33, [0.0, 0.0, 30.0, 0.01 * i]) for i in range(40)]                         # differing vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    from pyspark.sql import functions as F
+    got = {tuple(x) for x in search(df, F.col("vec_id") % 10 == 0, 7, 64).collect()}
+    assert got == brute(rows, 7, 64, 10)
+
+
 def test_search_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     v = integer_vectors(df, 64)
