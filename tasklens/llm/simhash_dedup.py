@@ -2,18 +2,20 @@
 
 A fingerprint has a bit for the majority of its shingles' hashes. Two
 fingerprints within Hamming distance r collide in at least one of 2^(r+1) - 1
-tables: bit i is given the non-zero vector m(i) = (i mod (2^(r+1) - 1)) + 1 of
-r + 1 bits, and table v keeps the bits whose m(i) has an odd number of ones in
+tables: bit i is given a non-zero vector m(i) of r + 1 bits, all of them in
+turn (powers of two first), and table v keeps the bits whose m(i) has an odd number of ones in
 common with v. The vectors of at most r differing bits span less than r + 1
 dimensions, so some v is orthogonal to all of them and its table keeps none of
 the differing bits.
 
 A fingerprint stands once in each table, so one bucket holds at most the
 (2^(r+1) - 1)-th part of the rows. A bucket of over ``BUCKET`` fingerprints is
-dealt out again by a covering of the bits that its table left out, until the
-buckets are small (the left-out bits halve each time and the fingerprints of a
-bucket differ in those bits only). Buckets return a spanning forest of their
-links, never all pairs.
+dealt out again by a covering of the bits that its table left out (the left-out
+bits halve each time and the fingerprints of a bucket differ in those bits
+only). A bucket whose table leaves out at most ``CUBE`` bits holds at most
+2^CUBE fingerprints and is linked by flipping these bits, so two rounds of
+refinement are enough. Buckets return a spanning forest of their links, never
+all pairs.
 
 Edge cases: null and empty texts, and texts without a word, have fingerprint
 zero and are linked like any other; repeated rows are all returned; an empty
@@ -39,6 +41,8 @@ BITS = 64
 SEED = 42
 #: Largest bucket that is compared pair by pair, within one Python batch.
 BUCKET = 1024
+#: Left-out bits at which a large bucket is linked by flips instead of refined.
+CUBE = 16
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 16
 LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -80,17 +84,25 @@ def covering(bits: list[int], radius: int) -> list[int]:
     """Masks over the given bit positions such that any ``radius`` of them are
     left out together by some mask; as signed longs."""
     n = (1 << (radius + 1)) - 1
+    # powers of two first: few bits span all dimensions, so that each mask keeps some
+    order = sorted(range(1, n + 1), key=lambda m: (m.bit_count() > 1, m))
     masks = []
     for v in range(1, n + 1):
-        m = sum(1 << b for i, b in enumerate(bits) if ((i % n + 1) & v).bit_count() % 2)
+        m = sum(1 << b for i, b in enumerate(bits) if (order[i % n] & v).bit_count() % 2)
         masks.append(m - (1 << BITS) if m >> (BITS - 1) else m)
     return masks
 
 
-def finer(mask: int, radius: int) -> list[int]:
-    """Masks that refine ``mask`` by a covering of the bits it leaves out."""
+def left_out(mask: int) -> list[int]:
+    """The bit positions that a mask does not keep."""
     m = mask % (1 << BITS)
-    return [x | mask for x in covering([b for b in range(BITS) if not m >> b & 1], radius)]
+    return [b for b in range(BITS) if not m >> b & 1]
+
+
+def finer(mask: int, radius: int) -> list[int]:
+    """Masks that refine ``mask`` by a covering of the bits it leaves out (more
+    than ``CUBE``: of so many, each mask keeps some)."""
+    return [x | mask for x in covering(left_out(mask), radius)]
 
 
 def refined(frames: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
@@ -132,15 +144,55 @@ def bucket_links(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, radius: int)
     return fp[moved], fp[label[moved]]
 
 
+def cube_links(mask: int, fp: np.ndarray, radius: int):
+    """bucket_links of one bucket by flipping up to ``radius`` of the bits that
+    ``mask`` leaves out: every fingerprint looks at its neighbours once."""
+    free = left_out(mask)
+    place = np.zeros(len(fp), np.int64)
+    for i, b in enumerate(free):
+        place |= (fp.view(np.uint64) >> np.uint64(b) & np.uint64(1)).astype(np.int64) << i
+    flips = np.arange(1, 1 << len(free))
+    flips = flips[np.bitwise_count(flips) <= radius]
+    at = np.full(1 << len(free), -1)
+    at[place] = np.arange(len(fp))
+    fresh = at >= 0
+    a, b = [], []
+    for start in np.flatnonzero(fresh):
+        if not fresh[start]:
+            continue
+        fresh[start], queue = False, [np.array([start])]
+        while queue:
+            edge = queue.pop()
+            if len(edge) > 256:
+                queue.append(edge[256:])
+            near = (edge[:256, None] ^ flips).ravel()
+            near = np.unique(near[fresh[near]])
+            if len(near):
+                fresh[near] = False
+                queue.append(near)
+                a.append(fp[at[near]])
+                b.append(np.full(len(near), fp[at[start]]))
+    none = np.zeros(0, fp.dtype)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
 def solve_buckets(rows: DataFrame, radius: int, bucket: int) -> DataFrame:
     """(mask, a, b) of rows (mask, key, fp): links a-b with a null mask, and
     the members a of buckets that are too large, with their mask."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def links(f):
-            a, b = bucket_links(*(f[c].to_numpy() for c in ("mask", "key", "fp")), radius)
+            size = f.groupby(["mask", "key"], sort=False)["fp"].transform("size").to_numpy()
+            small = f[size <= bucket]
+            found = [bucket_links(*(small[c].to_numpy() for c in ("mask", "key", "fp")), radius)] if len(small) else []
+            for (mask, _), g in f[size > bucket].groupby(["mask", "key"]):
+                found.append(cube_links(int(mask), g["fp"].to_numpy(), radius))
+            a, b = (np.concatenate(c) for c in zip(*found, strict=True))
             return pd.DataFrame({"mask": pd.array([None] * len(a), "Int64"), "a": a, "b": b})
 
+        def wide(masks):
+            return BITS - np.bitwise_count(masks.to_numpy().view(np.uint64)) > CUBE
+
         rest, over = None, None     # the unfinished last bucket; the large one being passed on
         for f in frames:
             if rest is not None:
@@ -155,7 +207,7 @@ def solve_buckets(rows: DataFrame, radius: int, bucket: int) -> DataFrame:
                     continue
                 over = None
             size = f.groupby(["mask", "key"], sort=False)["fp"].transform("size").to_numpy()
-            large = size > bucket
+            large = (size > bucket) & wide(f["mask"])
             if large.any():
                 big = f[large]
                 yield pd.DataFrame({"mask": big["mask"], "a": big["fp"], "b": big["fp"]})

@@ -6,9 +6,9 @@ import pytest
 from llm_cases import lower, messy_documents, prose
 from pyspark.sql import functions as F
 
-from tasklens.llm.simhash_dedup import (covering, fingerprint, finer, hex_digits, keep_one, near_duplicates,
-                                        near_links)
-from tasklens.llm.common import connected_components
+from tasklens.llm.simhash_dedup import (covering, cube_links, fingerprint, finer, hex_digits, keep_one,
+                                        near_duplicates, near_links)
+from tasklens.llm.common import checkpointed, connected_components
 
 
 def test_covering_holds_for_every_pair():
@@ -78,6 +78,44 @@ def test_links_lose_no_pair_in_hot_groups(spark, bucket):
     assert {frozenset(s) for s in got.values()} == classes(fps, 4)
 
 
+@pytest.mark.parametrize("n, within", [(2000, 4), (3000, 15)])
+def test_large_group_within_few_bits_ends(spark, monkeypatch, n, within):
+    import tasklens.llm.simhash_dedup as S
+    done = []
+
+    def once(df):
+        done.append(1)
+        assert len(done) <= 3, "refined again and again"
+        return checkpointed(df)
+
+    monkeypatch.setattr(S, "checkpointed", once)
+    first = covering(list(range(64)), 4)[6]
+    mask = min(finer(first, 4), key=lambda m: (m % 2 ** 64).bit_count()) % 2 ** 64
+    free = [b for b in range(64) if not mask >> b & 1][:15]
+    r = random.Random(8)
+    base, fps = r.getrandbits(64), set()
+    while len(fps) < (n if within == 15 else 1900):     # 1,941 lie within 4 of 15 bits
+        fps.add(base ^ sum(1 << b for b in r.sample(free, r.randrange(within + 1))))
+    fps |= {r.getrandbits(64) for _ in range(100)}
+    df = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long")
+    got = {}
+    for row in connected_components(near_links(df, 4)).collect():
+        got.setdefault(row.component, set()).add(row.node)
+    assert {frozenset(s) for s in got.values()} == classes(fps, 4)
+
+
+def test_flips_give_the_links_of_all_pairs():
+    r = random.Random(4)
+    fps = {sum(r.randrange(2) << (5 * b) for b in range(12)) for _ in range(60)}    # sparse: several classes
+    mask = ((1 << 64) - 1) ^ sum(1 << (5 * b) for b in range(12))
+    for radius in (1, 2, 4):
+        a, b = cube_links(mask, np.array(sorted(fps), np.int64), radius)
+        got = {}
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            got.setdefault(y, {y}).add(x)
+        assert {frozenset(s) for s in got.values()} == classes(fps, radius)
+
+
 def test_near_duplicates_and_kept_rows(spark):
     text = prose(5, 400)
     near = text.replace("that is", "that was", 1)
