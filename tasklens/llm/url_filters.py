@@ -7,6 +7,10 @@ sets of aliases, and a component that holds an explicitly allowed page is
 allowed, else one that holds an explicitly blocked page is blocked. Everything
 else is allowed.
 
+All canonical and refresh tags of a page count. Attribute values run to their
+closing quote, character references in them are decoded, and a refresh target
+runs to the end of its content attribute (or to its own closing quote).
+
 Edge cases: a null URL or one without ``://`` has an empty host and path, fits
 no rule and has no aliases; null or empty html has no links; repeated pages
 are judged one by one; an empty table gives an empty result; further columns
@@ -15,6 +19,10 @@ are not read, so clashing names do not matter.
 
 from __future__ import annotations
 
+import html.entities
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +34,11 @@ LINK_TAG = r"(?is)<link\b[^>]{0,2000}?\brel\s*=\s*[\"']?canonical\b[^>]*>"
 META_TAG = r"(?is)<meta\b[^>]{0,2000}?\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 HREF = r"(?is)\bhref\s*=\s*(?:\"\s*([^\"]*?)\s*\"|'\s*([^']*?)\s*'|([^\s\"'>]+))"
 NODE = r"(?s)^(?>.*?://)([^/?#]+)/?([^#]*)"
-REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?\s*([^\"'>\s;]+)"
+CONTENT = r"(?is)\bcontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))"
+REFRESH_URL = r"(?is)\burl\s*=\s*(?:\"\s*([^\"]*?)\s*(?:\"|$)|'\s*([^']*?)\s*(?:'|$)|([^\s\"'].*?)\s*$)"
+#: A refresh target outside of a content attribute.
+LOOSE_URL = r"(?is)\burl\s*=\s*[\"']?\s*([^\"'>\s]+)"
+REFERENCE = re.compile(r"&(?:#(?:[0-9]+|[xX][0-9a-fA-F]+);?|([A-Za-z][A-Za-z0-9]*)(;?)(=?))")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -70,20 +82,56 @@ def resolved(target: Column, scheme: Column, root: Column, folder: Column) -> Co
             .otherwise(F.concat(folder, target)))
 
 
+def decoded(value: str) -> str:
+    """An attribute's value with its character references decoded. A name
+    without ``;`` counts only where HTML has it so and no ``=`` follows."""
+
+    def one(m: re.Match) -> str:
+        name, end, sign = m.groups()
+        if name is None:
+            return html.unescape(m[0])
+        if not end and sign:
+            return m[0]
+        return html.entities.html5.get(name + end, "&" + name + end) + sign
+
+    return REFERENCE.sub(one, value)
+
+
+def decoded_values(value: Column) -> Column:
+
+    @F.pandas_udf("string")
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(decoded, na_action="ignore")
+
+    return run(value)
+
+
+def group_of(text: Column, pattern: str) -> Column:
+    """The one of three groups that holds the pattern's first match."""
+    return F.concat(*[F.regexp_extract(text, pattern, g) for g in (1, 2, 3)])
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(a, b): URL nodes joined by a canonical link or a redirect."""
-    found = (pages.select("url", "html")
-             .filter(F.col("html").rlike(r"(?i)canonical|http-equiv") & F.col("url").isNotNull())
-             .select("url", F.regexp_extract("html", LINK_TAG, 0).alias("link"),
-                     F.regexp_extract("html", META_TAG, 0).alias("meta")))
-    href = F.concat(*[F.regexp_extract("link", HREF, g) for g in (1, 2, 3)])
-    targets = found.select(
+    tags = (pages.select("url", "html")
+            .filter(F.col("html").rlike(r"(?i)canonical|http-equiv") & F.col("url").isNotNull())
+            .select("url", F.regexp_extract_all("html", F.lit(LINK_TAG), 0).alias("links"),
+                    F.regexp_extract_all("html", F.lit(META_TAG), 0).alias("metas")))
+    found = tags.select("url", F.explode(F.concat(
+        F.transform("links", lambda t: F.struct(F.lit(False).alias("refresh"), group_of(t, HREF).alias("value"))),
+        F.transform("metas", lambda t: F.struct(F.lit(True).alias("refresh"), F.when(
+            group_of(t, CONTENT).rlike(r"(?i)\burl\s*="), group_of(t, CONTENT)).otherwise(
+                F.concat(F.lit("url="), F.regexp_extract(t, LOOSE_URL, 1))).alias("value"))))).alias("f"))
+    # decoded before it is cut, as the inner quotes may be escaped
+    value = found.select("url", "f.refresh", decoded_values(F.col("f.value")).alias("value"))
+    targets = value.select(
         url_node(F.col("url")).alias("a"),
         F.regexp_extract("url", r"^[^:/?#]*", 0).alias("scheme"),
         F.regexp_extract("url", r"^[^:/?#]*://[^/?#]*", 0).alias("root"),
         F.concat(F.regexp_replace(F.regexp_extract("url", r"^[^:/?#]*://[^/?#]*(?:/[^?#]*/)?", 0),
                                   r"/$", ""), F.lit("/")).alias("folder"),
-        F.explode(F.array(href, F.regexp_extract("meta", REFRESH_URL, 1))).alias("target"))
+        F.when(F.col("refresh"), group_of(F.col("value"), REFRESH_URL))
+        .otherwise(F.col("value")).alias("target"))
     goal = targets.select("a", resolved(*map(F.col, ("target", "scheme", "root", "folder"))).alias("to"))
     return goal.distinct().select("a", url_node(F.col("to")).alias("b"))
 

@@ -36,6 +36,31 @@ def test_url_rules_and_aliases(spark):
     assert url_verdicts(df.limit(0), URL_RULES).collect() == []
 
 
+def test_all_tags_and_escaped_targets(spark):
+    link, meta = '<link rel="canonical" href="%s">', '<meta http-equiv="refresh" content="0; url=%s">'
+    bad = "http://b.net/fr/"                 # blocked by its own rule; no page of o.org has a rule
+    rows = [
+        (1, bad + "1?a=1&b=2", ""), (2, "http://o.org/2", meta % (bad + "1?a=1&amp;b=2")),
+        (3, "http://o.org/3", link % "http://o.org/none" + link % (bad + "1?a=1&#38;b=2")),
+        (4, bad + "4;v=1", ""), (5, "http://o.org/5", meta % "http://o.org/none2" + meta % (bad + "4;v=1")),
+        (6, bad + "6?a=1&copy=2", ""), (7, "http://o.org/7", link % (bad + "6?a=1&copy=2")),
+        (8, "http://o.org/8", "<META content='5;URL=\"" + bad + "4;v=1\" ' http-equiv=refresh>"),
+        (9, "http://o.org/9", meta % ("&quot;" + bad + "4;v=1&quot;")),
+        (10, "http://o.org/10", "<meta http-equiv=refresh content=0;url=" + bad + "4;v=1>"),
+        (11, "http://o.org/11", meta % (bad + "4")), (12, "http://o.org/12", "<meta http-equiv=refresh content=5>"),
+        (13, "http://o.org/13", "<meta http-equiv=refresh content=0; url=" + bad + "4;v=1>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_verdicts(df, URL_RULES).collect()}
+    assert {i for i, v in got.items() if v == "allow"} == {11, 12}
+
+
+def test_references_in_attributes():
+    from tasklens.llm.url_filters import decoded
+    for raw, want in (("a&amp;b", "a&b"), ("a&ampb", "a&ampb"), ("a&amp", "a&"), ("?x&lt=1", "?x&lt=1"),
+                      ("&#x26;&#38;", "&&"), ("&eacute;=1", "é=1"), ("&none;", "&none;"), ("&&amp;", "&&")):
+        assert decoded(raw) == want
+
+
 def cheapest(roles):
     """Least cost by trying everything."""
     @lru_cache(None)
