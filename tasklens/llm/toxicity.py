@@ -13,7 +13,7 @@ training rows without any known word is mixed in, so scores are shares of
 toxic documents among like ones.
 
 The sample is at most ``EXAMPLES`` documents of each class (the smallest hashes
-of doc_id), of near copies one, the vocabulary at most ``VOCABULARY`` words; both are parameters.
+of doc_id), of near copies with one label (shingle similarity of 0.8 or more) one, the vocabulary at most ``VOCABULARY`` words; both are parameters.
 
 Edge cases: null and empty texts and texts without a known word get the prior;
 without any training row the score is 0; a document with several labels is
@@ -47,7 +47,6 @@ NEIGHBOURS = 15
 BLOCK = 64
 #: Sum of the neighbours' cosines at which their vote weighs as much as the prior.
 PRIOR = 0.5
-MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
 def labelled(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
@@ -62,32 +61,61 @@ def labelled(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES)
     return rows.groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
 
 
-def signature(text) -> list[int]:
-    """Minimum hashes of the text's 5-word shingles, by a few multipliers."""
+def shingles(text) -> np.ndarray:
+    """Sorted distinct hashes of the text's 5-word shingles."""
     w = utf8(text).translate(WORD_BYTES).split()
-    h = np.array([xxhash.xxh3_64_intdigest(b" ".join(w[i:i + 5])) for i in range(max(len(w) - 4, 1))], np.uint64)
-    return [int((h * m).min().view(np.int64)) for m in MULTIPLIERS]
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(w[i:i + 5]))
+                               for i in range(max(len(w) - 4, 1))], np.uint64))
+
+
+def distinct_sets(sets: list[np.ndarray]) -> list[int]:
+    """The sets, in order, that have a similarity below 4/5 to every one kept
+    before. Sets that are so similar share one of the rarest fifth of their
+    elements, so only sets that do are compared."""
+    if not sets:
+        return []
+    _, place, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.empty(len(n), np.int64)
+    order[np.argsort(n, kind="stable")] = np.arange(len(n))
+    ranks = np.split(order[place], np.cumsum([len(x) for x in sets])[:-1])
+    kept, held = [], {}
+    for i, s in enumerate(map(np.sort, ranks)):
+        ranks[i] = s
+        rare = s[:len(s) - (-(-4 * len(s) // 5)) + 1].tolist()
+        for j in {j for r in rare for j in held.get(r, ())}:
+            m = len(ranks[j])
+            if 5 * min(m, len(s)) >= 4 * max(m, len(s)):
+                both = len(np.intersect1d(s, ranks[j], assume_unique=True))
+                if 5 * both >= 4 * (m + len(s) - both):
+                    break
+        else:
+            kept.append(i)
+            for r in rare:
+                held.setdefault(r, []).append(i)
+    return kept
 
 
 def without_copies(rows: DataFrame) -> DataFrame:
-    """The sampled rows without those that share a minimum hash with one of a
-    smaller doc_id: else the ordinary words of a text with many copies would
-    tell its class."""
+    """The sampled rows without those whose 5-word shingles have a similarity of
+    0.8 or more to a kept row of a smaller doc_id with the same label: else the
+    ordinary words of a text with many copies would tell its class."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([signature(t) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))],
-                names=["doc_id", "sig"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    got = rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sig array<long>").collect()
-    seen, kept = set(), []                      # of at most the sample's size
-    for r in sorted(got, key=lambda r: r.doc_id):
-        if seen.isdisjoint(r.sig):
-            kept.append((r.doc_id,))
-        seen.update(r.sig)
-    ids = rows.sparkSession.createDataFrame(kept, f"doc_id {kind}")
+                [b.column(0), b.column(1),
+                 pa.array([shingles(t).view(np.int64) for t in b.column(2).to_pylist()], pa.list_(pa.int64()))],
+                names=["doc_id", "toxic", "h"])
+
+    def keep(table: pa.Table) -> pa.Table:             # a class of the sample: of bounded size
+        table = table.sort_by("doc_id")
+        sets = [np.asarray(h.values) for h in table.column("h")]
+        return table.select(["doc_id"]).take(pa.array(distinct_sets(sets), pa.int64()))
+
+    kept = (rows.select("doc_id", "toxic", "text").mapInArrow(run, f"doc_id {kind}, toxic int, h array<long>")
+            .groupBy("toxic").applyInArrow(keep, f"doc_id {kind}").collect())
+    ids = rows.sparkSession.createDataFrame([tuple(r) for r in kept], f"doc_id {kind}")
     return rows.join(F.broadcast(ids), "doc_id", "left_semi")
 
 

@@ -111,6 +111,36 @@ def test_toxicity_without_labels(spark, toxic):
     assert X.score_documents(empty, X.fit(empty, empty, none)).collect() == []
 
 
+def test_only_near_copies_with_the_same_label_are_dropped(spark):
+    passage = prose(900, 50, [f"p{i}" for i in range(500)])
+
+    def own(seed, n):
+        return prose(seed, n, [f"w{i}" for i in range(5000)])
+
+    text = own(1000, 300)
+    rows = [(i, i % 2, own(i, 250) + " " + passage) for i in range(60)]       # a shared passage
+    rows += [(100, 1, text), (101, 1, text + " end"), (102, 0, text), (103, 1, text), (104, 0, own(7777, 3))]
+    rows += [(105, 1, text + " " + own(1001, 60)), (106, 1, text + " " + own(1002, 90)), (107, 0, None), (108, 0, "")]
+    got = X.without_copies(spark.createDataFrame(rows, "doc_id long, toxic int, text string"))
+    # 105 shares 296 of 356 shingles with 100, 106 shares 296 of 386
+    assert {r.doc_id for r in got.collect()} == {*range(60), 100, 102, 104, 106, 107}
+
+
+def test_distinct_sets_match_brute_force():
+    r = np.random.default_rng(6)
+    sets = []
+    for _ in range(300):
+        s = set(r.choice(400, r.integers(1, 60)).tolist()) if not sets or r.random() < .3 else set(sets[r.integers(len(sets))])
+        for x in r.choice(400, r.integers(0, 8)).tolist():
+            s ^= {x}
+        sets.append(sorted(s or {1}))
+    kept = []
+    for i, s in enumerate(sets):
+        if all(5 * len({*s} & {*sets[j]}) < 4 * len({*s} | {*sets[j]}) for j in kept):
+            kept.append(i)
+    assert X.distinct_sets([np.array(s, np.int64) for s in sets]) == kept
+
+
 def test_document_frequencies_cover_the_corpus(spark, toxic):
     docs, _ = toxic
     df, n = X.document_frequencies(docs, [b"the", b"idiot"])
