@@ -1,11 +1,13 @@
 """Lexical retrieval packing.
 
 Documents are turned into token ids once and written down, with the document
-frequencies of all tokens over the whole corpus. Tasks then take the documents
-in shards. Whole windows of a long document are sequences of their own; what is
+frequencies of all tokens over the whole corpus. They are ordered by their
+weightiest tokens, so that like documents meet (a frequent token's documents are
+spread over ranges), and tasks take them in shards. Whole
+windows of a long document are sequences of their own; what is
 left of each document is packed: the longest unused rest is a seed, a BM25
-inverted index of the shard returns its unused neighbours by score, and these
-fill the seed's window in turn. The last one is cut to fit and its end stays
+inverted index of the shard returns its unused neighbours by the score of all
+its tokens, and these fill the seed's window in turn. The last one is cut to fit and its end stays
 unused, so windows are full; what is left at the end of a task is cut into
 sequences of a power of two tokens, which need no padding.
 
@@ -21,6 +23,7 @@ an empty result; further columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import json
 import zlib
@@ -36,7 +39,8 @@ from tasklens.llm.common import written
 WINDOW = 1024
 END = 0
 SHARD_TOKENS = 1 << 20
-QUERY_TERMS = 16
+RANGE_SHARDS = 8        # shards of a task
+SAMPLE = 64             # documents for each task whose order gives the tasks' bounds
 NEAREST = 64            # neighbours fetched at a time; more follow when these are used up
 K1, B = 1.2, 0.75
 #: Splitting pattern of the byte-level BPE of GPT-2 (fixed value).
@@ -94,6 +98,10 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget_encoders() -> None:
+    _ENCODERS.clear()
+
+
 def tokens(documents: DataFrame, path: str) -> DataFrame:
     """A written table (doc_id, ids, df): the ids of every document as
     little-endian numbers, and from every task one row without ids that holds
@@ -154,6 +162,48 @@ def corpus_counts(table: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def like_together(table: DataFrame, counts: np.ndarray, size: int, tokens_each: int) -> DataFrame:
+    """(doc_id, ids) ordered over all tasks by the two tokens of each document
+    that weigh most among those of several documents. Tasks take ranges of
+    about ``tokens_each`` tokens, whose bounds come from a sample; they are cut
+    within a frequent pair as well, by a hash of the row's place."""
+    kind = table.schema["doc_id"].dataType.simpleString()
+    n, df = counts[0], counts[2:]
+    idf = np.where(df > 1, np.log1p((n - df + 0.5) / (df + 0.5)), 0)
+    mean = max(counts[1] / max(n, 1), 1)
+    ranges = max(-(-int(counts[1]) // tokens_each), 1)
+
+    def heaviest(data: bytes) -> tuple[int, int]:
+        t, tf = np.unique(np.frombuffer(data, "<u2" if size <= 1 << 16 else "<u4"), return_counts=True)
+        w = idf[t] * tf / (tf + K1 * (1 - B + B * tf.sum() / mean))
+        i = int(w.argmax())
+        first, w[i] = int(t[i]), -1
+        return first, int(t[w.argmax()])
+
+    def keyed(rows, bounds):
+        def run(batches):
+            forget_encoders()                           # this worker needs their memory
+            for b in batches:
+                top = [(*heaviest(d), h) for d, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+                part = [bisect.bisect_right(bounds, t) for t in top]
+                first, second, salt = zip(*top, strict=True) if top else ((), (), ())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in (first, second, salt)),
+                     pa.array(part, pa.int32())], names=["doc_id", "ids", "first", "second", "salt", "part"])
+
+        return rows.mapInArrow(run, f"doc_id {kind}, ids binary, first long, second long, salt long, part int")
+
+    rows = (table.filter("ids IS NOT NULL")
+            .select("doc_id", "ids", F.xxhash64(F.monotonically_increasing_id()).alias("salt")))
+    bounds = []
+    if ranges > 1:
+        some = rows.sample(min(1.0, SAMPLE * ranges / int(n)), seed=1)
+        some = sorted(tuple(r) for r in keyed(some, []).select("first", "second", "salt").collect())
+        bounds = [some[len(some) * i // ranges] for i in range(1, ranges)] if some else []
+    return (keyed(rows, bounds).repartitionById(ranges, F.col("part"))
+            .sortWithinPartitions("first", "second", "salt").select("doc_id", "ids"))
+
+
 class Shard:
     """BM25 index of some documents; the postings of a term by document."""
 
@@ -166,26 +216,39 @@ class Shard:
         idf = np.log1p((n - df[term] + 0.5) / (df[term] + 0.5))
         norm = K1 * (1 - B + B * size[self.doc] / max(total / max(n, 1), 1))
         self.impact = idf * tf * (K1 + 1) / (tf + norm)
-        self.terms, self.start = np.unique(term, return_index=True)
+        # a term of one document tells nothing about the others
+        _, place, held = np.unique(term, return_inverse=True, return_counts=True)
+        shared = held[place] > 1
+        term, self.doc, self.impact = term[shared], self.doc[shared], self.impact[shared]
+        _, self.start, place = np.unique(term, return_index=True, return_inverse=True)
         self.stop = np.append(self.start[1:], len(term))
-        # terms of each document by impact
-        place = np.searchsorted(self.terms, term)
-        order = np.lexsort((term, -self.impact, self.doc))
+        # terms of each document
+        order = np.argsort(self.doc, kind="stable")
         self.query, self.first = place[order], np.searchsorted(self.doc[order], np.arange(len(docs) + 1))
-        self.n = len(docs)
+        self.n = self.live = len(docs)
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 score of every document for the seed's weightiest terms."""
-        q = self.query[self.first[seed]:self.first[seed + 1]][:QUERY_TERMS]
-        where = [slice(self.start[t], self.stop[t]) for t in q]
+        """BM25 score of every other document for all terms of the seed."""
+        q = self.query[self.first[seed]:self.first[seed + 1]]
+        where = [slice(a, b) for a, b in zip(self.start[q].tolist(), self.stop[q].tolist(), strict=True)]
         if not where:
             return np.zeros(self.n)
         return np.bincount(np.concatenate([self.doc[w] for w in where]),
                            np.concatenate([self.impact[w] for w in where]), self.n)
 
+    def narrow(self, unused: np.ndarray) -> None:
+        """Drop the postings of used documents once they are a quarter."""
+        n = int(np.count_nonzero(unused))
+        if 4 * n < 3 * self.live:
+            keep = unused[self.doc]
+            at = np.append(0, np.cumsum(keep))
+            self.doc, self.impact = self.doc[keep], self.impact[keep]
+            self.start, self.stop, self.live = at[self.start], at[self.stop], n
+
     def neighbours(self, seed: int, unused: np.ndarray):
         """Unused documents with a positive score, best first (ties: the
         earlier document)."""
+        self.narrow(unused)
         s = np.where(unused, self.scores(seed), 0)
         s[seed] = 0
         left = np.flatnonzero(s > 0)
@@ -297,6 +360,6 @@ def pack_documents(documents: DataFrame, path: str, window: int = WINDOW,
         if docs:
             yield flush(True)
 
-    return table.filter("ids IS NOT NULL").select("doc_id", "ids").mapInArrow(
+    return like_together(table, counts, size, RANGE_SHARDS * shard_tokens).mapInArrow(
         run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
              "sequence_id long, offset long")

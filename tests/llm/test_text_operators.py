@@ -225,6 +225,30 @@ def test_packing_puts_like_texts_together(spark):
     assert sum(map(len, seqs.values())) <= 2 * len(seqs)
 
 
+def test_packing_brings_like_texts_into_one_shard(spark):
+    topics = [f"topic{t}a topic{t}b topic{t}c ".replace("topic", c * 5) for t, c in enumerate("qzxvkj")]
+    docs = [(i, topics[i % 6] * 20) for i in range(96)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    seqs = {}
+    for r in packing.pack_documents(df, tokenizer_file(), shard_tokens=3000).collect():
+        seqs.setdefault(r.sequence_id, set()).add(r.doc_id % 6)
+    assert sum(map(len, seqs.values())) <= 1.5 * len(seqs)
+
+
+def test_neighbours_share_any_term():
+    rare = np.arange(100, 140, dtype="<u4")             # in no other document of the shard
+    docs = [np.append(rare, [5, 6, 7]).astype("<u4"), np.array([5, 6, 7, 8], "<u4"), np.array([9, 8], "<u4")]
+    counts = np.zeros(202, np.int64)
+    counts[:2] = 1000, 20000
+    counts[2:] = 2
+    counts[2 + np.array([5, 6, 7, 8, 9])] = 300
+    index = packing.Shard(docs, counts)
+    assert list(index.neighbours(0, np.array([False, True, True]))) == [1]
+    assert np.isclose(index.scores(0)[1], 3 * index.scores(2)[1])
+    index.narrow(np.array([False, True, False]))        # used documents leave the postings
+    assert set(index.doc.tolist()) == {1} and np.isclose(index.scores(0)[1], 3 * index.scores(2)[1])
+
+
 def test_bm25_scores():
     docs = [np.array(x, "<u4") for x in ([5, 5, 7], [5, 8, 8, 9], [7, 7, 7, 7, 1], [2])]
     counts = np.zeros(12, np.int64)
