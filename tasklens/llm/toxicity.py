@@ -13,7 +13,8 @@ training rows without any known word is mixed in, so scores are shares of
 toxic documents among like ones.
 
 The sample is at most ``EXAMPLES`` documents of each class (the smallest hashes
-of doc_id), of near copies with one label (shingle similarity of 0.8 or more) one, the vocabulary at most ``VOCABULARY`` words; both are parameters.
+of doc_id), of near copies with one label (shingle similarity of 0.8 or more)
+one, the vocabulary at most ``VOCABULARY`` words; both are parameters.
 
 Edge cases: null and empty texts and texts without a known word get the prior;
 without any training row the score is 0; a document with several labels is

@@ -130,7 +130,8 @@ def test_distinct_sets_match_brute_force():
     r = np.random.default_rng(6)
     sets = []
     for _ in range(300):
-        s = set(r.choice(400, r.integers(1, 60)).tolist()) if not sets or r.random() < .3 else set(sets[r.integers(len(sets))])
+        fresh = not sets or r.random() < 0.3
+        s = set(r.choice(400, r.integers(1, 60)).tolist() if fresh else sets[r.integers(len(sets))])
         for x in r.choice(400, r.integers(0, 8)).tolist():
             s ^= {x}
         sets.append(sorted(s or {1}))
