@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasklens.llm import chat_format, decontaminate, language_id, license_scan, packing, simhash_dedup, suffix_dedup, toxicity, url_filters, voronoi_knn
+from tasklens.llm import byte_bpe, chat_format, decontaminate, language_id, license_scan, packing, simhash_dedup, suffix_dedup, toxicity, url_filters, voronoi_knn
 from tasklens.llm.oracle import ORACLE  # noqa: F401  (the queries' SQL twins)
 from tasklens.session import table
 
@@ -101,6 +101,17 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's byte-level BPE ids and of what they decode to."""
+    import public_tokenizers
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    found = byte_bpe.encode(table(spark, sf_dir, "documents"), ["doc_id"], ranks, public_tokenizers.PATTERN)
+    return found.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(byte_bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_top_k_search": op1_top_k_search,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -112,4 +123,5 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_license_scans": op10_license_scans,
+    "op12_byte_bpe": op12_byte_bpe,
 }
