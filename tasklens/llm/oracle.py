@@ -126,8 +126,45 @@ FROM e LEFT JOIN own USING (rid)
 """
 
 
+def clusters(k: int = 16, rounds: int = 3, dim: int = 64) -> str:
+    """Rounds unrolled: ``c0`` holds the first centroids, ``a{i}`` the vectors
+    assigned to ``c{i}``, ``c{i+1}`` the floored means."""
+    square = "list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    ctes = [f"""
+v AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS cluster, v FROM v WHERE vec_id IS NOT NULL
+  ORDER BY sha256('1:' || vec_id), v LIMIT {k})"""]
+    for i in range(rounds + 1):
+        ctes.append(f"""
+d{i} AS (SELECT rid, vec_id, v.v, cluster, {square} AS distance FROM v CROSS JOIN c{i} c),
+a{i} AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY distance, cluster) AS nth FROM d{i}) x
+  WHERE nth = 1)""")
+        if i < rounds:
+            ctes.append(f"""
+m{i} AS (
+  SELECT cluster, place, sum(x) AS s, count(*) AS n
+  FROM (SELECT cluster, unnest(v) AS x, unnest(range({dim})) AS place FROM a{i}) x GROUP BY cluster, place),
+c{i + 1} AS (
+  SELECT c.cluster, coalesce(new.v, c.v) AS v FROM c{i} c LEFT JOIN (
+    SELECT cluster, list((CAST(s AS HUGEINT) - (((CAST(s AS HUGEINT) % n) + n) % n)) // n ORDER BY place) AS v
+    FROM m{i} GROUP BY cluster) new ON new.cluster = c.cluster)""")
+    return f"""
+WITH {",".join(ctes)}
+SELECT vec_id, CAST(a.cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+       CAST(sum(distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.cluster
+"""
+
+
 ORACLE = {
     "op1_top_k_search": TOP_K,
     "op4_url_filters": URLS,
     "op10_license_scans": licenses(),
+    "op13_centroid_clustering": clusters(),
 }

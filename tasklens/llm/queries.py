@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasklens.llm import byte_bpe, chat_format, decontaminate, language_id, license_scan, packing, simhash_dedup, suffix_dedup, toxicity, url_filters, voronoi_knn
+from tasklens.llm import byte_bpe, chat_format, decontaminate, language_id, license_scan, packing, pca_means, simhash_dedup, suffix_dedup, toxicity, url_filters, voronoi_knn
 from tasklens.llm.oracle import ORACLE  # noqa: F401  (the queries' SQL twins)
 from tasklens.session import table
 
@@ -112,6 +112,12 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(byte_bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and distance of every vector after three rounds from 16 centroids."""
+    assigned, centroids = pca_means.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64, seed=1)
+    return pca_means.with_inertia(assigned.drop("verified"), centroids)
+
+
 QUERIES = {
     "op1_top_k_search": op1_top_k_search,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -124,4 +130,5 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_license_scans": op10_license_scans,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
