@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasklens.llm import byte_bpe, chat_format, decontaminate, language_id, license_scan, packing, pca_means, simhash_dedup, suffix_dedup, toxicity, url_filters, voronoi_knn
+from tasklens.llm import byte_bpe, chat_format, decontaminate, language_id, license_scan, packing, pca_means, simhash_dedup, spelling, suffix_dedup, toxicity, url_filters, voronoi_knn
 from tasklens.llm.oracle import ORACLE  # noqa: F401  (the queries' SQL twins)
 from tasklens.session import table
 
@@ -101,6 +101,11 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the words one edit apart and their forms."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), spoil=97, shortest=5, least=3)
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's byte-level BPE ids and of what they decode to."""
     import public_tokenizers
@@ -129,6 +134,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_license_scans": op10_license_scans,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
