@@ -54,27 +54,28 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
 
 
-class RankMap:
-    """The literal rank map: columns that look a binary piece up."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        keys: list[list[str]] = [[] for _ in range(BUCKETS)]
-        values: list[list[int]] = [[] for _ in range(BUCKETS)]
-        for piece, rank in ranks.items():
-            b = zlib.crc32(piece) % BUCKETS
-            keys[b].append(base64.b64encode(piece).decode())
-            values[b].append(rank)
-        self.keys = F.from_json(F.lit(json.dumps(keys)), "array<array<binary>>")
-        self.values = F.from_json(F.lit(json.dumps(values)), "array<array<int>>")
-
-    def __call__(self, piece: Column) -> Column:
-        """Rank of a piece, ``NONE`` if there is none."""
+def rank_table(ranks: dict[bytes, int]) -> Column:
+    """The literal rank map: pieces and ranks by bucket."""
+    keys: list[list[str]] = [[] for _ in range(BUCKETS)]
+    values: list[list[int]] = [[] for _ in range(BUCKETS)]
+    for piece, rank in ranks.items():
+        b = zlib.crc32(piece) % BUCKETS
+        keys[b].append(base64.b64encode(piece).decode())
+        values[b].append(rank)
+    return F.struct(F.from_json(F.lit(json.dumps(keys)), "array<array<binary>>").alias("keys"),
+                    F.from_json(F.lit(json.dumps(values)), "array<array<int>>").alias("ranks"))
+
+
+def rank_in(table: Column):
+    """Function that gives the rank of a piece, ``NONE`` if there is none."""
+    def rank(piece: Column) -> Column:
         def found(c):
             def place(b):
-                at = F.array_position(F.get(self.keys, b), c).cast("int")
-                return F.get(F.get(self.values, b), at - 1)
+                at = F.array_position(F.get(table["keys"], b), c).cast("int")
+                return F.get(F.get(table["ranks"], b), at - 1)
             return let((F.crc32(c) % BUCKETS).cast("int"), place)
         return F.coalesce(let(piece, found), F.lit(NONE))
+    return rank
 
 
 def let(value: Column, use) -> Column:
@@ -82,7 +83,7 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def merged_ids(word: Column, rank: RankMap) -> Column:
+def merged_ids(word: Column, rank) -> Column:
     """Ids of a binary word of at least one byte, by a fold over its merges."""
     n = F.octet_length(word)
     none = F.array().cast("array<int>")
@@ -230,8 +231,9 @@ def word_ids(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
         return column.map(lambda w: None if w is None else merge_long(bytes(w), ranks))
 
     merged = distinct.withColumn("long", heap(F.when(long, F.col("bytes"))))
-    return merged.select("word", F.when(long, F.col("long")).otherwise(
-        merged_ids(F.col("bytes"), RankMap(ranks))).alias("ids"))
+    # bound to a variable, the literal stands in the plan once
+    folded = let(rank_table(ranks), lambda table: merged_ids(F.col("bytes"), rank_in(table)))
+    return merged.select("word", F.when(long, F.col("long")).otherwise(folded).alias("ids"))
 
 
 def encode(docs: DataFrame, by: list[str], ranks: dict[bytes, int], pattern: str, text: str = "text",
