@@ -679,6 +679,10 @@ oracle("W6m_scramble_many_writes",
        _w6_sql(1000) + "SELECT doc_id, CAST(n AS INTEGER) AS n_bytes, md5(h) AS payload_md5 FROM sc")
 
 # the same tables read back from log files
+oracle("M6t_stream_task_table", _TASKS_CTE + f"""
+SELECT app, taskId, stageId, taskIndex, {", ".join(_STAT_METRICS)} FROM t
+""")
+ORACLE["M6s_stream_stateful_index_stats"] = ORACLE["A5_task_index_stats"]
 ORACLE["S1f_event_counts_files"] = ORACLE["S1_event_counts"]
 ORACLE["M1f_jobs_files"] = ORACLE["M1_jobs"]
 ORACLE["M5f_flat_tasks_files"] = ORACLE["M5_flat_tasks_full"]

@@ -86,13 +86,13 @@ def log_files(spark, sf_dir):
     lines = table_log(spark, sf_dir).select("log", "value")
     cut = lines.select("log").distinct().select(
         "log", F.lit('{"Event":"SparkListenerJobStart","Job ID":1,"Submission T').alias("value"))
-    write_log_files(lines.unionByName(cut), folder, files_per_log=5)
+    write_log_files(lines.unionByName(cut), folder)
     return read_event_log(spark, folder)
 
 
 @register("S1f_event_counts_files")
 def s1f(spark, sf_dir):
-    """S1 over log files: whole events per app and type; the cut-off lines count for nothing."""
+    """S1 over log files, read by byte ranges: whole events per app and type; the cut-off lines count for nothing."""
     from ..sources import eventlog as ev
     names = ev.with_event(log_files(spark, sf_dir))
     whole = F.get_json_object("value", "$.Event")
@@ -104,18 +104,16 @@ def s1f(spark, sf_dir):
 def m1f(spark, sf_dir):
     """M1 over log files split into Parquet by event (a cut-off JobStart line is no job)."""
     from ..sources import eventlog as ev
-    from ..streaming.eventlog_stream import scratch_path
-    path = scratch_path(spark, "events")
-    ev.materialize_event_log(log_files(spark, sf_dir), path)
-    return M.jobs(spark.read.parquet(path)).select(
+    return M.jobs(ev.split_events(log_files(spark, sf_dir))).select(
         "app", "job_id", "submission_ms", "num_stages",
         F.array_join("stage_ids", ",").alias("stage_ids"), "end_ms")
 
 
 @register("M5f_flat_tasks_files")
 def m5f(spark, sf_dir):
-    """M5 over log files."""
-    return rounded(M.flat_tasks_full(log_files(spark, sf_dir), stage_index=None))
+    """M5 over log files, which are scanned once for all the events it joins."""
+    from ..sources import eventlog as ev
+    return rounded(M.flat_tasks_full(ev.split_events(log_files(spark, sf_dir)), stage_index=None))
 
 
 @register("A5m_task_index_stats_materialized")

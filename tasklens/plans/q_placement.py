@@ -31,10 +31,13 @@ def p1(spark, sf_dir):
 
 def rolled_log(spark, sf_dir, files: int = 12):
     """The placement log written the way Spark rolls a log, one folder per
-    application with ``files`` numbered files of growing size, and read back."""
-    from ..sources.eventlog import read_event_log
-    from ..streaming.eventlog_stream import scratch_path
+    application with at least ``files`` numbered files of growing size (more on
+    long logs), read back by byte ranges and split by event, so that it is
+    scanned once."""
+    from ..sources.eventlog import read_event_log, split_events
+    from ..streaming.eventlog_stream import LINES_PER_FILE, scratch_path
     lines = placement_lines(spark, sf_dir)
+    files = max(files, lines.count() // LINES_PER_FILE)
     # the lines are in the order of seq, a 52-bit number; later files hold more
     share = F.sqrt(F.coalesce(F.col("seq"), F.lit(0)) / F.lit(float(1 << 52)))
     number = F.least(F.floor((1 - share) * files), F.lit(files - 1))
@@ -45,13 +48,13 @@ def rolled_log(spark, sf_dir, files: int = 12):
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(conf)
-    for st in fs.globStatus(path(f"{folder}/log=*/n=*/part-*")):     # ``files`` for each application
+    for st in fs.globStatus(path(f"{folder}/log=*/n=*/part-*")):     # ``files`` of each application
         part = st.getPath()
         log, n = (part.getParent().getParent().getName()[4:], part.getParent().getName()[2:])
         fs.mkdirs(path(f"{top}/eventlog_v2_{log}"))
         fs.rename(part, path(f"{top}/eventlog_v2_{log}/events_{n}_{log}"))
     rolled = read_event_log(spark, f"{top}/eventlog_v2_*", rolled=True)
-    return rolled.withColumn("log", F.regexp_extract("log", r"eventlog_v2_([^/]*)$", 1))
+    return split_events(rolled.withColumn("log", F.regexp_extract("log", r"eventlog_v2_([^/]*)$", 1)))
 
 
 @register("P1r_block_locations_rolled")

@@ -20,17 +20,24 @@ def _state_parts(spark) -> int:
 
 def _log_stream(spark, sf_dir):
     folder = S.scratch_path(spark, "logs")
-    S.write_log_files(table_log(spark, sf_dir), folder, files_per_log=2)
+    S.write_log_files(table_log(spark, sf_dir), folder)
     return S.read_event_log_stream(spark, folder, max_files_per_trigger=3)
 
 
 @register("S2_stream_event_counts")
 def s2(spark, sf_dir):
-    """The event log written as files and read as a stream; events per app and type."""
-    from ..sources.eventlog import with_event
-    lines = with_event(_log_stream(spark, sf_dir))    # event name from the line head
-    counts = lines.groupBy(F.col("log").alias("app"), "event").agg(F.count(F.lit(1)).alias("n"))
-    return S.run_to_table(counts, "complete", state_partitions=_state_parts(spark))
+    """Log files followed by byte offsets; events per app and type. The stream
+    runs once over half of the lines, and again, from its checkpoint, when files
+    with the rest have been added."""
+    lines = table_log(spark, sf_dir).select("log", "value")
+    half = F.pmod(F.xxhash64("value"), F.lit(2))
+    folder, checkpoint = S.scratch_path(spark, "logs"), S.scratch_path(spark, "stream-ckpt")
+    for k in (0, 1):
+        S.write_log_files(lines.where(half == k), f"{folder}/part{k}")
+        stream = S.read_event_log_stream(spark, folder, follow=True)
+        counts = stream.groupBy(F.col("log").alias("app"), "event").agg(F.count(F.lit(1)).alias("n"))
+        out = S.run_to_table(counts, "complete", checkpoint=checkpoint, state_partitions=_state_parts(spark))
+    return out
 
 
 @register("M6_stream_task_index_stats")
@@ -57,3 +64,30 @@ def m6w(spark, sf_dir):
                      F.unix_millis("window_end").alias("window_end_ms"),
                      *[c for c in out.columns if c not in ("window_start", "window_end")])
     return rounded(rounded(out, 3, prefix="var_"), 6)
+
+
+def _task_table(spark, sf_dir):
+    """The task table kept by the stateful stream over log files, all stages sent on."""
+    from ..streaming import task_state as TS
+    folder = S.scratch_path(spark, "logs")
+    S.write_log_files(table_log(spark, sf_dir), folder)
+    S.write_flush_file(spark, folder)
+    # a second job of a stage ends up to 40 seconds after the first one here
+    stream = TS.task_table_stream(S.read_event_log_stream(spark, folder, follow=True), linger_ms=60_000)
+    with TS.rocksdb_state(spark):
+        return S.run_to_table(stream, "append", state_partitions=_state_parts(spark), until_idle=True)
+
+
+@register("M6t_stream_task_table")
+def m6t(spark, sf_dir):
+    """M6: the task table of a stream with state by stage (attempts, latest job
+    end, waiting tasks; event-time timers): the rows of the batch table, also of
+    retried stages and of stages that several jobs share."""
+    return rounded(_task_table(spark, sf_dir).drop("finish_ms"))
+
+
+@register("M6s_stream_stateful_index_stats")
+def m6s(spark, sf_dir):
+    """M6: the per-index statistics of A5 over the stateful stream's task table."""
+    from ..operators.metrics import index_stats
+    return rounded(rounded(index_stats(_task_table(spark, sf_dir)), 3, prefix="var_"), 6)

@@ -14,6 +14,7 @@ parent folder for rolled ``eventlog_v2_*`` logs.
 from __future__ import annotations
 
 import io
+import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,20 +78,36 @@ def _list_files(spark: SparkSession, paths: list[str]) -> list[str]:
 
 
 def read_event_log(spark: SparkSession, paths: str | list[str],
-                   rolled: bool | None = None, include_in_progress: bool = False) -> DataFrame:
+                   rolled: bool | None = None, include_in_progress: bool = False,
+                   reader: str | None = None) -> DataFrame:
     """Raw lines ``(log STRING, value STRING, seq DECIMAL(38,0))`` of one or
     many event logs.
 
-    ``paths`` may be files, folders or globs; Spark decompresses ``.zstd``,
-    ``.lz4``, ``.snappy`` and ``.gz`` files by extension. For rolled logs
-    (``eventlog_v2_*`` folders) only ``events_*`` files are read and the
-    folder is the log key. A compressed file still being written
-    (``*.zstd.inprogress``) decodes to no event lines with the text reader;
-    ``include_in_progress=True`` lists the files and reads those with
-    ``read_zstd_event_log``. ``seq`` orders the lines of a log.
+    ``paths`` may be files, folders or globs. For rolled logs (``eventlog_v2_*``
+    folders) only ``events_*`` files are read and the folder is the log key.
+    ``seq`` orders the lines of a log.
+
+    ``reader="source"`` reads with the data source of ``logsource``: byte ranges,
+    ``seq`` from the rolled file's number and the line's byte, zstd and gzip, also
+    of files that are still written, and a further column ``event``.
+    ``reader="text"`` is Spark's text reader, for stores that only Spark opens
+    and for its other codecs (``.lz4``, ``.snappy``). By default the source is
+    taken where it can list the paths and knows the codecs. A compressed file
+    still being written (``*.zstd.inprogress``) decodes to no event lines with the
+    text reader; ``include_in_progress=True`` reads those with
+    ``read_zstd_event_log``.
     """
+    from . import logsource
     if isinstance(paths, str):
         paths = [paths]
+    if reader is None:
+        reader = "source" if logsource.reads(paths, bool(rolled)) else "text"
+    if reader == "source":
+        logsource.register_source(spark)
+        df = (spark.read.format("event_log").option("paths", json.dumps(paths))
+              .option("rolled", str(bool(rolled)).lower())
+              .option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).load())
+        return df.select("log", "value", "event", _line_seq(F.col("file_number"), F.col("offset"), F.lit(0)).alias("seq"))
     if include_in_progress:
         files = [f for f in _list_files(spark, paths)
                  if not f.rsplit("/", 1)[-1].startswith((".", "_"))
@@ -99,7 +116,7 @@ def read_event_log(spark: SparkSession, paths: str | list[str],
         rest = [f for f in files if f not in live]
         parts = []
         if rest:
-            parts.append(read_event_log(spark, rest, rolled=False))
+            parts.append(read_event_log(spark, rest, rolled=False, reader="text"))
         if live:
             parts.append(read_zstd_event_log(spark, live))
         if not parts:
@@ -108,10 +125,10 @@ def read_event_log(spark: SparkSession, paths: str | list[str],
         for p in parts[1:]:
             out = out.unionByName(p)
         return out
-    reader = spark.read.format("text").option("recursiveFileLookup", "false")
+    text = spark.read.format("text").option("recursiveFileLookup", "false")
     if rolled:
-        reader = reader.option("pathGlobFilter", "events_*")
-    df = reader.load(paths)
+        text = text.option("pathGlobFilter", "events_*")
+    df = text.load(paths)
     return with_log_key(df.withColumn("seq", line_order()), "seq")
 
 
@@ -250,6 +267,21 @@ def materialize_event_log(lines: DataFrame, path: str, mode: str = "overwrite")
     with_event(lines).write.mode(mode).partitionBy("event").parquet(path)
 
 
+def split_events(lines: DataFrame, path: str | None = None) -> DataFrame:
+    """The lines, written once as Parquet partitioned by ``event`` and read back.
+
+    Tables that join several events (M5, A5, P1, P2) scan the log once for each
+    of them; over the split lines the log is scanned once in all, and every
+    table reads only its events. ``path`` defaults to a fresh folder below the
+    session's checkpoint folder."""
+    if path is None:
+        from ..streaming.eventlog_stream import scratch_path
+        path = scratch_path(lines.sparkSession, "events")
+    named = with_event(lines)
+    materialize_event_log(named, path, mode="errorifexists")
+    return lines.sparkSession.read.schema(named.schema).parquet(path)
+
+
 def lines_of(df: DataFrame, event: str) -> DataFrame:
     """Lines of one event type, before any JSON parsing.
 
