@@ -9,11 +9,14 @@ be joined with the task table, for one run or thousands.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import eventlog as ev
 
+#: Rows of a block of the as-of join.
+BLOCK_ROWS = 1_000_000
+
 
 def storage_description(disk: Column, mem: Column, off_heap: Column, deser: Column,
                         replicas: Column) -> Column:
@@ -90,6 +93,99 @@ def placement(lines: DataFrame, live_only: bool = False) -> DataFrame:
     return left.join(right, ["app", "_tl_rdd", "part_id"], "left").select(*cols)
 
 
+def last_as_of(updates: DataFrame, probes: DataFrame, keys: list[str], seq: str, state: list[str],
+               block: Column | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """As-of join: ``probes`` with the ``state`` columns of the last update of
+    their key that comes before them by ``seq`` (NULL if none does).
+
+    Updates and probes are one table, sorted by ``seq``, and the last state is
+    carried over the probes. A key is cut into blocks of ``seq`` (``block``, a
+    value that never falls along it; by default as many equal steps as give
+    ``block_rows`` rows), so a hot key is as many windows as it has blocks; the
+    last state of every block is carried over the few rows of the block table.
+    """
+    names = [c for c in probes.columns if c not in (*keys, seq)]
+    u = updates.select(*keys, seq, F.struct(*state).alias("_tl_s"),
+                       *[F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in names],
+                       F.lit(False).alias("_tl_probe"))
+    p = probes.select(*keys, seq, F.lit(None).cast(u.schema["_tl_s"].dataType).alias("_tl_s"), *names,
+                      F.lit(True).alias("_tl_probe"))
+    rows = u.unionByName(p)
+    if block is None:
+        n, least, most = rows.agg(F.count(F.lit(1)), F.min(seq), F.max(seq)).first()
+        step = max(float(most - least) * block_rows / n, 1.0) if n and most is not None else 1.0
+        block = F.floor((F.col(seq) - F.lit(least)).cast("double") / step)
+    rows = rows.withColumn("_tl_b", block)
+    # of equal places, probes come first: an update counts only for what follows it
+    w = Window.partitionBy(*keys, "_tl_b").orderBy(F.col(seq), F.col("_tl_probe").desc())
+    inside = F.last("_tl_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ends = u.withColumn("_tl_b", block).groupBy(*keys, "_tl_b").agg(F.max_by("_tl_s", seq).alias("_tl_s"))
+    # the state at a block's begin: the last of the blocks before it
+    order = Window.partitionBy(*keys).orderBy("_tl_b").rowsBetween(Window.unboundedPreceding, -1)
+    begins = (rows.where("_tl_probe").select(*keys, "_tl_b").distinct()
+              .join(ends, [*keys, "_tl_b"], "full")
+              .select(*keys, "_tl_b", F.last("_tl_s", ignorenulls=True).over(order).alias("_tl_before")))
+    out = rows.withColumn("_tl_s", inside).where("_tl_probe").join(begins, [*keys, "_tl_b"], "left")
+    found = F.coalesce("_tl_s", "_tl_before")
+    return out.select(*keys, seq, *names, *[found[c].alias(c) for c in state])
+
+
+def placement_as_of(lines: DataFrame, at: str = "task", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """P2 at run time: where a task's partition was stored when the task was
+    launched (``at="task"``: its TaskStart line) or when its stage was submitted
+    (``at="stage"``: what a driver sees that asks before the job runs), not where
+    it was at the end of the log. The columns of ``placement``.
+
+    Blocks that were dropped, moved to another executor, or belonged to an RDD
+    that was unpersisted before that line, are not there; later changes do not
+    count. One row for each executor that held the partition then, and one with
+    NULLs for a task whose partition nobody held. A task without the line in
+    question counts from its stage's."""
+    if at not in ("task", "stage"):
+        raise ValueError("at must be 'task' or 'stage'")
+    begun = ev.placed_events(lines)
+    tasks = (ev.task_end_events(lines, ["stage_id", "stage_attempt", "task_id", "partition_id", "executor_id"])
+             .withColumnRenamed("log", "app"))
+    st = (begun.where("kind = 'stage'").groupBy(F.col("log").alias("app"), "stage_id", F.col("attempt").alias("stage_attempt"))
+          .agg(F.min("seq").alias("_tl_stage"), F.first("rdds").alias("rdds")))
+    probes = tasks.join(st, ["app", "stage_id", "stage_attempt"], "left")
+    place = F.col("_tl_stage")
+    if at == "task":
+        own = begun.where("kind = 'task'").groupBy(F.col("log").alias("app"), "task_id", F.col("stage_id"),
+                                                  F.col("attempt").alias("stage_attempt")).agg(F.min("seq").alias("_tl_task"))
+        probes = probes.join(own, ["app", "stage_id", "stage_attempt", "task_id"], "left")
+        place = F.coalesce("_tl_task", "_tl_stage")
+    probes = probes.select("app", "stage_id", "task_id", F.col("partition_id").alias("part_id"),
+                           F.explode_outer("rdds").alias("rdd_id"), F.col("executor_id").alias("exec_executor"),
+                           place.alias("seq"))
+
+    def number(i):
+        return F.regexp_extract("block_id", r"^rdd_(\d+)_(\d+)$", i).cast("int")
+
+    updates = ev.block_update_events(lines).where(F.col("block_id").rlike(r"^rdd_\d+_\d+$")).select(
+        F.col("log").alias("app"), number(1).alias("rdd_id"), number(2).alias("part_id"),
+        F.col("exec_id").alias("storage_executor"), "seq", F.col("seq").alias("stored_at"), "memsize", "disksize",
+        (F.col("use_disk") | F.col("use_memory") | F.col("use_off_heap")).alias("held"))
+    key = ["app", "rdd_id", "part_id"]
+    # a probe asks every executor that ever reported its block
+    owners = updates.select(*key, "storage_executor").distinct()
+    asked = probes.where(F.col("rdd_id").isNotNull() & F.col("seq").isNotNull()).join(owners, key)
+    known = last_as_of(updates, asked, [*key, "storage_executor"], "seq",
+                       ["stored_at", "memsize", "disksize", "held"], block_rows=block_rows)
+    # a few lines for each RDD
+    gone = ev.unpersist_events(lines, seq=True).groupBy(F.col("log").alias("app"), "rdd_id").agg(
+        F.collect_set("seq").alias("gone"))
+    dropped = F.exists("gone", lambda g: (g > F.col("stored_at")) & (g < F.col("seq")))
+    held = (known.where("held").join(gone, ["app", "rdd_id"], "left")
+            .where(~F.coalesce(dropped, F.lit(False)))
+            .select("app", "task_id", "stage_id", "rdd_id", "part_id", "seq", "storage_executor", "memsize", "disksize"))
+    on = ["app", "stage_id", "task_id", "part_id", "rdd_id", "seq"]
+    salted = probes.withColumn("rdd_id", F.coalesce("rdd_id", -1 - F.pmod(F.col("task_id"), F.lit(1 << 20)).cast("int")))
+    out = salted.join(held, on, "left")
+    return out.select("app", "stage_id", "task_id", "part_id", F.when(F.col("rdd_id") >= 0, F.col("rdd_id")).alias("rdd_id"),
+                      "exec_executor", "storage_executor", "memsize", "disksize")
+
+
 def executor_partitions(locations: DataFrame, by: str = "exec_id", page_size: int = 4096) -> DataFrame:
     """A3: per (app, executor, rdd) the sorted partition ids it holds, in
     pages of ``page_size`` ids (``page`` = part_id div page_size), so that no

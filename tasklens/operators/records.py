@@ -31,11 +31,13 @@ def _stripped_hex(rec: Column) -> Column:
 
 
 def record_order_key(rec: Column, signed: bool = False) -> Column:
-    """A sortable key equal to the record order."""
+    """A sortable key equal to the record order. Unsigned: the length without
+    leading zero bytes (4 bytes), then these bytes, as one BINARY that sorts by
+    its first eight bytes before anything else is looked at."""
     if signed:
         return rng.bytes_array(rec)
-    h = _stripped_hex(rec)
-    return F.struct(F.length(h).alias("len"), h.alias("hex"))
+    stripped = F.ltrim(rec.cast("string"), F.lit("\0")).cast("binary")
+    return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(stripped)), 8, "0")), stripped)
 
 
 def record_lt(a: Column, b: Column, signed: bool = False) -> Column:
@@ -116,22 +118,9 @@ def sort_records(df: DataFrame, key: str, rec: str, tie: list[str] | None = None
     """O1: stable sort of each key's records; adds 1-based ``pos`` (BIGINT).
 
     Ties under the record order keep the order of ``tie`` columns. Frequent
-    keys are cut into ranges of the records (``plans.ranking.rank_within``).
+    keys are cut into ranges of whole records (``plans.ranking.rank_within``).
     """
     okey = "_tl_okey"
     with_key = df.withColumn(okey, record_order_key(F.col(rec), signed))
     more = {"split_rows": split_rows} if split_rows is not None else {}
-    out = rank_within(with_key, [key], [okey, *(tie or [])], out="pos",
-                      split=_split_value(F.col(rec), signed), **more)
-    return out.drop(okey)
-
-
-def _split_value(rec: Column, signed: bool) -> Column:
-    """A number that never falls along the record order: length and leading
-    bytes (unsigned), or the leading bytes shifted to 0..255 (signed)."""
-    if signed:
-        b = [F.coalesce(rng.byte_at(rec, F.lit(i)) + 129, F.lit(0)) for i in range(5)]
-        return sum((x * F.lit(float(257 ** (4 - i))) for i, x in enumerate(b)), F.lit(0.0))
-    h = _stripped_hex(rec)
-    lead = F.conv(F.rpad(F.substring(h, 1, 10), 10, "0"), 16, 10).cast("double")
-    return F.length(h).cast("double") * F.lit(float(1 << 41)) + lead
+    return rank_within(with_key, [key], [okey, *(tie or [])], out="pos", **more).drop(okey)

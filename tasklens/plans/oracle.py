@@ -518,6 +518,43 @@ SELECT app, exec_executor, count(*) AS n_rows, count(DISTINCT task_id) AS n_task
 FROM placed GROUP BY app, exec_executor
 """)
 
+_MOVED_SAME = """l_returnflag AS app, l_linenumber AS rdd_id,
+         CAST(l_orderkey % 1024 AS INTEGER) AS part_id"""
+_P2T = f"""
+WITH li AS (SELECT *, {_ROW_ID} AS row, l_discount < 0.05 AS m, l_linestatus = 'F' AS d FROM lineitem),
+u AS (
+  SELECT {_MOVED_SAME}, CAST(l_suppkey % 8 AS VARCHAR) AS ex, row * 8 AS seq,
+         CASE WHEN m THEN l_partkey * 10 ELSE 0 END AS memsize, CASE WHEN d THEN l_partkey * 3 ELSE 0 END AS disksize,
+         m OR d AS held FROM li
+  UNION ALL SELECT {_MOVED_SAME}, CAST(l_suppkey % 8 AS VARCHAR), row * 8 + 1, 0, 0, false FROM li WHERE l_partkey % 3 = 1
+  UNION ALL SELECT {_MOVED_SAME}, CAST(l_suppkey % 8 AS VARCHAR), row * 8 + 3, 0, 0, false FROM li WHERE l_partkey % 3 = 0
+  UNION ALL SELECT {_MOVED_SAME}, CAST((l_suppkey + 1) % 8 AS VARCHAR), row * 8 + 4, l_partkey, 0, true
+  FROM li WHERE l_partkey % 3 = 0),
+t AS (
+  SELECT {_MOVED_SAME}, CAST(l_linenumber AS BIGINT) AS stage_id, row AS task_id,
+         CAST(l_partkey % 8 AS VARCHAR) AS exec_executor, row * 8 + 2 AS seq FROM li),
+own AS (SELECT DISTINCT app, rdd_id, part_id, ex FROM u),
+asked AS (SELECT t.*, own.ex FROM t JOIN own USING (app, rdd_id, part_id)),
+known AS (
+  SELECT a.*, u.seq AS stored_at, u.memsize, u.disksize, u.held FROM asked a ASOF JOIN u
+  ON a.app = u.app AND a.rdd_id = u.rdd_id AND a.part_id = u.part_id AND a.ex = u.ex AND a.seq > u.seq),
+held AS (
+  SELECT * FROM known
+  WHERE held AND NOT (rdd_id = 7 AND stored_at < 18014398509481991 AND seq > 18014398509481991)),
+placed AS (
+  SELECT t.app, t.stage_id, t.task_id, t.part_id, t.rdd_id, t.exec_executor, held.ex AS storage_executor,
+         held.memsize, held.disksize
+  FROM t LEFT JOIN held ON held.app = t.app AND held.stage_id = t.stage_id AND held.task_id = t.task_id)
+"""
+oracle("P2t_placement_as_of", _P2T + "SELECT * FROM placed")
+
+oracle("A4t_report_by_executor_as_of", _P2T + """
+SELECT app, exec_executor, count(*) AS n_rows, count(DISTINCT task_id) AS n_tasks,
+       sum(CASE WHEN exec_executor = storage_executor THEN 1 ELSE 0 END) AS n_local,
+       sum(memsize) AS mem_bytes, sum(disksize) AS disk_bytes
+FROM placed GROUP BY app, exec_executor
+""")
+
 oracle("P3_partition_profile", """
 SELECT CAST(((s_suppkey - 1) % 16 + 16) % 16 AS INTEGER) AS part, count(*) AS rows, CAST(40 * count(*) AS BIGINT) AS bytes,
        min(s_suppkey) AS min_key, max(s_suppkey) AS max_key

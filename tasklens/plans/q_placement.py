@@ -12,7 +12,7 @@ from ..operators import placement as P
 from ..operators import workloads as W
 from ..sources import generators as G
 from ..session import spread
-from ..sources.tablelog import ROW_KEY, lineitem_placement_log
+from ..sources.tablelog import ROW_KEY, lineitem_moving_blocks_log, lineitem_placement_log
 from .registry import register, tables
 
 SEED = 42
@@ -176,3 +176,21 @@ def p2h(spark, sf_dir):
     out = W.apply_workload_by(payloads, "exec_executor", by_executor,
                               lambda c: F.length(c).cast("bigint"))
     return out.select("app", "task_id", "part_id", "exec_executor", "storage_executor", "result")
+
+
+def moving_lines(spark, sf_dir):
+    (li,) = tables(spark, sf_dir, "lineitem")
+    return lineitem_moving_blocks_log(spread(li, ROW_KEY))
+
+
+@register("P2t_placement_as_of")
+def p2t(spark, sf_dir):
+    """P2 at run time: where each task's partition was stored when the task was
+    launched (as-of join), with blocks that are dropped and moved."""
+    return P.placement_as_of(moving_lines(spark, sf_dir), at="task")
+
+
+@register("A4t_report_by_executor_as_of")
+def a4t(spark, sf_dir):
+    """A4 over the placement at run time."""
+    return P.report_by_executor(P.placement_as_of(moving_lines(spark, sf_dir), at="task"))

@@ -1,11 +1,11 @@
 """Row numbers without a single-task window.
 
 ``Window.orderBy(...)`` with no partition puts every row in one task, and
-``Window.partitionBy(key)`` puts a hot key in one task. ``rank_within`` cuts
-the rows of frequent keys into ranges of the ordering, ranks inside each
-range and adds the sizes of the ranges before it; ``global_row_number``
-range-partitions all rows and adds the sizes of the partitions before.
-Each has one plan for every size of data.
+``Window.partitionBy(key)`` puts a hot key in one task. ``rank_within`` deals
+the rows of frequent keys to ranges by a sample sort, whose splitters are whole
+keys and order columns, ranks inside each range and adds the sizes of the ranges
+before it; ``global_row_number`` does so with all rows. Each has one plan for
+every size of data.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, written
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = (partition << 33) + index
 
@@ -55,10 +55,9 @@ def global_row_number(df: DataFrame, order: list[str | Column], out: str = "rn",
             .drop("_tl_mid", "_tl_pid", "_tl_loc", "_tl_off"))
 
 
-#: Rows of a key from which on its ranks are computed range by range.
+#: Rows of a key from which on its ranks are computed range by range, and rows
+#: of such a range.
 SPLIT_ROWS = 100_000
-#: Ranges of such a key.
-SPLITS = 64
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -66,38 +65,36 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
     names = {k: f"_tl_r_{k}" for k in keys}
     right = right.withColumnsRenamed(names)
     cond = [F.col(f"`{k}`").eqNullSafe(F.col(f"`{r}`")) for k, r in names.items()]
+    if how in ("left_semi", "left_anti"):
+        return left.join(right, cond, how)
     return left.join(right, cond, how).drop(*names.values())
 
 
 def rank_within(df: DataFrame, keys: list[str], order: list[str | Column],
-                out: str = "pos", split: str | Column | None = None,
-                split_rows: int = SPLIT_ROWS, splits: int = SPLITS) -> DataFrame:
+                out: str = "pos", split_rows: int = SPLIT_ROWS, splits: int = 1) -> DataFrame:
     """``row_number() OVER (PARTITION BY keys ORDER BY order)`` (1-based, BIGINT).
 
-    ``split`` is a number that never falls along ``order`` (default: the
-    first order column). The rows of keys with more than ``split_rows`` rows
-    are cut at approximate quantiles of it into at most ``splits`` + 1
-    ranges; a range is one window partition, and the sizes of the ranges
-    before it (at most ``splits`` rows of a key) are added. Rows with equal
-    ``split`` stay in one range.
+    The rows of keys with over ``split_rows`` rows are written once and dealt to
+    ranges of about ``split_rows`` rows (0: every key is dealt out; at least
+    ``splits`` ranges) by
+    ``repartitionByRange`` on the keys and all of the order: its splitters are
+    sampled whole keys, so records that share a long prefix are split where they
+    differ, and the number of ranges follows the rows. The ranges are written as
+    well, so that sizes and ranks come from one sampling. A key has at most one
+    row for each of its ranges in the table of sizes. Only rows that are equal in
+    all of the order stay together. All other rows are one window by key.
     """
-    first = order[0] if split is None else split
-    value = (F.col(first) if isinstance(first, str) else first).cast("double")
-    rows = df.withColumn("_tl_at", value)
-    hot = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tl_n"))
-           .where(F.col("_tl_n") > int(split_rows)).drop("_tl_n"))
-    shares = F.array(*[F.lit(i / splits) for i in range(1, splits)])
-    cuts = (same_keys(rows.select(*keys, "_tl_at"), hot, keys, "inner").groupBy(*keys)
-            .agg(F.array_distinct(F.percentile_approx("_tl_at", shares, 1000)).alias("_tl_cuts")))
-    part = F.coalesce(F.size(F.filter("_tl_cuts", lambda c: c < F.col("_tl_at"))), F.lit(0))
-    cut = same_keys(rows, cuts, keys).withColumn(
-        "_tl_part", F.when(F.col("_tl_cuts").isNull(), 0).otherwise(part))
-    sizes = (cut.where(F.col("_tl_cuts").isNotNull()).groupBy(*keys, "_tl_part")
-             .agg(F.count(F.lit(1)).alias("_tl_n")))
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tl_n")).where(F.col("_tl_n") > int(split_rows))
+    heavy = written(same_keys(df, hot.drop("_tl_n"), keys, "left_semi"))
+    size = int(split_rows) or SPLIT_ROWS
+    parts = max(int(splits), -(-heavy.count() // size), 1)
+    ranged = written(heavy.repartitionByRange(parts, *keys, *order)
+                     .withColumn("_tl_part", F.spark_partition_id()))
+    sizes = ranged.groupBy(*keys, "_tl_part").agg(F.count(F.lit(1)).alias("_tl_n"))
     before = Window.partitionBy(*keys).orderBy("_tl_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_tl_part", F.sum("_tl_n").over(before).alias("_tl_off"))
-    local = cut.drop("_tl_cuts").withColumn(
-        out, F.row_number().over(Window.partitionBy(*keys, "_tl_part").orderBy(*order)).cast("bigint"))
-    return (same_keys(local, offsets, [*keys, "_tl_part"])
-            .withColumn(out, F.col(out) + F.coalesce(F.col("_tl_off"), F.lit(0)))
-            .drop("_tl_at", "_tl_part", "_tl_off"))
+    offsets = sizes.select(*keys, "_tl_part", F.coalesce(F.sum("_tl_n").over(before), F.lit(0)).alias("_tl_off"))
+    local = ranged.withColumn(out, F.row_number().over(Window.partitionBy(*keys, "_tl_part").orderBy(*order)))
+    in_ranges = same_keys(local, offsets, [*keys, "_tl_part"]).withColumn(out, F.col(out) + F.col("_tl_off"))
+    rest = same_keys(df, heavy.select(*keys).distinct(), keys, "left_anti").withColumn(
+        out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    return rest.unionByName(in_ranges.drop("_tl_part", "_tl_off"))

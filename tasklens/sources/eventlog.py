@@ -56,6 +56,8 @@ BLOCK_UPDATED = _struct(("Event", S), ("Block Updated Info", _struct(
 
 UNPERSIST = _struct(("Event", S), ("RDD ID", I))
 
+TASK_START = _struct(("Event", S), ("Stage ID", L), ("Stage Attempt ID", I), ("Task Info", _struct(("Task ID", L))))
+
 APP_START = _struct(("Event", S), ("App Name", S), ("App ID", S), ("Timestamp", L))
 
 
@@ -105,8 +107,7 @@ def read_event_log(spark: SparkSession, paths: str | list[str],
     if reader == "source":
         logsource.register_source(spark)
         df = (spark.read.format("event_log").option("paths", json.dumps(paths))
-              .option("rolled", str(bool(rolled)).lower())
-              .option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).load())
+              .option("rolled", str(bool(rolled)).lower()).load())
         return df.select("log", "value", "event", _line_seq(F.col("file_number"), F.col("offset"), F.lit(0)).alias("seq"))
     if include_in_progress:
         files = [f for f in _list_files(spark, paths)
@@ -346,6 +347,28 @@ def stage_events(lines: DataFrame, completed: bool = False, rdd_info: bool = Fal
     return e.select("log", *cols)
 
 
+def placed_events(lines: DataFrame) -> DataFrame:
+    """``(log, seq, kind, stage_id, attempt, task_id, rdds)`` of the lines that
+    begin something: kind ``stage`` (a StageSubmitted line, with its persisted
+    RDDs) or ``task`` (a TaskStart line). The lines must carry ``seq``."""
+    if "seq" not in lines.columns:
+        raise ValueError("the order of the lines is needed: a column seq")
+    st = parsed_once(lines_of(lines, "SparkListenerStageSubmitted"), ["log", "seq"], STAGE_EVENT)
+    level = lambda r: r["Storage Level"]
+    kept = F.filter("e.`Stage Info`.`RDD Info`", lambda r: F.coalesce(level(r)["Use Disk"], F.lit(False))
+                    | F.coalesce(level(r)["Use Memory"], F.lit(False)))
+    stages = st.where(F.col("e.Event") == "SparkListenerStageSubmitted").select(
+        "log", "seq", F.lit("stage").alias("kind"), F.col("e.`Stage Info`.`Stage ID`").alias("stage_id"),
+        F.col("e.`Stage Info`.`Stage Attempt ID`").alias("attempt"), F.lit(None).cast(L).alias("task_id"),
+        F.transform(kept, lambda r: r["RDD ID"]).alias("rdds"))
+    ts = parsed_once(lines_of(lines, "SparkListenerTaskStart"), ["log", "seq"], TASK_START)
+    tasks = ts.where(F.col("e.Event") == "SparkListenerTaskStart").select(
+        "log", "seq", F.lit("task").alias("kind"), F.col("e.`Stage ID`").alias("stage_id"),
+        F.col("e.`Stage Attempt ID`").alias("attempt"), F.col("e.`Task Info`.`Task ID`").alias("task_id"),
+        F.lit(None).cast("array<int>").alias("rdds"))
+    return stages.unionByName(tasks)
+
+
 #: TaskEnd columns: output name -> (JSON path, type).
 TASK_FIELDS: dict[str, tuple[tuple[str, ...], T.DataType]] = {
     "task_id": (("Task Info", "Task ID"), L),
@@ -444,9 +467,12 @@ def block_update_events(lines: DataFrame) -> DataFrame:
     )
 
 
-def unpersist_events(lines: DataFrame) -> DataFrame:
-    e = _parse(lines, "SparkListenerUnpersistRDD", UNPERSIST)
-    return e.select("log", F.col("e.`RDD ID`").alias("rdd_id"))
+def unpersist_events(lines: DataFrame, seq: bool = False) -> DataFrame:
+    """Unpersisted RDDs; with ``seq`` also the place of the line."""
+    more = ["seq"] if seq else []
+    parsed = parsed_once(lines_of(lines, "SparkListenerUnpersistRDD"), ["log", *more], UNPERSIST)
+    e = parsed.where(F.col("e.Event") == "SparkListenerUnpersistRDD")
+    return e.select("log", F.col("e.`RDD ID`").alias("rdd_id"), *more)
 
 
 def app_start_events(lines: DataFrame) -> DataFrame:

@@ -275,3 +275,68 @@ def lineitem_placement_log(lineitem: DataFrame) -> DataFrame:
                          F.lit("SparkListenerUnpersistRDD").alias("event"),
                          F.lit(None).cast("bigint").alias("seq")))
     return blocks.unionByName(tasks).unionByName(stages).unionByName(unpersist)
+
+
+#: Partitions of a cached RDD in the log of moving blocks, and places of a row.
+MOVING_PARTS, PLACES = 1024, 8
+
+
+def lineitem_moving_blocks_log(lineitem: DataFrame) -> DataFrame:
+    """Lines ``(log, value, event, seq)`` of blocks that are stored, dropped and
+    moved while tasks run, from ``lineitem``.
+
+    Applications, stages and cached RDDs are those of ``lineitem_placement_log``;
+    the partition is ``l_orderkey`` modulo ``MOVING_PARTS``, so that a block has a
+    history. A row has ``PLACES`` places in the log, from ``PLACES`` * ``row_id``
+    on; by ``l_partkey`` % 3:
+      0  stored on executor ``l_suppkey % 8`` (levels and sizes as there);
+      1  remainder 1: dropped there again;
+      2  the task starts on executor ``l_partkey % 8``;
+      3  remainder 0: dropped, and at
+      4  stored on executor ``(l_suppkey + 1) % 8`` (in memory, ``l_partkey`` bytes);
+      5  the task ends.
+    Stages are submitted at place -1. RDD 7 is unpersisted half-way, at place
+    ``PLACES`` * 2^51 + 7.
+    """
+    c = F.col
+    li = lineitem.select(*LINEITEM_ORDER).withColumn("row", row_id())
+    part = F.pmod(c("l_orderkey"), F.lit(MOVING_PARTS)).cast("int")
+    kind = F.pmod(c("l_partkey"), F.lit(3))
+    use_mem, use_disk = c("l_discount") < 0.05, c("l_linestatus") == "F"
+
+    def update(executor: Column, mem: Column, disk: Column, memsize: Column, disksize: Column) -> Column:
+        level = F.struct(disk.alias("Use Disk"), mem.alias("Use Memory"), F.lit(False).alias("Use Off Heap"),
+                         F.lit(False).alias("Deserialized"), F.lit(1).alias("Replication"))
+        manager = F.struct((executor % 8).cast("string").alias("Executor ID"), F.lit("host").alias("Host"),
+                           F.lit(7077).alias("Port"))
+        name = F.concat(F.lit("rdd_"), c("l_linenumber").cast("string"), F.lit("_"), part.cast("string"))
+        info = F.struct(manager.alias("Block Manager ID"), name.alias("Block ID"), level.alias("Storage Level"),
+                        memsize.alias("Memory Size"), disksize.alias("Disk Size"))
+        return F.struct(F.lit("SparkListenerBlockUpdated").alias("Event"), info.alias("Block Updated Info"))
+
+    def at(rows: DataFrame, place: int, event: str, value: Column) -> DataFrame:
+        return rows.select(c("l_returnflag").alias("log"), F.to_json(value).alias("value"),
+                           F.lit(event).alias("event"), (c("row") * PLACES + place).alias("seq"))
+
+    none, zero, yes = F.lit(False), F.lit(0).cast("bigint"), F.lit(True)
+    stored = update(c("l_suppkey"), use_mem, use_disk, F.when(use_mem, c("l_partkey") * 10).otherwise(zero),
+                    F.when(use_disk, c("l_partkey") * 3).otherwise(zero))
+    dropped = update(c("l_suppkey"), none, none, zero, zero)
+    moved = update(c("l_suppkey") + 1, yes, none, c("l_partkey"), zero)
+    stage = [c("l_linenumber").cast("bigint").alias("Stage ID"), F.lit(0).alias("Stage Attempt ID")]
+    start = F.struct(F.lit("SparkListenerTaskStart").alias("Event"), *stage,
+                     F.struct(c("row").alias("Task ID")).alias("Task Info"))
+    end = F.struct(F.lit("SparkListenerTaskEnd").alias("Event"), *stage,
+                   F.struct(c("row").alias("Task ID"), part.alias("Partition ID"),
+                            (c("l_partkey") % 8).cast("string").alias("Executor ID")).alias("Task Info"))
+    block = "SparkListenerBlockUpdated"
+    rows = [at(li, 0, block, stored), at(li.where(kind == 1), 1, block, dropped),
+            at(li, 2, "SparkListenerTaskStart", start), at(li.where(kind == 0), 3, block, dropped),
+            at(li.where(kind == 0), 4, block, moved), at(li, 5, "SparkListenerTaskEnd", end)]
+    fixed = lineitem_placement_log(lineitem).where(F.col("event").isin(
+        "SparkListenerStageSubmitted", "SparkListenerUnpersistRDD"))
+    place = F.when(c("event") == "SparkListenerUnpersistRDD", F.lit(PLACES * (1 << 51) + 7)).otherwise(F.lit(-1))
+    out = fixed.withColumn("seq", place.cast("bigint"))
+    for r in rows:
+        out = out.unionByName(r)
+    return out

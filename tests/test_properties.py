@@ -249,3 +249,22 @@ def test_ranking_edge_cases(spark):
     assert sorted(x.rn for x in g.collect()) == list(range(1, len(rows) + 1))
     empty = global_row_number(df.where("k < 0"), ["k", "v"], "rn")
     assert empty.count() == 0
+
+
+def test_hot_key_of_one_long_prefix_is_split(spark):
+    """Records of one key that share 8 leading bytes, and others: ranges are cut
+    at whole records and follow the key's rows."""
+    n, prefix = 4000, b"\x07" * 8
+    rows = [(None if i % 40 == 0 else 1, prefix + (i * 7919 % n).to_bytes(3, "big"), i) for i in range(n)]
+    rows += [(2, b"", -1), (2, b"\x00\x00", -2), (2, b"\x00\x05", -3), (2, b"\x05", -4), (2, b"\xff", -5), (2, b"\x01\x00", -6)]
+    df = spark.createDataFrame(rows, "k int, rec binary, i int").repartition(6)
+    out = R.sort_records(df, "k", "rec", tie=["i"], split_rows=100)
+    got = {(r.k, r.i): r.pos for r in out.collect()}
+    want = {}
+    for k in (None, 1, 2):
+        own = sorted((int.from_bytes(rec, "big"), i) for kk, rec, i in rows if kk == k)
+        want |= {(k, i): pos for pos, (_, i) in enumerate(own, 1)}
+    assert got == want
+    ranged = (df.where("k = 1").withColumn("o", R.record_order_key(F.col("rec")))
+              .repartitionByRange(39, "k", "o", "i").groupBy(F.spark_partition_id()).count())
+    assert ranged.count() > 30 and ranged.agg(F.max("count")).first()[0] < 300
