@@ -440,6 +440,16 @@ SELECT user_id, event_id, arrival, service, departure,
 """
 oracle("Q2_fifo_departures", _Q2)
 oracle("Q2w_fifo_departures_window", _Q2)
+oracle("Q2b_fifo_departures_blocked", _Q2)
+oracle("Q2r_fifo_departures_ranges", """
+WITH e AS (SELECT 'all' AS queue, event_id, epoch_us(ts) AS arrival,
+                  CAST(floor(value * 1000) AS BIGINT) AS service FROM events),
+s AS (SELECT *, sum(service) OVER (ORDER BY arrival, event_id ROWS UNBOUNDED PRECEDING) AS ss FROM e),
+d AS (SELECT *, CAST(ss + max(arrival - ss + service) OVER (ORDER BY arrival, event_id ROWS UNBOUNDED PRECEDING)
+                AS BIGINT) AS departure FROM s)
+SELECT queue, event_id, arrival, service, departure, departure - service - arrival AS waiting,
+       departure - arrival AS sojourn FROM d
+""")
 
 _Q_TASKS = f"""
 t AS (SELECT user_id, event_id, epoch_us(ts) AS arrival, task,

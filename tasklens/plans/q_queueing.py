@@ -5,7 +5,7 @@ order, arrival = epoch microseconds of ``ts``, service =
 round(value * 300 * 1e6) microseconds (the factor makes about 39% of
 jobs wait). Fork-join / barrier jobs have 3 tasks with service
 round(value * 1e6 * (100 + 200 * U(42, 't', event_id, task))).
-Blocks are the default hours of the arrival times.
+Queues with many jobs are cut into ranges of the arrival times.
 """
 
 from __future__ import annotations
@@ -42,8 +42,7 @@ def q1(spark, sf_dir):
     (events,) = tables(spark, sf_dir, "events")
     ia = F.round(-F.ln(rng.uniform(SEED, "ia", F.col("event_id"))) * F.lit(60000000.0)).cast("bigint")
     df = events.select("user_id", "event_id", "ts", ia.alias("interarrival"))
-    out = Q.arrival_schedule(df, ["user_id"], ["ts", "event_id"], "interarrival",
-                             block=F.floor(epoch_us(F.col("ts")) / F.lit(Q.BLOCK_SPAN)))
+    out = Q.arrival_schedule(df, ["user_id"], ["ts", "event_id"], "interarrival")
     return out.select("user_id", "event_id", "interarrival", "arrival")
 
 
@@ -54,10 +53,24 @@ def _q2(spark, sf_dir, method):
 
 @register("Q2_fifo_departures")
 def q2(spark, sf_dir):
-    """Q2: FIFO departure, waiting and sojourn times per user queue (max-plus scan in hourly blocks)."""
+    """Q2: FIFO departure, waiting and sojourn times per user queue (max-plus scan, large queues in ranges)."""
+    return _q2(spark, sf_dir, "split")
+
+
+@register("Q2b_fifo_departures_blocked")
+def q2b(spark, sf_dir):
+    """Q2: the scan in hourly blocks of every queue."""
     return _q2(spark, sf_dir, "blocked")
 
 
+@register("Q2r_fifo_departures_ranges")
+def q2r(spark, sf_dir):
+    """Q2: one queue of all events, cut into ranges of 1000 jobs: a tree scan."""
+    j = queue_jobs(spark, sf_dir).select(F.lit("all").alias("queue"), "event_id", "arrival",
+                                         F.floor(F.col("value") * 1000).cast("bigint").alias("service"))
+    return Q.fifo_departures(j, ["queue"], ORDER, split_rows=1000)
+
+
 @register("Q2w_fifo_departures_window")
 def q2w(spark, sf_dir):
     """Q2: the same with one window per queue."""

@@ -70,31 +70,43 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
     return left.join(right, cond, how).drop(*names.values())
 
 
-def rank_within(df: DataFrame, keys: list[str], order: list[str | Column],
-                out: str = "pos", split_rows: int = SPLIT_ROWS, splits: int = 1) -> DataFrame:
-    """``row_number() OVER (PARTITION BY keys ORDER BY order)`` (1-based, BIGINT).
+def ranges_within(df: DataFrame, keys: list[str], order: list[str | Column], split_rows: int = SPLIT_ROWS,
+                  splits: int = 1, part: str = "_tl_part") -> tuple[DataFrame, DataFrame]:
+    """(rows of ordinary keys, rows of frequent keys with the range ``part``).
 
     The rows of keys with over ``split_rows`` rows are written once and dealt to
     ranges of about ``split_rows`` rows (0: every key is dealt out; at least
-    ``splits`` ranges) by
-    ``repartitionByRange`` on the keys and all of the order: its splitters are
-    sampled whole keys, so records that share a long prefix are split where they
-    differ, and the number of ranges follows the rows. The ranges are written as
-    well, so that sizes and ranks come from one sampling. A key has at most one
-    row for each of its ranges in the table of sizes. Only rows that are equal in
-    all of the order stay together. All other rows are one window by key.
+    ``splits`` ranges) by ``repartitionByRange`` on the keys and all of the order:
+    its splitters are sampled whole keys, so records that share a long prefix, or
+    jobs of one hour, are split where they differ, and the number of ranges
+    follows the rows. The ranges are written as well, so that all that is computed
+    of them comes from one sampling. Only rows that are equal in all of the
+    order stay together.
     """
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tl_n")).where(F.col("_tl_n") > int(split_rows))
     heavy = written(same_keys(df, hot.drop("_tl_n"), keys, "left_semi"))
     size = int(split_rows) or SPLIT_ROWS
-    parts = max(int(splits), -(-heavy.count() // size), 1)
-    ranged = written(heavy.repartitionByRange(parts, *keys, *order)
-                     .withColumn("_tl_part", F.spark_partition_id()))
+    rows = heavy.count()
+    rest = same_keys(df, heavy.select(*keys).distinct(), keys, "left_anti")
+    if not rows:                                       # nothing to deal out
+        return rest, heavy.withColumn(part, F.lit(0))
+    parts = max(int(splits), -(-rows // size), 1)
+    return rest, written(heavy.repartitionByRange(parts, *keys, *order).withColumn(part, F.spark_partition_id()))
+
+
+def rank_within(df: DataFrame, keys: list[str], order: list[str | Column],
+                out: str = "pos", split_rows: int = SPLIT_ROWS, splits: int = 1) -> DataFrame:
+    """``row_number() OVER (PARTITION BY keys ORDER BY order)`` (1-based, BIGINT).
+
+    Ordinary keys are one window each; the rows of frequent ones are ranked in
+    the ranges of ``ranges_within``, and the sizes of the ranges before are added (a
+    key has at most one row for each of its ranges in the table of sizes).
+    """
+    rest, ranged = ranges_within(df, keys, order, split_rows, splits)
     sizes = ranged.groupBy(*keys, "_tl_part").agg(F.count(F.lit(1)).alias("_tl_n"))
     before = Window.partitionBy(*keys).orderBy("_tl_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_tl_part", F.coalesce(F.sum("_tl_n").over(before), F.lit(0)).alias("_tl_off"))
     local = ranged.withColumn(out, F.row_number().over(Window.partitionBy(*keys, "_tl_part").orderBy(*order)))
     in_ranges = same_keys(local, offsets, [*keys, "_tl_part"]).withColumn(out, F.col(out) + F.col("_tl_off"))
-    rest = same_keys(df, heavy.select(*keys).distinct(), keys, "left_anti").withColumn(
-        out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    rest = rest.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     return rest.unionByName(in_ranges.drop("_tl_part", "_tl_off"))

@@ -268,3 +268,28 @@ def test_hot_key_of_one_long_prefix_is_split(spark):
     ranged = (df.where("k = 1").withColumn("o", R.record_order_key(F.col("rec")))
               .repartitionByRange(39, "k", "o", "i").groupBy(F.spark_partition_id()).count())
     assert ranged.count() > 30 and ranged.agg(F.max("count")).first()[0] < 300
+
+
+def test_queue_of_one_hour_is_cut_into_equal_ranges(spark, monkeypatch):
+    """All jobs of a queue arrive in one hour, many of them at one moment: the
+    ranges hold about equally many jobs, and the tree scan equals the loop."""
+    from tasklens.plans.ranking import ranges_within
+    monkeypatch.setattr(Q, "FAN", 3)
+    r = np.random.default_rng(8)
+    rows = [("hot", int(a), i, int(s)) for i, (a, s) in enumerate(zip(r.integers(0, 900, 3000), r.integers(0, 3, 3000)))]
+    rows += [(None, int(a), 5000 + i, 7) for i, a in enumerate(r.integers(0, 4000, 700))] + [("small", 5, 9000, 2), ("small", 6, 9001, 9)]
+    df = spark.createDataFrame(rows, "q string, arrival long, j long, service long").repartition(5)
+    got = {x.j: x.departure for x in Q.fifo_departures(df, ["q"], ["arrival", "j"], split_rows=100).collect()}
+    waits = {x.j: x.at for x in Q.arrival_schedule(df, ["q"], ["arrival", "j"], "service", out="at", split_rows=100).collect()}
+    want, sums = {}, {}
+    for q in ("hot", None, "small"):
+        free, total = -10**9, 0
+        for _, a, j, s in sorted((x for x in rows if x[0] == q), key=lambda x: x[1:3]):
+            free = max(a, free) + s
+            want[j], sums[j] = free, total
+            total += s
+    assert got == want and waits == sums
+    rest, ranged = ranges_within(df, ["q"], ["arrival", "j"], split_rows=100)
+    assert rest.count() == 2
+    sizes = [x["count"] for x in ranged.groupBy("q", "_tl_part").count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 300
