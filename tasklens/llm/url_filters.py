@@ -7,13 +7,17 @@ sets of aliases, and a component that holds an explicitly allowed page is
 allowed, else one that holds an explicitly blocked page is blocked. Everything
 else is allowed.
 
-All canonical and refresh tags of a page count. Attribute values run to their
-closing quote, character references in them are decoded, and a refresh target
-runs to the end of its content attribute (or to its own closing quote).
+All canonical and refresh tags of a page count, of any length and with ``>`` in
+quoted values; tags in comments, scripts and styles do not, and ``rel`` and
+``http-equiv`` are the attributes of just these names (the first, if repeated).
+Attribute values run to their closing quote, character references in them are
+decoded, and a refresh target runs to the end of its content attribute (or to its
+own closing quote). Tags are read by an Arrow function on pages that mention one.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, fits
 no rule and has no aliases; null or empty html has no links; repeated pages
-are judged one by one; an empty table gives an empty result; further columns
+are judged one by one; very long html is read whole; equally long rules: allow
+first, then by text; an empty table gives an empty result; further columns
 are not read, so clashing names do not matter.
 """
 
@@ -26,18 +30,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tasklens.llm.common import ascii_lower, connected_components
+from tasklens.llm.common import LOWER, UPPER, ascii_lower, connected_components
 
 Rule = tuple[str, str, str]     # host, path, verdict
 
-LINK_TAG = r"(?is)<link\b[^>]{0,2000}?\brel\s*=\s*[\"']?canonical\b[^>]*>"
-META_TAG = r"(?is)<meta\b[^>]{0,2000}?\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-HREF = r"(?is)\bhref\s*=\s*(?:\"\s*([^\"]*?)\s*\"|'\s*([^']*?)\s*'|([^\s\"'>]+))"
+#: Comments and the texts of scripts and styles, which hold no tags, or a link or
+#: meta tag with its attributes; ``>`` in a quoted value does not end a tag.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:script|style)\b.*?</(?:script|style)\s*>
+                 |<(link|meta)(?=[\s/>])((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.I | re.S | re.X)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NODE = r"(?s)^(?>.*?://)([^/?#]+)/?([^#]*)"
-CONTENT = r"(?is)\bcontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))"
-REFRESH_URL = r"(?is)\burl\s*=\s*(?:\"\s*([^\"]*?)\s*(?:\"|$)|'\s*([^']*?)\s*(?:'|$)|([^\s\"'].*?)\s*$)"
-#: A refresh target outside of a content attribute.
-LOOSE_URL = r"(?is)\burl\s*=\s*[\"']?\s*([^\"'>\s]+)"
+NODE_OF = re.compile(NODE)
+REFRESH_URL = re.compile(r"""\burl\s*=\s*(?:"\s*([^"]*?)\s*(?:"|\Z)|'\s*([^']*?)\s*(?:'|\Z)|([^\s"'].*?)\s*\Z)""", re.I | re.S)
+SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
+FOLDER = re.compile(r"([^:/?#]*)(://[^/?#]*)?(/[^?#]*/)?", re.S)
 REFERENCE = re.compile(r"&(?:#(?:[0-9]+|[xX][0-9a-fA-F]+);?|([A-Za-z][A-Za-z0-9]*)(;?)(=?))")
 
 
@@ -73,13 +79,28 @@ def url_node(url: Column) -> Column:
                     F.lit("/"))
 
 
-def resolved(target: Column, scheme: Column, root: Column, folder: Column) -> Column:
-    """The absolute form of a link target found on a page with these parts."""
-    return (F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
-            .when(target.rlike(r"^(?:$|#|[A-Za-z][A-Za-z0-9+.-]*:)"), F.lit(None).cast("string"))
-            .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-            .when(target.startswith("/"), F.concat(root, target))
-            .otherwise(F.concat(folder, target)))
+def node_of(url: str) -> str | None:
+    """``url_node`` of one URL."""
+    m = NODE_OF.match(url)
+    return m and m[1].translate(TO_LOWER) + "/" + m[2]
+
+
+TO_LOWER = {ord(a): ord(b) for a, b in zip(UPPER, LOWER, strict=True)}
+
+
+def resolved(target: str, url: str) -> str | None:
+    """The absolute form of a link target found on the page ``url``."""
+    scheme, root, folder = FOLDER.match(url).groups(default="")
+    own = SCHEME.match(target)
+    if own:
+        return target if target.startswith("//", own.end()) else None
+    if not target or target.startswith("#"):
+        return None
+    if target.startswith("//"):
+        return f"{scheme}:{target}"
+    if target.startswith("/"):
+        return scheme + root + target
+    return scheme + root + (folder or "/" if root else "/") + target
 
 
 def decoded(value: str) -> str:
@@ -97,43 +118,36 @@ def decoded(value: str) -> str:
     return REFERENCE.sub(one, value)
 
 
-def decoded_values(value: Column) -> Column:
-
-    @F.pandas_udf("string")
-    def run(v: pd.Series) -> pd.Series:
-        return v.map(decoded, na_action="ignore")
-
-    return run(value)
-
-
-def group_of(text: Column, pattern: str) -> Column:
-    """The one of three groups that holds the pattern's first match."""
-    return F.concat(*[F.regexp_extract(text, pattern, g) for g in (1, 2, 3)])
+def link_targets(text: str):
+    """Targets of the canonical and refresh tags of a page."""
+    for tag in TAG.finditer(text):
+        if not tag[1]:
+            continue
+        have: dict[str, str] = {}
+        for m in ATTRIBUTE.finditer(tag[2]):
+            have.setdefault(m[1].lower(), decoded(m[2] or m[3] or m[4] or ""))
+        if tag[1].lower() == "link":
+            if "canonical" in have.get("rel", "").lower().split():
+                yield have.get("href", "").strip()
+        elif have.get("http-equiv", "").strip().lower() == "refresh":
+            m = REFRESH_URL.search(have.get("content", ""))
+            yield (m[1] or m[2] or m[3] or "") if m else have.get("url", "").strip()
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(a, b): URL nodes joined by a canonical link or a redirect."""
-    tags = (pages.select("url", "html")
-            .filter(F.col("html").rlike(r"(?i)canonical|http-equiv") & F.col("url").isNotNull())
-            .select("url", F.regexp_extract_all("html", F.lit(LINK_TAG), 0).alias("links"),
-                    F.regexp_extract_all("html", F.lit(META_TAG), 0).alias("metas")))
-    found = tags.select("url", F.explode(F.concat(
-        F.transform("links", lambda t: F.struct(F.lit(False).alias("refresh"), group_of(t, HREF).alias("value"))),
-        F.transform("metas", lambda t: F.struct(F.lit(True).alias("refresh"), F.when(
-            group_of(t, CONTENT).rlike(r"(?i)\burl\s*="), group_of(t, CONTENT)).otherwise(
-                F.concat(F.lit("url="), F.regexp_extract(t, LOOSE_URL, 1))).alias("value"))))).alias("f"))
-    # decoded before it is cut, as the inner quotes may be escaped
-    value = found.select("url", "f.refresh", decoded_values(F.col("f.value")).alias("value"))
-    targets = value.select(
-        url_node(F.col("url")).alias("a"),
-        F.regexp_extract("url", r"^[^:/?#]*", 0).alias("scheme"),
-        F.regexp_extract("url", r"^[^:/?#]*://[^/?#]*", 0).alias("root"),
-        F.concat(F.regexp_replace(F.regexp_extract("url", r"^[^:/?#]*://[^/?#]*(?:/[^?#]*/)?", 0),
-                                  r"/$", ""), F.lit("/")).alias("folder"),
-        F.when(F.col("refresh"), group_of(F.col("value"), REFRESH_URL))
-        .otherwise(F.col("value")).alias("target"))
-    goal = targets.select("a", resolved(*map(F.col, ("target", "scheme", "root", "folder"))).alias("to"))
-    return goal.distinct().select("a", url_node(F.col("to")).alias("b"))
+
+    @F.pandas_udf("array<string>")
+    def linked(url: pd.Series, text: pd.Series) -> pd.Series:
+        def nodes(u, t):
+            goals = (resolved(x, u) for x in link_targets(t))
+            return sorted({n for g in goals if g and (n := node_of(g))})
+        return pd.Series([nodes(u, t) for u, t in zip(url, text, strict=True)])
+
+    tags = pages.select("url", "html").filter(
+        F.col("html").rlike(r"(?i)canonical|http-equiv") & F.col("url").isNotNull())
+    found = tags.select("url", F.explode(linked("url", "html")).alias("b"))
+    return found.select(url_node(F.col("url")).alias("a"), "b")
 
 
 def url_verdicts(pages: DataFrame, rules: list[Rule]) -> DataFrame:

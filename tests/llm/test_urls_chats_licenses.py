@@ -165,3 +165,29 @@ def test_pasted_notices_are_found(spark):
     assert got[2].labels == "bsd" and got[2].score >= L.COVER
     assert got[3].labels == got[4].labels == got[5].labels == ""
     assert L.scan_licenses(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(("tag", "linked"), [
+    ('<link data-x="%s" rel="canonical" href="http://a.net/t">' % ("y" * 5000), True),
+    ('<link title="a > b" rel="canonical" href="http://a.net/t">', True),
+    ("<!-- <link rel=canonical href=http://a.net/t> -->", False),
+    ("<script>var x = '<link rel=canonical href=http://a.net/t>';</script>", False),
+    ('<link data-rel="canonical" href="http://a.net/t">', False),
+    ('<link rel="alternate Canonical" href=" http://a.net/t ">', True),
+    ("<META http-equiv='Refresh' content='0; URL=http://a.net/t'>", True),
+    ("<meta http-equiv=refresh content=0;url=http://a.net/t>", True),
+    ("<linkx rel=canonical href=http://a.net/t>", False),
+    ('<p>' * 200000 + '<link rel=canonical href="//a.net/t">', True)])
+def test_tags_are_read_as_html_has_them(spark, tag, linked):
+    from tasklens.llm.url_filters import alias_edges
+    df = spark.createDataFrame([("http://b.net/d/p", tag)], "url string, html string")
+    assert [tuple(r) for r in alias_edges(df).collect()] == ([("b.net/d/p", "a.net/t")] if linked else [])
+
+
+def test_targets_are_resolved_against_the_page():
+    from tasklens.llm.url_filters import node_of, resolved
+    page = "http://H.net/a/b/c?x=1#f"
+    assert [resolved(t, page) for t in ("/x", "x", "//o.net/y", "https://o.net", "mailto:a", "#f", "", "?q")] == [
+        "http://H.net/x", "http://H.net/a/b/x", "http://o.net/y", "https://o.net", None, None, None, "http://H.net/a/b/?q"]
+    assert resolved("x", "http://h.net") == "http://h.net/x"
+    assert [node_of(u) for u in ("http://H.Net/A#f", "x", "http:///p", "http://h.net")] == ["h.net/A", None, None, "h.net/"]
