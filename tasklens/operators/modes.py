@@ -8,17 +8,20 @@ runs a real workload (a ``Column -> Column`` function, see
 * E2 staged:    a hash shuffle on a key before the workload and an
                 aggregation after it (two stage boundaries);
 * E3 barrier:   ``mapInArrow(..., barrier=True)``: every task of the stage
-                starts together (needs as many free slots as partitions);
+                starts together (needs as many free slots as partitions), in
+                its two-phase form with an exchange between all tasks;
 * E4 persisted: the input is cached first, so tasks run where its blocks
                 are (subject to ``spark.locality.wait``).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +75,45 @@ def run_barrier(df: DataFrame, id_col: str, fn: Callable[[bytes], int] | None =
     return src.mapInArrow(_run, schema, barrier=True)
 
 
+def run_barrier_scaled(df: DataFrame, id_col: str, col: str = "payload",
+                       num_partitions: int | None = None) -> DataFrame:
+    """E3 in two phases of one gang-scheduled stage:
+    ``(id, result, low, high, scaled)``.
+
+    Every task computes the workload (W1) of its rows, then all exchange the
+    smallest and largest result they saw (``BarrierTaskContext.allGather``, which
+    returns only when every task has come that far), and each scales its results
+    to thousandths of the common range. No second stage and no second pass over
+    the payloads; tasks that did not run together could not finish. A task
+    holds two numbers for each of its rows, never a payload. Results of empty
+    payloads count as W1 defines them; NULL payloads have NULLs and no part in
+    the range.
+    """
+    n = num_partitions or df.sparkSession.sparkContext.defaultParallelism
+    src = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(col).alias("payload")).repartition(n)
+
+    def _run(batches):
+        from pyspark import BarrierTaskContext
+        ids, results = [], []
+        for b in batches:
+            ids.append(b.column(0))
+            known = pc.is_valid(b.column(1))
+            found = bytes_np.reduce_bytes(b.column(1), np.maximum, -128).cast(pa.int64())
+            results.append(pc.if_else(known, found, pa.scalar(None, pa.int64())))
+        own = pc.min_max(pa.chunked_array(results, pa.int64()))
+        seen = [json.loads(x) for x in BarrierTaskContext.get().allGather(
+            json.dumps([own["min"].as_py(), own["max"].as_py()]))]
+        low = min((a for a, _ in seen if a is not None), default=None)
+        high = max((b for _, b in seen if b is not None), default=None)
+        for i, r in zip(ids, results):
+            scaled = [None if x is None else (x - low) * 1000 // max(high - low, 1) for x in r.to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [i, r, pa.array([low] * len(i), pa.int64()), pa.array([high] * len(i), pa.int64()),
+                 pa.array(scaled, pa.int64())], names=["id", "result", "low", "high", "scaled"])
+
+    return src.mapInArrow(_run, "id long, result long, low long, high long, scaled long", barrier=True)
+
+
 class Persisted:
     """A cached input for workloads bound to its blocks.
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from ..sources import eventlog as ev
 
 #: Rows of a block of the as-of join.
@@ -103,6 +104,7 @@ def last_as_of(updates: DataFrame, probes: DataFrame, keys: list[str], seq: str,
     value that never falls along it; by default as many equal steps as give
     ``block_rows`` rows), so a hot key is as many windows as it has blocks; the
     last state of every block is carried over the few rows of the block table.
+    The common table is written once below the session's checkpoint folder.
     """
     names = [c for c in probes.columns if c not in (*keys, seq)]
     u = updates.select(*keys, seq, F.struct(*state).alias("_tl_s"),
@@ -110,7 +112,7 @@ def last_as_of(updates: DataFrame, probes: DataFrame, keys: list[str], seq: str,
                        F.lit(False).alias("_tl_probe"))
     p = probes.select(*keys, seq, F.lit(None).cast(u.schema["_tl_s"].dataType).alias("_tl_s"), *names,
                       F.lit(True).alias("_tl_probe"))
-    rows = u.unionByName(p)
+    rows = written(u.unionByName(p))        # the lines are parsed and joined once
     if block is None:
         n, least, most = rows.agg(F.count(F.lit(1)), F.min(seq), F.max(seq)).first()
         step = max(float(most - least) * block_rows / n, 1.0) if n and most is not None else 1.0
@@ -119,7 +121,7 @@ def last_as_of(updates: DataFrame, probes: DataFrame, keys: list[str], seq: str,
     # of equal places, probes come first: an update counts only for what follows it
     w = Window.partitionBy(*keys, "_tl_b").orderBy(F.col(seq), F.col("_tl_probe").desc())
     inside = F.last("_tl_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ends = u.withColumn("_tl_b", block).groupBy(*keys, "_tl_b").agg(F.max_by("_tl_s", seq).alias("_tl_s"))
+    ends = rows.where("NOT _tl_probe").groupBy(*keys, "_tl_b").agg(F.max_by("_tl_s", seq).alias("_tl_s"))
     # the state at a block's begin: the last of the blocks before it
     order = Window.partitionBy(*keys).orderBy("_tl_b").rowsBetween(Window.unboundedPreceding, -1)
     begins = (rows.where("_tl_probe").select(*keys, "_tl_b").distinct()
@@ -167,6 +169,7 @@ def placement_as_of(lines: DataFrame, at: str = "task", block_rows: int = BLOCK_
         F.col("exec_id").alias("storage_executor"), "seq", F.col("seq").alias("stored_at"), "memsize", "disksize",
         (F.col("use_disk") | F.col("use_memory") | F.col("use_off_heap")).alias("held"))
     key = ["app", "rdd_id", "part_id"]
+    updates = written(updates)
     # a probe asks every executor that ever reported its block
     owners = updates.select(*key, "storage_executor").distinct()
     asked = probes.where(F.col("rdd_id").isNotNull() & F.col("seq").isNotNull()).join(owners, key)
@@ -196,6 +199,49 @@ def executor_partitions(locations: DataFrame, by: str = "exec_id", page_size: in
                  F.sort_array(F.collect_list("part_id")).alias("part_ids")))
 
 
+def executor_partition_bitmaps(locations: DataFrame, by: str = "exec_id") -> DataFrame:
+    """A3 as bitmaps: ``(app, executor, rdd_id, bucket, bitmap)``, a bit for each
+    of the 32768 partition ids of a bucket.
+
+    Every map task sends 4 KiB for a bucket at most, however many ids it saw, and
+    partial bitmaps are or-ed: nothing is collected or sorted. Ids are counted
+    from 1 in the bitmap functions, so that id 0 shares a bucket with its
+    neighbours."""
+    at = F.col("part_id").cast("bigint") + 1
+    return (locations.groupBy("app", by, "rdd_id", F.bitmap_bucket_number(at).alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap")))
+
+
+def merged_bitmaps(bitmaps: DataFrame, keys: list[str]) -> DataFrame:
+    """Bitmaps of several tables (days, logs) or of fewer keys, or-ed by ``keys``
+    and bucket."""
+    return bitmaps.groupBy(*keys, "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+
+
+def bitmap_pages(bitmaps: DataFrame, page_size: int = 4096) -> DataFrame:
+    """The ids of bitmaps, in pages of ``page_size`` ids (a multiple of 8 that
+    divides 32768): ``(..., page, n_parts, part_ids)``, as ``executor_partitions``
+    gives them. Only bytes with a bit set are looked at twice."""
+    if page_size % 8 or 32768 % page_size:
+        raise ValueError("page_size must be a multiple of 8 that divides 32768")
+    width, pages = page_size // 8, 32768 // page_size
+    keys = [c for c in bitmaps.columns if c not in ("bucket", "bitmap")]
+    cut = bitmaps.select(*keys, "bucket", "bitmap", F.explode(F.sequence(F.lit(0), F.lit(pages - 1))).alias("slice")).select(
+        *keys, ((F.col("bucket") - 1) * pages + F.col("slice")).cast("bigint").alias("page"),
+        F.substring("bitmap", F.col("slice") * width + 1, F.lit(width)).alias("bits"))
+    zero = F.lit(bytearray(1))
+    full = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.substring("bits", i + 1, F.lit(1)) != zero)
+
+    def ids(i):
+        value = F.conv(F.hex(F.substring("bits", i + 1, F.lit(1))), 16, 10).cast("int")
+        first = F.col("page").cast("bigint") * page_size + i * 8
+        return F.transform(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda b: F.getbit(value, b) == 1),
+                           lambda b: (first + b).cast("int"))
+    out = cut.withColumn("part_ids", F.flatten(F.transform(full, ids)))
+    return out.where(F.size("part_ids") > 0).select(
+        *keys, "page", F.size("part_ids").cast("bigint").alias("n_parts"), "part_ids")
+
+
 def report_by_executor(placed: DataFrame) -> DataFrame:
     """A4: runner rows grouped by the executor that ran them: task count,
     tasks whose partition was stored on the same executor, byte sums."""

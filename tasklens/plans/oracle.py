@@ -521,6 +521,8 @@ SELECT app, exec_id, rdd_id, CAST(part_id // 4096 AS BIGINT) AS page, count(*) A
 FROM loc WHERE rdd_id <> 7 GROUP BY app, exec_id, rdd_id, part_id // 4096
 """)
 
+ORACLE["A3b_executor_partition_bitmaps"] = ORACLE["A3_executor_partitions"]
+
 oracle("A4_report_by_executor", _P2 + """
 SELECT app, exec_executor, count(*) AS n_rows, count(DISTINCT task_id) AS n_tasks,
        sum(CASE WHEN exec_executor = storage_executor THEN 1 ELSE 0 END) AS n_local,
@@ -588,6 +590,10 @@ mx AS (SELECT p.p_partkey, p.p_brand,
 """
 oracle("E1_plain", _PART_BYTES + "SELECT p_partkey, result FROM mx")
 oracle("E3_barrier", _PART_BYTES + "SELECT p_partkey, result FROM mx")
+oracle("E3s_barrier_scaled", _PART_BYTES + """,
+r AS (SELECT min(result) AS low, max(result) AS high FROM mx)
+SELECT p_partkey, result, low, high, (result - low) * 1000 // greatest(high - low, 1) AS scaled FROM mx, r
+""")
 oracle("E4_persisted", _PART_BYTES + "SELECT p_partkey, result FROM mx")
 oracle("E2_staged", _PART_BYTES + """
 SELECT p_brand, count(*) AS n, max(result) AS result_max, sum(result) AS result_sum FROM mx GROUP BY p_brand

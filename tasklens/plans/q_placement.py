@@ -84,6 +84,16 @@ def a3(spark, sf_dir):
         F.array_join(F.transform("part_ids", lambda x: x.cast("string")), ",").alias("part_ids"))
 
 
+@register("A3b_executor_partition_bitmaps")
+def a3b(spark, sf_dir):
+    """A3 by bitmaps: the ids that each executor stores, kept as bitmaps
+    and read back in pages of 4096 ids."""
+    loc = P.block_locations(placement_lines(spark, sf_dir), live_only=True)
+    return P.bitmap_pages(P.executor_partition_bitmaps(loc)).select(
+        "app", "exec_id", "rdd_id", "page", "n_parts",
+        F.array_join(F.transform("part_ids", lambda x: x.cast("string")), ",").alias("part_ids"))
+
+
 @register("A4_report_by_executor")
 def a4(spark, sf_dir):
     """A4: placement rows per executing executor: tasks, local tasks, bytes."""
@@ -137,6 +147,13 @@ def e3(spark, sf_dir):
         F.col("id").alias("p_partkey"), "result")
 
 
+@register("E3s_barrier_scaled")
+def e3s(spark, sf_dir):
+    """E3 in two phases: byte max of each part's payload, scaled to the range that
+    all tasks of the barrier stage agree on (allGather)."""
+    return E.run_barrier_scaled(part_payloads(spark, sf_dir), "p_partkey").withColumnRenamed("id", "p_partkey")
+
+
 @register("E4_persisted")
 def e4(spark, sf_dir):
     """Byte max over a persisted (memory and disk) copy of the part payloads."""
