@@ -9,11 +9,10 @@ rank map is one literal: pieces and ranks dealt to buckets by the piece's crc32,
 because Spark searches a map from end to end.
 
 Documents are read in blocks of about ``BLOCK`` characters (or one longer
-document). A block holds its distinct words and each document as positions in
-them, compressed; its words meet the merged ones in a join, and come back to it
-by block number, so no text and no word of a document is shuffled by itself. A
-word in every document is one row for each block. Decoding concatenates the
-ids' binary pieces.
+document). A block holds its distinct words and each document as numbers of
+them, compressed. A word's rows, one for each block that holds it, meet in one
+task and come back to their blocks with its ids, so no text and no word of a
+document is shuffled by itself. Decoding concatenates the ids' binary pieces.
 
 A null text counts as empty and has no ids. Words of over ``LONG`` bytes, for
 which a fold over arrays is quadratic, are merged by a heap in an Arrow UDF with
@@ -35,11 +34,11 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = 1 << 24       # characters of a block's documents
+BLOCK = 1 << 26       # characters of a block's documents
 LONG = 256            # bytes of a word that is still folded
 BUCKETS = 1 << 16     # of the rank map
 NONE = (1 << 31) - 1  # rank of what is no piece
@@ -168,16 +167,40 @@ class Blocks:
         structs = pa.StructArray.from_arrays(
             [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in keys.columns],
             fields=list(keys.schema))
-        flat = np.concatenate([*self.parts, np.empty(0, np.uint32)]).astype("<u4")
-        lengths = np.array([len(p) for p in self.parts], "<u4")
-        packed = [pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True)], pa.binary())
-                  for x in (lengths, flat)]
-        out = [pa.array([self.number], pa.int64()), pa.array([len(flat)], pa.int64()),
-               pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), structs), *packed,
-               pa.array([list(self.places)], pa.list_(pa.string()))]
+        flat = np.concatenate([*self.parts, np.empty(0, np.uint32)])
+        # frequent words get small numbers, which compress well
+        order = np.argsort(-np.bincount(flat, minlength=len(self.places)), kind="stable")
+        number = np.empty(len(order), np.uint32)
+        number[order] = np.arange(len(order))
+        words = list(self.places)
+        data = [words[i].encode() for i in order]
+        packed = [packed_ints(np.array([len(p) for p in self.parts])), packed_ints(number[flat]),
+                  packed_ints(np.array([len(w) for w in data])), pa.compress(b"".join(data), codec="zstd", asbytes=True)]
+        sizes = [len(self.parts), len(flat), len(data), sum(map(len, data))]
+        out = [pa.array([self.number], pa.int64()), pa.array([sizes], pa.list_(pa.int64())),
+               pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), structs),
+               *[pa.array([x], pa.binary()) for x in packed]]
         self.number += 1
         self.fresh()
-        return pa.RecordBatch.from_arrays(out, names=["block", "n", "keys", "lengths", "flat", "words"])
+        return pa.RecordBatch.from_arrays(out, names=["block", "sizes", "keys", *PACKED])
+
+
+#: Compressed parts of a block: words of each document, the documents' words by
+#: number, lengths of the words, their bytes.
+PACKED = ["lengths", "flat", "word_lengths", "word_bytes"]
+
+
+def packed_ints(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, their lowest bytes first, compressed."""
+    planes = x.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked_ints(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.empty(0, "<u4")
+    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def word_blocks(docs: DataFrame, by: list[str], pattern: str, text: str) -> DataFrame:
@@ -203,37 +226,45 @@ def word_blocks(docs: DataFrame, by: list[str], pattern: str, text: str) -> Data
 
     keys = T.StructType(rows.schema.fields[:-1])
     return rows.mapInArrow(build, T.StructType([
-        T.StructField("block", T.LongType()), T.StructField("n", T.LongType()),
-        T.StructField("keys", T.ArrayType(keys)), T.StructField("lengths", T.BinaryType()),
-        T.StructField("flat", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))]))
+        T.StructField("block", T.LongType()), T.StructField("sizes", T.ArrayType(T.LongType())),
+        T.StructField("keys", T.ArrayType(keys)), *[T.StructField(c, T.BinaryType()) for c in PACKED]]))
 
 
 def listed_words(batches):
     """(block, place, word) of block rows."""
     for batch in batches:
-        for block, words in zip(batch.column(0).to_pylist(), batch.column(5), strict=True):
-            n = len(words.values)
+        for r in batch.select(["block", "sizes", *PACKED[2:]]).to_pylist():
+            n, size = r["sizes"][2:]
+            if not n:
+                continue
+            ends = np.concatenate([[0], np.cumsum(unpacked_ints(r["word_lengths"], n), dtype=np.int64)])
+            data = pa.decompress(r["word_bytes"], size, codec="zstd")
+            words = pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends), data).cast(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), words.values],
+                [pa.array(np.full(n, r["block"])), pa.array(np.arange(n, dtype=np.int32)), words],
                 names=["block", "place", "word"])
 
 
-def word_ids(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(word, ids) of the distinct words: a fold for all but the long ones."""
+def with_ids(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(block, place, ids): the rows of a word meet in one task, which folds its
+    merges at the first of them; one row for each block that holds the word."""
     n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = words.select("word").distinct().withColumn("bytes", F.encode("word", "utf-8"))
     # dealt out by number: the words are few bytes but much work, and would be coalesced
-    distinct = distinct.repartition(n, F.xxhash64("word"))
+    dealt = words.repartition(n, "word").withColumn("bytes", F.encode("word", "utf-8"))
+    by_word = Window.partitionBy("word").orderBy("block")
+    first = F.row_number().over(by_word) == 1
     long = F.octet_length("bytes") > LONG
+    # bound to a variable, the literal stands in the plan once
+    folded = let(rank_table(ranks), lambda table: merged_ids(F.col("bytes"), rank_in(table)))
+    ids = dealt.withColumn("first", first).withColumn("ids", F.when(F.col("first") & ~long, folded))
+    so_far = F.first("ids", ignorenulls=True).over(by_word.rowsBetween(Window.unboundedPreceding, 0))
 
     @F.pandas_udf("array<int>")
     def heap(column: pd.Series) -> pd.Series:
         return column.map(lambda w: None if w is None else merge_long(bytes(w), ranks))
 
-    merged = distinct.withColumn("long", heap(F.when(long, F.col("bytes"))))
-    # bound to a variable, the literal stands in the plan once
-    folded = let(rank_table(ranks), lambda table: merged_ids(F.col("bytes"), rank_in(table)))
-    return merged.select("word", F.when(long, F.col("long")).otherwise(folded).alias("ids"))
+    return ids.withColumn("ids", so_far).select(
+        "block", "place", F.coalesce("ids", heap(F.when(long, F.col("bytes")))).alias("ids"))
 
 
 def encode(docs: DataFrame, by: list[str], ranks: dict[bytes, int], pattern: str, text: str = "text",
@@ -249,7 +280,7 @@ def encode(docs: DataFrame, by: list[str], ranks: dict[bytes, int], pattern: str
     blocks = word_blocks(docs, by, pattern, text).repartition(n, "block")
     # two readers of one exchange: a function keeps Spark from pruning its columns
     words = blocks.mapInArrow(listed_words, "block long, place int, word string")
-    merged = words.join(word_ids(words, ranks), "word").select("block", "place", "ids")
+    merged = with_ids(words, ranks)
     names, count = [f"c{i}" for i in range(len(by))], len(by)
     kinds = [docs.schema[c].dataType for c in by]
 
@@ -268,8 +299,9 @@ def encode(docs: DataFrame, by: list[str], ranks: dict[bytes, int], pattern: str
             row = block.slice(i, 1)
             keys = row.column("keys").combine_chunks()
             keys = (keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys).flatten()
-            lengths = unpacked(row.column("lengths")[0].as_py(), len(keys))
-            flat = unpacked(row.column("flat")[0].as_py(), row.column("n")[0].as_py())
+            n_docs, n_words, _, _ = row.column("sizes")[0].as_py()
+            lengths = unpacked_ints(row.column("lengths")[0].as_py(), n_docs)
+            flat = unpacked_ints(row.column("flat")[0].as_py(), n_words)
             texts, at = [], 0
             for n in lengths.tolist():
                 w = flat[at:at + n]
@@ -285,10 +317,6 @@ def encode(docs: DataFrame, by: list[str], ranks: dict[bytes, int], pattern: str
     return out.toDF(*by, ids) if count else out.select(F.col("ids").alias(ids))
 
 
-def unpacked(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), "<u4") if n else np.empty(0, "<u4")
-
-
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
     """Bytes of binary ids: their pieces, concatenated."""
     pieces = {rank: piece for piece, rank in ranks.items()}
