@@ -48,6 +48,38 @@ def test_pair_tables_are_the_convolution(model):
     assert np.allclose(pair[0][code[:w]] + pair[1][code[2:2 + w]], cols, atol=1e-4)
 
 
+def test_predictions_are_a_plain_forward_pass(model):
+    """Embedding, convolution, maximum and softmax window by window, without pair tables."""
+    p = model.weights
+    for text in [prose(1, 300, LANGS["fr"]), "Übermäßig!", prose(4, 40), "a", "x" * 257]:
+        data = text.encode().lower() if text.isascii() else text.encode().translate(L.FOLD)
+        total, size = np.zeros(len(model.langs)), 0
+        for at in range(0, len(data), L.WINDOW):
+            x = np.zeros(L.WINDOW, np.uint8)
+            piece = np.frombuffer(data[at:at + L.WINDOW], np.uint8)
+            x[:len(piece)] = piece
+            best = np.full(p["conv"].shape[1], -np.inf)
+            for k in range(L.WINDOW - L.SPAN + 1):
+                best = np.maximum(best, p["emb"][x[k:k + L.SPAN]].ravel() @ p["conv"])
+            z = np.maximum(best + p["bias"], 0) @ p["out"] + p["c"]
+            total += len(piece) * (z - z.max() - np.log(np.exp(z - z.max()).sum()))
+            size += len(piece)
+        prob = np.exp(total / size - (total / size).max())
+        langs, scores = L.predict(model, [text])
+        assert langs == [model.langs[int(total.argmax())]]
+        assert abs(scores[0] - (prob / prob.sum()).max()) < 1e-4
+
+
+def test_gradients_are_the_slope_of_the_loss():
+    """Training lowers the loss of separable windows to almost nothing."""
+    rng = np.random.default_rng(0)
+    y = rng.integers(3, size=90)
+    x = (97 + 5 * y[:, None] + rng.integers(0, 4, (90, L.WINDOW))).astype(np.uint8)
+    m = L.Model(["a", "b", "c"], L.train(x, y, 3, steps=60))
+    got, score = L.predict(m, [bytes(w).decode() for w in x])
+    assert got == [m.langs[k] for k in y] and score.min() > 0.8
+
+
 def test_no_training_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     m = L.fit(empty)
