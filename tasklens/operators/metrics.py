@@ -263,6 +263,50 @@ def index_stats(df: DataFrame, by: str | list[str] = "taskIndex",
     return df.select(*by, *metrics).groupBy(*by).agg(*aggs)
 
 
+def index_moments(df: DataFrame, by: str | list[str] = "taskIndex", metrics: list[str] | None = None) -> DataFrame:
+    """A5 in a form that can be kept and added to: ``(by..., metric, n, mean, m2)``,
+    m2 the sum of squared deviations. Written for every new log, and merged by
+    ``merged_moments``, it gives the statistics of all logs without reading the old
+    ones again."""
+    metrics = metrics or INDEX_STAT_METRICS
+    by = [by] if isinstance(by, str) else list(by)
+    aggs = []
+    for m in metrics:
+        n = F.count(m)
+        aggs.append(F.struct(F.lit(m).alias("metric"), n.alias("n"), F.avg(m).alias("mean"),
+                             (F.coalesce(F.var_pop(m), F.lit(0.0)) * n).alias("m2")).alias(f"_tl_{m}"))
+    wide = df.select(*by, *metrics).groupBy(*by).agg(*aggs)
+    return wide.select(*by, F.inline(F.array(*[f"_tl_{m}" for m in metrics])))
+
+
+def merged_moments(moments: DataFrame) -> DataFrame:
+    """Moments of several tables as one: the mean of the means weighted by count,
+    and m2 with each part's distance from it, so that large means cost no digits."""
+    by = [c for c in moments.columns if c not in ("n", "mean", "m2")]
+    w = Window.partitionBy(*by)
+    weighted = F.sum(F.col("n") * F.coalesce("mean", F.lit(0.0))).over(w)
+    centred = moments.withColumn("_tl_mean", weighted / F.nullif(F.sum("n").over(w), F.lit(0)))
+    off = F.col("mean") - F.col("_tl_mean")
+    return centred.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.first("_tl_mean").alias("mean"),
+        F.coalesce(F.sum(F.col("m2") + F.coalesce(F.col("n") * off * off, F.lit(0.0))), F.lit(0.0)).alias("m2"))
+
+
+def moment_stats(moments: DataFrame, metrics: list[str] | None = None) -> DataFrame:
+    """The columns of ``index_stats`` from moments with one row for each metric."""
+    metrics = metrics or INDEX_STAT_METRICS
+    by = [c for c in moments.columns if c not in ("metric", "n", "mean", "m2")]
+
+    def of(metric: str, value: Column) -> Column:
+        return F.max(F.when(F.col("metric") == metric, value))
+
+    aggs = [F.coalesce(of(metrics[0], F.col("n")), F.lit(0)).alias("count")]
+    for m in metrics:
+        aggs.append(of(m, F.col("mean")).alias(f"avg_{m}"))
+        aggs.append(F.sqrt(of(m, F.when(F.col("n") > 1, F.col("m2") / (F.col("n") - 1)))).alias(f"var_{m}"))
+    return moments.groupBy(*by).agg(*aggs)
+
+
 def task_index_stats(lines: DataFrame, stage_index: int | None = None) -> DataFrame:
     """A5 over M5: the flagship per-task-index summary (24 columns)."""
     cols = ["taskIndex", *INDEX_STAT_METRICS]

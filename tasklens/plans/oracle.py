@@ -7,6 +7,9 @@ the driver's pre-registered views.
 
 from __future__ import annotations
 
+from ..operators.metrics import INDEX_STAT_METRICS
+from ..streaming.eventlog_stream import TASK_LOCAL_METRICS
+
 ORACLE: dict[str, str] = {}
 
 
@@ -89,10 +92,7 @@ t AS (
   FROM tt WHERE end_ms IS NOT NULL)
 """
 
-_STAT_METRICS = ["serviceTime", "sojournTime", "waitingTime", "jvmGcTime",
-                 "executorDeserializeTime", "executorRunTime", "resultSerializationTime",
-                 "shuffleFetchWaitTime", "shuffleWriteTime", "executorDeserializeCpuTime",
-                 "executorCpuTime"]
+_STAT_METRICS = INDEX_STAT_METRICS
 
 _stats = ",\n  ".join(
     f"round(avg({m}), 6) AS avg_{m}, round(sqrt(var_samp({m})), 3) AS var_{m}"
@@ -606,9 +606,7 @@ oracle("A7_staged_count", "SELECT CAST(CASE WHEN count(*) > 0 THEN 1 ELSE 0 END
 
 ORACLE["S2_stream_event_counts"] = ORACLE["S1_event_counts"]
 
-_LOCAL = ["serviceTime", "jvmGcTime", "executorDeserializeTime", "executorRunTime",
-          "resultSerializationTime", "shuffleFetchWaitTime", "shuffleWriteTime",
-          "executorDeserializeCpuTime", "executorCpuTime"]
+_LOCAL = TASK_LOCAL_METRICS
 oracle("M6_stream_task_index_stats", """
 WITH t AS (
   SELECT l_linenumber AS taskIndex,
@@ -678,6 +676,7 @@ SELECT ph.app, ph.task_id, ph.part_id, ph.exec_executor, ph.storage_executor, CA
 FROM ph JOIN mm ON ph.task_id = mm.task_id
 """)
 
+ORACLE["A5i_task_index_stats_incremental"] = ORACLE["A5_task_index_stats"]
 ORACLE["A5m_task_index_stats_materialized"] = ORACLE["A5_task_index_stats"]
 
 # W3 over whole documents. Independent of the block-histogram kernel: the

@@ -134,3 +134,18 @@ def m5k(spark, sf_dir):
     """M5 with keep_incomplete=True: every task, also of jobs that never
     ended (their sojournTime is NULL)."""
     return rounded(M.flat_tasks_full(table_log(spark, sf_dir), stage_index=None, keep_incomplete=True))
+
+
+@register("A5i_task_index_stats_incremental")
+def a5i(spark, sf_dir):
+    """A5 kept up as logs arrive: the moments of the first logs are written, those
+    of the others added to them, and the old logs are not read again."""
+    from ..session import written
+    cols = ["taskIndex", *M.INDEX_STAT_METRICS]
+    lines = table_log(spark, sf_dir)
+    kept = None
+    for arrived in (F.col("log") < "3", F.col("log") >= "3"):
+        tasks = M.flat_tasks_full(lines.where(arrived), stage_index=None, columns=cols)
+        new = M.index_moments(tasks)
+        kept = written(new if kept is None else M.merged_moments(kept.unionByName(new)))
+    return rounded(rounded(M.moment_stats(kept), 3, prefix="var_"), 6)

@@ -80,3 +80,32 @@ def test_sized_partitions_defaults(spark):
     assert sorted((r.id, r.n, r.p) for r in rows) == [(i, 3, i) for i in range(4)]
     df = G.sized_partitions(spark, 6, {"0": 5}, default_size=1, n_slots=2)
     assert sorted((r.id, r.size) for r in df.collect()) == [(0, 5), (1, 1), (2, 5), (3, 1), (4, 5), (5, 1)]
+
+
+def test_size_by_the_host_that_builds_the_row(spark):
+    """G4h: the host of the tasks, asked of a task, has a size of its own."""
+    from tasklens.sources import generators as G
+    host = G.sized_by_host(spark.range(1), "id", {}, default_size=1).first().label
+    rows = G.sized_by_host(spark.range(20), "id", {host: 5, "no such host": 3}, default_size=8).collect()
+    assert {(r.label, r.size, len(r.payload)) for r in rows} == {(host, 5, 5)}
+
+
+def test_moments_of_parts_merge_to_those_of_all(spark):
+    import random
+
+    from pyspark.sql import functions as F
+    from tasklens.operators import metrics as M
+    r = random.Random(4)
+    rows = [(r.choice([0, 1, 2]), 1e9 + r.random(), r.choice([None, 3])) for _ in range(500)] + [(7, 2.0, None)]
+    df = spark.createDataFrame(rows, "taskIndex int, x double, y int")
+    parts = [M.index_moments(df.where(F.col("x") % 3 < 1), metrics=["x", "y"]),
+             M.index_moments(df.where(F.col("x") % 3 >= 1), metrics=["x", "y"]),
+             M.index_moments(df.limit(0), metrics=["x", "y"])]
+    merged = M.merged_moments(M.merged_moments(parts[0].unionByName(parts[1])).unionByName(parts[2]))
+    got = {x.taskIndex: x for x in M.moment_stats(merged, metrics=["x", "y"]).collect()}
+    want = {x.taskIndex: x for x in M.index_stats(df, metrics=["x", "y"]).collect()}
+    assert set(got) == set(want)
+    for k, w in want.items():
+        for c in ("count", "avg_x", "var_x", "avg_y", "var_y"):
+            assert (got[k][c] is None) == (w[c] is None)
+            assert w[c] is None or abs(got[k][c] - w[c]) <= 1e-9 * max(1.0, abs(w[c]))
