@@ -108,3 +108,28 @@ def scramble(b: bytes, pos: np.ndarray, val: np.ndarray) -> bytes:
     out = np.frombuffer(b, np.int8).copy()
     out[pos] = val.astype(np.int8)
     return out.tobytes()
+
+
+#: Records up to this length are summed many at once.
+SHORT = 64
+
+
+def pair_sign_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Pair sign sums of many records of signed bytes, one after the other in
+    ``values``: short ones of one length as the rows of a matrix, column by
+    column; long ones each by itself."""
+    if len(values) and (values.min() < -128 or values.max() > 127):
+        raise ValueError("pair sign sums need signed byte values")
+    values = values.astype(np.int16)
+    starts = np.cumsum(lengths) - lengths
+    out = np.zeros(len(lengths), np.int64)
+    for n in np.unique(lengths):
+        rows = np.flatnonzero(lengths == n)
+        if n <= SHORT:
+            m = values[starts[rows][:, None] + np.arange(n)]
+            for d in range(1, n):
+                out[rows] += np.sign(m[:, :-d] - m[:, d:]).sum(axis=1)
+        else:
+            for r in rows:
+                out[r] = pair_sign_sum(values[starts[r]:starts[r] + n].astype(np.int8))
+    return out

@@ -4,15 +4,17 @@
 quadratic self-join if done naively, and one hot group would put n² pairs
 in one task. Here the work is linear and split:
 
-1. position within the group: ``plans.ranking.rank_within`` (a frequent
-   group is cut into ranges, so it spans many tasks);
-2. blocks of ``block_size`` consecutive positions; each block is one row
-   (``collect_list`` bounded by ``block_size``) and an Arrow UDF returns its
+1. the values of an ordinary group (at most ``block_size`` rows) are one array,
+   by a single shuffle on the group; an Arrow function sums whole batches of short
+   arrays at once;
+2. the rows of a larger group are dealt to ranges of its order
+   (``plans.ranking.ranges_within``: whole order keys, about ``SPLIT_ROWS`` rows), and a
+   range is cut into blocks of ``block_size`` consecutive rows; each block is one
+   row (``collect_list`` bounded by ``block_size``) and an Arrow UDF returns its
    inner sign sum, its 256-bin value histogram h and
    D[u] = #{v in block: v < u} - #{v in block: v > u};
 3. pairs across blocks: Σ_b Σ_u h_b[u] · Σ_{b' > b} D_b'[u], a suffix sum
-   per (group, u) over the block table (n / block_size · 256 rows), only
-   for groups with more than one block.
+   per (group, u) over the block table (n / block_size · 256 rows).
 
 Values must be signed bytes (-128..127), the reference's element type.
 """
@@ -21,12 +23,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import bytes_np
-from ..plans.ranking import rank_within, same_keys
+from ..plans.ranking import SPLIT_ROWS, ranges_within, same_keys
 
 _SUMMARY = T.StructType([
     T.StructField("inner", T.LongType()),
@@ -60,24 +63,39 @@ def pair_sign_sum_rows(df: DataFrame, group: list[str], value: str | Column,
                        order: list[str], block_size: int = 4096) -> DataFrame:
     """``(group..., pair_sign_sum BIGINT)`` for every group of ``df``.
 
-    Rows with a NULL value are left out. The block summaries (an Arrow UDF)
-    are computed once and feed a single table of cells: per block one
-    ``inner`` cell and, for groups of several blocks, its 256 value cells.
+    Rows with a NULL value are left out. The block summaries of large groups (an
+    Arrow UDF) are computed once and feed a single table of cells: per block one
+    ``inner`` cell and its 256 value cells.
     """
     v = F.col(value) if isinstance(value, str) else value
     base = (df.select(*group, *[c for c in order if c not in group], v.cast("int").alias("_tl_v"))
             .where(F.col("_tl_v").isNotNull()))
-    ranked = rank_within(base, group, list(order), out="_tl_pos")
-    blocks = (ranked.withColumn("_tl_blk", F.floor((F.col("_tl_pos") - 1) / F.lit(block_size)))
+    rest, ranged = ranges_within(base, group, list(order), split_rows=block_size, range_rows=SPLIT_ROWS)
+    by_order = [F.col(c) for c in order if c not in group]
+    row = F.struct(*by_order, F.col("_tl_v"))
+    values = F.transform(F.array_sort(F.collect_list(row)), lambda x: x["_tl_v"])
+    small = rest.groupBy(*group).agg(values.alias("_tl_v"))
+    kinds = [T.StructField(g, small.schema[g].dataType) for g in group]
+    out = small.mapInArrow(_short_sums, T.StructType([*kinds, T.StructField("pair_sign_sum", T.LongType())]))
+
+    place = F.row_number().over(Window.partitionBy(*group, "_tl_part").orderBy(*order)) - 1
+    block = F.shiftleft(F.col("_tl_part").cast("bigint"), 32) + F.floor(place / F.lit(block_size))
+    blocks = (ranged.withColumn("_tl_pos", place).withColumn("_tl_blk", block)
               .groupBy(*group, "_tl_blk")
               .agg(F.array_sort(F.collect_list(F.struct(F.col("_tl_pos").alias("pos"),
                                                         F.col("_tl_v").alias("v")))).alias("items")))
-    # value histograms are only needed for groups with more than one block
-    sizes = base.groupBy(*group).agg((F.count(F.lit(1)) > block_size).alias("_tl_multi"))
-    blocks = same_keys(blocks, sizes, group, "inner")
-    summ = blocks.select(*group, "_tl_blk", "_tl_multi", _block_summary_udf(
-        F.transform("items", lambda x: x["v"]), F.col("_tl_multi")).alias("s"))
-    return _combine_blocks(summ, group)
+    summ = blocks.select(*group, "_tl_blk", F.lit(True).alias("_tl_multi"), _block_summary_udf(
+        F.transform("items", lambda x: x["v"]), F.lit(True)).alias("s"))
+    return out.unionByName(_combine_blocks(summ, group))
+
+
+def _short_sums(batches):
+    """(group..., pair sign sum) of (group..., values in order)."""
+    for b in batches:
+        lists = b.column(b.num_columns - 1)
+        sums = bytes_np.pair_sign_sums(lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sums, pa.int64())],
+                                         names=[*b.schema.names[:-1], "pair_sign_sum"])
 
 
 def _combine_blocks(summ: DataFrame, group: list[str]) -> DataFrame:

@@ -71,12 +71,13 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
 
 
 def ranges_within(df: DataFrame, keys: list[str], order: list[str | Column], split_rows: int = SPLIT_ROWS,
-                  splits: int = 1, part: str = "_tl_part") -> tuple[DataFrame, DataFrame]:
+                  splits: int = 1, part: str = "_tl_part",
+                  range_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows of ordinary keys, rows of frequent keys with the range ``part``).
 
-    The rows of keys with over ``split_rows`` rows are written once and dealt to
-    ranges of about ``split_rows`` rows (0: every key is dealt out; at least
-    ``splits`` ranges) by ``repartitionByRange`` on the keys and all of the order:
+    The rows of keys with over ``split_rows`` rows (0: of every key) are written
+    once and dealt to ranges of about ``range_rows`` rows (default: as many; at
+    least ``splits`` ranges) by ``repartitionByRange`` on the keys and all of the order:
     its splitters are sampled whole keys, so records that share a long prefix, or
     jobs of one hour, are split where they differ, and the number of ranges
     follows the rows. The ranges are written as well, so that all that is computed
@@ -85,7 +86,7 @@ def ranges_within(df: DataFrame, keys: list[str], order: list[str | Column], spl
     """
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tl_n")).where(F.col("_tl_n") > int(split_rows))
     heavy = written(same_keys(df, hot.drop("_tl_n"), keys, "left_semi"))
-    size = int(split_rows) or SPLIT_ROWS
+    size = int(range_rows or split_rows) or SPLIT_ROWS
     rows = heavy.count()
     rest = same_keys(df, heavy.select(*keys).distinct(), keys, "left_anti")
     if not rows:                                       # nothing to deal out
