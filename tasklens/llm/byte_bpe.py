@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = 1 << 26       # characters of a block's documents
+BLOCK = 1 << 25       # characters of a block's documents
 LONG = 256            # bytes of a word that is still folded
 BUCKETS = 1 << 16     # of the rank map
 NONE = (1 << 31) - 1  # rank of what is no piece
@@ -268,9 +268,10 @@ def with_ids(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
 
 def encode(docs: DataFrame, by: list[str], ranks: dict[bytes, int], pattern: str, text: str = "text",
-           ids: str = "ids") -> DataFrame:
+           ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """The columns ``by`` and the ids, little-endian unsigned 32-bit integers
-    in one binary value.
+    in one binary value; with ``decoded`` also a column of that name, the bytes
+    that these ids decode to (as ``decode`` gives them, without a pass of its own).
 
     ``docs`` must give the same rows in the same order when it is read again, as
     a table does; write the result of a shuffle to a table first.
@@ -281,9 +282,12 @@ def encode(docs: DataFrame, by: list[str], ranks: dict[bytes, int], pattern: str
     # two readers of one exchange: a function keeps Spark from pruning its columns
     words = blocks.mapInArrow(listed_words, "block long, place int, word string")
     merged = with_ids(words, ranks)
-    names, count = [f"c{i}" for i in range(len(by))], len(by)
+    names = [f"c{i}" for i in range(len(by))]
+    pieces_of = {rank: piece for piece, rank in ranks.items()} if decoded else None
     kinds = [docs.schema[c].dataType for c in by]
 
+    results = ["ids", "decoded"] if decoded else ["ids"]
+
     def assemble(block: pa.Table, known: pa.Table) -> pa.Table:
         known = known.combine_chunks()
         place, pieces = known.column("place").to_numpy(), known.column("ids").combine_chunks()
@@ -308,13 +312,20 @@ def encode(docs: DataFrame, by: list[str], ranks: dict[bytes, int], pattern: str
                 at += n
                 take = np.repeat(start[w] - np.cumsum(size[w]) + size[w], size[w])
                 texts.append(values[take + np.arange(len(take))].tobytes())
-            out.append(pa.Table.from_arrays([*keys.flatten(), pa.array(texts, pa.binary())], names=[*names, "ids"]))
+            columns = [pa.array(texts, pa.binary())]
+            if pieces_of:
+                columns.append(pa.array([joined_pieces(t, pieces_of) for t in texts], pa.binary()))
+            out.append(pa.Table.from_arrays([*keys.flatten(), *columns], names=[*names, *results]))
         return pa.concat_tables(out)
 
     fields = [T.StructField(c, k) for c, k in zip(names, kinds, strict=True)]
     out = (blocks.groupBy("block").cogroup(merged.groupBy("block"))
-           .applyInArrow(assemble, T.StructType([*fields, T.StructField("ids", T.BinaryType())])))
-    return out.toDF(*by, ids) if count else out.select(F.col("ids").alias(ids))
+           .applyInArrow(assemble, T.StructType([*fields, *[T.StructField(c, T.BinaryType()) for c in results]])))
+    return out.toDF(*by, ids, *([decoded] if decoded else []))
+
+
+def joined_pieces(data: bytes, pieces: dict[int, bytes]) -> bytes:
+    return b"".join(map(pieces.__getitem__, np.frombuffer(data, "<u4").tolist()))
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -327,7 +338,7 @@ def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
             if data is None or len(data) % 4:
                 return None
             try:
-                return b"".join(map(pieces.__getitem__, np.frombuffer(data, "<u4").tolist()))
+                return joined_pieces(data, pieces)
             except KeyError:
                 return None
         return column.map(text)
