@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import eventlog_stream as S
-from .q_metrics import table_log
+from .q_metrics import file_lines
 from .registry import register, rounded
 
 
@@ -20,8 +20,9 @@ def _state_parts(spark) -> int:
 
 def _log_stream(spark, sf_dir):
     folder = S.scratch_path(spark, "logs")
-    S.write_log_files(table_log(spark, sf_dir), folder)
-    return S.read_event_log_stream(spark, folder, max_files_per_trigger=3)
+    S.write_log_files(file_lines(spark, sf_dir), folder)
+    # several files for every core: a trigger has costs of its own
+    return S.read_event_log_stream(spark, folder, max_files_per_trigger=max(3, 4 * _state_parts(spark)))
 
 
 @register("S2_stream_event_counts")
@@ -29,8 +30,8 @@ def s2(spark, sf_dir):
     """Log files followed by byte offsets; events per app and type. The stream
     runs once over half of the lines, and again, from its checkpoint, when files
     with the rest have been added."""
-    lines = table_log(spark, sf_dir).select("log", "value")
-    half = F.pmod(F.xxhash64("value"), F.lit(2))
+    lines = file_lines(spark, sf_dir)
+    half = F.pmod(F.xxhash64("job"), F.lit(2))
     folder, checkpoint = S.scratch_path(spark, "logs"), S.scratch_path(spark, "stream-ckpt")
     for k in (0, 1):
         S.write_log_files(lines.where(half == k), f"{folder}/part{k}")
@@ -55,7 +56,7 @@ def m6w(spark, sf_dir):
     finish time; append mode, one trigger over all files, all windows closed
     (the longest job of this log takes 21 seconds)."""
     folder = S.scratch_path(spark, "logs")
-    S.write_log_files(table_log(spark, sf_dir), folder, files_per_log=2)
+    S.write_log_files(file_lines(spark, sf_dir), folder)
     S.write_flush_file(spark, folder)
     stream = S.read_event_log_stream(spark, folder)
     stats = S.windowed_index_stats(stream, bound="1 day", window="365 days")
@@ -70,7 +71,7 @@ def _task_table(spark, sf_dir):
     """The task table kept by the stateful stream over log files, all stages sent on."""
     from ..streaming import task_state as TS
     folder = S.scratch_path(spark, "logs")
-    S.write_log_files(table_log(spark, sf_dir), folder)
+    S.write_log_files(file_lines(spark, sf_dir), folder)
     S.write_flush_file(spark, folder)
     # a second job of a stage ends up to 40 seconds after the first one here
     stream = TS.task_table_stream(S.read_event_log_stream(spark, folder, follow=True), linger_ms=60_000)
