@@ -12,7 +12,8 @@ from ..operators import placement as P
 from ..operators import workloads as W
 from ..sources import generators as G
 from ..session import spread
-from ..sources.tablelog import ROW_KEY, lineitem_moving_blocks_log, lineitem_placement_log
+from ..sources.tablelog import (
+    ROW_KEY, lineitem_moving_blocks_log, lineitem_placement_log, placement_lines_in_place, placement_rows)
 from .registry import register, tables
 
 SEED = 42
@@ -29,22 +30,30 @@ def p1(spark, sf_dir):
     return P.block_locations(placement_lines(spark, sf_dir), live_only=True)
 
 
+#: Files of a rolled log up to which they are written plain.
+PLAIN_FILES = 12
+
+
 def rolled_log(spark, sf_dir, files: int = 12):
     """The placement log written the way Spark rolls a log, one folder per
     application with at least ``files`` numbered files of growing size (more on
     long logs), read back by byte ranges and split by event, so that it is
     scanned once."""
-    from ..sources.eventlog import read_event_log, split_events
-    from ..streaming.eventlog_stream import LINES_PER_FILE, scratch_path
-    lines = placement_lines(spark, sf_dir)
-    files = max(files, lines.count() // LINES_PER_FILE)
+    from ..sources.eventlog import open_writers, read_event_log, split_events
+    from ..streaming.eventlog_stream import LINES_PER_FILE, OPEN_LOGS, scratch_path
+    (li,) = tables(spark, sf_dir, "lineitem")
+    files = max(files, 2 * li.count() // LINES_PER_FILE)
+    rows = placement_rows(spread(li, ROW_KEY))
     # the lines are in the order of seq, a 52-bit number; later files hold more
     share = F.sqrt(F.coalesce(F.col("seq"), F.lit(0)) / F.lit(float(1 << 52)))
     number = F.least(F.floor((1 - share) * files), F.lit(files - 1))
-    lines = lines.select("log", (files - number).cast("int").alias("n"), "seq", "value")
+    rows = rows.withColumn("n", (files - number).cast("int"))
     folder, top = scratch_path(spark, "parts"), scratch_path(spark, "rolled")
-    (lines.repartition("log", "n").sortWithinPartitions("log", "n", "seq").select("log", "n", "value")
-     .write.partitionBy("log", "n").text(folder))
+    # rows, not their text, are dealt out and sorted; the files of long logs are compressed
+    dealt = rows.repartition(files, "log", "n").sortWithinPartitions("log", "n", "seq")
+    with open_writers(spark, OPEN_LOGS):        # a task has a few files; no sort but the one by seq
+        (placement_lines_in_place(dealt, ["n"]).write.partitionBy("log", "n")
+         .option("compression", "gzip" if files > PLAIN_FILES else "none").text(folder))
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(conf)
@@ -52,7 +61,8 @@ def rolled_log(spark, sf_dir, files: int = 12):
         part = st.getPath()
         log, n = (part.getParent().getParent().getName()[4:], part.getParent().getName()[2:])
         fs.mkdirs(path(f"{top}/eventlog_v2_{log}"))
-        fs.rename(part, path(f"{top}/eventlog_v2_{log}/events_{n}_{log}"))
+        ending = ".gz" if part.getName().endswith(".gz") else ""
+        fs.rename(part, path(f"{top}/eventlog_v2_{log}/events_{n}_{log}{ending}"))
     rolled = read_event_log(spark, f"{top}/eventlog_v2_*", rolled=True)
     return split_events(rolled.withColumn("log", F.regexp_extract("log", r"eventlog_v2_([^/]*)$", 1)))
 
