@@ -9,8 +9,12 @@ be joined with the task table, for one run or thousands.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import written
 from ..sources import eventlog as ev
@@ -95,7 +99,8 @@ def placement(lines: DataFrame, live_only: bool = False) -> DataFrame:
 
 
 def last_as_of(updates: DataFrame, probes: DataFrame, keys: list[str], seq: str, state: list[str],
-               block: Column | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+               block: Column | None = None, block_rows: int = BLOCK_ROWS, each: str | None = None,
+               held: str | None = None, since: str | None = None) -> DataFrame:
     """As-of join: ``probes`` with the ``state`` columns of the last update of
     their key that comes before them by ``seq`` (NULL if none does).
 
@@ -105,7 +110,15 @@ def last_as_of(updates: DataFrame, probes: DataFrame, keys: list[str], seq: str,
     ``block_rows`` rows), so a hot key is as many windows as it has blocks; the
     last state of every block is carried over the few rows of the block table.
     The common table is written once below the session's checkpoint folder.
+
+    With ``each``, a column of the updates, a key has a state for every value of it
+    (every executor that reported a block): a probe becomes a row for each state in
+    which the column ``held`` is true and that is not from before the probe's place
+    ``since`` (NULL: any), and one with NULLs if there is none. Probes are not
+    multiplied for it on their way: see ``_holders_as_of``.
     """
+    if each is not None:
+        return _holders_as_of(updates, probes, keys, seq, state, each, held, since, block_rows)
     names = [c for c in probes.columns if c not in (*keys, seq)]
     u = updates.select(*keys, seq, F.struct(*state).alias("_tl_s"),
                        *[F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in names],
@@ -132,6 +145,112 @@ def last_as_of(updates: DataFrame, probes: DataFrame, keys: list[str], seq: str,
     return out.select(*keys, seq, *names, *[found[c].alias(c) for c in state])
 
 
+#: Rows of a group of ``_holders_as_of``, and probe-holder pairs looked up at once.
+GROUP_ROWS, PAIRS = 200_000, 1 << 20
+
+
+def _place(c: Column) -> list[Column]:
+    """A place as two numbers of up to 18 digits below and the rest above."""
+    big = F.lit(10 ** 18)
+    wide = c.cast("decimal(38,0)")
+    low = (wide % big).cast("bigint")
+    return [((wide - low) / big).cast("bigint"), low]
+
+
+def _holders_as_of(updates: DataFrame, probes: DataFrame, keys: list[str], seq: str, state: list[str],
+                   each: str, held: str, since: str, block_rows: int) -> DataFrame:
+    """``last_as_of`` with a state for every value of ``each``.
+
+    Updates and probes meet in groups of some ``GROUP_ROWS`` rows: many keys of one
+    block of ``seq``, which is cut into as many blocks as the longest key needs. The
+    last states before a block come into it as updates with their own places."""
+    names = [c for c in probes.columns if c not in (*keys, seq, since)]
+    blank = lambda df, cols: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in cols]
+    u = updates.select(*keys, seq, each, *state, held, *blank(probes, [since, *names]), F.lit(1).alias("_tl_u"))
+    p = written(probes.select(*keys, seq, *blank(updates, [each, *state, held]), since, *names, F.lit(0).alias("_tl_u")))
+    sizes = u.select(*keys, seq).unionByName(p.select(*keys, seq)).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min(seq).alias("least"), F.max(seq).alias("most"))
+    n, longest, least, most = sizes.agg(F.sum("n"), F.max("n"), F.min("least"), F.max("most")).first()
+    blocks = -(-(longest or 1) // min(block_rows, GROUP_ROWS))
+    step = max(float((most or 0) - (least or 0)) / blocks, 1.0)
+    block = F.least(F.floor((F.col(seq) - F.lit(least)).cast("double") / step), F.lit(blocks - 1))
+    u, p = u.withColumn("_tl_b", block), p.withColumn("_tl_b", block)
+    rows = u.unionByName(p)
+    if blocks > 1:
+        ends = u.groupBy(*keys, each, "_tl_b").agg(F.max_by(F.struct(seq, *state, held), seq).alias("_tl_e"))
+        after = F.lead("_tl_b").over(Window.partitionBy(*keys, each).orderBy("_tl_b"))
+        asked = p.select(*keys, F.col("_tl_b").alias("_tl_at")).distinct()
+        # the state at a block's begin is the last end before it
+        begins = (ends.withColumn("_tl_next", after).join(asked, keys)
+                  .where((F.col("_tl_at") > F.col("_tl_b")) & (F.col("_tl_at") <= F.coalesce("_tl_next", "_tl_at"))))
+        rows = rows.unionByName(begins.select(
+            *keys, each, *[F.col(f"_tl_e.{c}").alias(c) for c in (seq, *state, held)],
+            *blank(probes, [since, *names]), F.lit(1).alias("_tl_u"), F.col("_tl_at").alias("_tl_b")))
+    groups = max(-(-(n or 1) // (GROUP_ROWS * blocks)), 1)
+    rows = rows.withColumns(dict(zip(["_tl_hi", "_tl_lo"], _place(F.col(seq)), strict=True)))
+    rows = rows.withColumns(dict(zip(["_tl_shi", "_tl_slo"], _place(F.col(since)), strict=True))).drop(since)
+    out = [*keys, seq, *names, each, *state]
+    schema = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in out])
+
+    def find(t: pa.Table) -> pa.Table:
+        return _held_rows(t, keys, [*keys, seq, *names], each, state, held).cast(to_arrow(schema))
+
+    from pyspark.sql.pandas.types import to_arrow_schema as to_arrow
+    return (rows.groupBy(F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("_tl_g"), "_tl_b")
+            .applyInArrow(find, schema))
+
+
+def _codes(*columns) -> np.ndarray:
+    """Numbers that tell the rows of the columns apart."""
+    out = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        one = c if isinstance(c, np.ndarray) else pc.dictionary_encode(
+            c, null_encoding="encode").combine_chunks().indices.to_numpy(zero_copy_only=False)
+        out = np.unique(out * (int(one.max(initial=0)) + 1) + one, return_inverse=True)[1]
+    return out
+
+
+def _held_rows(t: pa.Table, keys: list[str], own: list[str], each: str, state: list[str], held: str) -> pa.Table:
+    """The probes of a group, each with the states held at its place."""
+    number = lambda c, null: pc.fill_null(t[c], null).to_numpy()
+    update = t["_tl_u"].to_numpy()
+    hi, lo = number("_tl_hi", 0), number("_tl_lo", 0)
+    first = np.iinfo(np.int64).min
+    since_hi, since_lo = number("_tl_shi", first), number("_tl_slo", first)
+    alive = pc.fill_null(t[held], False).to_numpy()
+    rank = np.empty(len(update), np.int64)          # of equal places, probes come first
+    rank[np.lexsort((update, lo, hi))] = np.arange(len(update))
+    key = _codes(*[t[c] for c in keys])
+    ups, probes = np.flatnonzero(update == 1), np.flatnonzero(update == 0)
+    pair = _codes(key[ups], t[each].take(pa.array(ups)))        # ordered by key, then holder
+    order = np.lexsort((rank[ups], pair))
+    ups, pair = ups[order], pair[order]
+    line = pair * len(update) + rank[ups]
+    pair_key = key[ups[np.unique(pair, return_index=True)[1]]]
+    start, stop = (np.searchsorted(pair_key, key[probes], side) for side in ("left", "right"))
+    many = stop - start
+    left, right = [], []
+    cuts = np.flatnonzero(np.diff(np.cumsum(many) // PAIRS, prepend=0))
+    for some in np.split(np.arange(len(probes)), cuts):
+        who = np.repeat(some, many[some])
+        nth = np.arange(len(who)) - np.repeat(np.cumsum(many[some]) - many[some], many[some])
+        p, row = start[who] + nth, probes[who]
+        at = np.searchsorted(line, p * len(update) + rank[row]) - 1
+        fits = at >= 0
+        fits[fits] = pair[at[fits]] == p[fits]
+        at = np.where(fits, at, 0)
+        found = ups[at] if len(ups) else at
+        later = (hi[found] > since_hi[row]) | ((hi[found] == since_hi[row]) & (lo[found] >= since_lo[row]))
+        good = fits & later & alive[found]
+        none = np.setdiff1d(some, who[good])
+        left += [row[good], probes[none]]
+        right += [found[good], np.full(len(none), -1)]
+    left, right = (np.concatenate(x or [np.zeros(0, np.int64)]).astype(np.int64) for x in (left, right))
+    states = t.select([each, *state]).take(pa.array(right, mask=right < 0))
+    mine = t.select(own).take(pa.array(left))
+    return pa.table({**{c: mine[c] for c in own}, **{c: states[c] for c in (each, *state)}})
+
+
 def placement_as_of(lines: DataFrame, at: str = "task", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """P2 at run time: where a task's partition was stored when the task was
     launched (``at="task"``: its TaskStart line) or when its stage was submitted
@@ -166,27 +285,20 @@ def placement_as_of(lines: DataFrame, at: str = "task", block_rows: int = BLOCK_
 
     updates = ev.block_update_events(lines).where(F.col("block_id").rlike(r"^rdd_\d+_\d+$")).select(
         F.col("log").alias("app"), number(1).alias("rdd_id"), number(2).alias("part_id"),
-        F.col("exec_id").alias("storage_executor"), "seq", F.col("seq").alias("stored_at"), "memsize", "disksize",
+        F.col("exec_id").alias("storage_executor"), "seq", "memsize", "disksize",
         (F.col("use_disk") | F.col("use_memory") | F.col("use_off_heap")).alias("held"))
     key = ["app", "rdd_id", "part_id"]
     updates = written(updates)
-    # a probe asks every executor that ever reported its block
-    owners = updates.select(*key, "storage_executor").distinct()
-    asked = probes.where(F.col("rdd_id").isNotNull() & F.col("seq").isNotNull()).join(owners, key)
-    known = last_as_of(updates, asked, [*key, "storage_executor"], "seq",
-                       ["stored_at", "memsize", "disksize", "held"], block_rows=block_rows)
     # a few lines for each RDD
     gone = ev.unpersist_events(lines, seq=True).groupBy(F.col("log").alias("app"), "rdd_id").agg(
         F.collect_set("seq").alias("gone"))
-    dropped = F.exists("gone", lambda g: (g > F.col("stored_at")) & (g < F.col("seq")))
-    held = (known.where("held").join(gone, ["app", "rdd_id"], "left")
-            .where(~F.coalesce(dropped, F.lit(False)))
-            .select("app", "task_id", "stage_id", "rdd_id", "part_id", "seq", "storage_executor", "memsize", "disksize"))
-    on = ["app", "stage_id", "task_id", "part_id", "rdd_id", "seq"]
-    salted = probes.withColumn("rdd_id", F.coalesce("rdd_id", -1 - F.pmod(F.col("task_id"), F.lit(1 << 20)).cast("int")))
-    out = salted.join(held, on, "left")
-    return out.select("app", "stage_id", "task_id", "part_id", F.when(F.col("rdd_id") >= 0, F.col("rdd_id")).alias("rdd_id"),
-                      "exec_executor", "storage_executor", "memsize", "disksize")
+    asked = F.col("rdd_id").isNotNull() & F.col("seq").isNotNull()
+    last_gone = F.array_max(F.filter("gone", lambda g: g < F.col("seq")))
+    known = last_as_of(updates, probes.where(asked).join(gone, ["app", "rdd_id"], "left")
+                       .withColumn("since", last_gone).drop("gone"), key, "seq", ["memsize", "disksize"],
+                       block_rows=block_rows, each="storage_executor", held="held", since="since")
+    columns = ["app", "stage_id", "task_id", "part_id", "rdd_id", "exec_executor", "storage_executor", "memsize", "disksize"]
+    return known.select(*columns).unionByName(probes.where(~asked).select(*columns[:6]), allowMissingColumns=True)
 
 
 def executor_partitions(locations: DataFrame, by: str = "exec_id", page_size: int = 4096) -> DataFrame:
