@@ -1,16 +1,23 @@
 """The task table of a log, kept by a stateful stream (M6).
 
-Every stage of an application is one key. Its state holds the submissions of its
-attempts (a map), the latest end of the jobs that list it (a value) and the tasks
-that wait for it (a list). When the event time has passed the latest end by
-``linger``, a timer sends the waiting tasks of the last attempt on, timed against
-its submission and that end: the same rows as ``operators.metrics`` makes of the
-whole log, also for retried stages and for stages that several jobs share.
+Every stage of an application belongs to one key, and a key holds some stages: those
+of a span of ``SPAN`` ids are dealt to ``SHARES`` keys by hash. So the stages of a
+short log each have a key, and in a long one a key's few state calls serve many
+stages, of ids that run at about the same time. The state of a key holds a row for
+each stage (its last attempt with its submission, the latest end of the jobs that
+list it, the time it is due), the tasks that have come, and the tasks that were found
+waiting for a later end, by stage. When the event time has passed a stage's
+latest end by ``linger``, a timer sends the waiting tasks of the last attempt on,
+timed against its submission and that end: the same rows as ``operators.metrics``
+makes of the whole log, also for retried stages and for stages that several jobs
+share. A key has one timer, at the earliest time a stage of it is due; a task is read
+when that comes, and once more if its own stage was due later.
 
 Nothing is dropped for being late: only rows that serve as the clock carry an event
-time. Tasks that arrive after their stage was sent on go on with the next timer,
-and a job that ends more than ``linger`` after the others changes later rows
-only. Tasks of a stage no job of which has ended wait in the state.
+time, and they go no further than the watermark. Tasks that arrive after their stage
+was sent on go on with the next timer, and a job that ends more than ``linger``
+after the others changes later rows only. Tasks of a stage no job of which has ended
+wait in the state.
 
 A job's end names no stage, so jobs are joined to their ends first. That join
 has no bound on time; its state is a row for each job and stage, not for each
@@ -19,10 +26,12 @@ task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -37,7 +46,6 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 #: TaskEnd fields that the statistics need besides the three times.
 TASK_METRICS = [m for m in INDEX_STAT_METRICS if m not in ("serviceTime", "sojournTime", "waitingTime")]
 _TASK = ["task_id", "task_index", "launch_ms", "finish_ms", *TASK_METRICS]
-_TASK_TYPES = [L, I, L, L] + [L] * len(TASK_METRICS)
 
 OUT = T.StructType([
     T.StructField("app", S), T.StructField("taskId", L), T.StructField("stageId", L), T.StructField("taskIndex", I),
@@ -45,101 +53,197 @@ OUT = T.StructType([
     *[T.StructField(m, L) for m in TASK_METRICS]])
 
 
+#: Stage ids that share keys, keys that they are dealt to.
+SPAN_BITS, SHARES = 14, 64
+#: Tasks that are written to the state at once.
+CHUNK = 4096
+
+
 class TaskTable(StatefulProcessor):
-    """Rows of one stage: kind 't' a task, 's' a submission, 'e' a job's end,
-    'c' a row that only moves the clock."""
+    """Rows of some stages: kind 't' a task, 's' a submission, 'e' a job's end."""
 
-    def __init__(self, linger_ms: int):
-        self.linger = linger_ms
+    def __init__(self, linger_ms: int, chunk: int = CHUNK):
+        self.linger, self.chunk = linger_ms, chunk
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         def struct(names, types):
             return T.StructType([T.StructField(n, t) for n, t in zip(names, types, strict=True)])
         self.handle = handle
-        self.attempts = handle.getMapState("attempts", struct(["attempt"], [I]), struct(["submission_ms"], [L]))
-        self.end = handle.getValueState("end", struct(["end_ms", "timer"], [L, L]))
-        self.tasks = handle.getListState("tasks", struct(["attempt", *_TASK], [I, *_TASK_TYPES]))
+        self.stages = handle.getListState("stages", struct(
+            ["stage_id", "attempt", "submission_ms", "end_ms", "due", "chunks"], [L, I, L, L, L, I]))
+        # JSON lists of tasks as ``stage_rows`` makes them: a value for each task is slow
+        self.tasks = handle.getListState("tasks", struct(["tasks"], [S]))
+        self.waiting = handle.getMapState("waiting", struct(["stage_id", "chunk"], [L, I]), struct(["tasks"], [S]))
+
+    def known(self) -> dict[int, "_Stage"]:
+        return {s[0]: _Stage(*s) for s in self.stages.get()}
+
+    def keep(self, stages: dict[int, "_Stage"], timer: int | None) -> None:
+        """Write the stages and let the key's timer, now at ``timer``, follow them."""
+        due = min((s.due for s in stages.values() if s.due), default=None)
+        if due != timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            if due:
+                self.handle.registerTimer(due)
+        self.stages.put([s.row() for s in stages.values()])
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        tasks, latest, submitted = [], None, False
+        stages = self.known()
+        timer = min((s.due for s in stages.values() if s.due), default=None)
+        at, tasks, changed = None, [], set()
         for r in rows:
-            if r.kind == "t":
-                tasks.append((r.attempt, *[r[c] for c in _TASK]))
-            elif r.kind == "s":
-                self.attempts.updateValue((r.attempt,), (r.at_ms,))
-                submitted = True
-            elif r.kind == "e":
-                latest = max(r.at_ms, latest or r.at_ms)
-        if tasks:
-            self.tasks.appendList(tasks)
-        known = self.end.get() if self.end.exists() else None
-        if known is None and latest is None:
+            at = at or _places(r)
+            kind, stage_id, attempt, ms, task = (r[i] for i in at)
+            if kind == "c":
+                continue
+            s = stages.get(stage_id)
+            if s is None:
+                s = stages[stage_id] = _Stage(stage_id)
+            if kind == "t":
+                tasks.append(task)
+                if len(tasks) == self.chunk:
+                    self.tasks.appendValue((_list(tasks),))
+                    tasks = []
+            elif kind == "s":
+                if s.attempt is None or attempt >= s.attempt:
+                    s.attempt, s.submission_ms = attempt, ms
+            elif ms is None or (s.end_ms is not None and ms <= s.end_ms):
+                continue
+            else:
+                s.end_ms = ms
+            changed.add(stage_id)
+        if not changed:
             return iter(())
-        end = max(x for x in (latest, known and known[0]) if x is not None)
-        timer = max(end + self.linger, timerValues.getCurrentWatermarkInMs() + 1)
-        if tasks or submitted or known is None or end > known[0]:
-            if known is not None and known[1]:
-                self.handle.deleteTimer(known[1])
-            self.handle.registerTimer(timer)
-            self.end.update((end, timer))
+        if tasks:
+            self.tasks.appendValue((_list(tasks),))
+        now = None
+        for s in map(stages.__getitem__, changed):
+            if s.end_ms is not None:
+                now = now if now is not None else timerValues.getCurrentWatermarkInMs() + 1
+                s.due = max(s.end_ms + self.linger, now)
+        self.keep(stages, timer)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        end = self.end.get()[0]
-        self.end.update((end, 0))
-        attempts = {a[0]: s[0] for a, s in self.attempts.iterator()} if self.attempts.exists() else {}
-        waiting = list(self.tasks.get()) if self.tasks.exists() else []
-        if not attempts:                         # the stage's own line has not come yet
-            return
-        last = max(attempts)
-        start = attempts[last]
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        stages, ready = self.known(), {}
+        for s in stages.values():
+            if s.due and s.due <= now:
+                s.due = 0
+                if s.attempt is not None:        # else the stage's own line has not come yet
+                    ready[s.stage_id] = s
+        later: dict[int, list] = {}
+        for t in (t for chunk in self.tasks.get() for t in json.loads(chunk[0])):
+            s = ready.get(t[0])
+            if s is None:
+                rest = later.setdefault(t[0], [])
+                rest.append(t)
+                if len(rest) == self.chunk:
+                    self.wait(stages[t[0]], rest)
+                    later[t[0]] = []
+            elif t[1] == s.attempt:
+                yield _row(key[0], s, t[2:])
         self.tasks.clear()
-        for t in waiting:
-            attempt, task_id, index, launch, finish, *metrics = t
-            if attempt == last:
-                yield Row(*OUT.names)(*_row(key, task_id, index, launch, finish, start, end), *metrics)
+        for stage_id, rest in later.items():
+            if rest:
+                self.wait(stages[stage_id], rest)
+        for s in ready.values():
+            for n in range(s.chunks):
+                for t in json.loads(self.waiting.getValue((s.stage_id, n))[0]):
+                    if t[1] == s.attempt:
+                        yield _row(key[0], s, t[2:])
+                self.waiting.removeKey((s.stage_id, n))
+            s.chunks = 0
+        self.keep(stages, None)                  # the timer that has fired is gone
+
+    def wait(self, stage: "_Stage", tasks: list) -> None:
+        self.waiting.updateValue((stage.stage_id, stage.chunks), (json.dumps(tasks),))
+        stage.chunks += 1
 
     def close(self) -> None:
         pass
 
 
-def _row(key, task_id, index, launch, finish, start, end) -> tuple:
+@dataclass
+class _Stage:
+    """What is known of a stage. ``attempt`` is the last one; ``due`` is 0 when it
+    waits for nothing; ``chunks`` of its tasks wait apart from the others."""
+    stage_id: int
+    attempt: int | None = None
+    submission_ms: int | None = None
+    end_ms: int | None = None
+    due: int = 0
+    chunks: int = 0
+
+    def row(self) -> tuple:
+        return self.stage_id, self.attempt, self.submission_ms, self.end_ms, self.due, self.chunks
+
+
+def _places(r: Row) -> list[int]:
+    names = r.__fields__
+    return [names.index(c) for c in ("kind", "stage_id", "attempt", "at_ms", "task")]
+
+
+def _list(tasks: list[str]) -> str:
+    return f"[{','.join(tasks)}]"
+
+
+_OUT_ROW = Row(*OUT.names)
+
+
+def _row(app: str, stage: _Stage, task: Sequence) -> Row:
     def span(a, b):
         return None if a is None or b is None else float(a - b)
-    return (key[0], task_id, key[1], index, finish, span(end, start), span(launch, start), span(finish, launch))
+    task_id, index, launch, finish, *metrics = task
+    start, end = stage.submission_ms, stage.end_ms
+    return _OUT_ROW(app, task_id, stage.stage_id, index, finish, span(end, start), span(launch, start),
+                    span(finish, launch), *metrics)
 
 
 def stage_rows(lines: DataFrame, watermark: str) -> DataFrame:
-    """The rows of ``TaskTable`` from streamed (or batch) lines."""
-    blank = [F.lit(None).cast(t).alias(c) for c, t in zip(_TASK, _TASK_TYPES, strict=True)]
+    """The rows of ``TaskTable`` from streamed (or batch) lines. A task is a JSON list:
+    its stage and attempt, and the numbers of ``_TASK``."""
+    def attempt(name: str) -> Column:
+        return F.coalesce(name, F.lit(-1))
+    facts = ["kind", "app", "stage_id", "attempt", "at_ms", "task"]
+    task = F.to_json(F.array(*[F.col(c).cast(L) for c in ("stage_id", "attempt", *_TASK)]))
     tasks = ev.task_end_events(lines, ["stage_id", "stage_attempt", *_TASK]).select(
-        F.lit("t").alias("kind"), F.col("log").alias("app"), "stage_id", F.col("stage_attempt").alias("attempt"),
-        F.lit(None).cast(L).alias("at_ms"), *_TASK)
+        F.lit("t").alias("kind"), F.col("log").alias("app"), attempt("stage_attempt").alias("attempt"),
+        F.lit(None).cast(L).alias("at_ms"), "stage_id", *_TASK).withColumn("task", task).select(*facts)
+    none = F.lit(None).cast(S).alias("task")
     submitted = ev.stage_events(lines).select(
-        F.lit("s").alias("kind"), F.col("log").alias("app"), "stage_id", "attempt",
-        F.col("submission_ms").alias("at_ms"), *blank)
+        F.lit("s").alias("kind"), F.col("log").alias("app"), "stage_id", attempt("attempt").alias("attempt"),
+        F.col("submission_ms").alias("at_ms"), none)
     listed = ev.job_start_events(lines).select(
         F.col("log").alias("app"), "job_id", F.explode("stage_ids").alias("stage_id"))
     ended = ev.job_end_events(lines).select(
         F.col("log").alias("e_app"), F.col("job_id").alias("e_job"), F.col("end_ms").alias("at_ms"))
     ends = listed.join(ended, (F.col("app") == F.col("e_app")) & (F.col("job_id") == F.col("e_job"))).select(
-        F.lit("e").alias("kind"), "app", "stage_id", F.lit(None).cast(I).alias("attempt"), "at_ms", *blank)
-    clock = ev.job_end_events(lines).select(     # a key of its own: it needs no stage
+        F.lit("e").alias("kind"), "app", "stage_id", F.lit(None).cast(I).alias("attempt"), "at_ms", none)
+    clock = ev.job_end_events(lines).select(     # it needs no stage
         F.lit("c").alias("kind"), F.col("log").alias("app"), F.lit(-1).cast(L).alias("stage_id"),
-        F.lit(None).cast(I).alias("attempt"), F.col("end_ms").alias("at_ms"), *blank)
+        F.lit(None).cast(I).alias("attempt"), F.col("end_ms").alias("at_ms"), none)
     rows = tasks.unionByName(submitted).unionByName(ends).unionByName(clock)
     # a row without an event time is never late
     time = F.when(F.col("kind") == "c", F.timestamp_millis("at_ms"))
     return rows.withColumn("ts", time).withWatermark("ts", watermark)
 
 
-def task_table_stream(lines: DataFrame, linger_ms: int, watermark: str = "1 second") -> DataFrame:
+def task_table_stream(lines: DataFrame, linger_ms: int, watermark: str = "1 second",
+                      shares: int = SHARES, chunk: int = CHUNK) -> DataFrame:
     """Stream of the task table's rows that the statistics need: ``OUT``.
 
     ``linger_ms``: event time that a stage waits after the latest end of its jobs
-    for another job that shares it; ``watermark``: the delay of the clock."""
-    return (stage_rows(lines, watermark).groupBy("app", "stage_id")
-            .transformWithState(TaskTable(linger_ms), OUT, outputMode="Append", timeMode="EventTime"))
+    for another job that shares it; ``watermark``: the delay of the clock;
+    ``shares``: keys to which the stages of a span of ids are dealt; ``chunk``: tasks
+    of a value of the state."""
+    # the clock has done its work; a filter on the event time stays behind the watermark
+    rows = (stage_rows(lines, watermark).where(F.col("ts").isNull())
+            .withColumn("span", F.shiftright("stage_id", SPAN_BITS))
+            .withColumn("share", F.pmod(F.xxhash64("stage_id"), F.lit(shares))))
+    return (rows.groupBy("app", "span", "share")
+            .transformWithState(TaskTable(linger_ms, chunk), OUT, outputMode="Append", timeMode="EventTime"))
 
 
 @contextmanager
