@@ -7,6 +7,9 @@ memory, so a whole document (not a prefix) is processed in one call.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from hashlib import md5
+
 import numpy as np
 
 _BLOCK = 32          # within-block pairs are compared directly
@@ -102,6 +105,69 @@ def block_summary(a: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     return pair_sign_sum(a), hist, below - above
 
 
+_MD5_T = np.floor(np.abs(np.sin(np.arange(1, 65))) * 2.0 ** 32).astype(np.uint32)
+_MD5_S = np.repeat([[7, 12, 17, 22], [5, 9, 14, 20], [4, 11, 16, 23], [6, 10, 15, 21]], 4, axis=0).ravel().astype(np.uint32)
+
+
+def md5_heads(block: np.ndarray) -> np.ndarray:
+    """First 8 bytes of the md5 of messages of one block each, as big-endian numbers.
+
+    ``block``: (messages, 64) bytes, padded as md5 wants it. All messages go through
+    a step together: many short ones are hashed several times faster than one by one."""
+    m = np.ascontiguousarray(block.view("<u4").T)
+    start = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (np.full(len(block), x, np.uint32) for x in start)
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f += a
+        f += m[g]
+        f += _MD5_T[i]
+        a, d, c, turned = d, c, b, f << _MD5_S[i]
+        turned |= f >> np.uint32(32 - _MD5_S[i])
+        turned += b
+        b = turned
+    first, second = ((x + y).byteswap().astype(np.uint64) for x, y in zip((a, b), start, strict=False))
+    return (first << np.uint64(32)) | second
+
+
+@lru_cache(4)
+def _numbers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers 1 to n as text, each with the byte that ends an md5 message, and their lengths."""
+    text = [b"%d" % k for k in range(1, n + 1)]
+    size = np.array([len(t) for t in text])
+    rows = b"".join((t + b"\x80").ljust(len(text[-1]) + 1, b"\0") for t in text)
+    return np.frombuffer(rows, np.uint8).reshape(n, -1), size
+
+
+def uniforms(keys: list[str], n: int) -> np.ndarray:
+    """U of ``functions.rng`` for ``<key>:1`` to ``<key>:n``, a row for each key: the
+    first 52 bits of each md5 and a half, over 2^52."""
+    text, size = _numbers(n)
+    block = np.zeros((len(keys), n, 64), np.uint8)
+    long = {}
+    for row, key in zip(block, keys, strict=True):
+        prefix = f"{key}:".encode()
+        end = len(prefix) + text.shape[1]
+        if end > 56:                                     # does not fit one block
+            long[key] = [md5(b"%s%d" % (prefix, k), usedforsecurity=False).digest()[:8] for k in range(1, n + 1)]
+            continue
+        row[:, :len(prefix)] = np.frombuffer(prefix, np.uint8)
+        row[:, len(prefix):end] = text
+        row[:, 56:58] = ((len(prefix) + size) * 8).astype("<u2").view(np.uint8).reshape(n, 2)
+    head = md5_heads(block.reshape(-1, 64)).reshape(len(keys), n)
+    for i, key in enumerate(keys):
+        if key in long:
+            head[i] = np.frombuffer(b"".join(long[key]), ">u8")
+    return ((head >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0 ** 52
+
+
 def scramble(b: bytes, pos: np.ndarray, val: np.ndarray) -> bytes:
     """W6 on one payload: byte ``pos[k]`` becomes ``val[k]`` for every k in
     order (a later write to a position wins); O(n + writes)."""

@@ -32,6 +32,11 @@ def _key(seed, tag, *ids) -> Column:
     return F.concat_ws(":", _s(seed), _s(tag), *[_s(i) for i in ids])
 
 
+def key(seed, tag, *ids) -> Column:
+    """What is hashed for a draw; ``bytes_np.uniforms`` takes it without the last id."""
+    return _key(seed, tag, *ids)
+
+
 def uniform(seed, tag, *ids) -> Column:
     """U in (0, 1), a deterministic function of its arguments."""
     hex13 = F.substring(F.md5(_key(seed, tag, *ids)), 1, 13)

@@ -106,14 +106,25 @@ def log_walk(payload: Column, seed, *ids: Column) -> Column:
 # ------------------------------------------------------------------ W6
 
 
+#: Draws that are made at once.
+_DRAWS = 1 << 14
+
+
 @F.arrow_udf(T.BinaryType())
-def _scramble_udf(payload: pa.Array, pos: pa.Array, val: pa.Array) -> pa.Array:
+def _scramble_udf(payload: pa.Array, positions: pa.Array, values: pa.Array, n_writes: pa.Array) -> pa.Array:
     out = []
-    for b, p, v in zip(payload, pos, val):
-        if not b.is_valid or not len(b.as_buffer()):
-            out.append(b.as_py())
-        else:
-            out.append(bytes_np.scramble(b.as_buffer(), p.values.to_numpy(), v.values.to_numpy()))
+    n = n_writes[0].as_py() if len(n_writes) else 1
+    step = max(_DRAWS // (2 * n), 1)
+    for at in range(0, len(payload), step):
+        keys = [*positions[at:at + step].to_pylist(), *values[at:at + step].to_pylist()]
+        where, what = np.split(bytes_np.uniforms(keys, n), 2)
+        what = np.floor(what * 256) - 128
+        for b, u, v in zip(payload[at:at + step], where, what):
+            if not b.is_valid or not len(b.as_buffer()):
+                out.append(b.as_py())
+            else:
+                data = b.as_buffer()
+                out.append(bytes_np.scramble(data, np.floor(u * len(data)).astype(np.int64), v))
     return pa.array(out, pa.binary())
 
 
@@ -129,12 +140,12 @@ def scramble_bytes(payload: Column, seed, id_col: Column, n_writes: int) -> Colu
 
     Write k (1..n_writes) goes to ``floor(U(seed,'w6p',id,k)·n)`` with the
     value ``floor(U(seed,'w6v',id,k)·256) - 128``; a later write to the same
-    position wins. Count-based instead of clock-based. The writes are drawn
-    as Column expressions and assigned at once: O(n + writes).
+    position wins. Count-based instead of clock-based. The writes are drawn where
+    they are made, from the keys up to k, and assigned at once: O(n + writes).
     """
     if n_writes < 1:
         return payload
-    return _scramble_udf(payload, *_writes(payload, seed, id_col, n_writes))
+    return _scramble_udf(payload, rng.key(seed, "w6p", id_col), rng.key(seed, "w6v", id_col), F.lit(int(n_writes)))
 
 
 def scramble_head(payload: Column, seed, id_col: Column, n_writes: int) -> Column:
