@@ -10,7 +10,7 @@ in one task. Here the work is linear and split:
 2. the rows of a larger group are dealt to ranges of its order
    (``plans.ranking.ranges_within``: whole order keys, about ``SPLIT_ROWS`` rows), and a
    range is cut into blocks of ``block_size`` consecutive rows; each block is one
-   row (``collect_list`` bounded by ``block_size``) and an Arrow UDF returns its
+   row (``collect_list`` bounded by ``block_size``) and an Arrow function returns its
    inner sign sum, its 256-bin value histogram h and
    D[u] = #{v in block: v < u} - #{v in block: v > u};
 3. pairs across blocks: Σ_b Σ_u h_b[u] · Σ_{b' > b} D_b'[u], a suffix sum
@@ -21,8 +21,9 @@ Values must be signed bytes (-128..127), the reference's element type.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,32 +32,72 @@ from pyspark.sql import types as T
 from ..functions import bytes_np
 from ..plans.ranking import SPLIT_ROWS, ranges_within, same_keys
 
-_SUMMARY = T.StructType([
-    T.StructField("inner", T.LongType()),
-    T.StructField("hist", T.ArrayType(T.LongType())),
-    T.StructField("d", T.ArrayType(T.LongType())),
-])
-
-
-@F.pandas_udf(_SUMMARY)
-def _block_summary_udf(values: pd.Series, want_hist: pd.Series) -> pd.DataFrame:
-    """One block per row: its values already in position order."""
-    inner, hists, ds = [], [], []
-    for vals, wh in zip(values, want_hist):
-        val = np.asarray(vals, dtype=np.int64)
-        if len(val) and (val.min() < -128 or val.max() > 127):
-            raise ValueError("pair_sign_sum_rows expects signed byte values")
-        a = val.astype(np.int8)
-        if wh:
-            s, h, d = bytes_np.block_summary(a)
-            hists.append(h)
-            ds.append(d)
-        else:
-            s = bytes_np.pair_sign_sum(a)
-            hists.append(None)
-            ds.append(None)
-        inner.append(s)
-    return pd.DataFrame({"inner": inner, "hist": hists, "d": ds})
+#: Values of the blocks that are summed up and handed back at once.
+BATCH_VALUES, BATCH_BLOCKS = 1 << 18, 256
+
+
+def _summaries(keys: list[T.StructField]) -> tuple[Callable, T.StructType]:
+    """Function and schema of (keys..., inner, hist, d) of rows (keys..., whether a
+    histogram is wanted, the block's values in order or its bytes). A part of
+    a batch is in hand at a time, so memory does not follow the number of blocks."""
+    names = [*[k.name for k in keys], "inner", "hist", "d"]
+    longs = T.ArrayType(T.LongType())
+
+    def lists(rows: list, at: list[int], n: int) -> pa.Array:
+        size = np.zeros(n, np.int64)
+        size[at] = 256
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(flat),
+                                        mask=pa.array(size == 0))
+
+    def run(batches):
+        for whole in batches:
+            column = whole.column(whole.num_columns - 1)
+            start = 0
+            while start < whole.num_rows:
+                n = held = 0
+                while n < BATCH_BLOCKS and start + n < whole.num_rows and (not n or held < BATCH_VALUES):
+                    block = column[start + n]
+                    held += len(block) if block.is_valid and pa.types.is_list(column.type) else len(block.as_buffer() or b"") if block.is_valid else 0
+                    n += 1
+                part = whole.slice(start, n)
+                start += n
+                inner, hists, ds, at = [], [], [], []
+                for i, (want, block) in enumerate(zip(part.column(len(keys)).to_pylist(), part.column(len(keys) + 1), strict=True)):
+                    a = _signed(block)
+                    if want:
+                        total, hist, d = bytes_np.block_summary(a)
+                        hists.append(hist)
+                        ds.append(d)
+                        at.append(i)
+                    else:
+                        total = bytes_np.pair_sign_sum(a)
+                    inner.append(total)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:len(keys)], pa.array(inner, pa.int64()), lists(hists, at, n), lists(ds, at, n)],
+                    names=names)
+
+    more = [T.StructField("inner", T.LongType()), T.StructField("hist", longs), T.StructField("d", longs)]
+    return run, T.StructType([*keys, *more])
+
+
+def _signed(block: pa.Scalar) -> np.ndarray:
+    """Signed bytes of a list of values or of a binary."""
+    if not block.is_valid:
+        return np.zeros(0, np.int8)
+    if not isinstance(block, pa.ListScalar):
+        return bytes_np.as_int8(block.as_py())
+    val = block.values.to_numpy(zero_copy_only=False)
+    if len(val) and (val.min() < -128 or val.max() > 127):
+        raise ValueError("pair_sign_sum_rows expects signed byte values")
+    return val.astype(np.int8)
+
+
+def _summed_blocks(blocks: DataFrame, group: list[str], multi: Column, values: Column) -> DataFrame:
+    """(group..., _tl_blk, _tl_multi, inner, hist, d) of block rows."""
+    rows = blocks.select(*group, "_tl_blk", multi.alias("_tl_multi"), multi.alias("_tl_want"), values.alias("_tl_v"))
+    run, schema = _summaries(rows.schema.fields[:-2])
+    return rows.mapInArrow(run, schema)
 
 
 def pair_sign_sum_rows(df: DataFrame, group: list[str], value: str | Column,
@@ -64,7 +105,7 @@ def pair_sign_sum_rows(df: DataFrame, group: list[str], value: str | Column,
     """``(group..., pair_sign_sum BIGINT)`` for every group of ``df``.
 
     Rows with a NULL value are left out. The block summaries of large groups (an
-    Arrow UDF) are computed once and feed a single table of cells: per block one
+    Arrow function) are computed once and feed a single table of cells: per block one
     ``inner`` cell and its 256 value cells.
     """
     v = F.col(value) if isinstance(value, str) else value
@@ -84,8 +125,7 @@ def pair_sign_sum_rows(df: DataFrame, group: list[str], value: str | Column,
               .groupBy(*group, "_tl_blk")
               .agg(F.array_sort(F.collect_list(F.struct(F.col("_tl_pos").alias("pos"),
                                                         F.col("_tl_v").alias("v")))).alias("items")))
-    summ = blocks.select(*group, "_tl_blk", F.lit(True).alias("_tl_multi"), _block_summary_udf(
-        F.transform("items", lambda x: x["v"]), F.lit(True)).alias("s"))
+    summ = _summed_blocks(blocks, group, F.lit(True), F.transform("items", lambda x: x["v"]))
     return out.unionByName(_combine_blocks(summ, group))
 
 
@@ -99,15 +139,15 @@ def _short_sums(batches):
 
 
 def _combine_blocks(summ: DataFrame, group: list[str]) -> DataFrame:
-    """``(group..., _tl_blk, _tl_multi, s)`` block summaries -> sign sums.
+    """``(group..., _tl_blk, _tl_multi, inner, hist, d)`` block summaries -> sign sums.
 
     One table of cells: per block its ``inner`` sum, and for groups of
     several blocks its 256 value cells (h, D). Pairs across blocks are
     sum over u of h_b[u] * (sum of D_b'[u] over later blocks b'), a suffix
     window per (group, u) over blocks."""
-    inner_cell = F.array(F.struct(F.lit(-1).alias("u"), F.col("s.inner").alias("h"),
+    inner_cell = F.array(F.struct(F.lit(-1).alias("u"), F.col("inner").alias("h"),
                                   F.lit(0).cast("bigint").alias("d")))
-    value_cells = F.transform(F.arrays_zip(F.col("s.hist").alias("h"), F.col("s.d").alias("d")),
+    value_cells = F.transform(F.arrays_zip(F.col("hist").alias("h"), F.col("d")),
                               lambda x, i: F.struct(i.alias("u"), x["h"].alias("h"), x["d"].alias("d")))
     cells = summ.select(*group, "_tl_blk", F.explode(
         F.when(F.col("_tl_multi"), F.concat(inner_cell, value_cells)).otherwise(inner_cell)).alias("c"))
@@ -120,24 +160,6 @@ def _combine_blocks(summ: DataFrame, group: list[str]) -> DataFrame:
             .groupBy(*group).agg(F.sum("_tl_part").alias("pair_sign_sum")))
 
 
-@F.pandas_udf(_SUMMARY)
-def _chunk_summary_udf(payloads: pd.Series, want_hist: pd.Series) -> pd.DataFrame:
-    """One chunk (BINARY) per row: its inner sign sum, histogram and D."""
-    inner, hists, ds = [], [], []
-    for b, wh in zip(payloads, want_hist):
-        a = bytes_np.as_int8(b if b is not None else b"")
-        if wh:
-            s, h, d = bytes_np.block_summary(a)
-            hists.append(h)
-            ds.append(d)
-        else:
-            s = bytes_np.pair_sign_sum(a)
-            hists.append(None)
-            ds.append(None)
-        inner.append(s)
-    return pd.DataFrame({"inner": inner, "hist": hists, "d": ds})
-
-
 def pair_sign_sum_chunked(df: DataFrame, keys: list[str], chunk: str = "chunk",
                           payload: str = "payload") -> DataFrame:
     """W3 for payloads stored as ordered chunk rows ``(keys..., chunk,
@@ -146,6 +168,4 @@ def pair_sign_sum_chunked(df: DataFrame, keys: list[str], chunk: str = "chunk",
     blocks = df.select(*keys, F.col(chunk).alias("_tl_blk"), F.col(payload).alias("_tl_p"))
     several = blocks.groupBy(*keys).agg((F.max("_tl_blk") > F.min("_tl_blk")).alias("_tl_multi"))
     blocks = same_keys(blocks, several, keys, "inner")
-    summ = blocks.select(*keys, "_tl_blk", "_tl_multi",
-                         _chunk_summary_udf("_tl_p", "_tl_multi").alias("s"))
-    return _combine_blocks(summ, keys)
+    return _combine_blocks(_summed_blocks(blocks, keys, F.col("_tl_multi"), F.col("_tl_p")), keys)
