@@ -11,11 +11,11 @@ because Spark searches a map from end to end.
 Documents are read in blocks of about ``BLOCK`` characters (or one longer
 document). A block holds its distinct words and each document as numbers of
 them, compressed. A word's rows, one for each block that holds it, meet in one
-task and come back to their blocks with its ids, so no text and no word of a
+task and come back to their blocks with its ids, packed by task and block, so no text and no word of a
 document is shuffled by itself. Decoding concatenates the ids' binary pieces.
 
 A null text counts as empty and has no ids. Words of over ``LONG`` bytes, for
-which a fold over arrays is quadratic, are merged by a heap in an Arrow UDF with
+which a fold over arrays is quadratic, are merged by a heap in an Arrow function with
 the same rule (leftmost pair of least rank). Long texts are whole blocks of their
 own. Repeated rows and null ids are kept, each with its ids. An empty table
 gives an empty result. No special token is known. Ids that are no piece of the
@@ -246,8 +246,9 @@ def listed_words(batches):
 
 
 def with_ids(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(block, place, ids): the rows of a word meet in one task, which folds its
-    merges at the first of them; one row for each block that holds the word."""
+    """(block, place, ids, long): the rows of a word meet in one task, which folds its
+    merges at the first of them; one row for each block that holds the word. A word of
+    over ``LONG`` bytes has no ids yet, but stands in ``long``."""
     n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # dealt out by number: the words are few bytes but much work, and would be coalesced
     dealt = words.repartition(n, "word").withColumn("bytes", F.encode("word", "utf-8"))
@@ -259,12 +260,66 @@ def with_ids(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     ids = dealt.withColumn("first", first).withColumn("ids", F.when(F.col("first") & ~long, folded))
     so_far = F.first("ids", ignorenulls=True).over(by_word.rowsBetween(Window.unboundedPreceding, 0))
 
-    @F.pandas_udf("array<int>")
-    def heap(column: pd.Series) -> pd.Series:
-        return column.map(lambda w: None if w is None else merge_long(bytes(w), ranks))
+    return ids.select("block", "place", so_far.alias("ids"), F.when(long, F.col("bytes")).alias("long"))
 
-    return ids.withColumn("ids", so_far).select(
-        "block", "place", F.coalesce("ids", heap(F.when(long, F.col("bytes")))).alias("ids"))
+
+#: Rows of words that a task packs at once.
+PACK_ROWS = 1 << 19
+
+
+def packed_by_block(batches, ranks: dict[bytes, int]):
+    """(block, [words, ids], places, counts, ids) of rows (block, place, ids, long): the
+    words that a task has for a block as compressed numbers, ``PACK_ROWS`` rows at a
+    time; long words are merged here. Row by row most of what goes back to the
+    blocks would be the rows' own frame."""
+    held, rows = [], 0
+
+    def packs():
+        block = np.concatenate([b for b, _, _, _ in held])
+        place = np.concatenate([p for _, p, _, _ in held])
+        count = np.concatenate([c for _, _, c, _ in held])
+        values = np.concatenate([v for _, _, _, v in held])
+        start = np.cumsum(count) - count
+        order = np.lexsort((place, block))
+        cuts = np.flatnonzero(np.diff(block[order])) + 1
+        for at in np.split(order, cuts):
+            n = count[at]
+            take = np.repeat(start[at] - np.cumsum(n) + n, n)
+            ids = values[take + np.arange(len(take))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block[at[:1]]), pa.array([[len(at), len(ids)]], pa.list_(pa.int64())),
+                 *[pa.array([packed_ints(x)], pa.binary()) for x in (np.diff(place[at], prepend=0), n, ids)]],
+                names=["block", "sizes", *PACKED_IDS])
+
+    for b in batches:
+        for i in np.flatnonzero(np.asarray(b.column(3).is_valid())).tolist():
+            ids = np.array(merge_long(b.column(3)[i].as_py(), ranks), np.int32)
+            held.append((b.column(0)[i:i + 1].to_numpy(), b.column(1)[i:i + 1].to_numpy(), np.array([len(ids)]), ids))
+        b = b.filter(b.column(3).is_null())
+        ids = b.column(2)
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), np.diff(ids.offsets.to_numpy()).astype(np.int64),
+                     ids.flatten().to_numpy()))
+        rows += b.num_rows
+        if rows >= PACK_ROWS:
+            yield from packs()
+            held, rows = [], 0
+    if any(len(b) for b, _, _, _ in held):
+        yield from packs()
+
+
+#: Compressed parts of the words of a block: distances of their places, numbers of their ids, the ids.
+PACKED_IDS = ["places", "counts", "ids"]
+
+
+def unpacked_words(known: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, numbers of ids, ids) of the packed rows of a block."""
+    parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4"))]
+    for r in known.to_pylist():
+        n, n_ids = r["sizes"]
+        places, counts = (unpacked_ints(r[c], n).astype(np.int64) for c in PACKED_IDS[:2])
+        parts.append((np.cumsum(places), counts, unpacked_ints(r["ids"], n_ids)))
+    place, count, ids = zip(*parts, strict=True)
+    return np.concatenate(place), np.concatenate(count), np.concatenate(ids)
 
 
 def encode(docs: DataFrame, by: list[str], ranks: dict[bytes, int], pattern: str, text: str = "text",
@@ -281,7 +336,8 @@ def encode(docs: DataFrame, by: list[str], ranks: dict[bytes, int], pattern: str
     blocks = word_blocks(docs, by, pattern, text).repartition(n, "block")
     # two readers of one exchange: a function keeps Spark from pruning its columns
     words = blocks.mapInArrow(listed_words, "block long, place int, word string")
-    merged = with_ids(words, ranks)
+    merged = with_ids(words, ranks).mapInArrow(
+        lambda batches: packed_by_block(batches, ranks), "block long, sizes array<bigint>, " + ", ".join(f"{c} binary" for c in PACKED_IDS))
     names = [f"c{i}" for i in range(len(by))]
     pieces_of = {rank: piece for piece, rank in ranks.items()} if decoded else None
     kinds = [docs.schema[c].dataType for c in by]
@@ -289,15 +345,11 @@ def encode(docs: DataFrame, by: list[str], ranks: dict[bytes, int], pattern: str
     results = ["ids", "decoded"] if decoded else ["ids"]
 
     def assemble(block: pa.Table, known: pa.Table) -> pa.Table:
-        known = known.combine_chunks()
-        place, pieces = known.column("place").to_numpy(), known.column("ids").combine_chunks()
-        if isinstance(pieces, pa.ChunkedArray):
-            pieces = pa.concat_arrays(pieces.chunks)
+        place, count, values = unpacked_words(known)
         size = np.empty(len(place), np.int64)
         start = np.empty(len(place), np.int64)
-        size[place] = np.diff(pieces.offsets.to_numpy())
-        start[place] = pieces.offsets.to_numpy()[:-1]
-        values = pieces.values.to_numpy().astype("<u4")
+        size[place] = count
+        start[place] = np.cumsum(count) - count
         out = []
         for i in range(block.num_rows):
             row = block.slice(i, 1)

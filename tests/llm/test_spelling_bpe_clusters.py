@@ -239,3 +239,29 @@ def test_very_long_text_is_counted(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {tuple(r) for r in S.spelling_variants(docs, shortest=2).collect()}
     assert got == variants(rows, None, shortest=2)
+
+
+def test_word_ids_go_back_to_their_blocks_packed(ranks, monkeypatch):
+    """A task hands back a few packed rows for each block, whatever the number of words,
+    long words merged; they unpack to the same places and ids."""
+    import numpy as np
+    import pyarrow as pa
+    r = np.random.default_rng(2)
+    rows = [(int(b), int(p), r.integers(0, 50_000, r.integers(1, 6)).tolist(), None)
+            for b in (7, 3 << 32, 5) for p in r.permutation(900)]
+    long = b"ab" * 300
+    rows[10] = (*rows[10][:2], None, long)
+    want = {(b, p): B.merge_long(x, ranks) if x else ids for b, p, ids, x in rows}
+    table = pa.table([pa.array(c, t) for c, t in zip(
+        zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary()), strict=True)],
+        names=["block", "place", "ids", "long"])
+    monkeypatch.setattr(B, "PACK_ROWS", 1000)
+    out = pa.Table.from_batches(B.packed_by_block(iter(table.to_batches(max_chunksize=300)), ranks))
+    assert out.num_rows <= 9 and out.nbytes < table.nbytes
+    got = {}
+    for b in (7, 3 << 32, 5):
+        place, count, ids = B.unpacked_words(out.filter(pa.compute.equal(out["block"], b)))
+        for p, part in zip(place.tolist(), np.split(ids, np.cumsum(count)[:-1]), strict=True):
+            got[b, p] = part.tolist()
+    assert got == want
+    assert list(B.packed_by_block(iter(table.slice(0, 0).to_batches()), ranks)) == []
