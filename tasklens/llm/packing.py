@@ -12,9 +12,10 @@ unused, so windows are full; what is left at the end of a task is cut into
 sequences of a power of two tokens, which need no padding.
 
 Token ids come from a byte-level BPE file of the tokenizers library (its path
-is a parameter). Latin texts are encoded by tiktoken from the same vocabulary,
-which gives the same ids several times faster; texts with other characters or
-with a special token's string go through tokenizers itself.
+is a parameter). Latin texts are cut into the pieces of the splitting pattern, many
+texts at once, and tiktoken encodes each distinct piece of these from the same
+vocabulary, which gives the same ids many times faster; texts with other characters
+or with a special token's string go through tokenizers itself.
 
 Edge cases: null and empty texts are the end token alone; repeated rows are
 packed one by one; a text longer than a shard is a shard; an empty table gives
@@ -26,10 +27,13 @@ from __future__ import annotations
 import bisect
 import heapq
 import json
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +49,16 @@ NEAREST = 64            # neighbours fetched at a time; more follow when these a
 K1, B = 1.2, 0.75
 #: Splitting pattern of the byte-level BPE of GPT-2 (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LATIN = 0x280           # characters below it are cut here, whatever the libraries' Unicode versions
+PIECE_BYTES = 4 << 20   # of texts whose distinct pieces are encoded together
+KEPT_PIECES = 1 << 18   # whose ids a task keeps,
+KEPT_LENGTH = 64        # of at most so many characters
+
+LETTER, NUMBER, SPACE, OTHER = range(4)
+#: Kind of every character below ``LATIN`` in the splitting pattern.
+KINDS = np.array([SPACE if c in (*range(9, 14), 32, 0x85, 0xA0) else
+                  {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER)
+                  for c in range(LATIN)], np.uint8)
 
 _ENCODERS: dict = {}
 
@@ -62,7 +76,7 @@ class Encoder:
     def __init__(self, path: str):
         import tiktoken
         from tokenizers import Tokenizer
-        self.slow = Tokenizer.from_file(path)
+        self.slow, self.kept = Tokenizer.from_file(path), {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.size = self.slow.get_vocab_size()
@@ -79,17 +93,85 @@ class Encoder:
             self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks,
                                           special_tokens={})
 
+    def latin(self, text) -> bool:
+        return bool(self.fast and np.frombuffer(text.encode("utf-8"), np.uint8).max() <= 0xC9 and not any(s in text for s in self.special))
+
     def ids(self, text) -> np.ndarray:
         """The ids of a text and the end token."""
-        if not isinstance(text, str) or not text:
-            return np.array([END], np.uint32)
-        raw = np.frombuffer(text.encode("utf-8"), np.uint8)
-        # up to U+024F, whatever the libraries' Unicode versions
-        if self.fast and raw.max() <= 0xC9 and not any(s in text for s in self.special):
-            ids = self.fast.encode_to_numpy(text)
-        else:
-            ids = np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.append(ids, np.uint32(END))
+        return self.ids_of([text])[0]
+
+    def ids_of(self, texts: list) -> list[np.ndarray]:
+        """The ids of each text and the end token."""
+        out, latin = [np.array([END], np.uint32)] * len(texts), []
+        for i, text in enumerate(texts):
+            if not isinstance(text, str) or not text:
+                continue
+            if self.latin(text):
+                latin.append(i)
+            else:
+                ids = self.slow.encode(text, add_special_tokens=False).ids
+                out[i] = np.array([*ids, END], np.uint32)
+        if latin:
+            for i, ids in zip(latin, self.latin_ids([texts[i] for i in latin]), strict=True):
+                out[i] = np.append(ids, np.uint32(END))
+        return out
+
+    def latin_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of Latin texts, none empty: each distinct piece is encoded once."""
+        joined = "".join(texts)
+        raw = joined.encode("utf-8")
+        first = np.cumsum([0, *map(len, texts)])[:-1]
+        ascii_only = len(raw) == len(joined)
+        chars = np.frombuffer(raw, np.uint8) if ascii_only else np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        begins = np.zeros(len(chars), bool)
+        begins[first] = True
+        start = np.flatnonzero(piece_starts(chars, begins))
+        bounds = start if ascii_only else (np.cumsum(chars >= 0x80) - (chars >= 0x80))[start] + start    # in UTF-8
+        pieces = pa.LargeStringArray.from_buffers(
+            len(start), pa.py_buffer(np.append(bounds, len(raw)).astype(np.int64)), pa.py_buffer(raw)).dictionary_encode()
+        known = [self.piece(p) for p in pieces.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat = np.frombuffer(b"".join(known), np.uint32)
+        which = pieces.indices.to_numpy()
+        count = size[which]
+        ends = np.append(0, np.cumsum(count))
+        ids = flat[np.repeat((np.cumsum(size) - size)[which] - ends[:-1], count) + np.arange(ends[-1])]
+        return np.split(ids, ends[np.searchsorted(start, first[1:])])
+
+    def piece(self, text: str) -> bytes:
+        """The ids of a piece; the last ``KEPT_PIECES`` or fewer are kept."""
+        ids = self.kept.get(text)
+        if ids is None:
+            if len(self.kept) >= KEPT_PIECES:
+                self.kept.clear()
+            ids = array("I", self.fast.encode_ordinary(text)).tobytes()
+            if len(text) <= KEPT_LENGTH:
+                self.kept[text] = ids
+        return ids
+
+
+def piece_starts(chars: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Which characters begin a piece of ``PATTERN``, in texts of characters below
+    ``LATIN`` that follow each other; ``begins`` marks the first one of each text."""
+    n, kind = len(chars), KINDS[chars]
+    start = begins.copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    # the last space before something is a piece, or goes with it if it is a blank
+    last = np.append((kind[:-1] == SPACE) & (kind[1:] != SPACE) & ~begins[1:], False)
+    start |= last
+    start[1:] &= ~(last & (chars == 32))[:-1]
+    # 's, 't, 're, 've, 'm, 'll and 'd where a piece begins
+    text = np.concatenate([chars, np.zeros(2, chars.dtype)]).astype(np.uint32, copy=False)
+    ends = np.concatenate([begins, np.ones(2, bool)])
+    quote = np.flatnonzero((chars == ord("'")) & start)
+    quote = quote[~ends[quote + 1]]
+    one = np.isin(text[quote + 1], [ord(c) for c in "stmd"])
+    pair = text[quote + 1] * 256 + text[quote + 2]
+    two = ~ends[quote + 2] & np.isin(pair, [ord(a) * 256 + ord(b) for a, b in ("re", "ve", "ll")])
+    start[quote[one | two] + 1] = False
+    for after in (quote[one] + 2, quote[two] + 3):
+        start[after[after < n]] = True
+    return start
 
 
 def encoder(path: str) -> Encoder:
@@ -115,10 +197,11 @@ def tokens(documents: DataFrame, path: str) -> DataFrame:
         schema = None
         for b in batches:
             schema = schema or b.schema.field(0)
-            for at in range(0, b.num_rows, 256):
-                part, out = b.slice(at, 256), []
-                for t in part.column(1).to_pylist():
-                    ids = enc.ids(t)
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy().astype(np.int64))
+            cuts = [0, *(np.flatnonzero(np.diff(size // PIECE_BYTES)) + 1).tolist(), b.num_rows]
+            for at, to in zip(cuts, cuts[1:]):
+                part, out = b.slice(at, to - at), []
+                for ids in enc.ids_of(part.column(1).to_pylist()):
                     df[np.unique(ids)] += 1
                     n, total = n + 1, total + len(ids)
                     out.append(packed(ids, enc.size))

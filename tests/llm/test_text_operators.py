@@ -283,3 +283,25 @@ def test_latin_texts_encode_alike():
                     for _ in range(r.randrange(1, 30)))
         assert enc.ids(t)[:-1].tolist() == enc.slow.encode(t, add_special_tokens=False).ids
     assert re.search("endoftext", enc.special[0])
+
+
+def test_distinct_pieces_are_encoded_once(monkeypatch):
+    """op6: many Latin texts are cut at once, and a piece that comes again is not encoded again."""
+    enc, r = packing.Encoder(tokenizer_file()), random.Random(2)
+    some = "aestrvlmdSL12\xb2\xbd\xc9\xe9\u0250\xaa\u0241'''''   \n\t\x85\xa0\x1c\r.,-"
+    calls, encode = [], enc.fast.encode_ordinary
+    monkeypatch.setattr(enc.fast, "encode_ordinary", lambda t: calls.append(t) or encode(t))
+    monkeypatch.setattr(packing, "KEPT_LENGTH", 8)
+    for kept in (1 << 18, 10):
+        monkeypatch.setattr(packing, "KEPT_PIECES", kept)
+        enc.kept.clear()
+        for _ in range(400):
+            texts = ["".join(r.choice(some) for _ in range(r.randint(0, 14))) for _ in range(5)] + [None, "\u6f22 x"]
+            for t, ids in zip(texts, enc.ids_of(texts), strict=True):
+                assert ids.tolist() == enc.slow.encode(t or "", add_special_tokens=False).ids + [packing.END]
+        assert len(enc.kept) <= kept
+    monkeypatch.setattr(packing, "KEPT_PIECES", 1 << 18)
+    calls.clear()
+    enc.ids_of(["one two'll two", "x two two'll  one"] * 50)
+    enc.ids_of(["two two"] * 50)
+    assert len(calls) == len(set(calls)) <= 8
