@@ -1,12 +1,10 @@
 """Byte-level BPE encoding and decoding by ranked merges over distinct words.
 
 The encoder's pattern splits a text into words. Every distinct word of the
-corpus is merged once, by Spark's higher-order functions: its bytes are an
-array of binary pieces, the ranks of neighbouring pieces an array beside it,
-and a fold takes the leftmost pair of least rank, joins it and looks up the
-two ranks that this changes, until no neighbours join into a known piece. The
-rank map is one literal: pieces and ranks dealt to buckets by the piece's crc32,
-because Spark searches a map from end to end.
+corpus is merged once, by a numpy kernel over the words of a sorted partition: a
+word's bytes are a row of piece ids, and each step joins the leftmost pair of least
+rank in every word that still has one and looks up the two ranks that this changes,
+until no neighbours join into a known piece.
 
 Documents are read in blocks of about ``BLOCK`` characters (or one longer
 document). A block holds its distinct words and each document as numbers of
@@ -15,8 +13,7 @@ task and come back to their blocks with its ids, packed by task and block, so no
 document is shuffled by itself. Decoding concatenates the ids' binary pieces.
 
 A null text counts as empty and has no ids. Words of over ``LONG`` bytes, for
-which a fold over arrays is quadratic, are merged by a heap in an Arrow function with
-the same rule (leftmost pair of least rank). Long texts are whole blocks of their
+which these steps are quadratic, are merged by a heap with the same rule (leftmost pair of least rank). Long texts are whole blocks of their
 own. Repeated rows and null ids are kept, each with its ids. An empty table
 gives an empty result. No special token is known. Ids that are no piece of the
 vocabulary, or null ids, decode to null. Of the other columns only those named
@@ -27,20 +24,18 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
-import zlib
 from collections import defaultdict
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK = 1 << 25       # characters of a block's documents
-LONG = 256            # bytes of a word that is still folded
-BUCKETS = 1 << 16     # of the rank map
+LONG = 256            # bytes of a word that is still merged by steps
 NONE = (1 << 31) - 1  # rank of what is no piece
 
 
@@ -53,66 +48,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
 
 
-def rank_table(ranks: dict[bytes, int]) -> Column:
-    """The literal rank map: pieces and ranks by bucket."""
-    keys: list[list[str]] = [[] for _ in range(BUCKETS)]
-    values: list[list[int]] = [[] for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        b = zlib.crc32(piece) % BUCKETS
-        keys[b].append(base64.b64encode(piece).decode())
-        values[b].append(rank)
-    return F.struct(F.from_json(F.lit(json.dumps(keys)), "array<array<binary>>").alias("keys"),
-                    F.from_json(F.lit(json.dumps(values)), "array<array<int>>").alias("ranks"))
-
-
-def rank_in(table: Column):
-    """Function that gives the rank of a piece, ``NONE`` if there is none."""
-    def rank(piece: Column) -> Column:
-        def found(c):
-            def place(b):
-                at = F.array_position(F.get(table["keys"], b), c).cast("int")
-                return F.get(F.get(table["ranks"], b), at - 1)
-            return let((F.crc32(c) % BUCKETS).cast("int"), place)
-        return F.coalesce(let(piece, found), F.lit(NONE))
-    return rank
-
-
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def merged_ids(word: Column, rank) -> Column:
-    """Ids of a binary word of at least one byte, by a fold over its merges."""
-    n = F.octet_length(word)
-    none = F.array().cast("array<int>")
-
-    def join(s, i):
-        pieces, ranks = s["pieces"], s["ranks"]
-
-        def joined(c):
-            before = F.when(i > 1, F.concat(F.slice(ranks, F.lit(1), i - 2),
-                                            F.array(rank(F.concat(F.get(pieces, i - 2), c))))).otherwise(none)
-            after = F.when(i < F.size(pieces) - 1,
-                           F.concat(F.array(rank(F.concat(c, F.get(pieces, i + 1)))),
-                                    F.slice(ranks, i + 2, n))).otherwise(none)
-            whole = F.concat(F.slice(pieces, F.lit(1), i - 1), F.array(c), F.slice(pieces, i + 2, n))
-            return F.struct(whole.alias("pieces"), F.concat(before, after).alias("ranks"))
-        return let(F.concat(F.get(pieces, i - 1), F.get(pieces, i)), joined)
-
-    def step(s, _):
-        def least(m):
-            at = F.array_position(s["ranks"], m).cast("int")
-            return F.when(m < NONE, let(at, lambda i: join(s, i))).otherwise(s)
-        return let(F.array_min(s["ranks"]), least)
-
-    places = F.sequence(F.lit(1), n)
-    pieces = F.transform(places, lambda i: F.substring(word, i, F.lit(1)))
-    ranks = F.transform(places, lambda i: rank(F.substring(word, i, F.lit(2))))
-    start = F.struct(pieces.alias("pieces"), F.slice(ranks, F.lit(1), n - 1).alias("ranks"))
-    return F.aggregate(places, start, step, lambda s: F.transform(s["pieces"], rank))
-
-
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges with a heap of pairs (rank, place) over linked pieces."""
     n = len(word)
@@ -142,6 +77,108 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i:end[i]]] for i in range(n) if alive[i]]
 
 
+class Pairs:
+    """Which two pieces join, and into which rank."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        pairs = {ranks[p[:i]] << 32 | ranks[p[i:]]: r for p, r in ranks.items()
+                 for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks}
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        size = 1 << (4 * len(pairs) + 4).bit_length()
+        self.shift = np.uint64(65 - size.bit_length())
+        self.keys, self.ranks = np.full(size, -1, np.int64), np.full(size, NONE, np.int32)
+        left, at = np.arange(len(keys)), self.slot(keys)
+        while len(left):                                # open addressing: the first of a slot takes it
+            free = np.flatnonzero(self.keys[at] < 0)
+            _, one = np.unique(at[free], return_index=True)
+            took = free[one]
+            self.keys[at[took]] = keys[left[took]]
+            self.ranks[at[took]] = [pairs[k] for k in keys[left[took]].tolist()]
+            rest = np.ones(len(left), bool)
+            rest[took] = False
+            left, at = left[rest], (at[rest] + 1) % size
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the joined pieces, ``NONE`` of those that do not join; an id below
+        zero is no piece."""
+        key = a.astype(np.int64) << 32 | b.astype(np.int64)
+        out = np.full(key.shape, NONE, np.int32)
+        todo = np.flatnonzero((a >= 0) & (b >= 0))
+        key = key[todo]
+        at = self.slot(key)
+        while len(todo):
+            found = self.keys[at]
+            hit = found == key
+            out[todo[hit]] = self.ranks[at[hit]]
+            more = ~hit & (found >= 0)
+            todo, key, at = todo[more], key[more], (at[more] + 1) % len(self.keys)
+        return out
+
+
+def merge_words(data: np.ndarray, size: np.ndarray, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
+    """(number of ids of each word, all ids) of words of ``size`` bytes, none empty, whose
+    bytes follow each other in ``data``."""
+    start = np.cumsum(size) - size
+    count = np.empty(len(size), np.int64)
+    lengths = np.unique(size)
+    parts, rows = [], []
+    for low, high in zip(np.append(0, lengths), lengths):
+        which = np.flatnonzero((size > low) & (size <= high))
+        step = max((1 << 20) // int(high), 1)
+        for k in range(0, len(which), step):
+            some = which[k:k + step]
+            ids = pairs.byte[data[start[some][:, None] + np.arange(high)]]
+            n = merged_rows(ids, pairs)
+            count[some] = n
+            rows.append(some)
+            parts.append(ids[np.arange(high) < n[:, None]])
+    if not rows:
+        return count, np.empty(0, np.int32)
+    rows, flat = np.concatenate(rows), np.concatenate(parts)
+    n = count[rows]
+    here = np.empty(len(rows), np.int64)
+    here[rows] = np.cumsum(n) - n
+    take = np.repeat(here - (np.cumsum(count) - count), count) + np.arange(len(flat))
+    return count, flat[take]
+
+
+def merged_rows(ids: np.ndarray, pairs: Pairs) -> np.ndarray:
+    """Merge words of equal length in place, a row of piece ids each; the number of ids
+    that are left at the beginning of each row."""
+    n, width = ids.shape
+    left = np.full(n, width, np.int64)
+    ranks = np.full((n, width), NONE, np.int32)
+    ranks[:, :-1] = pairs.rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width - 1)
+    row, a, r = np.arange(n), ids.copy(), ranks
+    while len(row):
+        at = r.argmin(axis=1)
+        lines = np.arange(len(row))
+        least = r[lines, at]
+        going = least < NONE
+        if not going.all():                              # these are done
+            ids[row[~going]] = a[~going]
+            row, a, r, at, least = row[going], a[going], r[going], at[going], least[going]
+            lines = np.arange(len(row))
+            if not len(row):
+                break
+        left[row] -= 1
+        # what stands behind the joined pair moves up
+        source = np.arange(width) + (np.arange(width) > at[:, None])
+        np.minimum(source, width - 1, out=source)
+        a, r = np.take_along_axis(a, source, 1), np.take_along_axis(r, source, 1)
+        a[lines, at] = least
+        a[:, -1], r[:, -1] = -1, NONE
+        after = np.where(at + 1 < width, a[lines, np.minimum(at + 1, width - 1)], -1)
+        r[lines, at] = pairs.rank(least, after)
+        some = np.flatnonzero(at > 0)
+        r[some, at[some] - 1] = pairs.rank(a[some, at[some] - 1], least[some])
+    return left
+
+
 class Blocks:
     """Rows of blocks from batches of documents (key columns, then the text)."""
 
@@ -245,22 +282,42 @@ def listed_words(batches):
                 names=["block", "place", "word"])
 
 
-def with_ids(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(block, place, ids, long): the rows of a word meet in one task, which folds its
-    merges at the first of them; one row for each block that holds the word. A word of
-    over ``LONG`` bytes has no ids yet, but stands in ``long``."""
+def words_together(words: DataFrame) -> DataFrame:
+    """(block, place, word) with the rows of a word, one for each block that holds it, one
+    after the other in one task."""
     n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # dealt out by number: the words are few bytes but much work, and would be coalesced
-    dealt = words.repartition(n, "word").withColumn("bytes", F.encode("word", "utf-8"))
-    by_word = Window.partitionBy("word").orderBy("block")
-    first = F.row_number().over(by_word) == 1
-    long = F.octet_length("bytes") > LONG
-    # bound to a variable, the literal stands in the plan once
-    folded = let(rank_table(ranks), lambda table: merged_ids(F.col("bytes"), rank_in(table)))
-    ids = dealt.withColumn("first", first).withColumn("ids", F.when(F.col("first") & ~long, folded))
-    so_far = F.first("ids", ignorenulls=True).over(by_word.rowsBetween(Window.unboundedPreceding, 0))
+    return words.repartition(n, "word").sortWithinPartitions("word")
 
-    return ids.select("block", "place", so_far.alias("ids"), F.when(long, F.col("bytes")).alias("long"))
+
+def with_ids(batches, pairs: Pairs):
+    """(block, place, ids, long) of rows (block, place, word) that are sorted by word: the
+    merges of a word are made at the first of its rows in a batch. A word of over
+    ``LONG`` bytes has no ids yet, but stands in ``long``."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        word = b.column(2).cast(pa.large_binary())
+        ends = np.frombuffer(word.buffers()[1], np.int64)[word.offset:][:len(word) + 1]
+        size = np.diff(ends)
+        new = np.append(True, np.asarray(pc.not_equal(word.slice(1), word.slice(0, len(word) - 1))))
+        long = size > LONG
+        some = np.flatnonzero(new & ~long)
+        data = np.frombuffer(word.buffers()[2] or b"", np.uint8)
+        take = np.repeat(ends[some] - (np.cumsum(size[some]) - size[some]), size[some])
+        count, ids = merge_words(data[take + np.arange(len(take))], size[some], pairs)
+        start = np.cumsum(count) - count
+        of = np.cumsum(new & ~long) - 1                 # the word of each row
+        each = np.zeros(len(size), np.int64)
+        each[~long] = count[of[~long]]
+        stop = np.cumsum(each)
+        begin = np.zeros(len(size), np.int64)
+        begin[~long] = start[of[~long]]
+        take = np.repeat(begin - (stop - each), each) + np.arange(int(stop[-1]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, stop), pa.int32()), pa.array(ids[take], pa.int32()))
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), lists, word.take(pa.array(np.arange(len(word)), mask=~long)).cast(pa.binary())],
+            names=["block", "place", "ids", "long"])
 
 
 #: Rows of words that a task packs at once.
@@ -336,8 +393,9 @@ def encode(docs: DataFrame, by: list[str], ranks: dict[bytes, int], pattern: str
     blocks = word_blocks(docs, by, pattern, text).repartition(n, "block")
     # two readers of one exchange: a function keeps Spark from pruning its columns
     words = blocks.mapInArrow(listed_words, "block long, place int, word string")
-    merged = with_ids(words, ranks).mapInArrow(
-        lambda batches: packed_by_block(batches, ranks), "block long, sizes array<bigint>, " + ", ".join(f"{c} binary" for c in PACKED_IDS))
+    pairs = Pairs(ranks)
+    merged = words_together(words).mapInArrow(
+        lambda batches: packed_by_block(with_ids(batches, pairs), ranks), "block long, sizes array<bigint>, " + ", ".join(f"{c} binary" for c in PACKED_IDS))
     names = [f"c{i}" for i in range(len(by))]
     pieces_of = {rank: piece for piece, rank in ranks.items()} if decoded else None
     kinds = [docs.schema[c].dataType for c in by]

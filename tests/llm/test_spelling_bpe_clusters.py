@@ -265,3 +265,21 @@ def test_word_ids_go_back_to_their_blocks_packed(ranks, monkeypatch):
             got[b, p] = part.tolist()
     assert got == want
     assert list(B.packed_by_block(iter(table.slice(0, 0).to_batches()), ranks)) == []
+
+
+def test_words_are_merged_together(ranks, monkeypatch):
+    """op12: the merges of many words at once, repeated, long and single-byte ones among them."""
+    import pyarrow as pa
+    r = random.Random(4)
+    monkeypatch.setattr(B, "LONG", 40)
+    words = ["".join(r.choice("aeinstthé漢 \n0") for _ in range(r.randint(1, 30))) for _ in range(3000)]
+    words = sorted(words + words[:900] + [" the", "x" * 41, "ab" * 60, "x" * 40, "\n"])
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(words)), pa.int64()), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(words)],
+        names=["block", "place", "word"])
+    pairs = B.Pairs(ranks)
+    got = [x for b in B.with_ids([rows.slice(0, 0), rows.slice(0, 7), rows.slice(7)], pairs) for x in b.to_pylist()]
+    assert [x["block"] for x in got] == list(range(len(words)))
+    for w, x in zip(words, got, strict=True):
+        want = B.merge_long(w.encode(), ranks)
+        assert (x["ids"], x["long"]) == (([], w.encode()) if len(w.encode()) > 40 else (want, None))
