@@ -18,8 +18,7 @@ def _state_parts(spark) -> int:
     return spark.sparkContext.defaultParallelism
 
 
-def _log_stream(spark, sf_dir):
-    folder = S.scratch_path(spark, "logs")
+def _log_stream(spark, sf_dir, folder):
     S.write_log_files(file_lines(spark, sf_dir), folder)
     # several files for every core: a trigger has costs of its own
     return S.read_event_log_stream(spark, folder, max_files_per_trigger=max(3, 4 * _state_parts(spark)))
@@ -44,8 +43,10 @@ def s2(spark, sf_dir):
 @register("M6_stream_task_index_stats")
 def m6(spark, sf_dir):
     """M6: per task index statistics of task-local metrics, kept by a streaming aggregation."""
-    stats = S.task_local_index_stats(_log_stream(spark, sf_dir))
+    folder = S.scratch_path(spark, "logs")
+    stats = S.task_local_index_stats(_log_stream(spark, sf_dir, folder))
     out = S.run_to_table(stats, "complete", state_partitions=_state_parts(spark))
+    S.drop_scratch(spark, folder)        # the stream has ended, its result is a table
     return rounded(rounded(out, 3, prefix="var_"), 6)
 
 
