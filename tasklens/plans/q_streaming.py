@@ -56,12 +56,14 @@ def m6w(spark, sf_dir):
     (stream-stream joins), per-index statistics per 365-day window of
     finish time; append mode, one trigger over all files, all windows closed
     (the longest job of this log takes 21 seconds)."""
+    from ..streaming import task_state as TS
     folder = S.scratch_path(spark, "logs")
     S.write_log_files(file_lines(spark, sf_dir), folder)
     S.write_flush_file(spark, folder)
     stream = S.read_event_log_stream(spark, folder)
     stats = S.windowed_index_stats(stream, bound="1 day", window="365 days")
-    out = S.run_to_table(stats, "append", state_partitions=_state_parts(spark))
+    with TS.rocksdb_state(spark):        # the joins keep every task until the trigger's end
+        out = S.run_to_table(stats, "append", state_partitions=_state_parts(spark))
     out = out.select(F.unix_millis("window_start").alias("window_start_ms"),
                      F.unix_millis("window_end").alias("window_end_ms"),
                      *[c for c in out.columns if c not in ("window_start", "window_end")])

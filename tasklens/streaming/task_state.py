@@ -48,6 +48,10 @@ from ..sources import eventlog as ev
 L, I, D, S = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType()
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A join has one store for each partition, not four, and no write looks up whether its
+#: key is new for a count of rows.
+ROCKSDB_STATE = {PROVIDER: ROCKSDB, "spark.sql.streaming.join.stateFormatVersion": "3",
+                 "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false"}
 
 #: TaskEnd fields that the statistics need besides the three times.
 TASK_METRICS = [m for m in INDEX_STAT_METRICS if m not in ("serviceTime", "sojournTime", "waitingTime")]
@@ -319,10 +323,16 @@ def task_table_stream(lines: DataFrame, linger_ms: int, watermark: str = "1 seco
 
 @contextmanager
 def rocksdb_state(spark: SparkSession):
-    """The state store that ``transformWithState`` needs, for a query begun within."""
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    """The state store that ``transformWithState`` needs, for a query begun within; it
+    also keeps the rows of joins out of the heap."""
+    before = {key: spark.conf.get(key, None) for key in ROCKSDB_STATE}
+    for key, value in ROCKSDB_STATE.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
