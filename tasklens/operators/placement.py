@@ -149,8 +149,11 @@ def last_as_of(updates: DataFrame, probes: DataFrame, keys: list[str], seq: str,
 GROUP_ROWS, PAIRS = 200_000, 1 << 20
 
 
-def _place(c: Column) -> list[Column]:
-    """A place as two numbers of up to 18 digits below and the rest above."""
+def _place(c: Column, wide: bool) -> list[Column]:
+    """A place as two numbers of up to 18 digits below and the rest above; one that is
+    a bigint is the lower number as it is."""
+    if not wide:
+        return [F.when(c.isNotNull(), F.lit(0).cast("bigint")), c.cast("bigint")]
     big = F.lit(10 ** 18)
     wide = c.cast("decimal(38,0)")
     low = (wide % big).cast("bigint")
@@ -161,13 +164,14 @@ def _holders_as_of(updates: DataFrame, probes: DataFrame, keys: list[str], seq:
                    each: str, held: str, since: str, block_rows: int) -> DataFrame:
     """``last_as_of`` with a state for every value of ``each``.
 
-    Updates and probes meet in groups of some ``GROUP_ROWS`` rows: many keys of one
+    Both tables are read more than once: they should be written ones. Updates and
+    probes meet in groups of some ``GROUP_ROWS`` rows: many keys of one
     block of ``seq``, which is cut into as many blocks as the longest key needs. The
     last states before a block come into it as updates with their own places."""
     names = [c for c in probes.columns if c not in (*keys, seq, since)]
     blank = lambda df, cols: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in cols]
     u = updates.select(*keys, seq, each, *state, held, *blank(probes, [since, *names]), F.lit(1).alias("_tl_u"))
-    p = written(probes.select(*keys, seq, *blank(updates, [each, *state, held]), since, *names, F.lit(0).alias("_tl_u")))
+    p = probes.select(*keys, seq, *blank(updates, [each, *state, held]), since, *names, F.lit(0).alias("_tl_u"))
     sizes = u.select(*keys, seq).unionByName(p.select(*keys, seq)).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min(seq).alias("least"), F.max(seq).alias("most"))
     n, longest, least, most = sizes.agg(F.sum("n"), F.max("n"), F.min("least"), F.max("most")).first()
@@ -187,8 +191,9 @@ def _holders_as_of(updates: DataFrame, probes: DataFrame, keys: list[str], seq:
             *keys, each, *[F.col(f"_tl_e.{c}").alias(c) for c in (seq, *state, held)],
             *blank(probes, [since, *names]), F.lit(1).alias("_tl_u"), F.col("_tl_at").alias("_tl_b")))
     groups = max(-(-(n or 1) // (GROUP_ROWS * blocks)), 1)
-    rows = rows.withColumns(dict(zip(["_tl_hi", "_tl_lo"], _place(F.col(seq)), strict=True)))
-    rows = rows.withColumns(dict(zip(["_tl_shi", "_tl_slo"], _place(F.col(since)), strict=True))).drop(since)
+    wide = any(not isinstance(rows.schema[c].dataType, T.IntegralType) for c in (seq, since))
+    rows = rows.withColumns(dict(zip(["_tl_hi", "_tl_lo"], _place(F.col(seq), wide), strict=True)))
+    rows = rows.withColumns(dict(zip(["_tl_shi", "_tl_slo"], _place(F.col(since), wide), strict=True))).drop(since)
     out = [*keys, seq, *names, each, *state]
     schema = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in out])
 
@@ -294,8 +299,9 @@ def placement_as_of(lines: DataFrame, at: str = "task", block_rows: int = BLOCK_
         F.collect_set("seq").alias("gone"))
     asked = F.col("rdd_id").isNotNull() & F.col("seq").isNotNull()
     last_gone = F.array_max(F.filter("gone", lambda g: g < F.col("seq")))
-    known = last_as_of(updates, probes.where(asked).join(gone, ["app", "rdd_id"], "left")
-                       .withColumn("since", last_gone).drop("gone"), key, "seq", ["memsize", "disksize"],
+    # the tasks are parsed and joined once, for those that are looked up and the others
+    probes = written(probes.join(gone, ["app", "rdd_id"], "left").withColumn("since", last_gone).drop("gone"))
+    known = last_as_of(updates, probes.where(asked), key, "seq", ["memsize", "disksize"],
                        block_rows=block_rows, each="storage_executor", held="held", since="since")
     columns = ["app", "stage_id", "task_id", "part_id", "rdd_id", "exec_executor", "storage_executor", "memsize", "disksize"]
     return known.select(*columns).unionByName(probes.where(~asked).select(*columns[:6]), allowMissingColumns=True)
