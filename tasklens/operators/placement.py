@@ -285,11 +285,13 @@ def placement_as_of(lines: DataFrame, at: str = "task", block_rows: int = BLOCK_
                            F.explode_outer("rdds").alias("rdd_id"), F.col("executor_id").alias("exec_executor"),
                            place.alias("seq"))
 
-    def number(i):
-        return F.regexp_extract("block_id", r"^rdd_(\d+)_(\d+)$", i).cast("int")
-
-    updates = ev.block_update_events(lines).where(F.col("block_id").rlike(r"^rdd_\d+_\d+$")).select(
-        F.col("log").alias("app"), number(1).alias("rdd_id"), number(2).alias("part_id"),
+    # the text of an RDD's block is matched once for its two numbers
+    blocks = ev.block_update_events(lines, ["block_id", "exec_id", "memsize", "disksize",
+                                            "use_disk", "use_memory", "use_off_heap"])
+    numbers = F.split(F.regexp_extract("block_id", r"^rdd_(\d+_\d+)$", 1), "_")
+    updates = blocks.withColumn("_tl_n", numbers).where(F.size("_tl_n") == 2).select(
+        F.col("log").alias("app"), F.col("_tl_n")[0].cast("int").alias("rdd_id"),
+        F.col("_tl_n")[1].cast("int").alias("part_id"),
         F.col("exec_id").alias("storage_executor"), "seq", "memsize", "disksize",
         (F.col("use_disk") | F.col("use_memory") | F.col("use_off_heap")).alias("held"))
     key = ["app", "rdd_id", "part_id"]

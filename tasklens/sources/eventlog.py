@@ -55,11 +55,6 @@ JOB_END = _struct(("Event", S), ("Job ID", L), ("Completion Time", L))
 
 STAGE_EVENT = _struct(("Event", S), ("Stage Info", STAGE_INFO))
 
-BLOCK_UPDATED = _struct(("Event", S), ("Block Updated Info", _struct(
-    ("Block Manager ID", _struct(("Executor ID", S), ("Host", S), ("Port", I))),
-    ("Block ID", S), ("Storage Level", STORAGE_LEVEL),
-    ("Memory Size", L), ("Disk Size", L))))
-
 UNPERSIST = _struct(("Event", S), ("RDD ID", I))
 
 TASK_START = _struct(("Event", S), ("Stage ID", L), ("Stage Attempt ID", I), ("Task Info", _struct(("Task ID", L))))
@@ -465,31 +460,37 @@ def task_end_events(lines: DataFrame, columns: list[str] | None = None) -> DataF
         F.col("e." + ".".join(f"`{p}`" for p in TASK_FIELDS[c][0])).alias(c) for c in cols])
 
 
-def block_update_events(lines: DataFrame) -> DataFrame:
-    """BlockUpdated lines; the line order inside a log is kept as ``seq``.
+#: BlockUpdated columns: output name -> (JSON path, type).
+_BU = "Block Updated Info"
+BLOCK_FIELDS: dict[str, tuple[tuple[str, ...], T.DataType]] = {
+    "block_id": ((_BU, "Block ID"), S),
+    "exec_id": ((_BU, "Block Manager ID", "Executor ID"), S),
+    "host": ((_BU, "Block Manager ID", "Host"), S),
+    "memsize": ((_BU, "Memory Size"), L),
+    "disksize": ((_BU, "Disk Size"), L),
+    "use_disk": ((_BU, "Storage Level", "Use Disk"), B),
+    "use_memory": ((_BU, "Storage Level", "Use Memory"), B),
+    "use_off_heap": ((_BU, "Storage Level", "Use Off Heap"), B),
+    "deserialized": ((_BU, "Storage Level", "Deserialized"), B),
+    "replicas": ((_BU, "Storage Level", "Replication"), I),
+}
+
+
+def block_update_events(lines: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """BlockUpdated lines; the line order inside a log is kept as ``seq``. With
+    ``columns`` only those of ``BLOCK_FIELDS``, and only they are parsed.
 
     Block updates carry no time, so "latest" means the last line of the log.
     The lines must carry it as ``seq``, as the readers' do.
     """
     if "seq" not in lines.columns:
         raise ValueError("block updates need the order of the lines: a column seq")
-    e = parsed_once(lines_of(lines, "SparkListenerBlockUpdated"), ["log", "seq"], BLOCK_UPDATED)
+    cols = list(columns) if columns else list(BLOCK_FIELDS)
+    schema = schema_for([(("Event",), S)] + [BLOCK_FIELDS[c] for c in cols])
+    e = parsed_once(lines_of(lines, "SparkListenerBlockUpdated"), ["log", "seq"], schema)
     e = e.where(F.col("e.Event") == "SparkListenerBlockUpdated")
-    bu = "e.`Block Updated Info`"
-    sl = f"{bu}.`Storage Level`"
-    return e.select(
-        "log", "seq",
-        F.col(f"{bu}.`Block ID`").alias("block_id"),
-        F.col(f"{bu}.`Block Manager ID`.`Executor ID`").alias("exec_id"),
-        F.col(f"{bu}.`Block Manager ID`.`Host`").alias("host"),
-        F.col(f"{bu}.`Memory Size`").alias("memsize"),
-        F.col(f"{bu}.`Disk Size`").alias("disksize"),
-        F.col(f"{sl}.`Use Disk`").alias("use_disk"),
-        F.col(f"{sl}.`Use Memory`").alias("use_memory"),
-        F.col(f"{sl}.`Use Off Heap`").alias("use_off_heap"),
-        F.col(f"{sl}.`Deserialized`").alias("deserialized"),
-        F.col(f"{sl}.`Replication`").alias("replicas"),
-    )
+    return e.select("log", "seq", *[
+        F.col("e." + ".".join(f"`{p}`" for p in BLOCK_FIELDS[c][0])).alias(c) for c in cols])
 
 
 def unpersist_events(lines: DataFrame, seq: bool = False) -> DataFrame:
